@@ -67,7 +67,7 @@ def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker
     t = F.col(text)
     pieces = F.flatten(
         F.transform(
-            lengths,
+            "_lengths",
             lambda n: F.when(
                 F.length(t) >= n,
                 F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.xxhash64(F.substring(t, i, n))),
@@ -75,7 +75,8 @@ def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker
         )
     )
     hashes = F.array_distinct(F.concat(_word_grams(F.split(t, " ")), F.coalesce(pieces, F.array().cast("array<bigint>"))))
-    candidates = lookup(texts.select(key, F.explode(hashes).alias("_hash")), anchors, ["_hash"], [key], "inner")
+    sized = texts.select(key, text, lengths.alias("_lengths"))
+    candidates = lookup(sized.select(key, F.explode(hashes).alias("_hash")), anchors, ["_hash"], [key], "inner")
     pairs = candidates.select(key, marker_key).distinct()
     checked = pairs.join(markers.select(marker_key, F.col(marker).alias("_marker")), marker_key)
     return (
