@@ -46,7 +46,7 @@ def i1_boxed_first(spark, sf):
     w = F.regexp_extract("text", r"[A-Za-z]+", 0)
     text = _pick(
         F.col("doc_id"), F.col("text"), _lit("so \\boxed{", w, "} and \\boxed{no}"), _lit("\\boxed{x\\text{", w, "}\\,y}"),
-        _lit("\\boxed{1{,}000\;", w, "}"), _lit("\\boxed{ \\textrm{", w, "}  z }"), _lit("a \\boxed{{", w, "}} b"),
+        _lit("\\boxed{1{,}000\\;", w, "}"), _lit("\\boxed{ \\textrm{", w, "}  z }"), _lit("a \\boxed{{", w, "}} b"),
     )
     return _docs(spark, sf).select("doc_id", answers.boxed_first(text).alias("boxed"))
 
@@ -88,7 +88,7 @@ def i4_split_channels(spark, sf):
     src, text = F.col("source"), F.col("text")
     raw = _pick(
         F.col("doc_id"),
-        _lit("<|channel|>analysis<|message|>", src, " why<|end|><|start|>assistant<|channel|>final<|message|>", text, "<|return|>"),
+        _lit("<|channel|>analysis<|message|> ", src, " why <|end|><|start|>assistant<|channel|>final<|message|>", text, "<|return|>"),
         _lit("analysis ", src, " thus assistant final ", text),
         _lit("analysis", text),
         _lit("plain <|x|>", F.col("lang")),

@@ -75,10 +75,10 @@ def object_args(json: Column) -> Column:
     def entries(j: Column) -> Column:
         def of(v: Column) -> Column:
             values = F.try_variant_get(v, "$", "map<string,variant>")
-            return F.when(
-                is_object(v),
-                F.transform(F.json_object_keys(j), lambda k: _pair(k, F.to_json(F.element_at(values, k)))),
+            listed = let(
+                values, lambda m: F.transform(F.json_object_keys(j), lambda k: _pair(k, F.to_json(F.element_at(m, k))))
             )
+            return F.when(is_object(v), listed)
 
         return let(parsed(j), of)
 
@@ -86,7 +86,7 @@ def object_args(json: Column) -> Column:
 
 
 def arg_json(args: Column, key: str) -> Column:
-    return F.element_at(F.filter(args, lambda e: e.key == key), -1).json
+    return F.try_element_at(F.filter(args, lambda e: e.key == key), F.lit(-1)).json
 
 
 def arg_text(args: Column, key: str) -> Column:

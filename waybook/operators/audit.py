@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybook.functions.strings import contains_any
+from waybook.functions.strings import contains_any, let
 from waybook.operators.ordered import lookup
 
 _GRAM = 3
+_PREFIX = 8
 
 
 def contaminated_turns(turns: Column, markers: Sequence[str]) -> Column:
@@ -36,47 +37,52 @@ def _word_grams(words: Column) -> Column:
     return F.when(F.size(words) >= _GRAM, grams).otherwise(F.array().cast("array<bigint>"))
 
 
+def _pieces(text: Column, lengths: Column) -> Column:
+    """Hashes of all substrings of the listed lengths, found by a zero-width match at every character."""
+
+    def sized(n: Column) -> Column:
+        everywhere = F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
+        return F.transform(F.regexp_extract_all(text, everywhere, 1), lambda g: F.xxhash64(g))
+
+    return F.flatten(F.transform(lengths, sized))
+
+
 def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker_key: str, marker: str) -> DataFrame:
     """Pairs ``(key, marker_key)`` where the text contains the marker, without comparing all pairs.
 
     Text around a long marker's inner words is delimited as in the marker, so
     its longest inner word triple occurs in every text that holds it: an
     equi-join on triple hashes finds the candidates. Markers too short for
-    that are looked up by all substrings of their exact lengths (nothing is
-    generated when there are none). Candidates are then checked in full.
+    that are looked up by their first eight characters, or all of them when
+    they have fewer (nothing is generated when there are none). Candidates are then checked in full.
     Hot triples are spread by the salted join; only keys and hashes shuffle
     before the check.
     """
     words = F.split(F.col(marker), " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    triples = F.transform(
-        F.sequence(F.lit(0), F.size(inner) - _GRAM),
-        lambda i: F.struct(
-            F.length(F.concat(*[F.get(inner, i + j) for j in range(_GRAM)])).alias("size"),
-            F.xxhash64(*[F.get(inner, i + j) for j in range(_GRAM)]).alias("hash"),
-        ),
-    )
     long = F.size(inner) >= _GRAM
+
+    def longest(w: Column) -> Column:
+        triples = F.transform(
+            F.sequence(F.lit(0), F.size(w) - _GRAM),
+            lambda i: F.struct(
+                F.length(F.concat(*[F.get(w, i + j) for j in range(_GRAM)])).alias("size"),
+                F.xxhash64(*[F.get(w, i + j) for j in range(_GRAM)]).alias("hash"),
+            ),
+        )
+        return F.array_max(triples)["hash"]
+
     anchors = markers.where(F.col(marker).isNotNull()).select(
-        marker_key,
-        F.when(long, F.array_max(triples)["hash"]).otherwise(F.xxhash64(F.col(marker))).alias("_hash"),
+        marker_key, F.when(long, let(inner, longest)).otherwise(F.xxhash64(F.left(marker, F.lit(_PREFIX)))).alias("_hash")
     )
     lengths = (
-        markers.where(~long).agg(F.collect_set(F.length(marker)).alias("l")).select(F.array_sort("l")).scalar()
+        markers.where(~long).agg(F.collect_set(F.least(F.length(marker), F.lit(_PREFIX))).alias("l")).select(F.array_sort("l")).scalar()
     )
     t = F.col(text)
-    pieces = F.flatten(
-        F.transform(
-            "_lengths",
-            lambda n: F.when(
-                F.length(t) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.xxhash64(F.substring(t, i, n))),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
-    )
-    hashes = F.array_distinct(F.concat(_word_grams(F.split(t, " ")), F.coalesce(pieces, F.array().cast("array<bigint>"))))
+    hashes = F.array_distinct(F.concat(let(F.split(t, " "), _word_grams), _pieces(t, F.col("_lengths"))))
+    # The outer explode keeps the optimizer from adding a filter that computes all hashes again.
     sized = texts.select(key, text, lengths.alias("_lengths"))
-    candidates = lookup(sized.select(key, F.explode(hashes).alias("_hash")), anchors, ["_hash"], [key], "inner")
+    candidates = lookup(sized.select(key, F.explode_outer(hashes).alias("_hash")), anchors, ["_hash"], [key], "inner")
     pairs = candidates.select(key, marker_key).distinct()
     checked = pairs.join(markers.select(marker_key, F.col(marker).alias("_marker")), marker_key)
     return (
