@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waybook.catalog.registry import query
-from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, attempts, calls, judged, r6, table, turns
+from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, calls, judged, r6, table, turns
 from waybook.operators import audit, conversation, plan, report, score, select
 from waybook.plans.card import card
 from waybook.sources import scratch, tables
@@ -83,7 +83,7 @@ def a7_shards(spark, sf):
 def a8_reused_verdicts(spark, sf):
     path = scratch.folder(spark, "verdicts")
     table(spark, sf, "labels").selectExpr("doc_id", "quality = 1 AS correct").write.json(path)
-    kept = tables.verdict_files(spark, path, "doc_id bigint, correct boolean").drop("source_id")
+    kept = tables.verdict_files(spark, path, "doc_id bigint, correct boolean", one_per_file=False).drop("source_id")
     docs = table(spark, sf, "documents").select("doc_id")
     pending = plan.pending(docs, kept, ["doc_id"]).select("doc_id", F.lit(None).cast("boolean").alias("correct"), F.lit(True).alias("pending"))
     return kept.withColumn("pending", F.lit(False)).unionByName(pending)
@@ -210,8 +210,3 @@ def b6_dataset_card(spark, sf):
 def a4_question_ids(spark, sf):
     rows = table(spark, sf, "documents").selectExpr("doc_id AS id", "text AS question")
     return tables.questions(rows).select("qid", "question", "reference_answer")
-
-
-@query("a4_attempt_questions", "SELECT DISTINCT source || ':' || lang AS qid FROM documents")
-def a4_attempt_questions(spark, sf):
-    return attempts(spark, sf).select("qid").distinct()

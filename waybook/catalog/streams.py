@@ -1 +1,140 @@
-"""Filled below."""
+"""Liveness, status and streaming (K1-K6). Streams are drained and compared with the batch answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from waybook.catalog.registry import query
+from waybook.catalog.tables import CALLS_SQL, calls, r6
+from waybook.operators import report
+from waybook.sources import scratch
+from waybook.streaming import streams
+
+_TIMEOUT = 6 * 3600
+_STATUS = "CASE tool WHEN 'error' THEN 'OFFLINE' WHEN 'signup' THEN 'LOADING' WHEN 'view' THEN NULL ELSE 'READY' END AS status"
+
+
+def _worker_events(spark, sf):
+    """users are workers, a signup registers, anything else is a heartbeat"""
+    return calls(spark, sf, "cast(ts AS timestamp) AS ts").selectExpr(
+        "traj AS worker_id", "seq", "ts", "if(tool = 'signup', 'register', 'heartbeat') AS kind", "tool"
+    )
+
+
+_SPANS = f"""{CALLS_SQL}, e AS (SELECT traj AS w, seq, ts, epoch_us(ts) AS us, tool = 'signup' AS reg FROM calls),
+g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY w ORDER BY seq) > {_TIMEOUT} * 1000000::BIGINT, true)::INT AS gap FROM e),
+s AS (SELECT *, sum(gap) OVER (PARTITION BY w ORDER BY seq) AS span FROM g)"""
+
+
+@query(
+    "k1_progress_stream",
+    """SELECT event_type AS tool, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 100) AS timed,
+      round(coalesce(sum(value) FILTER (value > 100), 0), 6) AS seconds FROM events GROUP BY 1""",
+)
+def k1_progress_stream(spark, sf):
+    path, out, state = (scratch.folder(spark, x) for x in ("log", "snapshots", "state"))
+    rows = calls(spark, sf).selectExpr("tool", "if(tool = 'error', 'error', 'success') AS status", "if(value > 100, value, 0) AS latency_s")
+    rows.repartition(4).write.json(path)
+    log = streams.growing_log(spark, path, "tool string, status string, latency_s double", 2)
+    streams.snapshots(streams.tool_progress(log), out, state).awaitTermination()
+    return streams.latest_snapshot(spark, out).withColumn("seconds", r6("seconds"))
+
+
+@query(
+    "k2_liveness",
+    f"""WITH {_SPANS}, f AS (SELECT *, min(seq) FILTER (reg) OVER (PARTITION BY w, span) AS r, lead(us) OVER (PARTITION BY w ORDER BY seq) AS nxt FROM s)
+    SELECT w AS worker_id, seq, coalesce(seq >= r, false) AS accepted,
+      CASE WHEN seq >= r AND coalesce(nxt, (SELECT max(us) FROM e)) - us > {_TIMEOUT} * 1000000::BIGINT THEN us + {_TIMEOUT} * 1000000::BIGINT END AS offline_us FROM f""",
+)
+def k2_liveness(spark, sf):
+    events = _worker_events(spark, sf)
+    end = events.agg(F.max("ts")).scalar()
+    out = report.liveness(events, "seq", _TIMEOUT, end)
+    return out.select("worker_id", "seq", "accepted", F.unix_micros("offline_at").alias("offline_us"))
+
+
+_LIVES = f"""WITH {_SPANS}, a AS (
+  SELECT w AS worker_id, min(us) AS first_us, min(us) FILTER (reg) AS registered_us, max(us) AS last_us, count(*) AS events FROM s GROUP BY w, span)
+SELECT *, CASE WHEN registered_us IS NOT NULL THEN last_us + {_TIMEOUT} * 1000000::BIGINT END AS offline_us FROM a"""
+
+
+def _micros(lives):
+    return lives.select(
+        "worker_id", "events", *[F.unix_micros(c).alias(n) for c, n in
+                                 (("first_seen", "first_us"), ("registered", "registered_us"), ("last_seen", "last_us"), ("offline_at", "offline_us"))]
+    )
+
+
+@query("k2_worker_lives", _LIVES)
+def k2_worker_lives(spark, sf):
+    return _micros(streams.worker_lives(_worker_events(spark, sf), _TIMEOUT))
+
+
+@query("k2_worker_lives_stream", f"SELECT * FROM ({_LIVES}) WHERE last_us + {_TIMEOUT} * 1000000::BIGINT < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 60000000")
+def k2_worker_lives_stream(spark, sf):
+    path, out, state = (scratch.folder(spark, x) for x in ("beats", "lives", "state"))
+    _worker_events(spark, sf).select("worker_id", "ts", "kind").write.parquet(path)
+    beats = streams.growing_log(spark, path, "worker_id bigint, ts timestamp, kind string", fmt="parquet")
+    lives = streams.worker_lives(beats, _TIMEOUT, late="60 seconds")
+    streams.append_to(lives, out, state).awaitTermination()
+    return _micros(spark.read.schema(lives.schema).parquet(out))
+
+
+@query(
+    "k3_status_changes",
+    f"""WITH {CALLS_SQL}, s AS (SELECT * FROM (SELECT traj AS worker_id, seq, {_STATUS} FROM calls) WHERE status IS NOT NULL),
+    l AS (SELECT *, lag(status) OVER (PARTITION BY worker_id ORDER BY seq) AS old_status FROM s)
+    SELECT worker_id, seq, old_status, status FROM l WHERE old_status IS NOT NULL AND old_status <> status""",
+)
+def k3_status_changes(spark, sf):
+    events = calls(spark, sf).selectExpr("traj AS worker_id", "seq", _STATUS)
+    return report.status_changes(events, ["worker_id"], "seq").select("worker_id", "seq", "old_status", "status")
+
+
+@query(
+    "k4_failed_nodes",
+    f"""WITH {_SPANS}, w AS (SELECT w, max(us) FILTER (span = m) AS last, bool_or(reg) FILTER (span = m) AS r FROM (SELECT *, max(span) OVER (PARTITION BY w) AS m FROM s) GROUP BY w)
+    SELECT 'n' || (w % 40) AS node_id, count(*) AS workers, bool_and(NOT r OR (SELECT max(us) FROM e) - last > {_TIMEOUT} * 1000000::BIGINT) AS failed FROM w GROUP BY 1""",
+)
+def k4_failed_nodes(spark, sf):
+    events = _worker_events(spark, sf)
+    end = events.agg(F.max("ts")).scalar()
+    latest = streams.worker_lives(events, _TIMEOUT).groupBy("worker_id").agg(F.max_by("offline_at", "last_seen").alias("offline_at"))
+    offline = F.col("offline_at").isNull() | (F.col("offline_at") < end)
+    return report.failed_nodes(latest.select(F.concat(F.lit("n"), (F.col("worker_id") % 40).cast("string")).alias("node_id"), "worker_id", offline.alias("offline")))
+
+
+@query("k5_upserted", f"WITH {CALLS_SQL} SELECT traj, k, max(seq) AS seq, arg_max(tool, seq) AS tool FROM calls GROUP BY traj, k")
+def k5_upserted(spark, sf):
+    path, out, state = (scratch.folder(spark, x) for x in ("records", "table", "state"))
+    calls(spark, sf).select("traj", "k", "seq", "tool").repartition(4).write.json(path)
+    log = streams.growing_log(spark, path, "traj bigint, k int, seq bigint, tool string", 1)
+    streams.upsert(log, ["traj", "k"], ["seq"], out, state).awaitTermination()
+    return streams.current(spark, out, ["traj", "k"], ["seq"])
+
+
+@query(
+    "k6_first_chunk",
+    f"""WITH {CALLS_SQL}, c AS (SELECT traj, seq // 500 AS request, epoch_us(ts) AS us, tool IN ('click') AS filled FROM calls),
+    f AS (SELECT traj, request, min(us) AS a, max(us) AS z, min(us) FILTER (filled) AS f FROM c GROUP BY 1, 2)
+    SELECT traj, request, round((coalesce(f, z) - a) / 1000.0, 6) AS ttft_ms, round((z - a) / 1000000.0, 6) AS total_time_s FROM f""",
+)
+def k6_first_chunk(spark, sf):
+    chunks = calls(spark, sf, "cast(ts AS timestamp) AS ts").selectExpr("traj", "seq div 500 AS request", "ts", "if(tool = 'click', tool, '') AS text")
+    out = report.first_chunk(chunks, ["traj", "request"], "ts", "text")
+    return out.withColumns({c: r6(F.col(c).cast("double")) for c in ("ttft_ms", "total_time_s")})
+
+
+@query(
+    "k3_status_stream",
+    f"""WITH {CALLS_SQL}, s AS (SELECT * FROM (SELECT traj AS worker_id, seq, {_STATUS} FROM calls) WHERE status IS NOT NULL),
+    l AS (SELECT *, lag(status) OVER (PARTITION BY worker_id ORDER BY seq) AS old_status FROM s)
+    SELECT worker_id, seq, old_status, status FROM l WHERE old_status IS NOT NULL AND old_status <> status""",
+)
+def k3_status_stream(spark, sf):
+    path, out, state = (scratch.folder(spark, x) for x in ("status", "changes", "state"))
+    calls(spark, sf).selectExpr("traj AS worker_id", "seq", _STATUS).write.parquet(path)
+    schema = "worker_id bigint, seq bigint, status string"
+    changes = streams.status_log(streams.growing_log(spark, path, schema, fmt="parquet"))
+    streams.append_to(changes, out, state).awaitTermination()
+    return spark.read.schema(changes.schema).parquet(out)

@@ -68,9 +68,9 @@ def result_answers(results: DataFrame) -> DataFrame:
     )
 
 
-def verdict_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Evaluations kept one per file; the file name gives the record id."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(folder)
+def verdict_files(spark: SparkSession, folder: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """A folder of evaluations, one object per file or one per line; file names give the record ids."""
+    rows = spark.read.schema(schema).option("multiLine", one_per_file).json(folder)
     return rows.withColumn("source_id", F.regexp_extract(F.col("_metadata.file_name"), r"(.*)_eval\.json$", 1))
 
 
