@@ -10,6 +10,7 @@ from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, QID, calls, judged, r6
 from waybook.functions import strings
 from waybook.operators import score
 from waybook.plans import jobs
+from waybook.sources import scratch
 
 # A conversation as a trajectory: the first user turn is the question, later
 # user turns are tool output, every reply but the last is a tool call. One
@@ -31,17 +32,19 @@ def _records(spark, sf):
         F.max("pos").alias("last"), F.max(F.when(F.col("role") == "system", F.col("content"))).alias("system_prompt")
     )
     both = first.join(rest, "traj").withColumnRenamed("traj", "id")
-    return both.withColumns(
+    shaped = both.withColumns(
         {
             "status": F.when(F.col("id") % 9 == 0, "error").otherwise("success"), "num_tool_calls": F.col("id") % 4,
             "num_turns": F.col("last") - F.col("q"), "type": F.when(F.col("id") % 5 == 0, "skip").otherwise("long_form"),
             "tokenized_length": F.col("num_turns") * 100,
         }
     )
+    # One record per trajectory, as a log table would hold it.
+    return scratch.stage(shaped, "records")
 
 
-def _turns(spark, sf):
-    rows = turns(spark, sf).withColumnRenamed("traj", "id").join(_records(spark, sf).select("id", "q", "last"), "id")
+def _turns(spark, sf, records):
+    rows = turns(spark, sf).withColumnRenamed("traj", "id").join(records.select("id", "q", "last"), "id")
     kept = rows.where("role <> 'system' AND pos > q AND NOT (id % 7 = 1 AND pos = q + 2)")
     role = F.when(F.col("role") == "assistant", "assistant").otherwise("tool")
     return kept.select("id", "pos", role.alias("role"), "content", (F.col("pos") == F.col("last")).alias("last"), F.col("role").alias("spoken"))
@@ -61,8 +64,9 @@ def _tagged(last):
 
 def _native(spark, sf):
     content = _tagged(_lit(F.col("content"), "<|im_end|>\nmore"))
+    records = _records(spark, sf)
     return jobs.native_conversations(
-        _records(spark, sf), _turns(spark, sf).select("id", "pos", "role", content.alias("content")), {"web_search": '{"name": "web_search"}'}, 1
+        records, _turns(spark, sf, records).select("id", "pos", "role", content.alias("content")), {"web_search": '{"name": "web_search"}'}, 1
     )
 
 
@@ -100,7 +104,8 @@ def j1_records(spark, sf):
 
 
 def _foreign(spark, sf):
-    rows = _turns(spark, sf)
+    records = _records(spark, sf)
+    rows = _turns(spark, sf, records)
     plain = F.trim(F.regexp_replace("content", r"[^A-Za-z]+", " "))
     call = _lit("serper_google_webpage_search(query='", plain, "', num_results=5)")
     called = (F.col("role") == "assistant") & ~F.col("last")
@@ -116,10 +121,10 @@ def _foreign(spark, sf):
         "id", "pos", F.when(F.col("role") == "assistant", "assistant").otherwise("environment").alias("role"),
         F.try_parse_json(strings.json_text(content)).alias("content"), F.when(broken, "not a call").when(called, call).alias("function_calls"),
     )
-    asked = _records(spark, sf).select("id", F.lit(-5).cast("bigint").alias("pos"), F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("question").alias("text"))).alias("c"))
+    asked = records.select("id", F.lit(-5).cast("bigint").alias("pos"), F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("question").alias("text"))).alias("c"))
     user = asked.select("id", "pos", "role", F.try_parse_json(F.to_json("c")).alias("content"), F.lit(None).cast("string").alias("function_calls"))
     return jobs.foreign_conversations(
-        _records(spark, sf), messages.unionByName(user), {"web_search": '{"name": "web_search"}'}, "You search.", ["long_form"], 1, 500
+        records, messages.unionByName(user), {"web_search": '{"name": "web_search"}'}, "You search.", ["long_form"], 1, 500
     )
 
 
@@ -144,7 +149,7 @@ def _keyed(spark, sf):
     key = [F.concat(F.lit("q"), F.floor(F.col("id") / 3).cast("string")).alias("qid"), F.col("id").alias("traj_idx")]
     records = _records(spark, sf)
     judged_rows = records.select(*key, ((F.col("id") % 5 == 0) | (F.col("id") % 8 == 0)).alias("correct"))
-    return records.select(*key, "*"), _turns(spark, sf).select(*key, "*"), judged_rows
+    return records.select(*key, "*"), _turns(spark, sf, records).select(*key, "*"), judged_rows
 
 
 @query(

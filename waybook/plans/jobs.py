@@ -17,7 +17,7 @@ from waybook.functions import calls as wire
 from waybook.functions.strings import strip
 from waybook.operators import audit, context, conversation, plan, report, score, select
 from waybook.operators.ordered import last_per_key, lookup
-from waybook.sources import tables
+from waybook.sources import scratch, tables
 
 
 @dataclass
@@ -47,12 +47,18 @@ class Conversion:
 
 
 def _convert(
-    records: DataFrame, accepted: DataFrame, rows: DataFrame, has_turns: DataFrame, keys: Sequence[str],
-    system: Column, question: Column, min_turns: int, tools: DataFrame | None,
+    records: DataFrame, accepted: DataFrame, rows: DataFrame, keys: Sequence[str], system: Column, question: Column,
+    min_turns: int, definitions: Mapping[str, str] | None = None, need_turns: bool = False,
 ) -> Conversion:
+    """Close, check and collect converted turns ``(keys, pos, from, value, tool)``; a null ``from`` drops a turn.
+
+    The parsed turns are written once: the structure check then reads only
+    keys and roles, the tool lists only tool names, the output the texts.
+    """
     keys = list(keys)
-    heads = accepted.join(has_turns.select(*keys).distinct(), keys, "left_semi")
-    full = conversation.with_heads(rows.where(F.col("from").isNotNull()), heads, keys, system, question)
+    parsed = scratch.stage(rows, "turns")
+    heads = accepted.join(parsed.select(*keys).distinct(), keys, "left_semi") if need_turns else accepted
+    full = conversation.with_heads(parsed.where(F.col("from").isNotNull()), heads, keys, system, question)
     turns, shape = conversation.assemble(full, keys, min_turns)
     state = (
         records.select(*keys)
@@ -60,6 +66,9 @@ def _convert(
         .join(shape.select(*keys, "valid"), keys, "left")
     )
     outcome = F.when(F.col("_accepted").isNull(), "filtered").when(F.col("valid"), "converted").otherwise("skipped")
+    tools = None
+    if definitions is not None:
+        tools = conversation.used_tools(parsed.where(F.col("tool").isNotNull()), keys, "tool", definitions)
     return Conversion(keys, turns, state.select(*keys, outcome.alias("outcome")), tools)
 
 
@@ -85,9 +94,11 @@ def native_conversations(
         F.when(called, conversation.function_call(F.col("_call.name"), F.col("_call.args"), F.col("_call.think")))
         .when(assistant, answers.cut_at_end_mark(F.col("content")))
         .otherwise(F.col("content")).alias("value"),
+        F.col("_call.name").alias("tool"),
+    )
+    return _convert(
+        records, accepted, rows, ["id"], F.col("system_prompt"), F.col("question"), 0, definitions, need_turns=True
     )
-    tools = conversation.used_tools(parsed.where(called).select("id", F.col("_call.name").alias("tool")), ["id"], "tool", definitions)
-    return _convert(records, accepted, rows, mine, ["id"], F.col("system_prompt"), F.col("question"), 0, tools)
 
 
 def _literal_parts(text: str) -> str | None:
@@ -137,9 +148,9 @@ def foreign_conversations(
         F.when(has_call & F.col("_call").isNotNull(), "function_call").when(assistant & ~has_call, "gpt").when(~assistant, "observation").alias("from"),
         F.when(has_call, call_value).when(assistant, answers.unwrap_answer(strip(F.col("_text"))))
         .otherwise(payloads.response_text(F.coalesce("_last_tool", F.lit("")), F.col("_env"))).alias("value"),
+        F.col("_tool").alias("tool"),
     )
-    tools = conversation.used_tools(parsed.where("_tool is not null").select("id", F.col("_tool").alias("tool")), ["id"], "tool", definitions)
-    return _convert(records, heads, rows, heads, ["id"], F.lit(system_prompt), F.col("_question"), 2, tools)
+    return _convert(records, heads, rows, ["id"], F.lit(system_prompt), F.col("_question"), 2, definitions)
 
 
 def channel_conversations(
@@ -165,7 +176,7 @@ def channel_conversations(
         .when(assistant, answers.channel_reply(content, F.col("final_answer")))
         .otherwise(content).alias("value"),
     )
-    return _convert(records, accepted, rows, accepted, keys, F.lit(system_prompt), F.col("question"), 2, None)
+    return _convert(records, accepted, rows, keys, F.lit(system_prompt), F.col("question"), 2)
 
 
 def selfplay_conversations(
@@ -187,7 +198,7 @@ def selfplay_conversations(
         .when(assistant, answers.with_opening_think(content))
         .otherwise(content).alias("value"),
     )
-    return _convert(records, accepted, rows, accepted, keys, F.lit(system_prompt), F.col("question"), 2, None)
+    return _convert(records, accepted, rows, keys, F.lit(system_prompt), F.col("question"), 2)
 
 
 # ---- evaluation ----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -21,3 +21,15 @@ def folder(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/waybook-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write the rows once and go on from the written table.
+
+    For results that several later steps read: each of them then scans only
+    the columns it needs, nothing upstream is computed twice, and a lost
+    executor costs a read instead of the whole lineage.
+    """
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
