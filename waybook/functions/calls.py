@@ -35,7 +35,7 @@ TAGGED_JSON_CALL = r"(?sU)<tool_call>\s*(\{.*?\})\s*(?:</tool_call>|\z)"
 BRACES = r"(\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\})"
 CHANNEL_MESSAGE = r"(?s)<\|message\|>(.*?)(?:<\|call\|>|<\|end\|>|\z)"
 CHANNEL_CODE = r"(?sU)to=python\b(.*)\z"
-CHANNEL_CALL = r"(?sU)to=(browser|functions)\.(\w+)(.*)\z"
+CHANNEL_NAME = r"(?U)to=(?:browser|functions)\.\w+"
 KEYWORD_CALL = r"(?sU)\A(\w+)\((.*)\)\z"
 KEYWORD_ARG = r"""(?U)(\w+)\s*=\s*(?:'([^']*)'|"([^"]*)"|(\d+))"""
 SERVER_CALL = (
@@ -122,18 +122,19 @@ def _params(body: Column) -> Column:
 def tagged_call(c: Column) -> Column:
     """``struct(think, name, args)`` of the first function tag, null when there is none."""
 
-    def call(t: Column) -> Column:
-        lead = F.substring(t, F.lit(1), F.regexp_instr(t, F.lit(TAGGED_CALL)) - 1)
+    def call(whole: Column) -> Column:
+        # The first match is also the first occurrence of its own text.
+        lead = F.left(c, F.instr(c, whole) - 1)
         return F.when(
-            F.regexp_like(t, F.lit(TAGGED_CALL)),
+            whole != "",
             F.struct(
                 strip(F.regexp_extract(lead, THINK, 1)).alias("think"),
-                F.regexp_extract(t, TAGGED_CALL, 1).alias("name"),
-                _params(F.regexp_extract(t, TAGGED_CALL, 2)).alias("args"),
+                F.regexp_extract(whole, TAGGED_CALL, 1).alias("name"),
+                _params(F.regexp_extract(whole, TAGGED_CALL, 2)).alias("args"),
             ),
         )
 
-    return let(F.when(c.contains("<tool_call>"), c), call)
+    return let(F.when(c.contains("<tool_call>"), F.regexp_extract(c, TAGGED_CALL, 0)), call)
 
 
 def tagged_or_json_call(c: Column) -> Column:
@@ -179,12 +180,12 @@ def _code_of(rest: Column) -> Column:
 def _body_of(rest: Column) -> Column:
     after_word = rf"(?sU)(?:json|code)\s*{BRACES}"
 
+    def braces(r: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(r, pattern, 1), F.lit(""))
+
     def pick(r: Column) -> Column:
-        return (
-            F.when(r.contains("<|message|>"), strip(F.regexp_extract(r, CHANNEL_MESSAGE, 1)))
-            .when(F.regexp_like(r, F.lit(after_word)), F.regexp_extract(r, after_word, 1))
-            .when(F.regexp_like(r, F.lit(BRACES)), F.regexp_extract(r, BRACES, 1))
-            .otherwise(strip(r))
+        return F.when(r.contains("<|message|>"), strip(F.regexp_extract(r, CHANNEL_MESSAGE, 1))).otherwise(
+            F.coalesce(braces(r, after_word), braces(r, BRACES), strip(r))
         )
 
     def unwrap(b: Column) -> Column:
@@ -223,18 +224,19 @@ def channel_call(c: Column) -> Column:
         json = F.concat(F.lit('{"code": '), json_text(code), F.lit("}"))
         return F.when(code != "", call(F.lit("python"), F.lit("execute"), json))
 
-    def by_name(t: Column) -> Column:
+    def by_name(name: Column) -> Column:
         def named(body: Column) -> Column:
             json = F.when(is_json(body), body).otherwise(_salvaged(body))
-            made = call(F.regexp_extract(t, CHANNEL_CALL, 1), F.regexp_extract(t, CHANNEL_CALL, 2), json)
-            return F.when(json.isNotNull(), made)
+            parts = F.split(F.substring(name, F.lit(len("to=") + 1), F.length(name)), r"\.")
+            return F.when(json.isNotNull(), call(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), json))
 
-        body = let(F.regexp_extract(t, CHANNEL_CALL, 3), _body_of)
-        return F.when(F.regexp_like(t, F.lit(CHANNEL_CALL)), let(body, named))
+        rest = F.substring(c, F.instr(c, name) + F.length(name), F.length(c))
+        return F.when(name != "", let(_body_of(rest), named))
 
-    code = F.when(F.regexp_like(c, F.lit(CHANNEL_CODE)), let(F.regexp_extract(c, CHANNEL_CODE, 1), _code_of))
+    rest_of_code = F.nullif(F.regexp_extract(F.when(c.contains("to=python"), c), CHANNEL_CODE, 0), F.lit(""))
+    code = let(rest_of_code, lambda r: _code_of(F.regexp_extract(r, CHANNEL_CODE, 1)))
     called = c.contains("to=")
-    return F.when(called, F.coalesce(let(code, by_code), let(c, by_name)))
+    return F.when(called, F.coalesce(let(code, by_code), let(F.regexp_extract(c, CHANNEL_NAME, 0), by_name)))
 
 
 # ---- keyword calls -------------------------------------------------------------
@@ -379,20 +381,18 @@ def server_calls(c: Column) -> Column:
     """
 
     def calls(t: Column) -> Column:
-        groups = [F.regexp_extract_all(t, F.lit(SERVER_CALL), i).alias(f"g{i}") for i in (1, 2, 3)]
-
         def call(g: Column) -> Column:
             return let(
-                _decoded(strip(g["g3"])),
+                _decoded(strip(F.regexp_extract(g, SERVER_CALL, 3))),
                 lambda json: F.struct(
-                    strip(g["g1"]).alias("server"),
-                    strip(g["g2"]).alias("tool"),
+                    strip(F.regexp_extract(g, SERVER_CALL, 1)).alias("server"),
+                    strip(F.regexp_extract(g, SERVER_CALL, 2)).alias("tool"),
                     json.alias("args_json"),
                     F.filter(F.coalesce(object_args(json), no_args()), lambda e: e.json != "null").alias("args"),
                 ),
             )
 
-        return F.transform(F.arrays_zip(*groups), call)
+        return F.transform(F.regexp_extract_all(t, F.lit(SERVER_CALL), 0), call)
 
     tagged = F.when(c.contains("<use_mcp_tool>"), repaired_server_text(c)).otherwise(F.lit(""))
     return let(tagged, calls)

@@ -1,7 +1,7 @@
 """Small text columns shared by the parsers.
 
-Spark's ``trim`` strips blanks only and Java's ``\\s`` is ASCII, so the
-whitespace rules here ask for Unicode classes explicitly.
+Spark's ``trim`` strips blanks only and Java's ``\\s`` is ASCII, so ``strip``
+names its characters and the patterns ask for Unicode classes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# fixed value: the characters Unicode counts as white space, with the ASCII separators 1C-1F
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,7 +29,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def cut(c: Column, n: int, suffix: str = "") -> Column:

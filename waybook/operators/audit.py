@@ -79,7 +79,7 @@ def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker
         markers.where(~long).agg(F.collect_set(F.least(F.length(marker), F.lit(_PREFIX))).alias("l")).select(F.array_sort("l")).scalar()
     )
     t = F.col(text)
-    hashes = F.array_distinct(F.concat(let(F.split(t, " "), _word_grams), _pieces(t, F.col("_lengths"))))
+    hashes = F.concat(let(F.split(t, " "), _word_grams), _pieces(t, F.col("_lengths")))
     # The outer explode keeps the optimizer from adding a filter that computes all hashes again.
     sized = texts.select(key, text, lengths.alias("_lengths"))
     candidates = lookup(sized.select(key, F.explode_outer(hashes).alias("_hash")), anchors, ["_hash"], [key], "inner")

@@ -75,14 +75,16 @@ def with_heads(turns: DataFrame, heads: DataFrame, keys: Sequence[str], system:
 
 def structure(turns: DataFrame, keys: Sequence[str], width: int = SEGMENT) -> DataFrame:
     """Per conversation: spoken turns, first break of alternation, whether it ends on a prompt."""
-    side = F.when(F.col("from").isin(*K.PROMPT_ROLES), "prompt").when(F.col("from").isin(*K.RESPONSE_ROLES), "response")
-    spoken = turns.where(F.col("from") != "system").select(*keys, "pos", F.coalesce(side, F.lit("other")).alias("_side"))
+    # Sides as numbers keep the aggregates in hash tables of fixed-width rows.
+    prompt, response, other = 0, 1, 2
+    side = F.when(F.col("from").isin(*K.PROMPT_ROLES), prompt).when(F.col("from").isin(*K.RESPONSE_ROLES), response).otherwise(other)
+    spoken = turns.where(F.col("from") != "system").select(*keys, "pos", side.alias("_side"))
     seen = running(spoken, keys, "pos", lasts={"_prev": F.col("_side")}, width=width)
-    follows = F.when(F.coalesce("_prev", F.lit("response")) == "response", "prompt").otherwise("response")
+    follows = F.when(F.coalesce("_prev", F.lit(response)) == response, prompt).otherwise(response)
     return seen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("spoken"),
         F.count_if(F.col("_side") != follows).alias("breaks"),
-        (F.max_by("_side", "pos") == "prompt").alias("open_end"),
+        (F.max_by("_side", "pos") == prompt).alias("open_end"),
         F.max("pos").alias("last_pos"),
     )
 
