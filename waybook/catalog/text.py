@@ -156,7 +156,7 @@ def _tagged(c, tool):
 )
 def i8_tagged_calls(spark, sf):
     text = F.when(F.col("pos") % 5 != 3, _tagged(F.col("content"), F.lit("web_search"))).otherwise(F.col("content"))
-    rows = _assistant(spark, sf).select("traj", "pos", wire.tagged_call(text).alias("call"))
+    rows = _assistant(spark, sf).select("traj", "pos", text.alias("raw")).select("traj", "pos", wire.tagged_call(F.col("raw")).alias("call"))
     return rows.select(
         "traj", "pos", "call.think", "call.name", wire.arg_text(F.col("call.args"), "query").alias("query"),
         wire.arg_json(F.col("call.args"), "topn").alias("topn"), F.when(F.col("call").isNotNull(), wire.args_json(F.col("call.args"))).alias("args"),
@@ -200,7 +200,7 @@ def i9_channel_calls(spark, sf):
         _lit("to=browser.search<|message|>{\"query\": \"", F.regexp_extract("text", r"[A-Za-z]+", 0), "\", oops}"),
         _lit("to=nowhere ", t),
     )
-    rows = _docs(spark, sf).select("doc_id", wire.channel_call(text).alias("c"))
+    rows = _docs(spark, sf).select("doc_id", text.alias("raw")).select("doc_id", wire.channel_call(F.col("raw")).alias("c"))
     got = lambda f: F.get_json_object("c.args_json", f"$.{f}").alias(f)
     return rows.select("doc_id", "c.namespace", "c.tool", got("code"), got("query"), got("id"))
 
@@ -273,7 +273,8 @@ def i13_server_calls(spark, sf):
     json = F.to_json(F.struct(c.alias("q")))
     full = _lit("I look. ", call("wrong", "google_search", json), call("tool-python", "python", second))
     text = F.when(F.col("pos") % 4 != 3, full).otherwise(c)
-    rows = turns(spark, sf).select("traj", "pos", F.posexplode(wire.server_calls(text)).alias("n", "call"))
+    raw = turns(spark, sf).select("traj", "pos", text.alias("raw"))
+    rows = raw.select("traj", "pos", F.posexplode_outer(wire.server_calls(F.col("raw"))).alias("n", "call")).where("n IS NOT NULL")
     return rows.select(
         "traj", "pos", (F.col("n") + 1).alias("call_no"), "call.server", "call.tool", wire.arg_text(F.col("call.args"), "q").alias("q"),
         wire.args_json(F.col("call.args")).alias("args"),
@@ -443,7 +444,7 @@ def i23_judge_replies(spark, sf):
         F.col("doc_id"), reply(F.lit(True)), _lit("Sure:\n```json\n", reply(F.lit("yes")), "\n```\nbye"), _lit("```\n", reply(F.lit(0)), "```"),
         reply(F.lit(False)), _lit('{"correct": TRUE, ', F.col("text")), F.col("text"),
     )
-    return _docs(spark, sf).select("doc_id", verdicts.judge_reply(raw).alias("v")).select("doc_id", "v.*")
+    return _docs(spark, sf).select("doc_id", raw.alias("raw")).select("doc_id", verdicts.judge_reply(F.col("raw")).alias("v")).select("doc_id", "v.*")
 
 
 @query(
@@ -458,7 +459,7 @@ def i24_grader_replies(spark, sf):
         F.col("doc_id"), form("**extracted_final_answer:**", "**reasoning:**", "**correct:**"), form("**Extracted_final_answer**:", "**reasoning**:", "**correct**:"),
         form("extracted_final_answer:", "reasoning:", "correct:"), F.col("text"),
     )
-    return _docs(spark, sf).select("doc_id", verdicts.grader_reply(raw).alias("v")).select("doc_id", "v.*")
+    return _docs(spark, sf).select("doc_id", raw.alias("raw")).select("doc_id", verdicts.grader_reply(F.col("raw")).alias("v")).select("doc_id", "v.*")
 
 
 @query(

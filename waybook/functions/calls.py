@@ -153,7 +153,7 @@ def tagged_or_json_call(c: Column) -> Column:
     def by_json(body: Column) -> Column:
         def of(v: Column) -> Column:
             name = F.coalesce(F.try_variant_get(v, "$.name", "string"), F.lit(""))
-            args = F.to_json(F.try_variant_get(v, "$.arguments", "variant"))
+            args = F.get_json_object(body, "$.arguments")
             return F.when(is_object(v), routed(name, F.coalesce(object_args(args), no_args())))
 
         return let(parsed(body), of)

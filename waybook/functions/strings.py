@@ -92,20 +92,26 @@ def json_text(c: Column) -> Column:
     return let(F.to_json(F.array(c)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
 
 
+def _as_item(c: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+
+
+def _as_value(c: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+
+
 def is_json(c: Column) -> Column:
     """Whether the whole text is one JSON value.
 
     ``try_parse_json`` ignores whatever follows the first value. Only a single
     value parses both as the sole array item and as the value of an object.
     """
-    as_item = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    as_value = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.coalesce(as_item.isNotNull() & as_value.isNotNull(), F.lit(False))
+    return F.coalesce(_as_item(c).isNotNull() & _as_value(c).isNotNull(), F.lit(False))
 
 
 def parsed(c: Column) -> Column:
     """The text as VARIANT, null unless all of it is JSON."""
-    return F.when(is_json(c), F.try_parse_json(c))
+    return F.when(_as_value(c).isNotNull(), F.try_variant_get(_as_item(c), "$[0]", "variant"))
 
 
 def is_object(v: Column) -> Column:

@@ -53,22 +53,27 @@ def grader_reply(c: Column) -> Column:
     Each label may be bold with the colon inside, bold with it outside, or plain.
     """
 
-    def first(t: Column, patterns: list[str]) -> Column:
-        return F.coalesce(*[F.when(F.regexp_like(t, F.lit(p)), F.regexp_extract(t, p, 1)) for p in patterns])
+    def heads(label: str) -> list[str]:
+        return [rf"\*\*{label}:\*\*", rf"\*\*{label}\*\*:", f"{label}:"]
 
-    def spellings(label: str, rest: str) -> list[str]:
-        return [rf"{head}{rest}" for head in (rf"(?isU)\*\*{label}:\*\*", rf"(?isU)\*\*{label}\*\*:", rf"(?isU){label}:")]
+    def first(t: Column, label: str, rests: list[str]) -> Column:
+        # The label makes every match non-empty, so one search tells "no match" from "empty value".
+        def value(head: str, rest: str) -> Column:
+            bare = lambda m: F.when(m != "", F.regexp_replace(m, rf"(?isU)\A{head}\s*", ""))
+            return let(F.regexp_extract(t, rf"(?isU){head}\s*{rest}", 0), bare)
 
-    line = r"\s*(.*?)(?=\n|\z)"
-    any_verdict = r"\s*(.*?)(?=\n\*\*correct:\*\*|\n\*\*correct\*\*:|\ncorrect:|\z)"
-    plain_verdict = r"\s*(.*?)(?=\ncorrect:|\z)"
-    reasons = spellings("reasoning", any_verdict)[:2] + spellings("reasoning", plain_verdict)[2:]
+        found = [value(head, rest) for head, rest in zip(heads(label), rests)]
+        return F.coalesce(*found)
+
+    line = [r".*?(?=\n|\z)"] * 3
+    reason = [r".*?(?=\n\*\*correct:\*\*|\n\*\*correct\*\*:|\ncorrect:|\z)"] * 2 + [r".*?(?=\ncorrect:|\z)"]
+    yes_no = ["(?:yes|no)"] * 3
 
     def parts(t: Column) -> Column:
-        correct = F.lower(first(t, spellings("correct", r"\s*(yes|no)"))) == "yes"
+        correct = F.lower(first(t, "correct", yes_no)) == "yes"
         return F.struct(
-            strip(first(t, spellings("extracted_final_answer", line))).alias("extracted_final_answer"),
-            strip(first(t, reasons)).alias("reasoning"),
+            strip(first(t, "extracted_final_answer", line)).alias("extracted_final_answer"),
+            strip(first(t, "reasoning", reason)).alias("reasoning"),
             correct.alias("correct"),
             correct.isNull().alias("parse_error"),
         )

@@ -84,14 +84,13 @@ def worker_lives(events: DataFrame, timeout_s: int = K.HEARTBEAT_TIMEOUT_S, late
     ``events`` is ``worker_id, ts, kind``. A span counts from its first
     registration on (``registered``, null when there is none: all its
     heartbeats are rejected) and the worker is offline from ``offline_at``.
-    The session gap is one microsecond over the timeout because a silence of
-    exactly the timeout is still alive. On a stream (``late`` sets the
-    watermark) spans appear once the watermark has passed their end.
+    A silence of exactly the timeout is still alive: session windows merge
+    when they touch. On a stream (``late`` sets the watermark) spans appear
+    once the watermark has passed their end.
     """
     if late:
         events = events.withWatermark("ts", late)
-    gap = f"{timeout_s} seconds 1 microseconds"
-    spans = events.groupBy("worker_id", F.session_window("ts", gap).alias("w")).agg(
+    spans = events.groupBy("worker_id", F.session_window("ts", f"{timeout_s} seconds").alias("w")).agg(
         F.min(F.when(F.col("kind") == "register", F.col("ts"))).alias("registered"),
         F.max("ts").alias("last_seen"),
         F.count(F.lit(1)).alias("events"),
