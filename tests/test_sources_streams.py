@@ -172,11 +172,22 @@ def test_liveness(spark):
 
 
 def test_worker_lives(spark):
-    got = streams.worker_lives(beats(spark, ROWS), 120).orderBy("worker_id", "first_seen").collect()
+    got = report.worker_lives(beats(spark, ROWS), "seq", 120).orderBy("worker_id", "first_seen").collect()
     spans = [(r["worker_id"], r["registered"] is not None, r["events"], r["offline_at"] and (r["offline_at"] - START).total_seconds()) for r in got]
     assert spans == [(1, True, 2, 240.0), (1, True, 3, 380.0), (2, True, 3, 140.0), (3, False, 1, None)]
 
 
+def test_worker_lives_of_a_stream(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    rows = beats(spark, [*ROWS, (9, 9999, "heartbeat")]).coalesce(1)
+    rows.select("worker_id", "ts", "kind").write.parquet(src)
+    lives = streams.worker_lives(streams.growing_log(spark, src, "worker_id long, ts timestamp, kind string", fmt="parquet"), 120)
+    streams.append_to(lives, out, state).awaitTermination()
+    want = report.worker_lives(rows, "seq", 120).where("worker_id < 9")
+    columns = ["worker_id", "first_seen", "registered", "last_seen", "events", "offline_at"]
+    assert set(spark.read.parquet(out).select(columns).collect()) == set(want.select(columns).collect())
+
+
 def test_upsert_restarts_and_last_record_wins(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     schema = "qid string, at long, v string"

@@ -259,7 +259,7 @@ def e17_rounds(spark, sf):
 )
 def e18_searched_urls(spark, sf):
     pages = table(spark, sf, "pages").select(F.lower(F.regexp_extract("url", r"example[.]([a-z]+)", 1)).alias("qid"), "url")
-    return pages.where(F.coalesce("url", F.lit("")) != "").distinct()
+    return report.searched_urls(pages)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waybook.catalog.aggregates import _RUNS_SQL, _runs
 from waybook.catalog.registry import query
 from waybook.catalog.tables import CALLS_SQL, calls, r6
 from waybook.operators import report
@@ -40,6 +41,20 @@ def k1_progress_stream(spark, sf):
     return streams.latest_snapshot(spark, out).withColumn("seconds", r6("seconds"))
 
 
+@query(
+    "k1_question_stream",
+    f"""WITH {_RUNS_SQL} SELECT count(*) AS n, count(DISTINCT qid) AS questions, max(traj_idx) + 1 AS attempts, count(*) FILTER (boxed_answer <> '') AS boxed,
+      count(*) FILTER (status = 'error') AS errors, round(avg(latency_s) FILTER (latency_s > 0), 6) AS avg_s,
+      round((5000000 - count(*)) * avg(latency_s) FILTER (latency_s > 0) / 32 / 60, 6) AS eta_min FROM runs""",
+)
+def k1_question_stream(spark, sf):
+    path, out, state = (scratch.folder(spark, x) for x in ("runs", "questions", "state"))
+    _runs(spark, sf).repartition(3).write.json(path)
+    log = streams.growing_log(spark, path, "qid string, traj_idx bigint, status string, boxed_answer string, latency_s double", 1)
+    streams.snapshots(streams.question_progress(log), out, state).awaitTermination()
+    return streams.overall_progress(streams.latest_snapshot(spark, out), 5_000_000).withColumns({c: r6(c) for c in ("avg_s", "eta_min")})
+
+
 @query(
     "k2_liveness",
     f"""WITH {_SPANS}, f AS (SELECT *, min(seq) FILTER (reg) OVER (PARTITION BY w, span) AS r, lead(us) OVER (PARTITION BY w ORDER BY seq) AS nxt FROM s)
@@ -67,7 +82,7 @@ def _micros(lives):
 
 @query("k2_worker_lives", _LIVES)
 def k2_worker_lives(spark, sf):
-    return _micros(streams.worker_lives(_worker_events(spark, sf), _TIMEOUT))
+    return _micros(report.worker_lives(_worker_events(spark, sf), "seq", _TIMEOUT))
 
 
 @query("k2_worker_lives_stream", f"SELECT * FROM ({_LIVES}) WHERE last_us + {_TIMEOUT} * 1000000::BIGINT < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 60000000")
@@ -75,7 +90,7 @@ def k2_worker_lives_stream(spark, sf):
     path, out, state = (scratch.folder(spark, x) for x in ("beats", "lives", "state"))
     _worker_events(spark, sf).select("worker_id", "ts", "kind").write.parquet(path)
     beats = streams.growing_log(spark, path, "worker_id bigint, ts timestamp, kind string", fmt="parquet")
-    lives = streams.worker_lives(beats, _TIMEOUT, late="60 seconds")
+    lives = streams.worker_lives(beats, _TIMEOUT, "60 seconds")
     streams.append_to(lives, out, state).awaitTermination()
     return _micros(spark.read.schema(lives.schema).parquet(out))
 
@@ -99,7 +114,7 @@ def k3_status_changes(spark, sf):
 def k4_failed_nodes(spark, sf):
     events = _worker_events(spark, sf)
     end = events.agg(F.max("ts")).scalar()
-    latest = streams.worker_lives(events, _TIMEOUT).groupBy("worker_id").agg(F.max_by("offline_at", "last_seen").alias("offline_at"))
+    latest = report.worker_lives(events, "seq", _TIMEOUT).groupBy("worker_id").agg(F.max_by("offline_at", "last_seen").alias("offline_at"))
     offline = F.col("offline_at").isNull() | (F.col("offline_at") < end)
     return report.failed_nodes(latest.select(F.concat(F.lit("n"), (F.col("worker_id") % 40).cast("string")).alias("node_id"), "worker_id", offline.alias("offline")))
 

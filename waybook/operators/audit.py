@@ -84,7 +84,8 @@ def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker
     sized = texts.select(key, text, lengths.alias("_lengths"))
     candidates = lookup(sized.select(key, F.explode_outer(hashes).alias("_hash")), anchors, ["_hash"], [key], "inner")
     pairs = candidates.select(key, marker_key).distinct()
-    checked = pairs.join(markers.select(marker_key, F.col(marker).alias("_marker")), marker_key)
+    named = markers.select(marker_key, F.col(marker).alias("_marker"))
+    checked = lookup(pairs, named, [marker_key], [key], "inner")
     return (
         checked.join(texts.select(key, text), key).where(F.contains(t, F.col("_marker"))).select(key, marker_key)
     )

@@ -125,7 +125,7 @@ def index_percentiles(
 
 
 def lookup(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = 16
+    rows: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = 8
 ) -> DataFrame:
     """Join rows whose key may be hot to a table with one row per key.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybook import constants as K
+from waybook.functions.strings import strip
 from waybook.operators.ordered import index_percentiles, last_per_key, running
 
 PARALLEL_RUNS = 32
@@ -72,8 +73,6 @@ def grader_summary(results: DataFrame, correct: str = "correct") -> DataFrame:
 
 def any_reference(questions: DataFrame, reference: str = "reference_answer") -> DataFrame:
     """Whether any question has a non-blank reference; without one, judging is skipped."""
-    from waybook.functions.strings import strip
-
     return questions.agg(F.coalesce(F.bool_or(strip(F.coalesce(F.col(reference), F.lit(""))) != ""), F.lit(False)).alias("has_references"))
 
 
@@ -232,6 +231,39 @@ def liveness(events: DataFrame, order: str, timeout_s: float = K.HEARTBEAT_TIMEO
     )
 
 
+def worker_lives(events: DataFrame, order: str, timeout_s: float = K.HEARTBEAT_TIMEOUT_S) -> DataFrame:
+    """Spans without a silence longer than the timeout, per worker, as a table.
+
+    A span counts from its first registration on (``registered``, null when
+    there is none: all its heartbeats are rejected) and the worker is offline
+    from ``offline_at``. Gaps are found and numbered by segments, then each
+    span is a partial aggregate, so a worker with most of the events is not
+    one task's work.
+    """
+    timed = events.withColumn("_us", F.unix_micros("ts"))
+    seen = running(timed, ["worker_id"], order, lasts={"_prev": F.col("_us")})
+    gap = F.coalesce(F.col("_us") - F.col("_prev") > timeout_s * 1_000_000, F.lit(False)).cast("int")
+    numbered = running(seen.withColumn("_gap", gap), ["worker_id"], order, sums={"_before": F.col("_gap")})
+    spans = numbered.groupBy("worker_id", (F.col("_before") + F.col("_gap")).alias("span")).agg(
+        F.min("ts").alias("first_seen"),
+        F.min(F.when(F.col("kind") == "register", F.col("ts"))).alias("registered"),
+        F.max("ts").alias("last_seen"),
+        F.count(F.lit(1)).alias("events"),
+    )
+    return spans.drop("span").withColumn("offline_at", offline_at(timeout_s))
+
+
+def offline_at(timeout_s: float) -> Column:
+    """When a span's worker went offline; never, when it was not registered."""
+    end = F.timestamp_micros(F.unix_micros("last_seen") + int(timeout_s * 1_000_000))
+    return F.when(F.col("registered").isNotNull(), end)
+
+
+def searched_urls(records: DataFrame, qid: str = "qid", url: str = "url") -> DataFrame:
+    """The distinct non-blank URLs of each question, one row each."""
+    return records.where(F.coalesce(url, F.lit("")) != "").select(qid, url).distinct()
+
+
 def status_changes(events: DataFrame, keys: Sequence[str], order: str, status: str = "status") -> DataFrame:
     """Rows whose status differs from the worker's previous one; events without a status do not count."""
     said = events.where(F.col(status).isNotNull())

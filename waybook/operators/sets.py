@@ -18,22 +18,21 @@ def mix(datasets: Mapping[str, DataFrame]) -> DataFrame:
 def merge_searches(searches: DataFrame, request: str, order: str, strict: bool = False, max_queries: int = 1000) -> DataFrame:
     """Results of the queries of one request in query order, titles joined.
 
-    ``searches`` is ``request, order, query, results``. A request is one tool
-    call; more than ``max_queries`` queries in it are an error, so that no
-    group is collected without a bound. ``strict`` also makes a request
-    without any result an error.
+    ``searches`` is ``request, order, query, results``; ``order`` numbers the
+    queries of one request, which is one tool call. A number beyond
+    ``max_queries`` fails the job before anything is grouped, so every
+    collected group is bounded. ``strict`` also makes a request without any
+    result an error.
     """
-    each = searches.withColumn(
-        "_r", F.transform(F.coalesce("results", F.array()), lambda r: F.struct(F.col(order).alias(order), r["rank"].alias("rank"), r["url"].alias("url")))
-    )
-    sizes = F.count(F.lit(1))
-    merged = each.groupBy(request).agg(
-        sizes.alias("_n"), F.array_sort(F.collect_list(F.struct(order, "query", "_r"))).alias("_q")
+    in_bounds = F.col(order).between(0, max_queries)
+    checked = searches.where(
+        F.when(~in_bounds, F.raise_error(F.lit("query number out of bounds")).cast("boolean")).otherwise(True)
     )
-    bounded = merged.where(
-        F.when(F.col("_n") > max_queries, F.raise_error(F.lit("too many queries in one request")).cast("boolean")).otherwise(True)
+    each = checked.withColumn(
+        "_r", F.transform(F.coalesce("results", F.array()), lambda r: F.struct(F.col(order).alias(order), r["rank"].alias("rank"), r["url"].alias("url")))
     )
-    out = bounded.select(
+    merged = each.groupBy(request).agg(F.array_sort(F.collect_list(F.struct(order, "query", "_r"))).alias("_q"))
+    out = merged.select(
         request,
         F.array_join(F.transform("_q", lambda q: q["query"]), " | ").alias("title"),
         F.flatten(F.transform("_q", lambda q: q["_r"])).alias("results"),

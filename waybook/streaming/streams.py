@@ -17,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from waybook import constants as K
 from waybook.operators.ordered import last_per_key
+from waybook.operators.report import PARALLEL_RUNS, offline_at
 
 
 def growing_log(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None, fmt: str = "json") -> DataFrame:
@@ -41,6 +42,28 @@ def tool_progress(log: DataFrame) -> DataFrame:
     )
 
 
+def question_progress(log: DataFrame) -> DataFrame:
+    """Attempts, boxed answers, errors and positive latency per question; the same on a table and on a stream."""
+    timed = F.when(F.col("latency_s") > 0, F.col("latency_s"))
+    return log.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.coalesce("traj_idx", F.lit(0))).alias("last_attempt"),
+        F.count_if(F.coalesce("boxed_answer", F.lit("")) != "").alias("boxed"), F.count_if(F.col("status") == "error").alias("errors"),
+        F.count(timed).alias("timed"), F.coalesce(F.sum(timed), F.lit(0.0)).alias("seconds"),
+    )
+
+
+def overall_progress(questions: DataFrame, target: int) -> DataFrame:
+    """One progress row out of the questions' current state."""
+    one = questions.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("questions"),
+        (F.coalesce(F.max("last_attempt"), F.lit(-1)) + 1).alias("attempts"), F.coalesce(F.sum("boxed"), F.lit(0)).alias("boxed"),
+        F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
+        F.coalesce(F.try_divide(F.sum("seconds"), F.sum("timed").cast("double")), F.lit(0.0)).alias("avg_s"),
+    )
+    left = F.lit(target) - F.col("n")
+    return one.withColumn("eta_min", F.when((F.col("n") > 0) & (F.col("avg_s") > 0), left * F.col("avg_s") / PARALLEL_RUNS / 60))
+
+
 def snapshots(aggregate: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keep the full result of a streaming aggregate, one snapshot per batch."""
 
@@ -78,27 +101,23 @@ def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], or
     current(spark, path, keys, order).write.mode("overwrite").parquet(f"{target}/epoch=-1")
 
 
-def worker_lives(events: DataFrame, timeout_s: int = K.HEARTBEAT_TIMEOUT_S, late: str | None = None) -> DataFrame:
-    """Spans without a silence longer than the timeout, per worker.
+def worker_lives(events: DataFrame, timeout_s: int = K.HEARTBEAT_TIMEOUT_S, late: str = "1 minute") -> DataFrame:
+    """Spans without a silence longer than the timeout, per worker, on a stream.
 
-    ``events`` is ``worker_id, ts, kind``. A span counts from its first
-    registration on (``registered``, null when there is none: all its
-    heartbeats are rejected) and the worker is offline from ``offline_at``.
-    A silence of exactly the timeout is still alive: session windows merge
-    when they touch. On a stream (``late`` sets the watermark) spans appear
-    once the watermark has passed their end.
+    The columns are those of the table version in ``operators.report``. A
+    silence of exactly the timeout is still alive: session windows merge when
+    they touch. Spans appear once the watermark has passed their end;
+    sessions are merged before the shuffle, so a chatty worker sends few rows.
     """
-    if late:
-        events = events.withWatermark("ts", late)
-    spans = events.groupBy("worker_id", F.session_window("ts", f"{timeout_s} seconds").alias("w")).agg(
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    spans = events.withWatermark("ts", late).groupBy("worker_id", F.session_window("ts", f"{timeout_s} seconds").alias("w")).agg(
         F.min(F.when(F.col("kind") == "register", F.col("ts"))).alias("registered"),
         F.max("ts").alias("last_seen"),
         F.count(F.lit(1)).alias("events"),
     )
-    offline = F.timestamp_micros(F.unix_micros("last_seen") + timeout_s * 1_000_000)
     return spans.select(
         "worker_id", F.col("w.start").alias("first_seen"), "registered", "last_seen", "events",
-        F.when(F.col("registered").isNotNull(), offline).alias("offline_at"),
+        offline_at(timeout_s).alias("offline_at"),
     )
 
 
