@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from waybook.functions import pages, payloads
+from waybook.functions import formats, pages, payloads
 from waybook.operators import report, score, select, sets
 from waybook.sources import scratch, tables
 from waybook.streaming import streams
@@ -117,6 +117,35 @@ def test_articles(one):
     assert [tuple(a) for a in got] == [("12", "A b <c", "X & Y: p q ", "F Lé", "J & K", ""), ("13", "", "", "", "", "")]
 
 
+def test_display_texts(one):
+    data = {"data": [{"title": "T", "year": 2020, "authors": [], "externalIds": {"DOI": "d"}, "url": "u"}, {}]}
+    shown = one(lambda c: payloads.papers_text(F.lit("q"), payloads.papers(c)), json.dumps(data), '{"data": []}')
+    assert shown == [
+        'Paper search: "q"\n\n[1] T\n    Year: 2020 | Citations: 0\n    DOI: d\n    URL: u\n\n[2] Untitled\n    Citations: 0\n', "No papers found for: q",
+    ]
+    snippet = {"data": [{"title": "S", "snippet": "text", "paperId": "7", "authors": ["A", {"name": "B"}], "year": 1999}]}
+    assert one(lambda c: payloads.snippets_text(F.lit("q"), payloads.snippets(c)), json.dumps(snippet)) == [
+        'Paper snippet search: "q"\n\n[1] S\n    A, B | 1999\n    URL: https://www.semanticscholar.org/paper/7\n    Snippet: text\n'
+    ]
+    xml = "<PubmedArticle><PMID>5</PMID><Article><ArticleTitle>T</ArticleTitle></Article></PubmedArticle>"
+    assert one(lambda c: payloads.articles_text(F.lit("q"), F.transform(payloads.articles(c), payloads.article)), xml) == [
+        'PubMed search: "q"\n\n[1] T\n    URL: https://pubmed.ncbi.nlm.nih.gov/5/\n'
+    ]
+
+
+def test_registered_formats_and_verdicts(spark, one):
+    formats.register_format("upper", formats.Format(*[getattr(formats.get_format("tagged"), f) for f in ("parse_call",)], lambda c: F.struct(F.lit("").alias("reasoning"), F.upper(c).alias("answer")), None, None))
+    assert one(lambda c: formats.get_format("upper").split(c)["answer"], "a") == ["A"]
+    with pytest.raises(KeyError):
+        formats.get_format("none")
+    formats.register_verdict("never", lambda c: F.struct(F.lit(False).alias("correct"), c["answer"].alias("explanation")))
+    assert [tuple(r) for r in one(lambda c: formats.get_verdict("never")({"answer": c}), "x")] == [(False, "x")]
+    render = formats.get_format("channel").render_round
+    assert one(lambda c: render(F.lit("o"), F.lit("browser"), F.lit("open"), c), 'é "q"😀') == [
+        'o<|call|><|start|>browser.open to=assistant<|channel|>commentary<|message|>"\\u00e9 \\"q\\"\\ud83d\\ude00"<|end|><|start|>assistant'
+    ]
+
+
 def test_pages(one):
     html = "<html><script>if (a<b) '</p>'</script><STYLE>x</STYLE><p>a&amp;b</p>\n\n<b>c</b> d</html>"
     assert one(pages.html_text, html, "") == ["a&amp;b c d", ""]

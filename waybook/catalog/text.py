@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waybook import constants as K
 from waybook.catalog.registry import query
 from waybook.catalog.tables import calls, table, turns
-from waybook.functions import answers, payloads, pages, strings, verdicts
+from waybook.functions import answers, formats, pages, payloads, strings, verdicts
 from waybook.functions import calls as wire
 
 _T = "trim(text, E' \\n\\t')"
@@ -378,6 +378,11 @@ def i19_search_display(spark, sf):
       CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS abstract FROM documents""",
 )
 def i20_papers(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", payloads.papers(_paper_payload()).alias("p"))
+    return rows.select("doc_id", F.inline("p")).drop("doi", "url")
+
+
+def _paper_payload():
     n = F.col("doc_id").cast("string")
     ids = _pick(
         F.col("doc_id"), F.create_map(F.lit("ArXiv"), F.lit("no")), F.create_map(F.lit("ArXiv"), n, F.lit("ACL"), n),
@@ -388,8 +393,7 @@ def i20_papers(spark, sf):
         F.array(*[F.struct(F.lit(a).alias("name")) for a in "abcde"]).alias("authors"), F.col("text").alias("abstract"), ids.alias("externalIds"),
         F.when(F.col("doc_id") % 4 == 0, F.struct(_lit("http://oa/", n).alias("url"))).alias("openAccessPdf"),
     )
-    rows = _docs(spark, sf).select("doc_id", F.to_json(F.struct(F.array(paper).alias("data"))).alias("j"))
-    return rows.select("doc_id", F.inline(payloads.papers(F.col("j")))).drop("doi", "url")
+    return F.to_json(F.struct(F.array(paper).alias("data")))
 
 
 @query(
@@ -406,6 +410,17 @@ def i20_snippets(spark, sf):
     return rows.select("doc_id", F.inline(payloads.snippets(F.col("j")))).drop("year", "paper_id")
 
 
+@query(
+    "i20_papers_text",
+    f"""SELECT doc_id, 'Paper search: "' || source || '"' || {_NL} || {_NL} || '[1] P ' || lang || {_NL} || '    Authors: a, b, c, d et al.' || {_NL} || '    Year: 2020 | Venue: ' || source || ' | Citations: ' || doc_id || {_NL}
+      || CASE doc_id % 4 WHEN 0 THEN '    PDF: http://oa/' || doc_id || {_NL} WHEN 1 THEN '    PDF: https://arxiv.org/pdf/' || doc_id || {_NL} WHEN 2 THEN '    PDF: https://www.aclweb.org/anthology/' || doc_id || '.pdf' || {_NL} ELSE '' END
+      || '    Abstract: ' || CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END || {_NL} AS shown FROM documents""",
+)
+def i20_papers_text(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", "source", payloads.papers(_paper_payload()).alias("p"))
+    return rows.select("doc_id", payloads.papers_text(F.col("source"), F.col("p")).alias("shown"))
+
+
 @query(
     "i21_articles",
     """SELECT doc_id, doc_id::VARCHAR AS pmid, 'On ' || lang || ' words' AS title, left('AIM: ' || t || ' ' || t, 600) || CASE WHEN length('AIM: ' || t || ' ' || t) > 600 THEN '...' ELSE '' END AS abstract,
@@ -479,6 +494,31 @@ def i25_offline_verdicts(spark, sf):
     return rows.select("doc_id", verdicts.offline(status, ref, boxed, F.col("text")).alias("v")).select("doc_id", "v.*")
 
 
+@query(
+    "l1_formats",
+    f"""SELECT conv_id AS traj, turn AS pos, CASE turn % 3 WHEN 2 THEN NULL ELSE 'browser' END AS namespace, CASE turn % 3 WHEN 2 THEN NULL ELSE 'search' END AS tool,
+      CASE turn % 3 WHEN 2 THEN NULL ELSE {_T} END AS query, CASE turn % 3 WHEN 2 THEN {_T} ELSE '' END AS answer FROM conversations""",
+)
+def l1_formats(spark, sf):
+    """Each turn through the format it is written in, picked by name."""
+    t = strings.strip(F.col("content"))
+    body = F.to_json(F.struct(F.lit("web_search").alias("name"), F.struct(t.alias("query")).alias("arguments")))
+    query_json = F.to_json(F.struct(t.alias("query")))
+    raw = _pick(
+        F.col("pos"), _lit("why</think><tool_call>", body, "</tool_call>"), _lit("to=browser.search<|message|>", query_json, "<|call|>"),
+        _lit("why</think>", F.col("content")),
+    )
+    rows = turns(spark, sf).select("traj", "pos", raw.alias("raw"), F.when(F.col("pos") % 3 == 1, "channel").otherwise("tagged").alias("format"))
+    parts = []
+    for name in ("tagged", "channel"):
+        fmt = formats.get_format(name)
+        mine = rows.where(F.col("format") == name)
+        parts.append(mine.select("traj", "pos", fmt.parse_call(F.col("raw")).alias("call"), fmt.split(F.col("raw"))["answer"].alias("answer")))
+    both = parts[0].unionByName(parts[1])
+    plain = F.when(F.col("call").isNull(), F.col("answer")).otherwise("")
+    return both.select("traj", "pos", "call.namespace", "call.tool", F.get_json_object("call.args_json", "$.query").alias("query"), plain.alias("answer"))
+
+
 @query("i26_judge_prompts", f"SELECT doc_id, 'Q: ' || source || {_NL} || 'R: {{answer}}' || {_NL} || 'A: ' || text || '!' AS prompt FROM documents")
 def i26_judge_prompts(spark, sf):
     prompt = strings.fill("Q: {question}\nR: {reference}\nA: {answer}!", question=F.col("source"), reference=F.lit("{answer}"), answer=F.col("text"))

@@ -62,6 +62,15 @@ def f5_prompt_sizes(spark, sf):
     return context.prompt_sizes(turns(spark, sf), ["traj"], "pos", rendered).select("traj", "pos", "prompt_chars")
 
 
+@query(
+    "f5_prompt_parts",
+    "SELECT conv_id AS traj, turn // 4 AS part, string_agg('<' || role || '>' || text, '' ORDER BY turn) AS prompt FROM conversations WHERE turn <= 5 GROUP BY 1, 2",
+)
+def f5_prompt_parts(spark, sf):
+    rendered = F.concat(F.lit("<"), F.col("role"), F.lit(">"), F.col("content"))
+    return context.prompt_parts(turns(spark, sf), ["traj"], "pos", rendered, F.lit(5), part=4)
+
+
 @query(
     "f5_channel_rounds",
     r"""SELECT conv_id AS traj, turn AS pos, 'out<|call|><|start|>' || CASE WHEN turn % 2 = 0 THEN 'browser.search' ELSE 'python' END

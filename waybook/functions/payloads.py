@@ -348,6 +348,76 @@ def snippets(raw: Column) -> Column:
     return F.transform(data, row)
 
 
+def _listing(head: Column, rows: Column, lines) -> Column:
+    """Head, blank line, then each row's lines and a blank line."""
+    body = F.flatten(F.transform(rows, lambda r: F.concat(lines(r), F.array(F.lit("")))))
+    return F.array_join(F.concat(F.array(head, F.lit("")), body), "\n")
+
+
+def _titled(n: Column, title: Column) -> Column:
+    return F.array(F.concat(F.lit("["), n.cast("string"), F.lit("] "), title))
+
+
+def _field(label: str, value: Column) -> Column:
+    return _line(value != "", F.concat(F.lit(f"    {label}: "), value))
+
+
+def _meta(*parts: Column) -> Column:
+    """The non-empty parts between bars."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " | ")
+
+
+def _labelled(label: str, value: Column) -> Column:
+    return F.when(value != "", F.concat(F.lit(f"{label}: "), value)).otherwise("")
+
+
+def papers_text(query: Column, rows: Column) -> Column:
+    """Rows of a paper search as display text."""
+
+    def lines(p: Column) -> Column:
+        meta = _meta(_labelled("Year", p["year"]), _labelled("Venue", p["venue"]), F.concat(F.lit("Citations: "), p["citations"]))
+        return F.concat(
+            _titled(p["rank"], p["title"]), _field("Authors", p["authors"]), F.array(F.concat(F.lit("    "), meta)),
+            _field("DOI", p["doi"]), _field("PDF", p["pdf"]), _field("URL", p["url"]), _field("Abstract", p["abstract"]),
+        )
+
+    head = F.concat(F.lit('Paper search: "'), query, F.lit('"'))
+    return F.when(F.size(rows) > 0, _listing(head, rows, lines)).otherwise(F.concat(F.lit("No papers found for: "), query))
+
+
+def snippets_text(query: Column, rows: Column) -> Column:
+    """Rows of a snippet search as display text."""
+
+    def lines(s: Column) -> Column:
+        meta = _meta(s["authors"], s["year"], s["venue"])
+        # fixed value: page address of a paper id
+        url = F.when(s["paper_id"] != "", F.concat(F.lit("https://www.semanticscholar.org/paper/"), s["paper_id"])).otherwise("")
+        return F.concat(
+            _titled(s["rank"], s["title"]), _line(meta != "", F.concat(F.lit("    "), meta)),
+            _field("URL", url), _field("Section", s["section"]), _field("Snippet", s["snippet"]),
+        )
+
+    head = F.concat(F.lit('Paper snippet search: "'), query, F.lit('"'))
+    return F.when(F.size(rows) > 0, _listing(head, rows, lines)).otherwise(F.concat(F.lit("No paper snippets found for: "), query))
+
+
+def articles_text(query: Column, rows: Column) -> Column:
+    """Article structs as display text."""
+    ranked = F.transform(rows, lambda a, i: F.struct((i + 1).alias("rank"), a.alias("a")))
+
+    def lines(r: Column) -> Column:
+        a = r["a"]
+        meta = _meta(_labelled("Year", a["year"]), a["journal"])
+        # fixed value: page address of an article id
+        url = F.when(a["pmid"] != "", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), a["pmid"], F.lit("/"))).otherwise("")
+        return F.concat(
+            _titled(r["rank"], a["title"]), _field("Authors", a["authors"]), _line(meta != "", F.concat(F.lit("    "), meta)),
+            _field("URL", url), _field("Abstract", a["abstract"]),
+        )
+
+    return _listing(F.concat(F.lit('PubMed search: "'), query, F.lit('"')), ranked, lines)
+
+
 # ---- PubMed --------------------------------------------------------------------
 
 
