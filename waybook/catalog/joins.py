@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waybook.catalog.aggregates import _ROUNDS_SQL, _samples
 from waybook.catalog.registry import query
-from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, QID, attempts, calls, r6, table, turns, verdicts
+from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, QID, attempts, calls, r6, table, texts, turns, verdicts
 from waybook.operators import audit, context, plan, report, score, select
 from waybook.operators.conversation import used_tools
 
@@ -138,7 +138,7 @@ def d9_resolved_links(spark, sf):
     "SELECT doc_id, EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text)) AS contaminated FROM documents d",
 )
 def d10_contaminated(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     return audit.contaminated_by(docs, "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text").drop("text")
 
 
@@ -151,7 +151,7 @@ def d10_contaminated_short_markers(spark, sf):
     words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     marker = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, words).otherwise(F.substring("text", 3, 9))
     markers = table(spark, sf, "benchmark").select("item_id", marker.alias("marker"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     return audit.containing(docs, "doc_id", "text", markers, "item_id", "marker")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waybook.catalog.registry import query
-from waybook.catalog.tables import QID, calls, table, turns
+from waybook.catalog.tables import QID, calls, table, texts, turns
 from waybook.functions.pages import find
 from waybook.functions.payloads import first_names
 from waybook.operators import plan, score, select
@@ -28,7 +28,7 @@ def g1_most_common(spark, sf):
     SELECT doc_id, count(*)::INT AS total, string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (r <= 20) AS shown, greatest(count(*) - 20, 0)::INT AS more FROM m GROUP BY 1""",
 )
 def g2_first_matches(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", find(F.col("text"), F.lit("ON")).alias("f")).where("f.total > 0")
+    rows = texts(spark, sf, "documents").select("doc_id", find(F.col("text"), F.lit("ON")).alias("f")).where("f.total > 0")
     numbers = F.array_join(F.transform("f.shown", lambda e: e["line_no"].cast("string")), ",")
     return rows.select("doc_id", "f.total", numbers.alias("shown"), "f.more")
 

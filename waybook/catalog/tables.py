@@ -10,11 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waybook.sources.tables import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores by its id."""
+    key = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}[name]
+    return spread(table(spark, sf, name), key)
+
+
 QID = "concat(source, ':', lang)"
 
 

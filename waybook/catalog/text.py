@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waybook import constants as K
 from waybook.catalog.registry import query
-from waybook.catalog.tables import calls, table, turns
+from waybook.catalog.tables import calls, table, texts, turns
 from waybook.functions import answers, formats, pages, payloads, strings, verdicts
 from waybook.functions import calls as wire
 
@@ -18,7 +18,7 @@ _NL = "chr(10)"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 def _assistant(spark, sf):
@@ -332,7 +332,7 @@ def i15_tool_responses(spark, sf):
         '(?is)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages)""",
 )
 def i16_html_text(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
+    rows = texts(spark, sf, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
     return rows.withColumn("lines", pages.wrapped_lines(F.col("text")))
 
 
@@ -560,7 +560,7 @@ def i30_without_ansi(spark, sf):
     """SELECT page_id, replace(replace(replace(replace(replace(u, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM (SELECT page_id, html AS u FROM pages)""",
 )
 def i31_escaped_markup(spark, sf):
-    return table(spark, sf, "pages").select("page_id", strings.escape_markup(F.col("html")).alias("escaped"))
+    return texts(spark, sf, "pages").select("page_id", strings.escape_markup(F.col("html")).alias("escaped"))
 
 
 @query(

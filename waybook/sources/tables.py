@@ -24,6 +24,16 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     return rows.select("*", F.col("_metadata.file_path").alias("file_path")) if provenance else rows
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than there are cores.
+
+    For costly per-row work on a small scan only: a scan with enough splits
+    is left alone, so large inputs are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def parse_lines(lines: DataFrame, line: str, schema: str, required: Sequence[str] = ("qid",)) -> DataFrame:
     """Lenient scan of text lines: broken lines and lines without the required fields drop out."""
     rest = [c for c in lines.columns if c != line]
