@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waybook.catalog.aggregates import _RUNS_SQL, _runs
 from waybook.catalog.registry import query
-from waybook.catalog.tables import CALLS_SQL, calls, r6
+from waybook.catalog.tables import CALLS_SQL, TS, calls, r6
 from waybook.operators import report
 from waybook.sources import scratch
 from waybook.streaming import streams
@@ -17,7 +17,7 @@ _STATUS = "CASE tool WHEN 'error' THEN 'OFFLINE' WHEN 'signup' THEN 'LOADING' WH
 
 def _worker_events(spark, sf):
     """users are workers, a signup registers, anything else is a heartbeat"""
-    return calls(spark, sf, "cast(ts AS timestamp) AS ts").selectExpr(
+    return calls(spark, sf, TS).selectExpr(
         "traj AS worker_id", "seq", "ts", "if(tool = 'signup', 'register', 'heartbeat') AS kind", "tool"
     )
 
@@ -135,7 +135,7 @@ def k5_upserted(spark, sf):
     SELECT traj, request, round((coalesce(f, z) - a) / 1000.0, 6) AS ttft_ms, round((z - a) / 1000000.0, 6) AS total_time_s FROM f""",
 )
 def k6_first_chunk(spark, sf):
-    chunks = calls(spark, sf, "cast(ts AS timestamp) AS ts").selectExpr("traj", "seq div 500 AS request", "ts", "if(tool = 'click', tool, '') AS text")
+    chunks = calls(spark, sf, TS).selectExpr("traj", "seq div 500 AS request", "ts", "if(tool = 'click', tool, '') AS text")
     out = report.first_chunk(chunks, ["traj", "request"], "ts", "text")
     return out.withColumns({c: r6(F.col(c).cast("double")) for c in ("ttft_ms", "total_time_s")})
 

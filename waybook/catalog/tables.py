@@ -23,6 +23,8 @@ def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(table(spark, sf, name), key)
 
 
+# The files hold wall-clock times without a zone; they count as UTC whatever the session's zone is.
+TS = "cast(convert_timezone('UTC', current_timezone(), ts) AS timestamp) AS ts"
 QID = "concat(source, ':', lang)"
 
 
