@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waybook.catalog.aggregates import _ROUNDS_SQL, _requests, _runs, _RUNS_SQL, _samples
+from waybook.catalog.aggregates import _RUNS_SQL, _requests, _runs
 from waybook.catalog.registry import query
 from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, QID, calls, judged, r6, table, turns, verdicts
 from waybook.functions import strings
@@ -97,7 +97,12 @@ def e21_accounting(spark, sf):
     return _native(spark, sf).accounting()
 
 
-@query("j1_records")
+@query(
+    "j1_records",
+    f"""WITH {_J1}, c AS (SELECT r.id, count(*) FILTER (role = 'assistant' AND pos < last) AS calls, count(*) AS n FROM r JOIN ok USING (id) WHERE valid GROUP BY 1)
+    SELECT id, 0::BIGINT AS part, (c.n + 1 + (sys IS NOT NULL)::INT + open_end::INT)::INT AS turns, CASE WHEN calls > 0 THEN '[{{"name": "web_search"}}]' ELSE '' END AS tools
+    FROM c JOIN acc USING (id) JOIN ok USING (id)""",
+)
 def j1_records(spark, sf):
     packed = _native(spark, sf).records()
     return packed.select("id", "part", F.size("conversations").alias("turns"), "tools")
@@ -333,12 +338,15 @@ def j9_load_report(spark, sf):
     SELECT label, round(cold, 6) AS cold_ms, round(warm, 6) AS warm_ms, round(p, 6) AS warm_prompt, round(n, 6) AS warm_new, round(n / p, 6) AS new_ratio, warm < cold * 0.8 AS effective FROM c""",
 )
 def j10_cache_report(spark, sf):
-    samples = calls(spark, sf).selectExpr(
+    out = jobs.cache_report(_labelled_samples(spark, sf))[1]
+    return out.withColumns({c: r6(c) for c in out.columns if c not in ("label", "effective")})
+
+
+def _labelled_samples(spark, sf):
+    return calls(spark, sf).selectExpr(
         "tool AS label", "k % 6 + 1 AS round_num", "seq AS rep", "seq % 1000 AS prompt_tokens", "traj AS new_tokens", "k AS completion_tokens",
         "value AS ttft_ms", "value / 10 AS total_time_s", "double(k) AS tokens_per_sec",
     )
-    out = jobs.cache_report(samples)[1]
-    return out.withColumns({c: r6(c) for c in out.columns if c not in ("label", "effective")})
 
 
 @query(
@@ -356,8 +364,10 @@ def j11_work_plan(spark, sf):
 
 @query(
     "j10_round_speedups",
-    f"""WITH {_ROUNDS_SQL} SELECT r.round_num, round(c.ttft_ms / greatest(r.ttft_ms, 0.001), 6) AS speedup FROM rounds r, rounds c WHERE r.round_num > 1 AND c.round_num = 1""",
+    f"""WITH {CALLS_SQL}, rounds AS (SELECT tool AS label, k % 6 + 1 AS round_num, avg(value) AS ttft_ms, arg_min(seq % 1000, seq) AS p FROM calls GROUP BY 1, 2)
+    SELECT label, r.round_num, round(c.ttft_ms / greatest(r.ttft_ms, 0.001), 6) AS speedup, round(r.ttft_ms / greatest(r.p, 1), 6) AS ms_per_prompt_token
+    FROM rounds r JOIN rounds c USING (label) WHERE r.round_num > 1 AND c.round_num = 1""",
 )
 def j10_round_speedups(spark, sf):
-    samples = _samples(spark, sf).withColumn("label", F.lit("on"))
-    return jobs.cache_report(samples)[2].select("round_num", r6("speedup").alias("speedup"))
+    out = jobs.cache_report(_labelled_samples(spark, sf))[2]
+    return out.select("label", "round_num", r6("speedup").alias("speedup"), r6("ms_per_prompt_token").alias("ms_per_prompt_token"))

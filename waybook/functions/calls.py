@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from waybook import constants as K
 from waybook.functions.answers import THINK
 from waybook.functions.strings import (
-    is_array,
     is_json,
     is_object,
     json_or_text,

@@ -17,7 +17,6 @@ from waybook.functions.strings import (
     is_array,
     is_json,
     is_object,
-    json_text,
     let,
     parsed,
     strip,
