@@ -22,11 +22,12 @@ def spark(tmp_path_factory):
 @pytest.fixture()
 def one(spark):
     """Evaluate a column over one text per row and return the values."""
+    import pyarrow as pa
     from pyspark.sql import functions as F
 
     def run(column, *texts):
-        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
-        made = rows.select("i", column(F.col("t")).alias("v"))
-        return [r["v"] for r in made.orderBy("i").collect()]
+        table = pa.table({"i": pa.array(range(len(texts)), pa.int32()), "t": pa.array(texts, pa.string())})
+        made = spark.createDataFrame(table).select("i", column(F.col("t")).alias("v")).collect()
+        return [r["v"] for r in sorted(made, key=lambda r: r["i"])]
 
     return run
