@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = f"waybook-{uuid.uuid4().hex[:12]}"
+_USED: dict[str, object] = {}
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the session itself is local and
-    the setting is missing; on a cluster a missing setting is an error, since
-    executors could not see the files.
+def root(spark: SparkSession) -> str:
+    """The folder of this run: under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
+
+    Both are places that the driver and all executors share; a machine-local
+    folder is never chosen. The folder is deleted when the driver's Python ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/waybook-{label}-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{_RUN}"
+    if path not in _USED:
+        if not _USED:
+            atexit.register(_remove)
+        _USED[path] = spark
+    return path
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder name; nothing is created yet."""
+    return f"{root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove() -> None:
+    for path, spark in _USED.items():
+        if spark.sparkContext._jsc is not None:  # else the session has ended and its file systems with it
+            remove(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
