@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waybook.llm import jaccard
+from waybook.llm import jaccard, mixing, shards, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +32,51 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf, "documents"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_shards")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    made = shards.balanced(table(spark, sf, "documents"), 24)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op5_mixture",
+    r"""
+    WITH RECURSIVE
+    d AS (
+      SELECT doc_id, source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS n_tokens,
+             md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(source, ''))) AS mark
+      FROM documents GROUP BY doc_id, source, text),
+    s AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS docs FROM d GROUP BY source),
+    e AS (SELECT sum(tokens) AS total, ln(min(tokens) / sum(tokens)) AS low, ln(max(tokens) / sum(tokens)) AS high FROM s WHERE tokens > 0),
+    b AS (
+      SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+      UNION ALL
+      SELECT i + 1, CASE WHEN ((lo + hi) / 2 - 1) * (low - high) > ln(2.0) THEN (lo + hi) / 2 ELSE lo END,
+             CASE WHEN ((lo + hi) / 2 - 1) * (low - high) > ln(2.0) THEN hi ELSE (lo + hi) / 2 END
+      FROM b, e WHERE i < 50),
+    x AS (SELECT (lo + hi) / 2 AS x FROM b WHERE i = 50),
+    raw AS (SELECT s.*, pow(tokens / total, x) AS r FROM s, e, x),
+    q AS (SELECT *, r * (SELECT max(tokens / r) FROM raw) AS quota FROM raw),
+    w AS (SELECT *, CAST(floor(quota / tokens + 1e-9) AS BIGINT) AS passes FROM q),
+    v AS (SELECT *, CAST(floor(quota - passes * tokens + 1e-6) AS BIGINT) AS rest FROM w),
+    p AS (
+      SELECT d.*, passes, rest, CAST(('0x' || substr(mark, 1, 8))::BIGINT % CAST(ceil(docs / 1024) AS BIGINT) AS BIGINT) AS block
+      FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+    k AS (SELECT source, block, sum(n_tokens) AS n, md5(concat('0:', coalesce(source, ''), ':', block, ':', passes + 1)) AS mark FROM p GROUP BY source, block, passes),
+    o AS (SELECT source, block, sum(n) OVER (PARTITION BY source ORDER BY mark ROWS UNBOUNDED PRECEDING) - n AS start FROM k),
+    u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY mark ROWS UNBOUNDED PRECEDING) - n_tokens AS within FROM p)
+    SELECT u.doc_id, u.source, CAST(u.n_tokens AS BIGINT) AS n_tokens, u.block,
+           CAST(passes + CASE WHEN start + within < rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+    FROM u JOIN o ON u.source IS NOT DISTINCT FROM o.source AND u.block = o.block
+    """,
+)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document at least once and no source more than twice."""
+    return mixing.mixture(table(spark, sf, "documents"), repeats=2.0)[0].select("doc_id", "source", "n_tokens", "block", "copies")
