@@ -6,15 +6,15 @@ segments, differently in each band of sizes. A segment that is indexed as it is
 costs the pair one difference to escape, one that is indexed with all its
 one-deletion neighbours costs two; so D + 1 such units leave no way out. How many
 segments of either kind a band has comes from a cost model (`allocation`). Of the
-plain segments a document only indexes as many as its own size leaves needed, the
-fullest first, in an order that depends on a segment's content alone: the first
-equal segment of a pair is then among those of both.
+plain segments a document only indexes as many as its own size leaves needed, those
+with the most shingles that are not frequent first, in an order that depends on a
+segment's content alone: the first equal segment of a pair is then among those of both.
 
 Documents with equal sets are one class from the start. In each bucket of equal
 signatures the classes are first compared with the bucket's smallest one only.
 Buckets that this already joins are done. The others are compared across their
-components, under the bounds of sizes and parity bitmaps. All comparisons that
-decide are of whole sets.
+components. Pairs first pass the bounds of sizes and of parity bitmaps, which two
+similar sets cannot fail; all comparisons that decide are of whole sets.
 
 Sets hold 64-bit hashes of shingles. Two shingles of one pair of documents meet by
 chance with a probability of about |union| ** 2 / 2 ** 65.
@@ -40,6 +40,10 @@ from waybook.sources.scratch import stage
 RATIO = 1.5
 #: Cost of a signature of one element or none, in signatures: what its chance partners cost.
 WEAK = 30.0
+#: Shingles in more than one of so many documents count as frequent. This only steers costs.
+OFTEN = 1000
+#: Counters of a task's frequent shingles.
+COUNTERS = 1 << 16
 _FIXED = U(0xA0761D6478BD642F)
 _BANDS = np.arange(1, 129, dtype=U) * _FIXED
 
@@ -76,7 +80,7 @@ def allocation(hi: int, percent: int) -> tuple[int, int]:
     units = differences(n, n, percent) + 1
     best = (math.inf, 0, units)
     for a in sorted({units * i // 24 for i in range(13)}):
-        for spare in sorted({units * i // 20 for i in range(5)}):
+        for spare in sorted({units * i // 20 for i in range(11)}):
             b = max(0, units - 2 * a + (spare if units > 2 * a else 0))
             if not a and not b:
                 continue
@@ -87,8 +91,8 @@ def allocation(hi: int, percent: int) -> tuple[int, int]:
     return best[1:]
 
 
-def signatures(sets: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set of distinct hashes, of all bands in which it can have a partner that is not equal."""
+def signatures(sets: np.ndarray, percent: int, often: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of one set of distinct hashes, of all bands in which it can have a partner that is not equal; `often` marks frequent ones."""
     n = len(sets)
     top, out = n * 100 // percent, []
     for k, (lo, hi) in enumerate(bands()):
@@ -115,7 +119,8 @@ def signatures(sets: np.ndarray, percent: int) -> np.ndarray:
         need = most + 1 - 2 * a
         if need > 0:
             plain = whole[a:]
-            full = np.minimum(np.bincount(segment, minlength=a + b)[a:], 4).astype(U)
+            own = segment if often is None else segment[~often]
+            full = np.minimum(np.bincount(own, minlength=a + b)[a:], 4).astype(U)
             out.append(plain[np.argpartition(((U(4) - full) << U(61)) | (plain >> U(3)), need - 1)[:need]] if need < b else plain)
     return np.unique(np.concatenate(out)) if out else np.empty(0, U)
 
@@ -141,26 +146,69 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """About two bits per element, 64 to 8192: the parity of the elements hashed to each."""
-    bits = 1 << min(13, max(6, (2 * len(s) - 1).bit_length()))
+    """One or two bits per element, 64 to 8192: the parity of the number of elements hashed to each."""
+    bits = 1 << min(13, max(6, len(s).bit_length()))
     odd = (np.bincount((mix(s + _FIXED) % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
-def described(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): the size and a 128-bit print of each document's set."""
+class _Frequent:
+    """Frequent items with bounded counters: when there are too many, all lose what the last one kept has left."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found = [(len(s), *_prints(s)) for _, s in sets_of(batch.column(1), width)]
-            n, f1, f2 = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["doc_id", "n_shingles", "f1", "f2"])
+    def __init__(self):
+        self.keys, self.counts, self.held, self.size = np.empty(0, U), np.empty(0, np.int64), [], 0
+
+    def add(self, items: np.ndarray) -> None:
+        self.held.append(items)
+        self.size += len(items)
+        if self.size > 1 << 19:
+            self.settle()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    def settle(self) -> None:
+        if not self.held:
+            return
+        value, count = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        keys, place = np.unique(np.concatenate((self.keys, value)), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, place, np.concatenate((self.counts, count)))
+        if len(keys) > 4 * COUNTERS:
+            counts -= np.partition(counts, -COUNTERS)[-COUNTERS]
+            keys, counts = keys[counts > 0], counts[counts > 0]
+        self.keys, self.counts = keys, counts
+
+
+def described(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, f1, f2, parity): the size and a 128-bit print of each document's set.
 
+    Rows with a null n_shingles are a task's counts of frequent shingles: f1 the hash, f2 the count.
+    """
+    names = ["doc_id", "n_shingles", "f1", "f2", "parity"]
 
-def signed(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
+        for batch in it:
+            found = []
+            for _, s in sets_of(batch.column(1), width):
+                found.append((len(s), *_prints(s), _parity(s)))
+                frequent.add(s)
+            n, f1, f2, parity = zip(*found, strict=True) if found else ((), (), (), ())
+            longs = [pa.array(x, pa.int64()) for x in (n, f1, f2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(parity, pa.list_(pa.int64()))], names)
+        frequent.settle()
+        keep = frequent.counts > 1
+        keys, counts = frequent.keys[keep].view(np.int64), frequent.counts[keep]
+        for at in range(0, len(keys), 10_000):
+            part = slice(at, at + 10_000)
+            empty = [pa.nulls(len(keys[part]), kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*empty[:2], pa.array(keys[part]), pa.array(counts[part]), empty[2]], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, parity array<bigint>")
+
+
+def signed(docs: DataFrame, percent: int, width: int, frequent: DataFrame) -> DataFrame:
     """(sig, doc_id): the signatures of each document; a task signs the same set once among its last million sets."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(frequent, "hash"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -171,7 +219,7 @@ def signed(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 if mark in seen or len(s) < 2:
                     continue
                 seen.add(mark)
-                got = signatures(s, percent)
+                got = signatures(s, percent, bloom.passes(bits.value, s.view(np.int64)))
                 held.append(got)
                 owners.append(np.full(len(got), ids[row], np.int64))
                 count += len(got)
@@ -187,21 +235,20 @@ def signed(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cid, n, items, parity) of the classes (cid, doc_id, f1, f2) wanted, read again from their first document's text."""
+    """(cid, items) of the classes (cid, doc_id, f1, f2) wanted, read again from their first document's text."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "doc_id"))
+    longs, lists = pa.int64(), pa.list_(pa.int64())
+    kinds = {"doc_id": longs, "f1": longs, "f2": longs, "items": lists}
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs, lists = pa.int64(), pa.list_(pa.int64())
-        kinds = {"doc_id": longs, "f1": longs, "f2": longs, "items": lists, "parity": lists}
-
-        def packed(held: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             batch = batch.filter(pa.array(bloom.passes(bits.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
             held, count = [], 0
             for row, s in sets_of(batch.column(1), width):
-                held.append((batch.column(0)[row].as_py(), *_prints(s), s.view(np.int64), _parity(s)))
+                held.append((batch.column(0)[row].as_py(), *_prints(s), s.view(np.int64)))
                 count += len(s)
                 if count > 100_000:
                     yield packed(held)
@@ -209,21 +256,26 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             if held:
                 yield packed(held)
 
-    found = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, f1 long, f2 long, items array<bigint>, parity array<bigint>")
-    return found.join(wanted, ["doc_id", "f1", "f2"]).dropDuplicates(["cid"]).select("cid", F.size("items").cast("long").alias("n"), "items", "parity")
+    found = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, f1 long, f2 long, items array<bigint>")
+    return found.join(wanted, ["doc_id", "f1", "f2"]).dropDuplicates(["cid"]).select("cid", "items")
 
 
-def _linked(both: Column, left: Column, right: Column, percent: int) -> Column:
-    return 100 * both >= percent * (left + right - both)
+def _close(x: str, y: str, percent: int) -> Column:
+    """Bounds on the sizes and bitmaps of two classes; similar sets meet both."""
+    n, m, p, q = (F.col(f"{side}.{c}") for c in ("n", "parity") for side in (x, y))
+    apart = F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, v: s + v)
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.size(p) != F.size(q)) | ((100 + percent) * apart <= (100 - percent) * (n + m)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("items").alias("ai"))
-    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("items").alias("bi"))
-    close = (100 * F.col("an") >= percent * F.col("bn")) & (100 * F.col("bn") >= percent * F.col("an"))
-    both = F.size(F.array_intersect("ai", "bi")).cast("long")
-    return pairs.join(left, "a").join(right, "b").filter(close).filter(_linked(both, F.col("an"), F.col("bn"), percent)).select("a", "b")
+    pairs = stage(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = stage(classes.join(ids, "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
+    sets = stage(whole_sets(docs, wanted, width), "items")
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("ai")), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("bi")), "b")
+    both = both.select("a", "b", F.size("ai").alias("an"), F.size("bi").alias("bn"), F.size(F.array_intersect("ai", "bi")).alias("both"))
+    return both.filter(100 * F.col("both") >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b")
 
 
 def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -236,41 +288,36 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     `docs` are not read. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage(described(docs, width), "sets")
+    described_ = stage(described(docs, width), "sets")
+    rows = described_.filter("n_shingles IS NOT NULL")
     known = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stage(
-        known.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
-    )
+    sizes = [F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("parity").alias("parity")]
+    classes = stage(known.groupBy("f1", "f2").agg(*sizes).withColumn("cid", F.monotonically_increasing_id()), "classes")
     owners = known.filter("n_shingles > 1").join(classes.select("f1", "f2", "cid"), ["f1", "f2"]).select("doc_id", "cid").distinct()
+    frequent = described_.filter("n_shingles IS NULL").groupBy(F.col("f1").alias("hash")).agg(F.sum("f2").alias("n"))
+    frequent = stage(frequent.filter(F.col("n") > max(2, rows.count() // OFTEN)).select("hash"), "frequent")
 
     # one shuffle of the signatures; the running minimum needs no bucket in memory
     first = F.min("doc_id").over(Window.partitionBy("sig").orderBy("doc_id"))
-    star = signed(docs.filter("doc_id IS NOT NULL"), percent, width).withColumn("first", first).filter("first != doc_id")
+    star = signed(docs.filter("doc_id IS NOT NULL"), percent, width, frequent).withColumn("first", first).filter("first != doc_id")
     star = star.join(owners.select("doc_id", "cid"), "doc_id").join(owners.select(F.col("doc_id").alias("first"), F.col("cid").alias("head")), "first")
     star = stage(star.filter("cid != head").select("sig", "head", "cid").distinct(), "star")
 
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    pairs = stage(star.select(*ordered("head", "cid")).distinct(), "pairs")
-    wanted = classes.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid").select("cid", "doc_id", "f1", "f2")
-    sets = stage(whole_sets(docs, stage(wanted, "wanted"), width), "items")
-    links = stage(verified(pairs, sets, percent), "links")
+    bounds = classes.select("cid", "n", "parity")
+    tried = star.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
+    near = tried.join(bounds.alias("x"), F.col("a") == F.col("x.cid")).join(bounds.alias("y"), F.col("b") == F.col("y.cid")).filter(_close("x", "y", percent))
+    links = stage(verified(near.select("a", "b"), docs, classes, percent, width), "links")
     parts = components(links)
 
-    members = star.select("sig", "cid").union(star.select("sig", "head")).distinct()
+    # a bucket of two has been compared already, as has one that is a single component now
+    members = star.select("sig", "cid").union(star.select("sig", "head").distinct())
     members = members.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    split = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("sig")
-    left = stage(members.join(split, "sig").join(sets.select("cid", "n", "parity"), "cid"), "members")
+    split = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("k")).filter("least < most AND k > 2")
+    left = stage(members.join(split.select("sig"), "sig").join(bounds, "cid"), "members")
     x, y = left.alias("x"), left.alias("y")
-    apart = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    near = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-    bound = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & near & ((F.size("x.parity") != F.size("y.parity")) | bound))
-    rest = rest.select(*ordered("x.cid", "y.cid")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(verified(rest, sets, percent))
-    parts = components(stage(links, "links"))
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & _close("x", "y", percent))
+    rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    parts = components(stage(links.union(verified(rest, docs, classes, percent, width)), "links"))
 
     of = classes.select("f1", "f2", "cid", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))

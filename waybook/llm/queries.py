@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybook.llm import jaccard, mixing, shards, tokens
+from waybook.llm import decontamination, jaccard, mixing, shards, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,25 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Every document at least once and no source more than twice."""
     return mixing.mixture(table(spark, sf, "documents"), repeats=2.0)[0].select("doc_id", "source", "n_tokens", "block", "copies")
+
+
+@query(
+    "op2_decontamination",
+    r"""
+    WITH
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    n AS (SELECT item_id, w, least(13, len(w)) AS l FROM b WHERE len(w) > 0),
+    i AS (SELECT DISTINCT item_id, l, array_to_string(w[s : s + l - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS s FROM n)),
+    e AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM i) WHERE len(w) >= l),
+    h AS (SELECT DISTINCT e.doc_id, e.s, e.l, i.item_id FROM e JOIN i ON e.l = i.l AND array_to_string(e.w[e.s : e.s + e.l - 1], ' ') = i.t),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM h) GROUP BY doc_id),
+    k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
