@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybook.llm import decontamination, jaccard, mixing, shards, tokens
+from waybook.llm import decontamination, idfile, jaccard, mixing, neighbours, shards, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,18 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op1_token_files")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return idfile.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2, vocabulary=49408)
+
+
+@query("op3_neighbours")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(table(spark, sf, "embeddings"), every=20, k=20)
+
+
+@query("op4_warc")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"), least=0)

@@ -26,7 +26,7 @@ BATCH = 8 << 20
 #: Bytes of words per call of the tokenizer.
 CALL = 1 << 20
 #: Words a task remembers, and the longest word it remembers.
-WORDS, LONGEST = 1_000_000, 200
+WORDS, LONGEST = 400_000, 200
 
 
 @lru_cache(2)
