@@ -11,10 +11,10 @@ with the most shingles that are not frequent first, in an order that depends on
 segment's content alone: the first equal segment of a pair is then among those of both.
 
 Documents with equal sets are one class from the start. In each bucket of equal
-signatures the classes are first compared with the bucket's smallest one only.
-Buckets that this already joins are done. The others are compared across their
-components. Pairs first pass the bounds of sizes and of parity bitmaps, which two
-similar sets cannot fail; all comparisons that decide are of whole sets.
+signatures the classes are first compared with the bucket's smallest one, its head,
+only. Classes that share a head and are still in different components are then
+compared with each other, in blocks. Pairs first pass the bounds of sizes and of parity
+bitmaps, which two similar sets cannot fail; comparisons that decide are of whole sets.
 
 Sets hold 64-bit hashes of shingles. Two shingles of one pair of documents meet by
 chance with a probability of about |union| ** 2 / 2 ** 65.
@@ -44,6 +44,8 @@ WEAK = 30.0
 OFTEN = 1000
 #: Counters of a task's frequent shingles.
 COUNTERS = 1 << 16
+#: Classes of one head that are compared with each other in one block, and rows of blocks that meet in one call.
+BLOCK, TOGETHER = 2048, 16384
 _FIXED = U(0xA0761D6478BD642F)
 _BANDS = np.arange(1, 129, dtype=U) * _FIXED
 
@@ -145,10 +147,13 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=U).view(np.int64)), int((mix(s ^ _FIXED).sum(dtype=U) + U(len(s))).view(np.int64))
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    """One or two bits per element, 64 to 8192: the parity of the number of elements hashed to each."""
-    bits = 1 << min(13, max(6, len(s).bit_length()))
-    odd = (np.bincount((mix(s + _FIXED) % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+def _parity(s: np.ndarray, each: int, most: int) -> np.ndarray:
+    """`each` bits per element or up to twice as many, 64 to 2 ** most: the parity of the number of elements hashed to each.
+
+    Cut in half and added up bit by bit it is the bitmap of half the size.
+    """
+    bits = 1 << min(most, max(6, (each * len(s)).bit_length()))
+    odd = (np.bincount((mix(s + _FIXED) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -179,31 +184,31 @@ class _Frequent:
 
 
 def described(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, parity): the size and a 128-bit print of each document's set.
+    """(doc_id, n_shingles, f1, f2, parity, sharp): the size, a 128-bit print and two bitmaps of each document's set.
 
     Rows with a null n_shingles are a task's counts of frequent shingles: f1 the hash, f2 the count.
     """
-    names = ["doc_id", "n_shingles", "f1", "f2", "parity"]
+    names = ["doc_id", "n_shingles", "f1", "f2", "parity", "sharp"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _Frequent()
         for batch in it:
             found = []
             for _, s in sets_of(batch.column(1), width):
-                found.append((len(s), *_prints(s), _parity(s)))
+                found.append((len(s), *_prints(s), _parity(s, 1, 13), _parity(s, 4, 14).tobytes()))
                 frequent.add(s)
-            n, f1, f2, parity = zip(*found, strict=True) if found else ((), (), (), ())
+            n, f1, f2, parity, sharp = zip(*found, strict=True) if found else ((), (), (), (), ())
             longs = [pa.array(x, pa.int64()) for x in (n, f1, f2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(parity, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(parity, pa.list_(pa.int64())), pa.array(sharp, pa.binary())], names)
         frequent.settle()
         keep = frequent.counts > 1
         keys, counts = frequent.keys[keep].view(np.int64), frequent.counts[keep]
         for at in range(0, len(keys), 10_000):
             part = slice(at, at + 10_000)
-            empty = [pa.nulls(len(keys[part]), kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*empty[:2], pa.array(keys[part]), pa.array(counts[part]), empty[2]], names)
+            empty = [pa.nulls(len(keys[part]), kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty[:2], pa.array(keys[part]), pa.array(counts[part]), *empty[2:]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, parity array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, parity array<bigint>, sharp binary")
 
 
 def signed(docs: DataFrame, percent: int, width: int, frequent: DataFrame) -> DataFrame:
@@ -267,6 +272,53 @@ def _close(x: str, y: str, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.size(p) != F.size(q)) | ((100 + percent) * apart <= (100 - percent) * (n + m)))
 
 
+def _pairs(size: np.ndarray, component: np.ndarray, block: np.ndarray, bits: list[bytes], cross: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Places of the pairs of different components, and different blocks if `cross`, that meet the bounds."""
+    width = np.array([len(x) for x in bits])
+    for w in np.unique(width):
+        mine = np.flatnonzero(width == w)
+        own = np.frombuffer(b"".join(bits[i] for i in mine), U).reshape(len(mine), -1)
+        near = np.flatnonzero(width == 2 * w)  # sets with even larger bitmaps are too large
+        halves = np.frombuffer(b"".join(bits[i] for i in near), U).reshape(len(near), 2, own.shape[1])
+        other, theirs = np.concatenate((own, halves[:, 0] ^ halves[:, 1])), np.concatenate((mine, near))
+        step = max(1, (1 << 21) // max(1, other.size))
+        for at in range(0, len(mine), step):
+            left = mine[at : at + step]
+            apart = np.bitwise_count(own[at : at + step, None] ^ other[None]).sum(axis=2, dtype=np.int64)
+            n, m = size[left, None], size[None, theirs]
+            good = ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * n >= percent * m) & (100 * m >= percent * n)
+            good &= component[left, None] != component[None, theirs]
+            good &= (block[left, None] != block[None, theirs]) | (not cross)
+            good &= (width[theirs] != w)[None] | (left[:, None] < theirs[None])
+            for i, j in zip(*np.nonzero(good), strict=True):
+                yield left[i], theirs[j]
+
+
+def compared(members: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: classes of a head (head, cid, component, blocks) that are apart and meet the bounds on `sharp`."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", other)
+    rows = stage(rows.select("head", "cid", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "members")
+    calls = max(1, -(-rows.count() // TOGETHER))
+    rows = rows.withColumn("call", F.pmod(F.xxhash64("head", "low", "high"), F.lit(calls))).join(bounds, "cid")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        head, low, high, cid, component, block, n = (table[c].to_numpy() for c in ("head", "low", "high", "cid", "component", "block", "n"))
+        bits, found = table["sharp"].to_pylist(), set()
+        order = np.lexsort((high, low, head))
+        key = np.stack((head, low, high), axis=1)[order]
+        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True]))) if len(order) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[a:b]
+            for i, j in _pairs(n[at], component[at], block[at], [bits[x] for x in at], low[at[0]] != high[at[0]], percent):
+                x, y = int(cid[at[i]]), int(cid[at[j]])
+                found.add((min(x, y), max(x, y)))
+        return pa.Table.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
+
+    return rows.groupBy("call").applyInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     pairs = stage(pairs, "pairs")
@@ -291,7 +343,7 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     described_ = stage(described(docs, width), "sets")
     rows = described_.filter("n_shingles IS NOT NULL")
     known = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sizes = [F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("parity").alias("parity")]
+    sizes = [F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("sharp").alias("sharp")]
     classes = stage(known.groupBy("f1", "f2").agg(*sizes).withColumn("cid", F.monotonically_increasing_id()), "classes")
     owners = known.filter("n_shingles > 1").join(classes.select("f1", "f2", "cid"), ["f1", "f2"]).select("doc_id", "cid").distinct()
     frequent = described_.filter("n_shingles IS NULL").groupBy(F.col("f1").alias("hash")).agg(F.sum("f2").alias("n"))
@@ -309,14 +361,10 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     links = stage(verified(near.select("a", "b"), docs, classes, percent, width), "links")
     parts = components(links)
 
-    # a bucket of two has been compared already, as has one that is a single component now
-    members = star.select("sig", "cid").union(star.select("sig", "head").distinct())
-    members = members.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    split = members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("k")).filter("least < most AND k > 2")
-    left = stage(members.join(split.select("sig"), "sig").join(bounds, "cid"), "members")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & _close("x", "y", percent))
-    rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    shared = star.select("head", "cid").distinct().join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    open_ = shared.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = shared.join(open_.filter("least < most").select("head", "blocks"), "head")
+    rest = compared(members, classes.select("cid", "n", "sharp"), percent).distinct().join(tried, ["a", "b"], "left_anti")
     parts = components(stage(links.union(verified(rest, docs, classes, percent, width)), "links"))
 
     of = classes.select("f1", "f2", "cid", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
