@@ -26,10 +26,10 @@ def new(folder: str, ending: str) -> str:
 def writer(path: str) -> BinaryIO:
     system, name = _at(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(name)
+    return system.open_output_stream(name, compression=None)
 
 
 def reader(path: str) -> BinaryIO:
-    """A stream that can seek."""
+    """The bytes as they are; the stream can seek."""
     system, name = _at(path)
     return system.open_input_file(name)

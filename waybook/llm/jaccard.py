@@ -184,11 +184,11 @@ class _Frequent:
 
 
 def described(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, parity, sharp): the size, a 128-bit print and two bitmaps of each document's set.
+    """(doc_id, text_hash, n_shingles, f1, f2, parity, sharp): the size, a 128-bit print and two bitmaps of each document's set.
 
     Rows with a null n_shingles are a task's counts of frequent shingles: f1 the hash, f2 the count.
     """
-    names = ["doc_id", "n_shingles", "f1", "f2", "parity", "sharp"]
+    names = ["doc_id", "text_hash", "n_shingles", "f1", "f2", "parity", "sharp"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _Frequent()
@@ -199,16 +199,16 @@ def described(docs: DataFrame, width: int = 5) -> DataFrame:
                 frequent.add(s)
             n, f1, f2, parity, sharp = zip(*found, strict=True) if found else ((), (), (), (), ())
             longs = [pa.array(x, pa.int64()) for x in (n, f1, f2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(parity, pa.list_(pa.int64())), pa.array(sharp, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(parity, pa.list_(pa.int64())), pa.array(sharp, pa.binary())], names)
         frequent.settle()
         keep = frequent.counts > 1
         keys, counts = frequent.keys[keep].view(np.int64), frequent.counts[keep]
         for at in range(0, len(keys), 10_000):
             part = slice(at, at + 10_000)
             empty = [pa.nulls(len(keys[part]), kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*empty[:2], pa.array(keys[part]), pa.array(counts[part]), *empty[2:]], names)
+            yield pa.RecordBatch.from_arrays([empty[0], *empty[:2], pa.array(keys[part]), pa.array(counts[part]), *empty[2:]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, parity array<bigint>, sharp binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, parity array<bigint>, sharp binary")
 
 
 def signed(docs: DataFrame, percent: int, width: int, frequent: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
 
 
 def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of (doc_id, text): doc_id, n_shingles, component_id, text_hash.
 
     Links join documents whose sets have 100 * intersection >= percent * union.
     Texts without words, empty or null: no shingles, their own component. Rows
@@ -370,5 +370,23 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     of = classes.select("f1", "f2", "cid", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = of.join(heads, "component").select("f1", "f2", "component_id")
-    done = known.join(of, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id")
-    return done.union(rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    done = known.join(of, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id", "text_hash")
+    return done.union(rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash"))
+
+
+def distinct(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs`, all columns, that stay: of each component the document with the smallest doc_id, once.
+
+    Documents that are linked with nothing stay, texts without words and rows without
+    a doc_id among them. A document is its doc_id and text; of repeated ones any row stays.
+    """
+    found = stage(join(docs, **how), "components").filter("doc_id IS NOT NULL")
+    out = found.filter("component_id != doc_id").select(F.col("doc_id").alias("_out_id"), F.col("text_hash").alias("_out_hash")).distinct()
+    same = (docs.doc_id.cast("long") == out["_out_id"]) & (F.xxhash64(docs.text) == out["_out_hash"])
+    left = docs.join(out, same, "left_anti")
+    twice = found.filter("component_id = doc_id").groupBy(F.col("doc_id").alias("_out_id"), F.col("text_hash").alias("_out_hash")).count().filter("count > 1").drop("count")
+    if twice.isEmpty():
+        return left
+    twice = stage(twice, "repeated")
+    same = (docs.doc_id.cast("long") == twice["_out_id"]) & (F.xxhash64(docs.text) == twice["_out_hash"])
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybook.llm import decontamination, idfile, jaccard, mixing, neighbours, shards, tokens, warc
+from waybook.llm import decontamination, extraction, idfile, jaccard, mixing, neighbours, shards, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard.join(table(spark, sf, "documents"))
+    return jaccard.join(table(spark, sf, "documents")).drop("text_hash")
 
 
 @query("op7_token_counts")
@@ -117,3 +117,14 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_warc")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages"), least=0)
+
+
+@query("op6_main_text")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf, "pages"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf, "labels"))).drop("text_hash")
