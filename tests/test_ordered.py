@@ -28,7 +28,7 @@ def by_key(data):
     return keys
 
 
-@pytest.mark.parametrize("width", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("width", [60, 200, 1 << 20])
 def test_running(spark, rows, width):
     df = spark.table("ordered_rows")
     out = ordered.running(df, ["k"], "pos", sums={"before": F.col("n")}, lasts={"prev": F.col("v")}, width=width)
@@ -42,7 +42,7 @@ def test_running(spark, rows, width):
     assert got == want
 
 
-@pytest.mark.parametrize("width", [1, 10, 1 << 20])
+@pytest.mark.parametrize("width", [60, 300, 1 << 20])
 def test_indexed(spark, rows, width):
     out = ordered.indexed(spark.table("ordered_rows"), "pos", width=width)
     assert sorted((r["index"], r["pos"]) for r in out.collect()) == list(enumerate(sorted(r[1] for r in rows)))
@@ -57,6 +57,26 @@ def test_shards_and_head_partition_the_rows(spark, rows):
     assert plan.head(df, "pos", 0).count() == len(rows)
 
 
+def test_sparse_orders_are_cut_by_rank(spark):
+    """A third of the rows under one key, microsecond times as order: no range holds more than a segment."""
+    rows = [(0 if i % 3 == 0 else i, 1_700_000_000_000_000 + i * i * 977, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, at long, n long")
+    cut = ordered.segmented(df, ["k"], "at", width=500)
+    assert max(r["count"] for r in cut.groupBy("_seg").count().collect()) <= 500
+    out = ordered.running(cut, ["k"], "at", sums={"before": F.col("n")}, ahead=True)
+    got = {r["at"]: r["before"] for r in out.where("k = 0").collect()}
+    later = 0
+    for k, at, n in sorted((r for r in rows if r[0] == 0), key=lambda r: -r[1]):
+        assert got[at] == later
+        later += n
+
+
+def test_percentiles_of_close_values(spark):
+    df = spark.range(3000).selectExpr("id * 1e-8 AS x")
+    got = {r["p"]: r["value"] for r in ordered.index_percentiles(df, "x", [0.1, 0.5, 0.99], width=200).collect()}
+    assert got == {p: pytest.approx(int(3000 * p) * 1e-8) for p in (0.1, 0.5, 0.99)}
+
+
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 10, [float(i) for i in range(100)], [-2.5, 0.0, 1e-9, 1e9, 7.25, 7.25, 7.5]])
 def test_index_percentiles(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
@@ -78,16 +98,16 @@ def test_last_per_key_and_unique(spark, rows):
 def test_lookup_keeps_every_row_of_a_hot_key(spark, rows):
     df = spark.table("ordered_rows")
     table = spark.createDataFrame([(0, "hot"), (1, "one")], "k int, name string")
-    out = ordered.lookup(df, table, ["k"], ["pos"])
+    out = ordered.lookup(df, table, ["k"], ["pos"], width=100)
     assert out.count() == len(rows)
     assert out.where("name = 'hot'").count() == sum(r[0] == 0 for r in rows)
-    assert ordered.lookup(df, table, ["k"], ["pos"], "left_anti").count() == sum(r[0] > 1 for r in rows)
+    assert ordered.lookup(df, table, ["k"], ["pos"], "left_anti", width=100).count() == sum(r[0] > 1 for r in rows)
 
 
 @pytest.mark.parametrize("keep", [-1, 0, 1, 3, 10_000])
 def test_keep_last(spark, rows, keep):
     df = spark.table("ordered_rows").select("k", "pos", "s", F.col("pos").cast("string").alias("content"))
-    out = context.keep_last(df, ["k"], "pos", F.col("s") == "a", keep, width=50)
+    out = context.keep_last(df, ["k"], "pos", F.col("s") == "a", keep, width=120)
     got = {(r["k"], r["pos"]): r["content"] for r in out.collect()}
     for k, rs in by_key(rows).items():
         results = [r[1] for r in rs if r[3] == "a"]
@@ -95,7 +115,7 @@ def test_keep_last(spark, rows, keep):
         for r in rs:
             omitted = r[3] == "a" and r[1] not in kept
             assert got[k, r[1]] == ("Tool result is omitted to save tokens." if omitted else str(r[1]))
-    again = context.keep_last(out, ["k"], "pos", F.col("s") == "a", keep, width=50)
+    again = context.keep_last(out, ["k"], "pos", F.col("s") == "a", keep, width=120)
     assert sorted(again.collect()) == sorted(out.collect())
 
 
@@ -128,7 +148,7 @@ def steps_by_hand(faults):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 4, 1 << 20])
+@pytest.mark.parametrize("width", [30, 1 << 20])
 def test_bad_steps(spark, width):
     rng = random.Random(3)
     runs = {t: [rng.choices([None, "repeat", "tags"], [1, 6, 2])[0] for _ in range(40)] for t in range(12)}
@@ -153,7 +173,7 @@ def test_links(spark):
         [
             ("t", 1, "search", None, None, 1), ("t", 2, "open", None, "1", 2), ("t", 3, "open", None, "1", None),
             ("t", 4, "open", 1, "2", None), ("t", 5, "open", -1, '"https://x.org"', 3), ("t", 6, "open", 1, '"1"', None),
-            ("t", 7, "search", None, None, 4), ("t", 8, "open", 0, "9", None), ("t", 9, "open", 4, "-1", None), ("u", 1, "open", None, "1", None),
+            ("t", 7, "search", None, None, 4), ("t", 8, "open", 0, "9", None), ("t", 9, "open", 4, "-1", None), ("t", 10, "open", 4, "1.0", None), ("u", 1, "open", None, "1", None),
         ],
         "traj string, seq long, op string, cursor long, id string, new_cursor long",
     )
@@ -161,7 +181,7 @@ def test_links(spark):
     out = context.resolve_links(calls, results, ["traj"], "seq", width=2).orderBy("traj", "seq").collect()
     assert [(r["traj"], r["seq"], r["url"], r["not_found"]) for r in out] == [
         ("t", 2, "a", False), ("t", 3, None, True), ("t", 4, "b", False), ("t", 5, "https://x.org", False), ("t", 6, None, True),
-        ("t", 8, None, True), ("u", 1, None, True),
+        ("t", 8, None, True), ("t", 10, "c", False), ("u", 1, None, True),
     ]
 
 

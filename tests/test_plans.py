@@ -33,14 +33,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<event_type:string>" in plan
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Scan parquet"), plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange SinglePartition")
+
+
 def test_ordered_state_shuffles_its_rows_once(spark):
-    """One exchange of full rows by (key, segment); the others carry one row per segment."""
     from pyspark.sql import functions as F
 
     from waybook.catalog.tables import calls
     from waybook.operators import ordered
 
     df = ordered.running(calls(spark, SF), ["traj"], "seq", sums={"n_before": F.lit(1)})
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    by_segment = [line for line in plan.splitlines() if "Exchange hashpartitioning(traj" in line and "_seg" in line]
-    assert len(by_segment) <= 3 and "SinglePartition" not in plan
+    assert exchanges(df) == (1, 1)
+
+
+@pytest.mark.parametrize(("name", "scans", "shuffles"), [("k2_liveness", 2, 6), ("f14_bad_steps", 1, 2), ("f4_growth", 1, 2)])
+def test_chained_states_share_one_shuffle(spark, name, scans, shuffles):
+    got = exchanges(QUERIES[name](spark, SF))
+    assert got[0] <= scans and got[1] <= shuffles

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybook.functions.strings import contains_any, let
-from waybook.operators.ordered import lookup
 
 _GRAM = 3
 _PREFIX = 8
@@ -55,8 +54,7 @@ def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker
     equi-join on triple hashes finds the candidates. Markers too short for
     that are looked up by their first eight characters, or all of them when
     they have fewer (nothing is generated when there are none). Candidates are then checked in full.
-    Hot triples are spread by the salted join; only keys and hashes shuffle
-    before the check.
+    Only keys and hashes shuffle before the check; adaptive execution splits hot triples.
     """
     words = F.split(F.col(marker), " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
@@ -82,10 +80,10 @@ def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker
     hashes = F.concat(let(F.split(t, " "), _word_grams), _pieces(t, F.col("_lengths")))
     # The outer explode keeps the optimizer from adding a filter that computes all hashes again.
     sized = texts.select(key, text, lengths.alias("_lengths"))
-    candidates = lookup(sized.select(key, F.explode_outer(hashes).alias("_hash")), anchors, ["_hash"], [key], "inner")
+    candidates = sized.select(key, F.explode_outer(hashes).alias("_hash")).join(anchors, "_hash")
     pairs = candidates.select(key, marker_key).distinct()
     named = markers.select(marker_key, F.col(marker).alias("_marker"))
-    checked = lookup(pairs, named, [marker_key], [key], "inner")
+    checked = pairs.join(named, marker_key)
     return (
         checked.join(texts.select(key, text), key).where(F.contains(t, F.col("_marker"))).select(key, marker_key)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waybook import constants as K
 from waybook.functions.strings import json_text, let
-from waybook.operators.ordered import SEGMENT, running
+from waybook.operators.ordered import SEGMENT, running, segmented
 
 
 def keep_last(
@@ -19,8 +19,7 @@ def keep_last(
     """All but the last ``keep`` tool results replaced; -1 keeps all, 0 none."""
     if keep == -1:
         return turns
-    back = turns.withColumns({"_back": -F.col(order), "_is": is_result})
-    later = running(back, keys, "_back", sums={"_later": F.col("_is").cast("int")}, width=width)
+    later = running(turns.withColumn("_is", is_result), keys, order, sums={"_later": F.col("_is").cast("int")}, ahead=True, width=width)
     omit = F.col("_is") & (F.col("_later") >= keep)
     return later.withColumn(content, F.when(omit, F.lit(placeholder)).otherwise(F.col(content))).select(*turns.columns)
 
@@ -153,7 +152,7 @@ def bad_steps(
     resets: all below the maximum are rolled back, the one that reaches it
     ends the run, or, for a repeat, becomes an error row and starts anew.
     """
-    marked = steps.withColumns({"_fault": fault, "_bad": fault.isNotNull().cast("int")})
+    marked = segmented(steps.withColumns({"_fault": fault, "_bad": fault.isNotNull().cast("int")}), keys, order, width)
     seen = running(marked, keys, order, sums={"_before": F.col("_bad")}, width=width)
     good = F.when(F.col("_bad") == 0, F.col("_before"))
     streak = running(seen, keys, order, lasts={"_base": good}, width=width).withColumn(
@@ -204,15 +203,18 @@ def resolve_links(
     made = running(calls, keys, order, lasts={"_latest": F.col("new_cursor")}, width=width)
     given = F.when(~F.coalesce("cursor", F.lit(0)).isin(0, -1), F.col("cursor"))
     url_id = F.col("id").startswith('"http')
+    real = F.col("id").try_cast("double")
+    whole = F.when(real == F.floor(real), real.try_cast("bigint"))  # 2.0 is 2
     opens = made.where((F.col("op") == "open") & F.col("id").isNotNull() & ~F.col("id").isin("-1", "null")).withColumns(
         {
             "used_cursor": F.when(~url_id, F.coalesce(given, "_latest")),
-            "_number": F.when(~F.col("id").startswith('"'), F.col("id").try_cast("bigint")),
+            "_number": F.when(~F.col("id").startswith('"'), F.coalesce(F.col("id").try_cast("bigint"), whole)),
         }
     )
     hits = results.select(*keys, F.col("cursor").alias("used_cursor"), F.col("id").alias("_number"), "url")
-    joined = opens.join(hits, [*keys, "used_cursor", "_number"], "left")
-    url = F.when(url_id, F.try_parse_json("id").cast("string")).otherwise(F.col("url"))
-    return joined.select(
-        *keys, order, "id", "used_cursor", url.alias("url"), url.isNull().alias("not_found")
-    )
+    # only numbered opens are joined; the others would all meet under the null key
+    numbered = F.col("_number").isNotNull() & F.col("used_cursor").isNotNull()
+    found = opens.where(numbered).join(hits, [*keys, "used_cursor", "_number"], "left").select(*keys, order, "id", "used_cursor", "url")
+    target = F.when(url_id, F.try_parse_json("id").cast("string"))
+    others = opens.where(~numbered).select(*keys, order, "id", "used_cursor", target.alias("url"))
+    return found.union(others).withColumn("not_found", F.col("url").isNull())

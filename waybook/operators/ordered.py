@@ -1,20 +1,36 @@
 """Ordered operators that stay distributed when one key holds much of the data.
 
-A plain window sends a whole key to one task. Here the order axis is cut into
-segments: the window runs within ``(key, segment)``, one summary row per
-segment carries the state across, and both meet in an equi-join on the
-partitioning the rows already have. Ordinary keys have one segment.
+A window sends a whole key to one task. That is the best plan while every key is small,
+so the largest key is counted first. Beyond ``SEGMENT`` rows the rows are dealt to ranges
+of (key, order) of about equal counts, written once, and the window runs within
+``(key, range)``; one summary row per range carries the state on. Ranges follow the
+rank of the rows, so any order will do: dense numbers, microseconds or hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybook.sources.scratch import stage
+
 SEGMENT = 1 << 20
-_GROUP = 1 << 12
+
+
+def segmented(df: DataFrame, keys: Sequence[str], order: str, width: int = SEGMENT) -> DataFrame:
+    """The rows, with their range in ``_seg`` when a key has more than ``width`` rows.
+
+    Several ``running`` calls over the same keys and order share one such frame.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) <= width:
+        return df
+    ranges = df.repartitionByRange(-(-2 * total // width), *keys, order)
+    return stage(ranges.withColumn("_seg", F.spark_partition_id()), "ranges")
 
 
 def running(
@@ -23,66 +39,63 @@ def running(
     order: str,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    ahead: bool = False,
     width: int = SEGMENT,
 ) -> DataFrame:
-    """Add state over the strictly earlier rows of the key.
+    """Add state over the strictly earlier rows of the key, or the strictly later ones (``ahead``).
 
-    ``sums`` adds up a number, ``lasts`` keeps the latest non-null value.
-    ``keys`` must not be null; ``order`` is an integer column, unique in a key.
+    ``sums`` adds up a number, ``lasts`` keeps the nearest non-null value. ``order``
+    is unique in a key. A frame from ``segmented`` keeps its ranges.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     values = {**sums, **lasts}
-    parts = [*keys, "_seg"]
-    rows = df.withColumns(
-        {"_seg": F.expr(f"`{order}` div {width}"), **{f"_v_{n}": c for n, c in values.items()}}
-    )
-    earlier = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df if "_seg" in df.columns else segmented(df, keys, order, width)
+    hot = "_seg" in rows.columns
+    parts = [*keys, "_seg"] if hot else list(keys)
+    turn = F.desc if ahead else F.asc
+    rows = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
+    earlier = Window.partitionBy(*parts).orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns(
-        {f"_l_{n}": F.sum(f"_v_{n}").over(earlier) for n in sums}
+        {f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)) for n in sums}
         | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(earlier) for n in lasts}
     )
-    last_of = lambda n: F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order)))
-    totals = rows.groupBy(*parts).agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums], *[last_of(n).alias(f"_t_{n}") for n in lasts]
+    kept = [c for c in df.columns if c not in values]
+    if not hot:
+        return local.select(*kept, *[F.col(f"_l_{n}").alias(n) for n in values])
+    local = stage(local, "states")
+    nearest = F.min_by if ahead else F.max_by
+    totals = local.groupBy(*parts).agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[nearest(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_t_{n}") for n in lasts],
     )
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(turn("_seg")).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *parts,
-        *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
+        *[F.col(c).alias(f"_k_{c}") for c in parts],
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return local.join(carried, parts).select(
-        *[c for c in df.columns if c not in values],
-        *[(zero(f"_l_{n}") + zero(f"_c_{n}")).alias(n) for n in sums],
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in parts])
+    return local.join(carried, same).select(
+        *kept,
+        *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
         *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in lasts],
     )
 
 
 def indexed(df: DataFrame, order: str, name: str = "index", width: int = SEGMENT) -> DataFrame:
-    """0-based position by a unique integer column over the whole table, without a global sort.
+    """0-based position by a unique column over the whole table.
 
-    Rows are numbered inside segments; segment sizes are added up in two
-    levels, so the only single-task step sees one row per ``width * 4096``
-    order values.
+    A large table is numbered within its ranges; the only step in one task adds
+    up the counts of the ranges.
     """
-    rows = df.withColumn("_seg", F.expr(f"`{order}` div {width}"))
+    rows = segmented(df, [], order, width)
+    if "_seg" not in rows.columns:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+    before = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_seg").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_grp", F.expr(f"_seg div {_GROUP}"))
-    inside = Window.partitionBy("_grp").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(F.lit(0)).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
-    groups = sizes.groupBy("_grp").agg(F.sum("_n").alias("_n")).select("_grp", F.sum("_n").over(across).alias("_far"))
-    offsets = (
-        sizes.withColumn("_near", F.sum("_n").over(inside))
-        .join(groups, "_grp")
-        .select("_seg", (F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))).alias("_offset"))
-    )
+    offsets = sizes.select("_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy("_seg").orderBy(order)) - 1
-    return (
-        rows.withColumn("_local", local)
-        .join(offsets, "_seg")
-        .select(*df.columns, (F.col("_local") + F.col("_offset")).cast("bigint").alias(name))
-    )
+    return rows.withColumn("_local", local).join(offsets, "_seg").select(*df.columns, (F.col("_local") + F.col("_offset")).cast("bigint").alias(name))
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -93,31 +106,32 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def index_percentiles(
-    df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = (), width: int = SEGMENT
 ) -> DataFrame:
     """Exact element ``sorted(values)[int(n * p)]`` per group: columns ``by``, ``p``, ``value``.
 
-    Equal values are counted first, then binned by a monotone log scale
-    (0.1 % wide). Bin counts locate the bin of each rank and only the rows of
-    those bins are ordered, so no group is ever sorted as a whole.
+    Equal values are counted first. A group with many distinct values is cut into
+    ranges of about as many; range counts locate each rank, and only the rows of those
+    ranges are ordered.
     """
     by = list(by)
     v = F.col(value).cast("double")
     counts = df.where(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_bin", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * 1000))
+    ranged = segmented(counts, by, "_v", width)
+    counts = ranged if "_seg" in ranged.columns else counts.withColumn("_seg", F.lit(0))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    below = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_n"))
+    below = whole.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy(*by, "_seg").agg(F.sum("_n").alias("_n"))
     ranks = (
         bins.withColumns({"_below": F.coalesce(F.sum("_n").over(below), F.lit(0)), "_total": F.sum("_n").over(whole)})
         .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
         .withColumn("_rank", F.least(F.floor(F.col("_total") * F.col("p")), F.col("_total") - 1))
         .where((F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_n")))
-        .select(*by, "_bin", "p", (F.col("_rank") - F.col("_below")).alias("_rank"))
+        .select(*by, "_seg", "p", (F.col("_rank") - F.col("_below")).alias("_rank"))
     )
-    inside = Window.partitionBy(*by, "p", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "p", "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counts.join(ranks, [*by, "_bin"])
+        counts.join(ranks, [*by, "_seg"])
         .withColumn("_below", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .where((F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_n")))
         .select(*by, "p", F.col("_v").alias("value"))
@@ -125,14 +139,19 @@ def index_percentiles(
 
 
 def lookup(
-    rows: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = 8
+    rows: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", width: int = SEGMENT
 ) -> DataFrame:
     """Join rows whose key may be hot to a table with one row per key.
 
-    The rows of a key are spread over ``salts`` tasks by the ``spread``
-    columns and the table is repeated as often; small tables are still
-    broadcast when their measured size allows.
+    Keys with more than ``width`` rows are counted first. Their rows go to as many
+    tasks as they fill, dealt by the ``spread`` columns, and their table rows are
+    repeated as often; all other keys are joined as they are.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > width)
+    if hot.isEmpty():
+        return rows.join(table, list(on), how)
+    hot = stage(hot.select(*on, F.ceil(F.col("_n") / width).cast("int").alias("_salts")), "hot")  # at most one per `width` rows
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = rows.join(hot, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    copies = table.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waybook import constants as K
 from waybook.functions.strings import strip
-from waybook.operators.ordered import index_percentiles, last_per_key, running
+from waybook.operators.ordered import index_percentiles, last_per_key, running, segmented
 
 PARALLEL_RUNS = 32
 
@@ -210,7 +210,7 @@ def liveness(events: DataFrame, order: str, timeout_s: float = K.HEARTBEAT_TIMEO
     and so are heartbeats of a worker that never registered.
     """
     us = F.unix_micros("ts")
-    timed = events.withColumns({"_us": us, "_reg": F.col("kind") == "register", "_back": -F.col(order)})
+    timed = segmented(events.withColumns({"_us": us, "_reg": F.col("kind") == "register"}), ["worker_id"], order)
     seen = running(timed, ["worker_id"], order, lasts={"_prev": F.col("_us")})
     gap = F.col("_us") - F.col("_prev") > timeout_s * 1_000_000
     flagged = seen.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
@@ -222,7 +222,7 @@ def liveness(events: DataFrame, order: str, timeout_s: float = K.HEARTBEAT_TIMEO
     lives = running(gaps, ["worker_id"], order, lasts={"_base": F.when(F.col("_reg"), F.col("_gaps"))})
     alive = F.col("_reg") | F.coalesce(F.col("_gaps") == F.col("_base"), F.lit(False))
     judged = lives.withColumn("accepted", alive)
-    ahead = running(judged, ["worker_id"], "_back", lasts={"_next": F.col("_us")})
+    ahead = running(judged, ["worker_id"], order, lasts={"_next": F.col("_us")}, ahead=True)
     until = F.coalesce("_next", F.unix_micros(as_of) if as_of is not None else F.lit(None).cast("bigint"))
     silent = F.col("accepted") & (until - F.col("_us") > timeout_s * 1_000_000)
     return ahead.select(
@@ -240,7 +240,7 @@ def worker_lives(events: DataFrame, order: str, timeout_s: float = K.HEARTBEAT_T
     span is a partial aggregate, so a worker with most of the events is not
     one task's work.
     """
-    timed = events.withColumn("_us", F.unix_micros("ts"))
+    timed = segmented(events.withColumn("_us", F.unix_micros("ts")), ["worker_id"], order)
     seen = running(timed, ["worker_id"], order, lasts={"_prev": F.col("_us")})
     gap = F.coalesce(F.col("_us") - F.col("_prev") > timeout_s * 1_000_000, F.lit(False)).cast("int")
     numbered = running(seen.withColumn("_gap", gap), ["worker_id"], order, sums={"_before": F.col("_gap")})
