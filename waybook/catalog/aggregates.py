@@ -39,14 +39,13 @@ def e2_summary(spark, sf):
 @query(
     "e3_answers",
     f"""WITH {JUDGED_SQL}
-    SELECT qid, traj_idx // 4096 AS part,
-           string_agg(traj_idx || '=' || correct::VARCHAR, ',' ORDER BY traj_idx) AS answers
-    FROM judged GROUP BY 1, 2""",
+    SELECT qid, string_agg(traj_idx || '=' || correct::VARCHAR, ',' ORDER BY traj_idx) AS answers
+    FROM judged GROUP BY 1""",
 )
 def e3_answers(spark, sf):
     nested = score.answers(judged(spark, sf).withColumn("correct", F.coalesce("correct", F.lit(False))), fields=["correct"])
     items = F.transform("answers", lambda a: F.concat(a["traj_idx"].cast("string"), F.lit("="), a["correct"].cast("string")))
-    return nested.select("qid", "part", F.array_join(items, ",").alias("answers"))
+    return nested.select("qid", F.array_join(items, ",").alias("answers"))
 
 
 @query(

@@ -28,13 +28,13 @@ _ROLE_SQL = """CASE WHEN role = 'assistant' AND conv_id % 3 = 0 AND turn < 3 THE
 
 @query(
     "h1_packed",
-    f"""SELECT conv_id AS traj, 0 AS part, string_agg({_ROLE_SQL} || ':' || length(text), ',' ORDER BY turn) AS turns, count(*)::INT AS n
+    f"""SELECT conv_id AS traj, string_agg({_ROLE_SQL} || ':' || length(text), ',' ORDER BY turn) AS turns, count(*)::INT AS n
     FROM conversations GROUP BY 1""",
 )
 def h1_packed(spark, sf):
     packed = conversation.pack(spoken(spark, sf), ["traj"])
     shown = F.transform("conversations", lambda t: F.concat(t["from"], F.lit(":"), F.length(t["value"]).cast("string")))
-    return packed.select("traj", F.col("part").cast("int").alias("part"), F.array_join(shown, ",").alias("turns"), F.size("conversations").alias("n"))
+    return packed.select("traj", F.array_join(shown, ",").alias("turns"), F.size("conversations").alias("n"))
 
 
 @query(
@@ -108,7 +108,7 @@ def h3_alternation_records(spark, sf):
 
 @query(
     "h4_function_calls",
-    """SELECT conv_id AS traj, turn AS pos, CASE WHEN turn % 2 = 0 THEN '<think>' || chr(10) || left(text, 40) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END
+    """SELECT conv_id AS traj, turn AS pos, CASE WHEN turn % 2 = 0 THEN '<think>' || chr(10) || text || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END
       || '<tool_call>' || chr(10) || '[{"name": "web_search", "arguments": {"query": ' || to_json(text)::VARCHAR || ', "topn": ' || turn || '}}]' || chr(10) || '</tool_call>' AS value
     FROM conversations""",
 )
@@ -116,7 +116,7 @@ def h4_function_calls(spark, sf):
     from waybook.functions.strings import json_text
 
     args = F.concat(calls.one_arg("query", json_text(F.col("content"))), calls.one_arg("topn", F.col("pos").cast("string")))
-    thinking = F.when(F.col("pos") % 2 == 0, F.left("content", F.lit(40))).otherwise("")
+    thinking = F.when(F.col("pos") % 2 == 0, F.col("content")).otherwise("")
     return turns(spark, sf).select("traj", "pos", conversation.function_call(F.lit("web_search"), args, thinking).alias("value"))
 
 

@@ -71,24 +71,24 @@ def c5_banned_and_blocked(spark, sf):
 
 @query(
     "c6_unblocked_records",
-    r"""SELECT page_id, url FROM pages WHERE NOT contains(lower(regexp_extract(html, '<title>([^<]*)', 1) || ' ' || url || ' ' || left(html, 40)), 'example.net')
-      AND NOT contains(lower(regexp_extract(html, '<title>([^<]*)', 1) || ' ' || url || ' ' || left(html, 40)), 'tion')""",
+    r"""SELECT page_id, url FROM pages WHERE NOT contains(lower(regexp_extract(html, '<title>([^<]*)', 1) || ' ' || url || ' ' || html), 'example.net')
+      AND NOT contains(lower(regexp_extract(html, '<title>([^<]*)', 1) || ' ' || url || ' ' || html), 'ouonthe')""",
 )
 def c6_unblocked_records(spark, sf):
     rows = table(spark, sf, "pages").select(
-        "page_id", "url", F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), F.left("html", F.lit(40)).alias("summary")
+        "page_id", "url", F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), F.col("html").alias("summary")
     )
-    return select.unblocked_records(rows, [" Example.NET ", "", "  ", "TION"]).select("page_id", "url")
+    return select.unblocked_records(rows, [" Example.NET ", "", "  ", "OUONTHE"]).select("page_id", "url")
 
 
 @query(
     "c7_ranked_results",
     """SELECT doc_id, i::INT AS rank, url FROM (
-      SELECT doc_id, unnest(w) AS url, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(text, ' ')[1:12] AS w FROM documents))
+      SELECT doc_id, unnest(w) AS url, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))
     WHERE url <> '' AND NOT starts_with(url, 'th')""",
 )
 def c7_ranked_results(spark, sf):
-    words = F.slice(F.split("text", " "), 1, 12)
+    words = F.split("text", " ")
     results = F.transform(words, lambda w: F.struct(F.when(~w.startswith("th"), w).alias("url")))
     rows = table(spark, sf, "documents").select("doc_id", results.alias("results"))
     return select.ranked_results(rows, "results").select("doc_id", "rank", "url")
@@ -96,11 +96,11 @@ def c7_ranked_results(spark, sf):
 
 @query(
     "c8_renumbered_hits",
-    """WITH w AS (SELECT doc_id, list_filter(string_split(text, ' ')[1:12], lambda x: NOT contains(x, 'th'))[1:5] AS l FROM documents)
+    """WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: NOT contains(x, 'th'))[1:5] AS l FROM documents)
     SELECT doc_id, generate_subscripts(l, 1)::INT AS id, unnest(l) AS url FROM w""",
 )
 def c8_renumbered_hits(spark, sf):
-    organic = F.transform(F.slice(F.split("text", " "), 1, 12), lambda w: F.struct(w.alias("link"), F.lit("t").alias("title")))
+    organic = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("link"), F.lit("t").alias("title")))
     payload = F.to_json(F.struct(organic.alias("organic")))
     rows = table(spark, sf, "documents").select("doc_id", payload.alias("payload"))
     return rows.select("doc_id", F.inline(search_hits(F.col("payload"), 5, ["th"]))).select("doc_id", "id", "url")

@@ -100,12 +100,12 @@ def e21_accounting(spark, sf):
 @query(
     "j1_records",
     f"""WITH {_J1}, c AS (SELECT r.id, count(*) FILTER (role = 'assistant' AND pos < last) AS calls, count(*) AS n FROM r JOIN ok USING (id) WHERE valid GROUP BY 1)
-    SELECT id, 0::BIGINT AS part, (c.n + 1 + (sys IS NOT NULL)::INT + open_end::INT)::INT AS turns, CASE WHEN calls > 0 THEN '[{{"name": "web_search"}}]' ELSE '' END AS tools
+    SELECT id, (c.n + 1 + (sys IS NOT NULL)::INT + open_end::INT)::INT AS turns, CASE WHEN calls > 0 THEN '[{{"name": "web_search"}}]' ELSE '' END AS tools
     FROM c JOIN acc USING (id) JOIN ok USING (id)""",
 )
 def j1_records(spark, sf):
     packed = _native(spark, sf).records()
-    return packed.select("id", "part", F.size("conversations").alias("turns"), "tools")
+    return packed.select("id", F.size("conversations").alias("turns"), "tools")
 
 
 def _foreign(spark, sf):
@@ -171,6 +171,14 @@ def _keyed(spark, sf):
     UNION ALL SELECT 'q' || (id // 3), id, last_pos + 1, 'gpt', '' FROM g WHERE open_end""",
 )
 def j3_channel_conversations(spark, sf):
+    return _channel(spark, sf).turns
+
+
+_TWO = {"web_search": '{"name": "web_search"}', "open_url": '{"name": "open_url"}'}
+_KEYED_RECORDS = """SELECT 'q' || (id // 3) || '_' || id AS id, (n + 1 + open_end::INT)::INT AS turns, '[{"name": "web_search"}, {"name": "open_url"}]' AS tools FROM g"""
+
+
+def _channel(spark, sf):
     records, rows, judged_rows = _keyed(spark, sf)
     called = (F.col("role") == "assistant") & ~F.col("last")
     content = (
@@ -183,7 +191,7 @@ def j3_channel_conversations(spark, sf):
         "qid", "traj_idx", "pos", "role", content.alias("content"), F.when(called, "browser.search").alias("tool"), args.alias("args"),
         F.lit(None).cast("string").alias("final_answer"),
     )
-    return jobs.channel_conversations(records, shaped, "You search.", 2, judged_rows).turns
+    return jobs.channel_conversations(records, shaped, "You search.", 2, judged_rows, _TWO)
 
 
 @query(
@@ -199,10 +207,53 @@ def j3_channel_conversations(spark, sf):
     UNION ALL SELECT 'q' || (id // 3), id, last_pos + 1, 'gpt', '' FROM g WHERE open_end""",
 )
 def j4_selfplay_conversations(spark, sf):
+    return _selfplay(spark, sf).turns
+
+
+def _selfplay(spark, sf):
     records, rows, judged_rows = _keyed(spark, sf)
     content = F.regexp_replace(_tagged(_lit(F.col("content"), "</think>ok")), r"\A<think>\n", "")
     shaped = rows.select("qid", "traj_idx", "pos", "role", content.alias("content"))
-    return jobs.selfplay_conversations(records, shaped, judged_rows, "You search.", 2).turns
+    return jobs.selfplay_conversations(records, shaped, judged_rows, "You search.", 2, _TWO)
+
+
+def _shown(conversion):
+    return conversion.records().select("id", F.size("conversations").alias("turns"), "tools")
+
+
+@query(
+    "j2_records",
+    f"""WITH {_BASE}, acc AS (SELECT * FROM rec WHERE id % 5 <> 0 AND id % 4 >= 1 AND n * 100 <= 500),
+    x AS (SELECT * FROM r WHERE id IN (SELECT id FROM acc) AND NOT (id % 11 = 3 AND role = 'assistant' AND pos < last)), {_VALID.format(rows='x')}
+    SELECT id, (count(*) + 2 + any_value(open_end)::INT)::INT AS turns, CASE WHEN bool_or(role = 'assistant' AND pos < last) THEN '[{{"name": "web_search"}}]' ELSE '' END AS tools
+    FROM x JOIN (SELECT id, valid, open_end FROM ok) o USING (id) WHERE valid GROUP BY id""",
+)
+def j2_records(spark, sf):
+    return _shown(_foreign(spark, sf))
+
+
+@query(
+    "j3_records",
+    f"""WITH {_BASE}, acc AS (SELECT * FROM rec WHERE id % 9 <> 0 AND n > 0 AND id % 4 <= 2 AND (id % 5 = 0 OR id % 8 = 0)),
+    x AS (SELECT * FROM r WHERE id IN (SELECT id FROM acc)), o AS (SELECT id, role, pos FROM x UNION ALL SELECT id, 'user', -1 FROM acc),
+    sh AS (SELECT id, role, pos, lag(role, 1, 'none') OVER (PARTITION BY id ORDER BY pos) AS prev FROM o),
+    ok AS (SELECT id, bool_and(role <> prev) AS valid, arg_max(role, pos) = 'user' AS open_end, count(*) AS n FROM sh GROUP BY id),
+    g AS (SELECT * FROM ok WHERE valid AND n >= 2) {_KEYED_RECORDS}""",
+)
+def j3_records(spark, sf):
+    return _shown(_channel(spark, sf))
+
+
+@query(
+    "j4_records",
+    f"""WITH {_BASE}, acc AS (SELECT * FROM rec WHERE n > 0 AND id % 4 <= 2 AND id // 3 IN (SELECT id // 3 FROM rec WHERE id % 5 = 0 OR id % 8 = 0)),
+    x AS (SELECT * FROM r WHERE id IN (SELECT id FROM acc)), o AS (SELECT id, role, pos FROM x UNION ALL SELECT id, 'user', -1 FROM acc),
+    sh AS (SELECT id, role, pos, lag(role, 1, 'none') OVER (PARTITION BY id ORDER BY pos) AS prev FROM o),
+    ok AS (SELECT id, bool_and(role <> prev) AS valid, arg_max(role, pos) = 'user' AS open_end, count(*) AS n FROM sh GROUP BY id),
+    g AS (SELECT * FROM ok WHERE valid AND n >= 2) {_KEYED_RECORDS}""",
+)
+def j4_records(spark, sf):
+    return _shown(_selfplay(spark, sf))
 
 
 def _log(spark, sf):
@@ -321,6 +372,19 @@ def j8_progress(spark, sf):
     return out.select("n", "questions", "attempts", "boxed", "errors", "target", "target_questions", r6("eta_min").alias("eta_min"))
 
 
+@query(
+    "j8_accuracy",
+    f"""WITH {JUDGED_SQL}, a AS (SELECT qid, CASE WHEN correct THEN 'It is ' || upper(source) || '.' WHEN traj_idx % 6 = 0 THEN '' ELSE 'none' END AS answer, source FROM judged),
+    m AS (SELECT qid, answer <> '' AND contains(replace(lower(answer), ' ', ''), lower(source)) AS ok FROM a),
+    q AS (SELECT qid, count(*) AS n, sum(ok::INT) AS c FROM m GROUP BY 1)
+    SELECT count(*) AS num_questions, CAST(sum(n) AS BIGINT) AS total_trajectories, CAST(sum(c) AS BIGINT) AS correct_trajectories, count(*) FILTER (c > 0) AS passed,
+      round(avg((c > 0)::INT), 6) AS pass_at_k, round(sum(c) / sum(n), 6) AS trajectory_accuracy FROM q""",
+)
+def j8_accuracy(spark, sf):
+    out = jobs.accuracy_estimate(_log(spark, sf).where("line_no = 1")).drop("avg_at_k")
+    return out.withColumns({c: r6(c) for c in ("pass_at_k", "trajectory_accuracy")})
+
+
 @query(
     "j9_load_report",
     """WITH s AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type <> 'error')
@@ -351,13 +415,13 @@ def _labelled_samples(spark, sf):
 
 @query(
     "j11_work_plan",
-    """WITH q AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang <> 'en'),
+    """WITH q AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
     p AS (SELECT doc_id, a::INT AS traj_idx FROM q, range(3) r(a) WHERE i < 300 AND i % 4 = 2)
     SELECT doc_id::VARCHAR AS qid, traj_idx, doc_id || '__traj' || traj_idx AS request_qid FROM p
     WHERE (doc_id, traj_idx) NOT IN (SELECT doc_id, toxic FROM labels)""",
 )
 def j11_work_plan(spark, sf):
-    questions = table(spark, sf, "documents").where("lang <> 'en'").selectExpr("doc_id", "string(doc_id) AS qid")
+    questions = table(spark, sf, "documents").selectExpr("doc_id", "string(doc_id) AS qid")
     done = table(spark, sf, "labels").selectExpr("string(doc_id) AS qid", "toxic AS traj_idx")
     return jobs.work_plan(questions, done, 3, "doc_id", 2, 4, 300).drop("doc_id")
 

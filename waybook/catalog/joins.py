@@ -98,10 +98,10 @@ DEFINITIONS = {"view": '{"name": "view"}', "click": '{"name": "click"}', "error"
 @query(
     "d8_used_tools",
     """SELECT user_id AS traj, '[' || string_agg(DISTINCT '{"name": "' || event_type || '"}', ', ' ORDER BY '{"name": "' || event_type || '"}') || ']' AS tools
-    FROM events WHERE event_type IN ('view', 'click', 'error') AND (event_id + user_id) % 17 = 0 GROUP BY 1""",
+    FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY 1""",
 )
 def d8_used_tools(spark, sf):
-    return used_tools(calls(spark, sf).where("(seq + traj) % 17 = 0"), ["traj"], "tool", DEFINITIONS)
+    return used_tools(calls(spark, sf), ["traj"], "tool", DEFINITIONS)
 
 
 def _browser_calls(spark, sf):

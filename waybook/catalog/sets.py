@@ -37,10 +37,10 @@ def g2_first_matches(spark, sf):
     "g3_author_lists",
     """SELECT doc_id, array_to_string(w[1:4], ', ') || CASE WHEN len(w) > 4 THEN ' et al.' ELSE '' END AS authors,
       array_to_string(w[1:3], ', ') || CASE WHEN len(w) > 3 THEN ' et al.' ELSE '' END AS snippet_authors
-    FROM (SELECT doc_id, string_split(text, ' ')[1:(doc_id % 7)] AS w FROM documents)""",
+    FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""",
 )
 def g3_author_lists(spark, sf):
-    words = F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 7).cast("int"))
+    words = F.split("text", " ")
     rows = table(spark, sf, "documents").select("doc_id", words.alias("w"))
     return rows.select("doc_id", first_names(F.col("w"), 4).alias("authors"), first_names(F.col("w"), 3).alias("snippet_authors"))
 
@@ -65,13 +65,13 @@ def g5_except_keys(spark, sf):
 @query(
     "g6_merged_search",
     """WITH q AS (SELECT doc_id, unnest([1, 2, 3]) AS qn, text FROM documents),
-    r AS (SELECT doc_id, qn, unnest(string_split(text, ' ')[1:((doc_id + qn) % 4)]) AS url,
-            generate_subscripts(string_split(text, ' ')[1:((doc_id + qn) % 4)], 1) AS rank FROM q)
+    r AS (SELECT doc_id, qn, unnest(string_split(text, ' ')) AS url,
+            generate_subscripts(string_split(text, ' '), 1) AS rank FROM q WHERE (doc_id + qn) % 4 > 0)
     SELECT doc_id AS request, 'q1 | q2 | q3' AS title, string_agg(qn || '.' || rank || '=' || url, ' ' ORDER BY qn, rank) AS hits FROM r GROUP BY 1""",
 )
 def g6_merged_search(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("qn"), "text")
-    words = F.slice(F.split("text", " "), F.lit(1), ((F.col("doc_id") + F.col("qn")) % 4).cast("int"))
+    words = F.when((F.col("doc_id") + F.col("qn")) % 4 > 0, F.split("text", " "))
     results = F.transform(words, lambda w, i: F.struct((i + 1).alias("rank"), w.alias("url")))
     searches = docs.select(F.col("doc_id").alias("request"), "qn", F.concat(F.lit("q"), F.col("qn").cast("string")).alias("query"), results.alias("results"))
     merged = merge_searches(searches, "request", "qn").where(F.size("results") > 0)
@@ -81,8 +81,8 @@ def g6_merged_search(spark, sf):
 
 @query(
     "g1_status_by_tool",
-    "SELECT event_type AS tool, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1 ORDER BY n DESC, tool LIMIT 3",
+    "SELECT event_type AS tool, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, tool LIMIT 3",
 )
 def g1_status_by_tool(spark, sf):
-    used = select.valid_tools(calls(spark, sf).where("traj % 2 = 0"), "tool", ["view", "signup", "click", "error", "purchase"])
+    used = select.valid_tools(calls(spark, sf), "tool", ["view", "signup", "click", "error", "purchase"])
     return score.most_common(score.counts(used, "tool"), "tool", 3).drop("share")

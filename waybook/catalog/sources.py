@@ -132,7 +132,7 @@ def b2_conversation_dataset(spark, sf):
     rows = turns(spark, sf).select("traj", "pos", F.col("role").alias("from"), F.col("content").alias("value"))
     path = scratch.folder(spark, "dataset")
     tables.write_conversations(conversation.pack(rows, ["traj"]), path)
-    read = spark.read.schema("traj bigint, part bigint, conversations array<struct<from:string,value:string>>, tools string").json(path)
+    read = spark.read.schema("traj bigint, conversations array<struct<from:string,value:string>>, tools string").json(path)
     chars = F.aggregate("conversations", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t["value"]))
     return read.select("traj", F.size("conversations").alias("n"), chars.alias("chars"), "tools")
 

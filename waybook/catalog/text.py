@@ -33,6 +33,11 @@ def _pick(by, *branches):
     return out
 
 
+def _words():
+    """The letters of the whole text, words one blank apart."""
+    return F.trim(F.regexp_replace("text", r"[^A-Za-z]+", " "))
+
+
 def _lit(*parts):
     return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
 
@@ -40,10 +45,10 @@ def _lit(*parts):
 @query(
     "i1_boxed_first",
     r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN w WHEN 2 THEN 'x' || w || ' y' WHEN 3 THEN '1,000 ' || w WHEN 4 THEN w || ' z' ELSE w END AS boxed
-    FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)""",
+    FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM documents)""",
 )
 def i1_boxed_first(spark, sf):
-    w = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    w = _words()
     text = _pick(
         F.col("doc_id"), F.col("text"), _lit("so \\boxed{", w, "} and \\boxed{no}"), _lit("\\boxed{x\\text{", w, "}\\,y}"),
         _lit("\\boxed{1{,}000\\;", w, "}"), _lit("\\boxed{ \\textrm{", w, "}  z }"), _lit("a \\boxed{{", w, "}} b"),
@@ -54,10 +59,10 @@ def i1_boxed_first(spark, sf):
 @query(
     "i2_boxed_last",
     r"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN w WHEN 2 THEN '{a{' || w || '}}' WHEN 3 THEN w || ' \} open' WHEN 4 THEN '' WHEN 5 THEN w ELSE '{' || w || '} rest {' END AS boxed
-    FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)""",
+    FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM documents)""",
 )
 def i2_boxed_last(spark, sf):
-    w = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    w = _words()
     text = _pick(
         F.col("doc_id"), F.col("text"), _lit("\\boxed{no} then \\boxed {", w, "}."), _lit("\\boxed{{a{", w, "}}}"),
         _lit("\\boxed{", w, " \\} open"), _lit("\\boxed{", w, "} \\boxed{unknown}"), _lit("\\boxedx{no} \\boxed{", w, "} \\boxed no"),
@@ -181,7 +186,7 @@ def i8_tagged_or_json_calls(spark, sf):
     f"""SELECT doc_id, CASE WHEN b = 9 THEN NULL WHEN b < 3 THEN 'python' WHEN b = 3 THEN 'functions' ELSE 'browser' END AS namespace,
       CASE WHEN b = 9 THEN NULL WHEN b < 3 THEN 'execute' WHEN b = 3 THEN 'paper_search' WHEN b = 7 THEN 'open' ELSE 'search' END AS tool,
       CASE WHEN b < 3 THEN t END AS code, CASE WHEN b BETWEEN 3 AND 6 THEN t WHEN b = 8 THEN w END AS query, CASE WHEN b = 7 THEN doc_id::VARCHAR END AS id
-    FROM (SELECT doc_id, doc_id % 10 AS b, {_T} AS t, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)""",
+    FROM (SELECT doc_id, doc_id % 10 AS b, {_T} AS t, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM documents)""",
 )
 def i9_channel_calls(spark, sf):
     t = strings.strip(F.col("text"))
@@ -197,7 +202,7 @@ def i9_channel_calls(spark, sf):
         _lit("to=browser.search ", json, " so"),
         _lit("to=browser.search<|message|>", quoted, "<|end|>"),
         _lit("to=browser.open<|message|>{\"id\": ", F.col("doc_id").cast("string"), ", broken"),
-        _lit("to=browser.search<|message|>{\"query\": \"", F.regexp_extract("text", r"[A-Za-z]+", 0), "\", oops}"),
+        _lit("to=browser.search<|message|>{\"query\": \"", _words(), "\", oops}"),
         _lit("to=nowhere ", t),
     )
     rows = _docs(spark, sf).select("doc_id", text.alias("raw")).select("doc_id", wire.channel_call(F.col("raw")).alias("c"))
@@ -209,10 +214,10 @@ def i9_channel_calls(spark, sf):
     "i10_keyword_calls",
     r"""SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 'search_papers_by_relevance' END AS name,
       CASE doc_id % 4 WHEN 0 THEN '{"query": "' || w || ' b", "limit": ' || doc_id || '}' WHEN 1 THEN '{"query": ' || doc_id || ', "year": null}' WHEN 2 THEN '{"q": "last"}' END AS args
-    FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)""",
+    FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM documents)""",
 )
 def i10_keyword_calls(spark, sf):
-    w, n = F.regexp_extract("text", r"[A-Za-z]+", 0), F.col("doc_id").cast("string")
+    w, n = _words(), F.col("doc_id").cast("string")
     text = _pick(
         F.col("doc_id"), _lit(" search_papers_by_relevance(query='", w, " b', limit=", n, ")\n"),
         _lit("search_papers_by_relevance(query=\"", n, "\", year='')"), _lit("search_papers_by_relevance(q='", w, "', q = \"last\")"),
@@ -227,10 +232,10 @@ def i10_keyword_calls(spark, sf):
     r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'web_search' WHEN 1 THEN 'open_url' WHEN 2 THEN 'paper_search' ELSE 'other_tool' END AS tool,
       CASE doc_id % 4 WHEN 0 THEN '{"query": "' || w || '", "topn": 7}' WHEN 1 THEN '{"id": "' || w || '"}'
         WHEN 2 THEN '{"query": "' || w || '", "limit": 3, "year": "2020-", "fields_of_study": "Biology"}' ELSE '{"query": "' || w || '", "num_results": 7}' END AS args
-    FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)""",
+    FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM documents)""",
 )
 def i11_foreign_args(spark, sf):
-    w = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    w = _words()
     text = _pick(
         F.col("doc_id"), _lit("serper_google_webpage_search(query='", w, "', num_results=7)"), _lit("serper_fetch_webpage_content(query='", w, "')"),
         _lit("search_papers_by_relevance(query='", w, "', limit=3, year='2020-', fieldsOfStudy='Biology')"), _lit("other_tool(query='", w, "', num_results=7)"),
@@ -243,10 +248,10 @@ def i11_foreign_args(spark, sf):
 @query(
     "i12_cleaned_args",
     r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"query": "' || w || '"}' WHEN 1 THEN '{"id": "' || w || '", "loc": 5}' WHEN 2 THEN '{"query": "' || w || '", "topn": 3}' ELSE '{"any": "' || w || '", "x": 10}' END AS args
-    FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)""",
+    FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM documents)""",
 )
 def i12_cleaned_args(spark, sf):
-    w = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    w = _words()
     by = F.col("doc_id")
     tool = _pick(by, F.lit("web_search"), F.lit("open_url"), F.lit("web_search"), F.lit("custom"))
     json = _pick(
@@ -425,10 +430,10 @@ def i20_papers_text(spark, sf):
     "i21_articles",
     """SELECT doc_id, doc_id::VARCHAR AS pmid, 'On ' || lang || ' words' AS title, left('AIM: ' || t || ' ' || t, 600) || CASE WHEN length('AIM: ' || t || ' ' || t) > 600 THEN '...' ELSE '' END AS abstract,
       'A One, B Two' AS authors, 'J ' || source AS journal, '1999' AS year
-    FROM (SELECT *, trim(regexp_replace(left(text, 300), '[^A-Za-z]+', ' ', 'g')) AS t FROM documents)""",
+    FROM (SELECT *, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM documents)""",
 )
 def i21_articles(spark, sf):
-    t = F.trim(F.regexp_replace(F.left("text", F.lit(300)), r"[^A-Za-z]+", " "))
+    t = _words()
     author = lambda last, fore: f"<Author><LastName>{last}</LastName><ForeName>{fore}</ForeName></Author>"
     xml = _lit(
         "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>", F.col("doc_id").cast("string"), "</PMID><Article><Journal><JournalIssue><PubDate><Year>1999</Year></PubDate></JournalIssue><Title>J ",
@@ -442,10 +447,10 @@ def i21_articles(spark, sf):
 
 @query(
     "i22_token_estimates",
-    "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE greatest(1, length(left(text, doc_id % 9)) // 4) END::INT AS padded, (length(text) // 4)::INT AS plain FROM documents",
+    "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE greatest(1, length(text) // 4) END::INT AS padded, (length(text) // 4)::INT AS plain FROM documents",
 )
 def i22_token_estimates(spark, sf):
-    short = F.when(F.col("doc_id") % 10 != 0, F.expr("left(text, int(doc_id % 9))"))
+    short = F.when(F.col("doc_id") % 10 != 0, F.col("text"))
     return _docs(spark, sf).select("doc_id", strings.tokens_at_least_one(short).alias("padded"), strings.quarter(F.col("text")).alias("plain"))
 
 
@@ -577,10 +582,10 @@ def i32_safe_ints(spark, sf):
     "i33_repaired_args",
     r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'tool-python' ELSE 'srv' END AS server, CASE doc_id % 3 WHEN 0 THEN 'run_python_code' WHEN 1 THEN 'scrape_and_extract_info' ELSE 'google_search' END AS tool,
       CASE doc_id % 3 WHEN 0 THEN '{"code_block": "' || w || '", "sandbox_id": "default"}' WHEN 1 THEN '{"url": "u", "info_to_extract": "' || w || '"}' ELSE '{"description": "' || w || '"}' END AS args
-    FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)""",
+    FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM documents)""",
 )
 def i33_repaired_args(spark, sf):
-    w = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    w = _words()
     tool = _pick(F.col("doc_id"), F.lit("python_code"), F.lit("scrape_and_extract_info"), F.lit("google_search"))
     json = _pick(F.col("doc_id"), _lit('{"code": "', w, '"}'), _lit('{"url": "u", "introduction": "', w, '"}'), _lit('{"description": "', w, '"}'))
     rows = _docs(spark, sf).select("doc_id", tool.alias("t"), wire.object_args(json).alias("a"))

@@ -64,11 +64,11 @@ def f5_prompt_sizes(spark, sf):
 
 @query(
     "f5_prompt_parts",
-    "SELECT conv_id AS traj, turn // 4 AS part, string_agg('<' || role || '>' || text, '' ORDER BY turn) AS prompt FROM conversations WHERE turn <= 5 GROUP BY 1, 2",
+    "SELECT conv_id AS traj, string_agg('<' || role || '>' || text, '' ORDER BY turn) AS prompt FROM conversations WHERE turn <= 5 GROUP BY 1",
 )
 def f5_prompt_parts(spark, sf):
     rendered = F.concat(F.lit("<"), F.col("role"), F.lit(">"), F.col("content"))
-    return context.prompt_parts(turns(spark, sf), ["traj"], "pos", rendered, F.lit(5), part=4)
+    return context.prompts(turns(spark, sf), ["traj"], "pos", rendered, F.lit(5))
 
 
 @query(
@@ -118,15 +118,15 @@ def f8_number_calls(spark, sf):
     return context.number_calls(calls(spark, sf), ["traj"], "seq", 50).select("traj", "seq", "round", "at_limit")
 
 
-@query("f9_shard", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang = 'en') WHERE i % 4 = 1")
+@query("f9_shard", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 4 = 1")
 def f9_shard(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id")
     return plan.shard(docs, "doc_id", 1, 4)
 
 
-@query("f10_head", "SELECT doc_id, lang FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 100")
+@query("f10_head", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100")
 def f10_head(spark, sf):
-    return plan.head(table(spark, sf, "documents").where("lang <> 'en'").select("doc_id", "lang"), "doc_id", 100)
+    return plan.head(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 100)
 
 
 @query(
@@ -150,12 +150,12 @@ def f12_require_unique(spark, sf):
 @query(
     "f13_fallback_answers",
     """WITH b AS (SELECT conv_id AS traj, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS final,
-        CASE WHEN turn % 3 = 1 THEN left(text, 6) ELSE '' END AS box FROM conversations)
+        CASE WHEN turn % 3 = 1 THEN trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) ELSE '' END AS box FROM conversations)
     SELECT traj, coalesce(max(box) FILTER (final AND trim(box) <> ''), arg_max(trim(box), turn) FILTER (NOT final AND trim(box) <> ''), '') AS boxed_answer
     FROM (SELECT traj, turn, final, trim(box, E' \\n') AS box FROM b) GROUP BY 1""",
 )
 def f13_fallback_answers(spark, sf):
-    boxed = F.when(F.col("pos") % 3 == 1, F.concat(F.lit("so \\boxed{"), F.left("content", F.lit(6)), F.lit("}"))).otherwise("none")
+    boxed = F.when(F.col("pos") % 3 == 1, F.concat(F.lit("so \\boxed{"), F.trim(F.regexp_replace("content", r"[^A-Za-z]+", " ")), F.lit("}"))).otherwise("none")
     last = turns(spark, sf).groupBy("traj").agg(F.max("pos").alias("last"))
     steps = turns(spark, sf).withColumn("boxed", boxed_last(boxed)).join(last, "traj")
     return context.fallback_answers(steps, ["traj"], "pos", "boxed", F.col("pos") == F.col("last"))

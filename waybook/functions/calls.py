@@ -17,7 +17,6 @@ from waybook import constants as K
 from waybook.functions.answers import THINK
 from waybook.functions.strings import (
     is_json,
-    is_object,
     json_or_text,
     json_text,
     let,
@@ -69,17 +68,11 @@ def last_wins(args: Column) -> Column:
 
 
 def object_args(json: Column) -> Column:
-    """Arguments of a JSON object in document order, null when it is none."""
+    """Arguments of a JSON object in document order, null when it is none; of a repeated key the last value counts."""
 
     def entries(j: Column) -> Column:
-        def of(v: Column) -> Column:
-            values = F.try_variant_get(v, "$", "map<string,variant>")
-            listed = let(
-                values, lambda m: F.transform(F.json_object_keys(j), lambda k: _pair(k, F.to_json(F.element_at(m, k))))
-            )
-            return F.when(is_object(v), listed)
-
-        return let(parsed(j), of)
+        read = F.map_entries(F.from_json(F.when(is_json(j), j), "map<string,variant>", {"allowSingleQuotes": "false"}))
+        return last_wins(F.transform(read, lambda e: _pair(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null")))))
 
     return let(json, entries)
 
@@ -151,11 +144,10 @@ def tagged_or_json_call(c: Column) -> Column:
 
     def by_json(body: Column) -> Column:
         def of(v: Column) -> Column:
-            name = F.coalesce(F.try_variant_get(v, "$.name", "string"), F.lit(""))
-            args = F.get_json_object(body, "$.arguments")
-            return F.when(is_object(v), routed(name, F.coalesce(object_args(args), no_args())))
+            return routed(F.coalesce(v["name"], F.lit("")), F.coalesce(object_args(v["arguments"]), no_args()))
 
-        return let(parsed(body), of)
+        whole = F.when(is_json(body) & strip(body).startswith("{"), body)
+        return F.when(whole.isNotNull(), let(F.from_json(whole, "name string, arguments string", {"allowSingleQuotes": "false"}), of))
 
     tagged = let(tagged_call(c), lambda t: F.when(t.isNotNull(), routed(t["name"], t["args"])))
     body = F.when(F.regexp_like(c, F.lit(TAGGED_JSON_CALL)), F.regexp_extract(c, TAGGED_JSON_CALL, 1))

@@ -89,7 +89,7 @@ def _literal_text(text: str) -> str | None:
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return None
     if isinstance(value, dict) and "text" in value:
-        return str(value["text"])
+        return NO_OUTPUT if value["text"] is None else str(value["text"])
     return None
 
 

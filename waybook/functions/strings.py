@@ -92,6 +92,9 @@ def json_text(c: Column) -> Column:
     return let(F.to_json(F.array(c)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
 
 
+_STRICT = {"allowSingleQuotes": "false"}
+
+
 def _as_item(c: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
 
@@ -101,12 +104,14 @@ def _as_value(c: Column) -> Column:
 
 
 def is_json(c: Column) -> Column:
-    """Whether the whole text is one JSON value.
+    """Whether the whole text is one JSON value; repeated keys, ``NaN`` and any length are allowed.
 
-    ``try_parse_json`` ignores whatever follows the first value. Only a single
-    value parses both as the sole array item and as the value of an object.
+    The parser ignores whatever follows the first value. Only a single value
+    parses both as the sole array item and as the value of an object.
     """
-    return F.coalesce(_as_item(c).isNotNull() & _as_value(c).isNotNull(), F.lit(False))
+    item = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>", _STRICT)
+    value = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string", _STRICT)["v"]
+    return F.coalesce((F.size(item) == 1) & (value.isNotNull() | (strip(c) == "null")), F.lit(False))
 
 
 def parsed(c: Column) -> Column:

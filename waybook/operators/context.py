@@ -53,17 +53,11 @@ def prompt_sizes(turns: DataFrame, keys: Sequence[str], order: str, rendered: Co
     return out.withColumn("prompt_chars", F.col("_before") + F.col("_size")).drop("_before", "_size")
 
 
-def prompt_parts(
-    turns: DataFrame, keys: Sequence[str], order: str, rendered: Column, upto: Column | None = None, part: int = 4096
-) -> DataFrame:
-    """The prompt text up to a turn, in parts of at most ``part`` order values.
-
-    Joining the parts in order gives the text; an ordinary prompt is the one
-    part 0, and none is ever larger than its turns.
-    """
+def prompts(turns: DataFrame, keys: Sequence[str], order: str, rendered: Column, upto: Column | None = None) -> DataFrame:
+    """The whole prompt text up to a turn, one row per conversation; it has to fit a model's context, and so a row."""
     rows = turns if upto is None else turns.where(F.col(order) <= upto)
     text = F.struct(order, rendered.alias("text"))
-    return rows.groupBy(*keys, F.expr(f"`{order}` div {part}").alias("part")).agg(
+    return rows.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda t: t["text"]), "").alias("prompt")
     )
 

@@ -18,8 +18,6 @@ from waybook.functions.calls import call_text
 from waybook.functions.answers import with_thinking
 from waybook.operators.ordered import SEGMENT, lookup, running
 
-PART = 4096
-
 
 def trained(role: Column) -> Column:
     """Whether a turn is trained on; prompts and system turns are masked."""
@@ -107,15 +105,10 @@ def assemble(
     return kept.unionByName(closing), shape.select(*keys, "spoken", "open_end", "valid")
 
 
-def pack(turns: DataFrame, keys: Sequence[str], part_turns: int = PART, tools: DataFrame | None = None) -> DataFrame:
-    """Training records ``(keys, part, conversations, tools)``.
-
-    A record holds at most ``part_turns`` positions: ordinary conversations
-    are the one part 0 and a huge one never has to fit into one row.
-    """
-    part = F.expr(f"(pos + 2) div {part_turns}").alias("part")
+def pack(turns: DataFrame, keys: Sequence[str], tools: DataFrame | None = None) -> DataFrame:
+    """Training records ``(keys, conversations, tools)``, one per conversation; the turn table is the form for huge ones."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "from", "value")))
-    packed = turns.groupBy(*keys, part).agg(
+    packed = turns.groupBy(*keys).agg(
         F.transform(ordered, lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))).alias("conversations")
     )
     if tools is None:

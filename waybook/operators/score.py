@@ -56,22 +56,26 @@ def summary_json(long_metrics: DataFrame) -> DataFrame:
     )
 
 
-def answers(judged: DataFrame, qid: str = "qid", order: str = "traj_idx", fields: Sequence[str] = (), part: int = 4096) -> DataFrame:
-    """Nested answers per question in attempt order, in parts of at most ``part`` attempt numbers.
+def answer_rows(judged: DataFrame, qid: str = "qid", order: str = "traj_idx", fields: Sequence[str] = ()) -> DataFrame:
+    """One flat row per answer: the form for questions of any number of attempts."""
+    return judged.select(qid, order, *fields)
 
-    Ordinary questions have the one part 0; a huge one never becomes one row.
-    """
-    return (
-        judged.groupBy(qid, F.expr(f"`{order}` div {part}").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("answers"))
-    )
+
+def answers(judged: DataFrame, qid: str = "qid", order: str = "traj_idx", fields: Sequence[str] = ()) -> DataFrame:
+    """One row per question with its answers in attempt order, as in a result file; see ``answer_rows`` for huge questions."""
+    rows = answer_rows(judged, qid, order, fields)
+    return rows.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("answers"))
 
 
 def with_verdicts(
     attempts: DataFrame, verdicts: DataFrame, questions: DataFrame, qid: str = "qid", traj_idx: str = "traj_idx"
 ) -> DataFrame:
-    """Verdict and question accuracy with defaults: not correct, no explanation, 0.0."""
-    v = verdicts.select(qid, traj_idx, F.col("correct").alias("_c"), F.col("explanation").alias("_e"))
+    """Verdict and question accuracy with defaults: not correct, no explanation, 0.0.
+
+    Of several verdicts on an attempt a correct one counts, then the larger explanation.
+    """
+    _rank = F.struct("correct", "explanation")
+    v = verdicts.groupBy(qid, traj_idx).agg(F.max_by("correct", _rank).alias("_c"), F.max_by("explanation", _rank).alias("_e"))
     q = questions.select(qid, F.col("accuracy").alias("_a"))
     joined = lookup(attempts.join(v, [qid, traj_idx], "left"), q, [qid], [traj_idx])
     return joined.select(

@@ -15,20 +15,14 @@ def mix(datasets: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), named)
 
 
-def merge_searches(searches: DataFrame, request: str, order: str, strict: bool = False, max_queries: int = 1000) -> DataFrame:
+def merge_searches(searches: DataFrame, request: str, order: str, strict: bool = False) -> DataFrame:
     """Results of the queries of one request in query order, titles joined.
 
     ``searches`` is ``request, order, query, results``; ``order`` numbers the
-    queries of one request, which is one tool call. A number beyond
-    ``max_queries`` fails the job before anything is grouped, so every
-    collected group is bounded. ``strict`` also makes a request without any
-    result an error.
+    queries of one request, which is one tool call. ``strict`` makes a request
+    without any result an error.
     """
-    in_bounds = F.col(order).between(0, max_queries)
-    checked = searches.where(
-        F.when(~in_bounds, F.raise_error(F.lit("query number out of bounds")).cast("boolean")).otherwise(True)
-    )
-    each = checked.withColumn(
+    each = searches.withColumn(
         "_r", F.transform(F.coalesce("results", F.array()), lambda r: F.struct(F.col(order).alias(order), r["rank"].alias("rank"), r["url"].alias("url")))
     )
     merged = each.groupBy(request).agg(F.array_sort(F.collect_list(F.struct(order, "query", "_r"))).alias("_q"))

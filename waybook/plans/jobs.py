@@ -28,9 +28,14 @@ class Conversion:
     turns: DataFrame
     outcomes: DataFrame
     tools: DataFrame | None
+    every_tool: Column | None = None
 
-    def records(self, part_turns: int = conversation.PART) -> DataFrame:
-        return conversation.pack(self.turns, self.keys, part_turns, self.tools)
+    def records(self) -> DataFrame:
+        """``id, conversations, tools``: the definitions of the tools used, or all of them where the format lists all."""
+        packed = conversation.pack(self.turns, self.keys, self.tools)
+        id_ = F.col("id") if self.keys == ["id"] else plan.record_id(F.col("qid"), F.col("traj_idx"))
+        tools = F.col("tools") if self.every_tool is None else self.every_tool
+        return packed.select(id_.alias("id"), "conversations", tools.alias("tools"))
 
     def accounting(self) -> DataFrame:
         """Loaded, filtered out, converted and skipped records, in one pass."""
@@ -48,7 +53,7 @@ class Conversion:
 
 def _convert(
     records: DataFrame, accepted: DataFrame, rows: DataFrame, keys: Sequence[str], system: Column, question: Column,
-    min_turns: int, definitions: Mapping[str, str] | None = None, need_turns: bool = False,
+    min_turns: int, definitions: Mapping[str, str] | None = None, need_turns: bool = False, list_all: bool = False,
 ) -> Conversion:
     """Close, check and collect converted turns ``(keys, pos, from, value, tool)``; a null ``from`` drops a turn.
 
@@ -67,9 +72,10 @@ def _convert(
     )
     outcome = F.when(F.col("_accepted").isNull(), "filtered").when(F.col("valid"), "converted").otherwise("skipped")
     tools = None
-    if definitions is not None:
+    if definitions is not None and not list_all:
         tools = conversation.used_tools(parsed.where(F.col("tool").isNotNull()), keys, "tool", definitions)
-    return Conversion(keys, turns, state.select(*keys, outcome.alias("outcome")), tools)
+    every = conversation.all_tools(definitions) if definitions is not None and list_all else None
+    return Conversion(keys, turns, state.select(*keys, outcome.alias("outcome")), tools, every)
 
 
 def _turns_of(turns: DataFrame, accepted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -154,9 +160,10 @@ def foreign_conversations(
 
 
 def channel_conversations(
-    records: DataFrame, turns: DataFrame, system_prompt: str, max_calls: int = 100, verdict_rows: DataFrame | None = None
+    records: DataFrame, turns: DataFrame, system_prompt: str, max_calls: int = 100, verdict_rows: DataFrame | None = None,
+    definitions: Mapping[str, str] | None = None,
 ) -> Conversion:
-    """Channel-format trajectories keyed ``qid, traj_idx``; with verdicts, only correct attempts.
+    """Channel-format trajectories keyed ``qid, traj_idx``; with verdicts, only correct attempts. Records list all definitions.
 
     ``turns`` is ``qid, traj_idx, pos, role, content, tool, args`` (JSON) ``, final_answer``.
     """
@@ -176,13 +183,14 @@ def channel_conversations(
         .when(assistant, answers.channel_reply(content, F.col("final_answer")))
         .otherwise(content).alias("value"),
     )
-    return _convert(records, accepted, rows, keys, F.lit(system_prompt), F.col("question"), 2)
+    return _convert(records, accepted, rows, keys, F.lit(system_prompt), F.col("question"), 2, definitions, list_all=True)
 
 
 def selfplay_conversations(
-    records: DataFrame, turns: DataFrame, verdict_rows: DataFrame, system_prompt: str, max_calls: int = 80
+    records: DataFrame, turns: DataFrame, verdict_rows: DataFrame, system_prompt: str, max_calls: int = 80,
+    definitions: Mapping[str, str] | None = None,
 ) -> Conversion:
-    """Tagged-format trajectories of questions with a correct attempt, keyed ``qid, traj_idx``."""
+    """Tagged-format trajectories of questions with a correct attempt, keyed ``qid, traj_idx``. Records list all definitions."""
     keys = ["qid", "traj_idx"]
     passed = select.correct_questions(records, verdict_rows, "qid", ["traj_idx"])
     accepted = select.channel_training(passed, "num_turns", max_calls, success_only=False)
@@ -198,7 +206,7 @@ def selfplay_conversations(
         .when(assistant, answers.with_opening_think(content))
         .otherwise(content).alias("value"),
     )
-    return _convert(records, accepted, rows, keys, F.lit(system_prompt), F.col("question"), 2)
+    return _convert(records, accepted, rows, keys, F.lit(system_prompt), F.col("question"), 2, definitions, list_all=True)
 
 
 # ---- evaluation ----------------------------------------------------------------
@@ -247,8 +255,15 @@ def publish(
     return out, audit.audit(out)
 
 
+def accuracy_estimate(attempts: DataFrame) -> DataFrame:
+    """One row of scores by loose containment of the reference, before any judge has run; the boxed answer counts, else the answer."""
+    answer = F.coalesce(F.nullif("boxed_answer", F.lit("")), "answer", F.lit(""))
+    told = attempts.withColumn("_answer", answer)
+    return score.summary(score.loose_accuracy(told, "qid", "traj_idx", "reference_answer", "_answer", ["traj_idx"])[1])
+
+
 def progress_report(attempts: DataFrame, calls: DataFrame, target: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Progress row, status histogram and the six most used tools."""
+    """Progress row, status histogram and the six most used tools; ``accuracy_estimate`` completes the report."""
     return (
         report.progress(attempts, target),
         report.status_counts(attempts),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waybook.functions.strings import cut, is_json, strip
+from waybook.functions.strings import cut, strip
 
 RESULT_SCHEMA = (
     "model string, dataset string, split string, num_questions bigint, num_trajectories_per_q int, "
@@ -35,10 +35,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, line: str, schema: str, required: Sequence[str] = ("qid",)) -> DataFrame:
-    """Lenient scan of text lines: broken lines and lines without the required fields drop out."""
+    """Lenient scan of text lines: broken lines and lines without the required fields drop out.
+
+    A line is read as the only item of an array, so trailing text breaks it.
+    Repeated keys (the last one counts), ``NaN`` and lines of any length are read.
+    """
     rest = [c for c in lines.columns if c != line]
-    whole = F.when(is_json(F.col(line)), F.from_json(F.col(line), schema, {"mode": "PERMISSIVE"}))
-    rows = lines.select(*rest, whole.alias("_r")).where(F.col("_r").isNotNull()).select(*rest, "_r.*")
+    items = T.ArrayType(T.StructType.fromDDL(schema))
+    whole = F.from_json(F.concat(F.lit("["), F.col(line), F.lit("]")), items, {"allowSingleQuotes": "false"})
+    rows = lines.select(*rest, whole.alias("_r")).where(F.size("_r") == 1).select(*rest, F.inline("_r"))
     for field in required:
         rows = rows.where(F.col(field).isNotNull())
     return rows
