@@ -132,3 +132,16 @@ def test_repeat_keys(one):
     assert one(key("google_search"), '{"q": " a "}', "{}") == ["google_search:a", "google_search:"]
     assert one(key("scrape_and_extract_info"), '{"url": "u", "info_to_extract": " i"}') == ["scrape_and_extract_info:u:i"]
     assert one(key("run_command"), "{}") == [None]
+
+
+def test_the_last_of_repeated_keys_counts(one):
+    got = one(calls.channel_call, 'to=browser.search<|message|>{"query": "a", "query": "b"}<|call|>')[0]
+    assert got["args_json"] == '{"query": "a", "query": "b"}'  # the text as given; reading it takes the last
+    read = one(lambda c: calls.args_json(calls.object_args(calls.channel_call(c)["args_json"])), 'to=browser.search<|message|>{"query": "a", "query": "b"}<|call|>')
+    assert read == ['{"query": "b"}']
+    block = "<use_mcp_tool>\n<server_name>s</server_name>\n<tool_name>t</tool_name>\n<arguments>\n{}\n</arguments>\n</use_mcp_tool>".replace("{}", '{"a": 1, "b": [1, {"c": "x"}], "a": 2}')
+    made = one(lambda c: calls.args_json(calls.server_calls(c)[0]["args"]), block)
+    assert made == ['{"a": 2, "b": [1,{"c":"x"}]}']
+    body = '<tool_call>{"name": "web_search", "arguments": {"query": "a", "query": "b"}}</tool_call>'
+    assert one(lambda c: calls.args_json(calls.tagged_or_json_call(c)["args"]), body) == ['{"query": "b"}']
+    assert one(calls.object_args, "5", "null", "[1]", '{"a": 1} x', "{'a': 1}", None) == [None] * 6

@@ -26,6 +26,8 @@ def test_strict_and_lenient_scans(spark, tmp_path):
     assert [tuple(r) for r in tables.read_jsonl(spark, good, schema).collect()] == [("1", None), ("2", 3)]
     bad = write(tmp_path / "b.jsonl", '{"qid": "1"}', '{"qid": "2", "tr', "", '{"traj_idx": 1}', '{"qid": "3"} tail', '{"qid": "4"}')
     assert [r["qid"] for r in tables.read_jsonl_lenient(spark, bad, schema).collect()] == ["1", "4"]
+    odd = write(tmp_path / "c.jsonl", '{"qid": "1", "qid": "2", "x": {"a": 1, "a": 2}}', '{"qid": "3", "n": NaN}', '{"qid": "4", "s": "' + "x" * 3_000_000 + '"}', "{'qid': '5'}", '{"qid": "6"}, {"qid": "7"}', "null", "[]")
+    assert [r["qid"] for r in tables.read_jsonl_lenient(spark, odd, "qid string, n double").collect()] == ["2", "3", "4"]
     with pytest.raises(Exception):
         tables.read_jsonl(spark, bad, schema).collect()
 
@@ -208,13 +210,22 @@ def test_worker_lives(spark):
 
 def test_worker_lives_of_a_stream(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
-    rows = beats(spark, [*ROWS, (9, 9999, "heartbeat")]).coalesce(1)
-    rows.select("worker_id", "ts", "kind").write.parquet(src)
-    lives = streams.worker_lives(streams.growing_log(spark, src, "worker_id long, ts timestamp, kind string", fmt="parquet"), 120)
-    streams.append_to(lives, out, state).awaitTermination()
-    want = report.worker_lives(rows, "seq", 120).where("worker_id < 9")
+    rows = beats(spark, [*ROWS, *[(7, 50 * i * i % 4000, "heartbeat") for i in range(90)]])
+    rows.select("worker_id", "ts", "kind").repartition(4).write.parquet(src)
+    log = streams.growing_log(spark, src, "worker_id long, ts timestamp, kind string", 1, fmt="parquet")
+    streams.worker_lives(log, out, state, 120).awaitTermination()
+    want = report.worker_lives(rows, "ts", 120)
     columns = ["worker_id", "first_seen", "registered", "last_seen", "events", "offline_at"]
-    assert set(spark.read.parquet(out).select(columns).collect()) == set(want.select(columns).collect())
+    assert set(streams.current_lives(spark, out, 120).select(columns).collect()) == set(want.select(columns).collect())
+
+
+def test_status_log_keeps_every_change_of_a_hot_worker_in_any_file_order(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    rows = spark.range(60_000).selectExpr("1L AS worker_id", "id AS seq", "if(id % 2 = 0, 'READY', 'OFFLINE') AS status")
+    rows.repartition(4).write.parquet(src)
+    log = streams.growing_log(spark, src, "worker_id long, seq long, status string", 1, fmt="parquet")
+    streams.status_log(log, out, state).awaitTermination()
+    assert streams.status_changes(spark, out).count() == 59_999
 
 
 def test_upsert_restarts_and_last_record_wins(spark, tmp_path):

@@ -149,9 +149,17 @@ def b3_summary_metrics(spark, sf):
     return score.metrics(one, 4).withColumn("value", r6("value"))
 
 
-@query("b3_summary_json")
+@query(
+    "b3_summary_json",
+    f"""WITH {JUDGED_SQL}, q AS (SELECT qid, count(*) AS n, sum(correct::INT) AS c FROM judged GROUP BY 1),
+    s AS (SELECT count(*)::DOUBLE AS nq, sum(n)::DOUBLE AS nt, sum(c)::DOUBLE AS nc, sum((c > 0)::INT)::DOUBLE AS p, avg((c > 0)::INT) AS pk, avg(c / n) AS ak, sum(c) / sum(n) AS ta FROM q)
+    SELECT unnest(['num_questions', 'total_trajectories', 'correct_trajectories', 'passed', 'pass@4', 'avg@4', 'trajectory_accuracy']) AS metric,
+           round(unnest([nq, nt, nc, p, pk, ak, ta]), 6) AS value FROM s""",
+)
 def b3_summary_json(spark, sf):
-    return score.summary_json(score.metrics(score.summary(score.per_question(judged(spark, sf))), 4))
+    """The fields of the JSON object, read back from its text."""
+    text = score.summary_json(score.metrics(score.summary(score.per_question(judged(spark, sf))), 4))
+    return text.select(F.explode(F.from_json("json", "map<string,double>")).alias("metric", "value")).withColumn("value", r6("value"))
 
 
 @query(
@@ -198,12 +206,36 @@ def b5_published(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("b6_dataset_card")
+_CARD_COLUMNS = {"qid": "The question's id", "correct": "The verdict"}
+
+
+@query(
+    "b6_dataset_card",
+    f"""WITH {JUDGED_SQL}, q AS (SELECT qid, count(*) AS n, sum(correct::INT) AS c FROM judged GROUP BY 1),
+    s AS (SELECT count(*) AS nq, sum(n)::BIGINT AS nt, sum(c)::BIGINT AS nc, avg((c > 0)::INT) AS pk, avg(c / n) AS ak, sum(c) / sum(n) AS ta FROM q),
+    u AS (SELECT CASE event_type WHEN 'click' THEN 'browser.search' WHEN 'view' THEN 'browser.open' ELSE 'functions.paper_search' END AS tool, count(*) AS n
+      FROM events WHERE event_type IN ('click', 'view', 'signup') GROUP BY 1),
+    t AS (SELECT tool, n, n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n DESC, tool) AS i, sum(n) OVER ()::BIGINT AS total, count(*) OVER () AS k FROM u),
+    e AS (SELECT any_value(total) AS total, any_value(k) AS k, printf('%.1f', any_value(total) / any_value(nt)) AS each FROM t, s),
+    d AS (SELECT count(*) AS rows, count(*) FILTER (contains(text, 'ation')) AS bad, bool_or(n_chars > 500) AS conv FROM judged),
+    l AS (
+      SELECT unnest(['---', 'tags:', '- evaluation', '---', '', '# Attempts', '', 'About.', '', '## Results', '', '| Metric | Value |', '|---|---|',
+        '| **pass@4** | **' || printf('%.1f', pk * 100) || '%** |', '| **avg@4** | **' || printf('%.1f', ak * 100) || '%** |',
+        '| Trajectory accuracy | ' || printf('%.1f', ta * 100) || '% (' || nc || '/' || nt || ') |', '| Questions | ' || nq || ' |', '| Trajectories | ' || nt || ' (4 per question) |',
+        '| Avg tool calls | ' || each || ' |', '| Full conversations | ' || CASE WHEN conv THEN 'yes' ELSE 'no' END || ' |', '', '## Setup', '', '|  |  |', '|---|---|', '| **Model** | m |',
+        '', '## Tool usage', '', '| Tool | Calls | % |', '|---|--:|--:|']) AS line, generate_subscripts(range(31), 1) AS i FROM s, e, d
+      UNION ALL SELECT '| `' || tool || '` | ' || format('{{:,}}', n) || ' | ' || CASE WHEN p * 100 < 1 THEN printf('%.1f', p * 100) ELSE printf('%.0f', round_even(p * 100, 0)) END || '% |', 31 + i FROM t
+      UNION ALL SELECT unnest(['**Total: ' || format('{{:,}}', total) || ' tool calls** (' || each || ' per trajectory)', '', '**Contamination**: ' || bad || '/' || rows || ' trajectories flagged.',
+        '', '## Columns', '', '| Column | Description |', '|---|---|', '| `qid` | The question''s id |', '| `correct` | The verdict |']), 31 + k + generate_subscripts(range(10), 1) FROM e, d)
+    SELECT CAST(i - 1 AS INT) AS line_no, line FROM l""",
+)
 def b6_dataset_card(spark, sf):
+    """The card, one row per line."""
     one = score.summary(score.per_question(judged(spark, sf)))
     names = {"click": "browser.search", "view": "browser.open", "signup": "functions.paper_search"}
     used = calls(spark, sf).select(select.map_names(F.col("tool"), names).alias("tool"))
-    return card(score.metrics(one, 4), used, audit.audit(published(spark, sf)), "Attempts")
+    made = card(one, used, audit.audit(published(spark, sf)), "Attempts", 4, "About.", ["evaluation"], {"Model": "m"}, _CARD_COLUMNS)
+    return made.select(F.posexplode(F.split("card", "\n")).alias("line_no", "line"))
 
 
 @query("a4_question_ids", "SELECT doc_id::VARCHAR AS qid, text AS question, '' AS reference_answer FROM documents")

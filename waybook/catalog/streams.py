@@ -38,7 +38,7 @@ def k1_progress_stream(spark, sf):
     rows.repartition(4).write.json(path)
     log = streams.growing_log(spark, path, "tool string, status string, latency_s double", 2)
     streams.snapshots(streams.tool_progress(log), out, state).awaitTermination()
-    return streams.latest_snapshot(spark, out).withColumn("seconds", r6("seconds"))
+    return streams.latest_snapshot(spark, out, ["tool"]).withColumn("seconds", r6("seconds"))
 
 
 @query(
@@ -52,7 +52,7 @@ def k1_question_stream(spark, sf):
     _runs(spark, sf).repartition(3).write.json(path)
     log = streams.growing_log(spark, path, "qid string, traj_idx bigint, status string, boxed_answer string, latency_s double", 1)
     streams.snapshots(streams.question_progress(log), out, state).awaitTermination()
-    return streams.overall_progress(streams.latest_snapshot(spark, out), 5_000_000).withColumns({c: r6(c) for c in ("avg_s", "eta_min")})
+    return streams.overall_progress(streams.latest_snapshot(spark, out, ["qid"]), 5_000_000).withColumns({c: r6(c) for c in ("avg_s", "eta_min")})
 
 
 @query(
@@ -85,14 +85,13 @@ def k2_worker_lives(spark, sf):
     return _micros(report.worker_lives(_worker_events(spark, sf), "seq", _TIMEOUT))
 
 
-@query("k2_worker_lives_stream", f"SELECT * FROM ({_LIVES}) WHERE last_us + {_TIMEOUT} * 1000000::BIGINT < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 60000000")
+@query("k2_worker_lives_stream", _LIVES)
 def k2_worker_lives_stream(spark, sf):
     path, out, state = (scratch.folder(spark, x) for x in ("beats", "lives", "state"))
-    _worker_events(spark, sf).select("worker_id", "ts", "kind").write.parquet(path)
-    beats = streams.growing_log(spark, path, "worker_id bigint, ts timestamp, kind string", fmt="parquet")
-    lives = streams.worker_lives(beats, _TIMEOUT, "60 seconds")
-    streams.append_to(lives, out, state).awaitTermination()
-    return _micros(spark.read.schema(lives.schema).parquet(out))
+    _worker_events(spark, sf).select("worker_id", "ts", "kind").repartition(3).write.parquet(path)
+    beats = streams.growing_log(spark, path, "worker_id bigint, ts timestamp, kind string", 1, fmt="parquet")
+    streams.worker_lives(beats, out, state, _TIMEOUT).awaitTermination()
+    return _micros(streams.current_lives(spark, out, _TIMEOUT))
 
 
 @query(
@@ -148,8 +147,7 @@ def k6_first_chunk(spark, sf):
 )
 def k3_status_stream(spark, sf):
     path, out, state = (scratch.folder(spark, x) for x in ("status", "changes", "state"))
-    calls(spark, sf).selectExpr("traj AS worker_id", "seq", _STATUS).write.parquet(path)
-    schema = "worker_id bigint, seq bigint, status string"
-    changes = streams.status_log(streams.growing_log(spark, path, schema, fmt="parquet"))
-    streams.append_to(changes, out, state).awaitTermination()
-    return spark.read.schema(changes.schema).parquet(out)
+    calls(spark, sf).selectExpr("traj AS worker_id", "seq", _STATUS).repartition(3).write.parquet(path)
+    log = streams.growing_log(spark, path, "worker_id bigint, seq bigint, status string", 1, fmt="parquet")
+    streams.status_log(log, out, state).awaitTermination()
+    return streams.status_changes(spark, out)

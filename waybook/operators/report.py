@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybook import constants as K
@@ -253,6 +253,18 @@ def worker_lives(events: DataFrame, order: str, timeout_s: float = K.HEARTBEAT_T
     return spans.drop("span").withColumn("offline_at", offline_at(timeout_s))
 
 
+def merged_lives(spans: DataFrame, timeout_s: float = K.HEARTBEAT_TIMEOUT_S) -> DataFrame:
+    """Spans of several parts of a log as spans of the whole: those no more than the timeout apart become one."""
+    us = spans.withColumns({"_from": F.unix_micros("first_seen"), "_to": F.unix_micros("last_seen")})
+    mine = Window.partitionBy("worker_id").orderBy("_from", "_to")
+    reach = F.max("_to").over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("_from") - reach > timeout_s * 1_000_000, F.lit(False)).cast("int")
+    numbered = us.withColumn("_apart", apart).withColumn("span", F.sum("_apart").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("worker_id", "span").agg(
+        F.min("first_seen").alias("first_seen"), F.min("registered").alias("registered"), F.max("last_seen").alias("last_seen"), F.sum("events").alias("events")
+    ).drop("span")
+
+
 def offline_at(timeout_s: float) -> Column:
     """When a span's worker went offline; never, when it was not registered."""
     end = F.timestamp_micros(F.unix_micros("last_seen") + int(timeout_s * 1_000_000))

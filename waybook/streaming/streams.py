@@ -7,17 +7,17 @@ replaces its own output and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from waybook import constants as K
+from waybook.operators import report
 from waybook.operators.ordered import last_per_key
 from waybook.operators.report import PARALLEL_RUNS, offline_at
+from waybook.sources import scratch
 
 
 def growing_log(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None, fmt: str = "json") -> DataFrame:
@@ -65,17 +65,17 @@ def overall_progress(questions: DataFrame, target: int) -> DataFrame:
 
 
 def snapshots(aggregate: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the full result of a streaming aggregate, one snapshot per batch."""
+    """Keep the result of a streaming aggregate: each batch writes the groups it changed."""
 
     def each(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return _start(aggregate, checkpoint, "complete", each, once)
+    return _start(aggregate, checkpoint, "update", each, once)
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("epoch") == rows.agg(F.max("epoch")).scalar()).drop("epoch")
+def latest_snapshot(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The groups as the last batch that changed them left them."""
+    return last_per_key(spark.read.parquet(path), keys, ["epoch"]).drop("epoch")
 
 
 def upsert(log: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -101,24 +101,39 @@ def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], or
     current(spark, path, keys, order).write.mode("overwrite").parquet(f"{target}/epoch=-1")
 
 
-def worker_lives(events: DataFrame, timeout_s: int = K.HEARTBEAT_TIMEOUT_S, late: str = "1 minute") -> DataFrame:
-    """Spans without a silence longer than the timeout, per worker, on a stream.
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
 
-    The columns are those of the table version in ``operators.report``. A
-    silence of exactly the timeout is still alive: session windows merge when
-    they touch. Spans appear once the watermark has passed their end;
-    sessions are merged before the shuffle, so a chatty worker sends few rows.
+
+def worker_lives(events: DataFrame, path: str, checkpoint: str, timeout_s: int = K.HEARTBEAT_TIMEOUT_S, once: bool = True) -> StreamingQuery:
+    """Spans without a silence longer than the timeout, per worker, of a stream of ``worker_id, ts, kind``.
+
+    Each batch is cut into spans by itself, and spans are merged with those of the
+    batch before where no more than the timeout lies between them. Nothing is ever
+    too late, open spans are there like all others, and no worker's events meet
+    in one task. A batch writes all spans; the one before it is kept for a
+    repeated batch and older ones are removed. Read them with ``current_lives``.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    spans = events.withWatermark("ts", late).groupBy("worker_id", F.session_window("ts", f"{timeout_s} seconds").alias("w")).agg(
-        F.min(F.when(F.col("kind") == "register", F.col("ts"))).alias("registered"),
-        F.max("ts").alias("last_seen"),
-        F.count(F.lit(1)).alias("events"),
-    )
-    return spans.select(
-        "worker_id", F.col("w.start").alias("first_seen"), "registered", "last_seen", "events",
-        offline_at(timeout_s).alias("offline_at"),
-    )
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        spans = report.worker_lives(batch, "ts", timeout_s).drop("offline_at")
+        before = [e for e in _epochs(spark, path) if e < epoch]
+        if before:
+            spans = report.merged_lives(spans.unionByName(spark.read.parquet(f"{path}/epoch={before[-1]}")), timeout_s)
+        spans.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        for old in before[:-1]:
+            scratch.remove(spark, f"{path}/epoch={old}")
+
+    return _start(events, checkpoint, "append", each, once)
+
+
+def current_lives(spark: SparkSession, path: str, timeout_s: int = K.HEARTBEAT_TIMEOUT_S) -> DataFrame:
+    """The spans as of the last batch, open ones among them: their ``offline_at`` lies ahead."""
+    return spark.read.parquet(f"{path}/epoch={_epochs(spark, path)[-1]}").withColumn("offline_at", offline_at(timeout_s))
 
 
 def append_to(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -126,37 +141,12 @@ def append_to(rows: DataFrame, path: str, checkpoint: str, once: bool = True) ->
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-class _StatusLog(StatefulProcessor):
-    """Last status per worker; a row for each change. State is one word per worker."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._status = handle.getValueState("status", "status string, at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, at = self._status.get() if self._status.exists() else (None, -1)
-        for chunk in rows:
-            chunk = chunk[chunk["status"].notna()].sort_values("seq")
-            chunk = chunk[chunk["seq"] > at]
-            if chunk.empty:
-                continue
-            old = chunk["status"].shift(fill_value=known)
-            changed = old.notna() & (old != chunk["status"])
-            known, at = chunk["status"].iloc[-1], int(chunk["seq"].iloc[-1])
-            yield pd.DataFrame(
-                {"worker_id": key[0], "seq": chunk["seq"][changed], "old_status": old[changed], "status": chunk["status"][changed]}
-            )
-        if known is not None:
-            self._status.update((known, at))
-
-    def close(self) -> None:
-        pass
-
-
-def status_log(events: DataFrame) -> DataFrame:
-    """Status changes of a stream of ``worker_id, seq, status``, in arrival order per worker."""
-    spark = events.sparkSession
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    return events.groupBy("worker_id").transformWithStateInPandas(
-        _StatusLog(), "worker_id long, seq long, old_status string, status string", "append", "none"
-    )
+def status_log(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the status events ``worker_id, seq, status`` of a stream, whatever order they come in; null says nothing."""
+    return append_to(events.where("status IS NOT NULL").select("worker_id", "seq", "status"), path, checkpoint, once)
+
+
+def status_changes(spark: SparkSession, path: str) -> DataFrame:
+    """Every change among the events kept so far, in order of ``seq`` per worker."""
+    events = spark.read.schema("worker_id bigint, seq bigint, status string").parquet(path)
+    return report.status_changes(events, ["worker_id"], "seq").select("worker_id", "seq", "old_status", "status")
