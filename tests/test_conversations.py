@@ -46,8 +46,7 @@ def test_pack_splits_huge_conversations_without_loss(spark):
 
 def records_of(conversion):
     rows = conversion.records().collect()
-    key = lambda r: tuple(r[k] for k in conversion.keys)
-    return {key(r): ([(t["from"], t["value"]) for t in r["conversations"]], r["tools"]) for r in rows}
+    return {(r["id"],): ([(t["from"], t["value"]) for t in r["conversations"]], r["tools"]) for r in rows}
 
 
 def outcomes_of(conversion):
@@ -132,10 +131,10 @@ def test_channel_and_selfplay(spark):
     ]
     rows = [(*d[:2], pos, *d[2:]) for pos, d in enumerate(data)]
     turns = spark.createDataFrame(rows, "qid string, traj_idx int, pos long, role string, content string, tool string, args string, final_answer string")
-    made = jobs.channel_conversations(records, turns, "SYS")
+    made = jobs.channel_conversations(records, turns, "SYS", definitions={"a": '{"name": "a"}', "b": '{"name": "b"}'})
     call = '<think>\nhm\n</think>\n\n<tool_call>\n[{"name": "web_search", "arguments": {"query": "x"}}]\n</tool_call>'
     assert records_of(made) == {
-        ("q1", 0): ([("system", "SYS"), ("human", "Q"), ("function_call", call), ("observation", "res"), ("gpt", "<think>\nok\n</think>\n\n42")], "")
+        ("q1_0",): ([("system", "SYS"), ("human", "Q"), ("function_call", call), ("observation", "res"), ("gpt", "<think>\nok\n</think>\n\n42")], '[{"name": "a"}, {"name": "b"}]')
     }
     assert outcomes_of(made) == {("q1", 0): "converted", ("q1", 1): "filtered", ("q2", 0): "skipped", ("q3", 0): "filtered"}
 

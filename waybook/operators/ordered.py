@@ -117,15 +117,21 @@ def index_percentiles(
     by = list(by)
     v = F.col(value).cast("double")
     counts = df.where(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = segmented(counts, by, "_v", width)
-    counts = ranged if "_seg" in ranged.columns else counts.withColumn("_seg", F.lit(0))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in points]))
+    rank = F.least(F.floor(F.col("_total") * F.col("p")), F.col("_total") - 1)
+    ranged = segmented(counts, by, "_v", width)
+    if "_seg" not in ranged.columns:
+        before = F.sum("_n").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+        placed = counts.withColumns({"_below": F.coalesce(before, F.lit(0)), "_total": F.sum("_n").over(whole)}).withColumn("p", wanted)
+        return placed.where((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n"))).select(*by, "p", F.col("_v").alias("value"))
+    counts = ranged
     below = whole.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.groupBy(*by, "_seg").agg(F.sum("_n").alias("_n"))
     ranks = (
         bins.withColumns({"_below": F.coalesce(F.sum("_n").over(below), F.lit(0)), "_total": F.sum("_n").over(whole)})
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-        .withColumn("_rank", F.least(F.floor(F.col("_total") * F.col("p")), F.col("_total") - 1))
+        .withColumn("p", wanted)
+        .withColumn("_rank", rank)
         .where((F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_n")))
         .select(*by, "_seg", "p", (F.col("_rank") - F.col("_below")).alias("_rank"))
     )
