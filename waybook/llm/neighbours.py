@@ -30,9 +30,9 @@ from waybook.sources.scratch import stage
 #: Vectors on which the number of probes and the cells' width are chosen, and queries among them.
 SAMPLE, TRIED = 4096, 256
 #: Part of the sample's neighbours that the chosen probes must find.
-RECALL = 0.97
+RECALL = 0.96
 #: Vectors and queries of one block, and rows of blocks that meet in one call.
-VECTORS, QUERIES, TOGETHER = 4096, 4096, 16384
+VECTORS, QUERIES, TOGETHER = 16384, 8192, 32768
 
 
 @dataclass(frozen=True)
@@ -112,12 +112,15 @@ def templates(hashes: int, probes: int) -> np.ndarray:
 def fit(sample: np.ndarray, rows: int, longest: float, k: int, tables: int = 6, recall: float = RECALL) -> Index:
     """The index over `rows` vectors that finds enough neighbours of the sample's queries with the fewest candidates.
 
-    Neighbours within a sample are farther away than those within all rows, so the
-    choice is on the safe side.
+    The k nearest of all rows are about as near as the first k * len(sample) / rows of
+    a sample; two at least are looked at, besides the query itself.
     """
     dims, best = sample.shape[1], None
     queries = sample[:TRIED]
-    truth = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, : k + 1]
+    if len(sample) < 3:
+        return Index(dims, tables, 2, 3.0, 9, longest)
+    alike = max(2, math.ceil(k * len(sample) / rows))
+    truth = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, 1 : alike + 1]
     for width, bits in ((1.5, 1.5), (2.0, 1.2), (3.0, 0.8)):  # bits: entropy of a cell of this width
         hashes = int(min(12, max(2, math.log2(max(2, rows / 128)) / bits)))
         whole = min(3**hashes, 2048)
@@ -150,7 +153,7 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part: an id, and a vector of the most common length that is finite and not zero."""
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("vec_id IS NOT NULL")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL")
     rows = rows.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.filter(F.size("embedding") == (usual["n"] if usual else 0))
@@ -163,51 +166,64 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("cid"), "ids", "embedding")
 
 
-def _best(queries: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, places of the k largest inner products, first places first among equals)."""
-    for at in range(0, len(queries), 512):
-        score = queries[at : at + 512] @ vectors.T
-        if score.shape[1] > k:
-            least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-        else:
-            least = np.full(len(score), -np.inf)
-        for i in range(len(score)):
+def _best(queries: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, places) of the k largest inner products of each query, first places first among equals."""
+    step = max(16, (1 << 23) // max(1, len(vectors)))
+    for at in range(0, len(queries), step):
+        score = queries[at : at + step] @ vectors.T
+        if score.shape[1] <= k:
+            yield np.repeat(np.arange(at, at + len(score)), score.shape[1]), np.tile(np.arange(score.shape[1]), len(score))
+            continue
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(score, top, axis=1).min(axis=1)
+        for i in np.flatnonzero((score >= least[:, None]).sum(axis=1) > k):  # equals at the end: the first places
             some = np.flatnonzero(score[i] >= least[i])
-            yield at + i, some[np.argsort(-score[i, some], kind="stable")][:k]
+            top[i] = some[np.argsort(-score[i, some], kind="stable")][:k]
+        yield np.repeat(np.arange(at, at + len(score)), k), top.ravel()
 
 
 def _searched(k: int):
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Blocks of vectors (block, ids, embedding) against blocks of queries (blocks, query_id, embedding)."""
+        """Blocks of vectors (block, cid, ids, embedding) against queries with their blocks (blocks, query_id, embedding): the k best of each query."""
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         left, right = left.combine_chunks(), right.combine_chunks()
         ids = left["ids"].to_pylist()
-        order = np.lexsort((np.array([x[0] for x in ids]), left["block"].to_numpy()))
+        first, number = np.array([x[0] for x in ids]), left["cid"].to_numpy()
+        order = np.lexsort((first, left["block"].to_numpy()))
         blocks, vectors = left["block"].to_numpy()[order], _matrix(left["embedding"].combine_chunks())[order]
         asked = right["blocks"].combine_chunks()
         block, row = asked.flatten().to_numpy(), np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
         queries, numbers = _matrix(right["embedding"].combine_chunks()), right["query_id"].to_pylist()
         by = np.argsort(block, kind="stable")
         block, row = block[by], row[by]
-        found: list[tuple[int, int, float]] = []
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for b in np.unique(block):
             v = slice(*np.searchsorted(blocks, [b, b + 1]))
             q = row[slice(*np.searchsorted(block, [b, b + 1]))]
             if v.start == v.stop:
                 continue
-            for i, places in _best(queries[q], vectors[v], k + 1):
-                query, left_over = numbers[q[i]], k
-                exact = np.einsum("ij,j->i", vectors[v][places], queries[q[i]])
-                for place, score in zip(places, exact, strict=True):
-                    mine = [x for x in ids[order[v.start + place]] if x != query][:left_over]
-                    found += [(query, x, float(score)) for x in mine]
-                    left_over -= len(mine)
-                    if not left_over:
-                        break
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), out, strict=True)], schema=out) if found else out.empty_table()
+            for which, places in _best(queries[q], vectors[v], k + 1):
+                found.append((q[which], v.start + places, np.einsum("ij,ij->i", queries[q[which]], vectors[v.start + places])))
+        query, place, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = order[place]
+        once = np.unique(np.stack((query, number[place]), axis=1), axis=0, return_index=True)[1]
+        query, place, score = query[once], place[once], score[once]
+        rank = np.lexsort((first[place], -score, query))
+        query, place, score = query[rank], place[rank], score[rank]
+        made: list[tuple[int, int, float]] = []
+        ends = np.searchsorted(query, np.arange(len(numbers) + 1))
+        for i, me in enumerate(numbers):
+            left_over = k
+            for j in range(ends[i], min(ends[i + 1], ends[i] + k + 1)):
+                mine = [x for x in ids[place[j]] if x != me][:left_over]
+                made += [(me, x, float(score[j])) for x in mine]
+                left_over -= len(mine)
+                if not left_over:
+                    break
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), out, strict=True)], schema=out) if made else out.empty_table()
 
     return run
 
@@ -225,7 +241,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, index: Index | None =
     spark = rows.sparkSession
     rows = usable(rows)
     vectors = stage(classes(rows, k), "vectors")
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     count, longest = vectors.agg(F.count("*"), F.max(size)).first()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -268,7 +284,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, index: Index | None =
     sought = probes.join(asked.select("bucket", "turns"), "bucket").withColumn("turn", dealt("query_id", "turns")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     calls = max(1, math.ceil(held.count() / TOGETHER))
     call = F.pmod(F.xxhash64("block", F.lit(3)), F.lit(calls)).cast("int").alias("call")
-    left = held.select("cid", "block", call).join(vectors, "cid").select("call", "block", "ids", "embedding")
+    left = held.select("cid", "block", call).join(vectors, "cid").select("call", "block", "cid", "ids", "embedding")
     right = sought.select("query_id", *block()).select("query_id", "block", call).groupBy("call", "query_id").agg(F.collect_list("block").alias("blocks"))  # at most the query's probes
     right = right.join(queries, "query_id").select("call", "blocks", "query_id", "embedding")
     found = left.groupBy("call").cogroup(right.groupBy("call")).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
