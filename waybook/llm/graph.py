@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybook.sources.scratch import remove, stage
+from waybook.sources.scratch import discard, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,6 @@ def components(links: DataFrame) -> DataFrame:
     after every round. Rows are only ever aggregated by node, with partial
     aggregation before the shuffle. No links: no rows.
     """
-    spark = links.sparkSession
     both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
     while True:
@@ -25,8 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
         after = stage(low.join(jump, "low").select("node", F.least("low", "far").alias("component"), (F.least("low", "far") != F.col("component")).alias("moved")), "labels")
         still = after.filter("moved").limit(1).count() == 0
-        for path in labels.inputFiles()[:1]:
-            remove(spark, path.rsplit("/", 1)[0])
+        discard(labels)
         labels = after.select("node", "component")
         if still:
+            discard(both)
             return labels

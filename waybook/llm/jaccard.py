@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from waybook.llm import bloom
 from waybook.llm.graph import components
 from waybook.llm.words import SPACED, U, batches, hashes, mix, shingles, spans
-from waybook.sources.scratch import stage
+from waybook.sources.scratch import discard, stage
 
 #: Ratio of the ends of a band of set sizes.
 RATIO = 1.5
@@ -262,14 +262,17 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield packed(held)
 
     found = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, f1 long, f2 long, items array<bigint>")
-    return found.join(wanted, ["doc_id", "f1", "f2"]).dropDuplicates(["cid"]).select("cid", "items")
+    return found.join(wanted, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select("cid", "items")
 
 
-def _close(x: str, y: str, percent: int) -> Column:
-    """Bounds on the sizes and bitmaps of two classes; similar sets meet both."""
-    n, m, p, q = (F.col(f"{side}.{c}") for c in ("n", "parity") for side in (x, y))
+def _sizes_close(n: Column, m: Column, percent: int) -> Column:
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
+
+
+def _bits_close(p: Column, q: Column, n: Column, m: Column, percent: int) -> Column:
+    """The bound on two bitmaps of the same size; others are not compared."""
     apart = F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, v: s + v)
-    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((F.size(p) != F.size(q)) | ((100 + percent) * apart <= (100 - percent) * (n + m)))
+    return (F.size(p) != F.size(q)) | ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
 def _pairs(size: np.ndarray, component: np.ndarray, block: np.ndarray, bits: list[bytes], cross: bool, percent: int) -> Iterator[tuple[int, int]]:
@@ -300,6 +303,7 @@ def compared(members: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
     rows = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", other)
     rows = stage(rows.select("head", "cid", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "members")
     calls = max(1, -(-rows.count() // TOGETHER))
+    bounds = bounds.join(rows.select("cid").distinct(), "cid", "left_semi")
     rows = rows.withColumn("call", F.pmod(F.xxhash64("head", "low", "high"), F.lit(calls))).join(bounds, "cid")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -320,14 +324,16 @@ def compared(members: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough, written."""
     pairs = stage(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     wanted = stage(classes.join(ids, "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
     sets = stage(whole_sets(docs, wanted, width), "items")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("ai")), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("bi")), "b")
     both = both.select("a", "b", F.size("ai").alias("an"), F.size("bi").alias("bn"), F.size(F.array_intersect("ai", "bi")).alias("both"))
-    return both.filter(100 * F.col("both") >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b")
+    good = stage(both.filter(100 * F.col("both") >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b"), "links")
+    discard(pairs, wanted, sets)
+    return good
 
 
 def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -343,29 +349,38 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     described_ = stage(described(docs, width), "sets")
     rows = described_.filter("n_shingles IS NOT NULL")
     known = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sizes = [F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("sharp").alias("sharp")]
+    sizes = [F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")]
     classes = stage(known.groupBy("f1", "f2").agg(*sizes).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    owners = known.filter("n_shingles > 1").join(classes.select("f1", "f2", "cid"), ["f1", "f2"]).select("doc_id", "cid").distinct()
+    owners = stage(known.filter("n_shingles > 1").select("doc_id", "f1", "f2").join(classes.select("f1", "f2", "cid", "n"), ["f1", "f2"]).select("doc_id", "cid", "n").distinct(), "owners")
     frequent = described_.filter("n_shingles IS NULL").groupBy(F.col("f1").alias("hash")).agg(F.sum("f2").alias("n"))
     frequent = stage(frequent.filter(F.col("n") > max(2, rows.count() // OFTEN)).select("hash"), "frequent")
 
     # one shuffle of the signatures; the running minimum needs no bucket in memory
     first = F.min("doc_id").over(Window.partitionBy("sig").orderBy("doc_id"))
-    star = signed(docs.filter("doc_id IS NOT NULL"), percent, width, frequent).withColumn("first", first).filter("first != doc_id")
-    star = star.join(owners.select("doc_id", "cid"), "doc_id").join(owners.select(F.col("doc_id").alias("first"), F.col("cid").alias("head")), "first")
-    star = stage(star.filter("cid != head").select("sig", "head", "cid").distinct(), "star")
-
-    bounds = classes.select("cid", "n", "parity")
+    met = signed(docs.filter("doc_id IS NOT NULL"), percent, width, frequent).withColumn("first", first).filter("first != doc_id")
+    met = stage(met.select("first", "doc_id").distinct(), "met")
+    heads = owners.select(F.col("doc_id").alias("first"), F.col("cid").alias("head"), F.col("n").alias("head_n"))
+    star = met.join(owners, "doc_id").join(heads, "first").filter(F.col("cid") != F.col("head"))
+    star = stage(star.select("head", "head_n", "cid", "n").distinct(), "star")
+
+    # a class's bitmaps are those of its first document
+    marks = described_.filter("n_shingles > 1").join(classes.select("doc_id", "f1", "f2", "cid", "n"), ["doc_id", "f1", "f2"])
+    small = stage(marks.select("cid", "parity").dropDuplicates(["cid"]), "bitmaps")
     tried = star.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
-    near = tried.join(bounds.alias("x"), F.col("a") == F.col("x.cid")).join(bounds.alias("y"), F.col("b") == F.col("y.cid")).filter(_close("x", "y", percent))
-    links = stage(verified(near.select("a", "b"), docs, classes, percent, width), "links")
+    near = star.filter(_sizes_close(F.col("head_n"), F.col("n"), percent))
+    near = near.join(small.select(F.col("cid").alias("head"), F.col("parity").alias("p")), "head").join(small.select("cid", F.col("parity").alias("q")), "cid")
+    near = near.filter(_bits_close(F.col("p"), F.col("q"), F.col("head_n"), F.col("n"), percent))
+    links = verified(near.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct(), docs, classes, percent, width)
     parts = components(links)
 
-    shared = star.select("head", "cid").distinct().join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    shared = star.select("head", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     open_ = shared.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = shared.join(open_.filter("least < most").select("head", "blocks"), "head")
-    rest = compared(members, classes.select("cid", "n", "sharp"), percent).distinct().join(tried, ["a", "b"], "left_anti")
-    parts = components(stage(links.union(verified(rest, docs, classes, percent, width)), "links"))
+    rest = compared(members, marks.select("cid", "n", "sharp").dropDuplicates(["cid"]), percent).distinct().join(tried, ["a", "b"], "left_anti")
+    both = stage(links.union(verified(rest, docs, classes, percent, width)), "links")
+    discard(parts, links, met, star, small, owners, frequent)
+    parts = components(both)
+    discard(both)
 
     of = classes.select("f1", "f2", "cid", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
