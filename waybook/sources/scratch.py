@@ -37,6 +37,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            remove(table.sparkSession, file.rsplit("/", 1)[0])
+
+
 def _remove() -> None:
     for path, spark in _USED.items():
         if spark.sparkContext._jsc is not None:  # else the session has ended and its file systems with it
