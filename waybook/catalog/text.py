@@ -352,6 +352,34 @@ def i17_page_views(spark, sf):
     return _docs(spark, sf).select("doc_id", shown.alias("shown"))
 
 
+@query(
+    "i17_opened_pages",
+    """WITH l AS (SELECT doc_id, source, string_split(left(text, 30000), E'\\n') AS a FROM documents),
+    v AS (SELECT doc_id, source, a[CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END : CASE WHEN doc_id % 2 = 0 THEN len(a) ELSE CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END + 1 END] AS v,
+      CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END AS s FROM l)
+    SELECT doc_id, 'Page: ' || source || E'\\n' || array_to_string(v, E'\\n') AS plain,
+      '[' || (doc_id % 9) || ']' || E'\\n' || coalesce((SELECT string_agg('L' || (s + i - 1) || ': ' || x, E'\\n' ORDER BY i) FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i)), '') AS numbered FROM v""",
+)
+def i17_opened_pages(spark, sf):
+    loc, n = F.col("doc_id") % 3, F.when(F.col("doc_id") % 2 == 0, 0).otherwise(2)
+    plain = pages.opened_text(F.col("source"), F.col("text"), loc, n)
+    numbered = pages.opened_text(F.col("source"), F.col("text"), loc, n, F.col("doc_id") % 9)
+    return _docs(spark, sf).select("doc_id", plain.alias("plain"), numbered.alias("numbered"))
+
+
+@query(
+    "i18_found_text",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS i FROM documents),
+    m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE contains(lower(line), 'on')),
+    s AS (SELECT doc_id, any_value(n) AS n, string_agg('L' || i || ': ' || line, E'\\n' ORDER BY i) FILTER (r <= 3) AS shown FROM m GROUP BY 1)
+    SELECT doc_id, CASE WHEN n IS NULL THEN 'No matches for "ON" in [4].' ELSE 'Found ' || n || ' match(es) for "ON" in [4]:' || E'\\n' || shown
+      || CASE WHEN n > 3 THEN E'\\n... and ' || (n - 3) || ' more matches' ELSE '' END END AS shown FROM documents LEFT JOIN s USING (doc_id)""",
+)
+def i18_found_text(spark, sf):
+    found = _docs(spark, sf).select("doc_id", pages.find(F.col("text"), F.lit("ON"), 3).alias("f"))
+    return found.select("doc_id", pages.found_text(F.lit("ON"), F.col("f"), F.lit(4)).alias("shown"))
+
+
 @query(
     "i18_find_in_page",
     """SELECT doc_id, i::INT AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS i FROM documents)
@@ -426,6 +454,34 @@ def i20_papers_text(spark, sf):
     return rows.select("doc_id", payloads.papers_text(F.col("source"), F.col("p")).alias("shown"))
 
 
+@query(
+    "i20_snippets_text",
+    f"""SELECT doc_id, 'Paper snippet search: "' || source || '"' || {_NL} || {_NL} || '[1] P ' || lang || {_NL} || '    a, b, c et al. | ' || source || {_NL}
+      || '    Section: Intro' || {_NL} || '    Snippet: ' || CASE WHEN length(text) > 800 THEN left(text, 800) || '...' ELSE text END || {_NL} AS shown FROM documents""",
+)
+def i20_snippets_text(spark, sf):
+    names = F.array(*[F.struct(F.lit(a).alias("name")) for a in "abcd"])
+    paper = F.struct(_lit("P ", F.col("lang")).alias("title"), F.col("source").alias("venue"), names.alias("authors"))
+    payload = F.to_json(F.struct(F.array(F.struct(paper.alias("paper"), F.struct(F.col("text").alias("text"), F.lit("Intro").alias("section")).alias("snippet"))).alias("data")))
+    rows = _docs(spark, sf).select("doc_id", "source", payloads.snippets(payload).alias("s"))
+    return rows.select("doc_id", payloads.snippets_text(F.col("source"), F.col("s")).alias("shown"))
+
+
+@query(
+    "i21_articles_text",
+    f"""SELECT doc_id, 'PubMed search: "' || source || '"' || {_NL} || {_NL} || '[1] On ' || lang || {_NL} || '    URL: https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' || {_NL}
+      || '    Abstract: ' || left(t, 600) || CASE WHEN length(t) > 600 THEN '...' ELSE '' END || {_NL} AS shown
+    FROM (SELECT *, 'On ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM documents)""",
+)
+def i21_articles_text(spark, sf):
+    xml = _lit(
+        "<PubmedArticle><PMID>", F.col("doc_id").cast("string"), "</PMID><Article><ArticleTitle>On ", F.col("lang"), "</ArticleTitle><Abstract><AbstractText>On ", _words(),
+        "</AbstractText></Abstract></Article></PubmedArticle>",
+    )
+    rows = _docs(spark, sf).select("doc_id", "source", payloads.articles(xml).alias("x"))
+    return rows.select("doc_id", payloads.articles_text(F.col("source"), F.transform("x", payloads.article)).alias("shown"))
+
+
 @query(
     "i21_articles",
     """SELECT doc_id, doc_id::VARCHAR AS pmid, 'On ' || lang || ' words' AS title, left('AIM: ' || t || ' ' || t, 600) || CASE WHEN length('AIM: ' || t || ' ' || t) > 600 THEN '...' ELSE '' END AS abstract,
