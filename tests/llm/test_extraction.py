@@ -57,6 +57,39 @@ def test_text(model):
     assert extraction.texts(model, [page]) == ["A head One&two three. Four Five <b> six. Seven is a longer sentence here."]
 
 
+def words_of(source):
+    return " ".join(" ".join(extraction.parse(source).text).split())
+
+
+@pytest.mark.parametrize("name", ["button", "select", "svg", "object", "template", "noscript"])
+def test_what_is_left_out_ends_with_its_element(name):
+    article = "<article><p>One two. <b>Three</b></p></article>"
+    for page in (
+        f"<div><{name}><span>x</span> y</{name}></div>{article}",
+        f"<div><{name}><span>x</span> y</div>{article}",
+        f"<{name}>x{article}",
+        f'<{name}/>{article}',
+        f'<{name} class="a=b" />{article}',
+        f"<{name}>x<{name}>y</{name}></{name}>{article}" if name not in ("button", "select") else f"<{name}>x<{name}>y</{name}>{article}",
+        f"<{name}><!-- </{name}> --><div>x<script>'</{name}>'</script></div></{name}>{article}",
+    ):
+        assert words_of(page) == "One two. Three", page
+    assert words_of(f"<p><a><{name}>x</a> One.</p>{article}") == "One. One two. Three"
+    assert words_of(f"<body><{name} data=/a/>x</{name}>{article}") == "One two. Three"
+
+
+def test_many_open_elements_are_read_once():
+    assert words_of("<svg><p>w " * 20_000 + "</svg>").count("w") == 19_999
+    page = "<svg><p>w " * 20_000
+    assert words_of(page).count("w") == 20_000
+
+
+def test_quotes_open_values_only():
+    for tag in ("<a href=x title=don't>", "<a don't href=x>", '<a href=x"y title=z>', "<a href=/x?a='b>", "<a href='x>y' title = \"a>b\">"):
+        assert words_of(f"<p>{tag}One</a> isn't two.</p><article><p>It's \"three\"</p></article>") == "One isn't two. It's \"three\"", tag
+    assert words_of("<p title='>x'>One<br/>two<p class=\"'\">three") == "One two three"
+
+
 def test_odd_pages(spark, model):
     deep = "<div>" * 3000 + "<p>deep text here, a sentence.</p>"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<"), (3, "u", "<p <b>>"), (3, "u", "<p <b>>"), (4, "u", "<article>" + "<b>" * 5000 + "<p>Word word. " * 5000), (5, "u", deep), (6, "u", "<script>x"), (7, "u", "</p></div>a<a href='x>")]

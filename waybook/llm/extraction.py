@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from waybook.llm import page_examples
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"']*/\Z")  # this slash belongs to the value
 _NAME = re.compile(r"[a-z]+")
 
-# Fixed values of HTML: elements without an end, with raw text, that run within a line, and that end others.
+# Fixed values of HTML: elements without an end, with raw text, whose subtree is left out, that run within a line, and that end others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg select button xmp noembed noframes object".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+SKIPPED = frozenset("noscript template svg select button object".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
@@ -78,6 +81,64 @@ def _names(attributes: str) -> list[str]:
     return out
 
 
+def _raw_end(name: str, source: str, at: int) -> int:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*+>|\Z", re.I).search(source, at).end()
+
+
+def _empty(attributes: str) -> bool:
+    return attributes.endswith("/") and not _UNQUOTED_END.search(attributes)
+
+
+def _skips(source: str, name: str, at: int, opened: Counter[str]) -> dict[int, int]:
+    """Where the page goes on after the SKIPPED element whose start tag ends at `at`, and after those met on the way, by the ends of their start tags.
+
+    Without an end tag, it ends where another one that cannot be in it begins or an element around it ends,
+    and what begins at the first block element in it is not left out.
+    """
+    out: dict[int, int] = {}
+    inner, held, blocks, here = [(name, at)], Counter([name]), [], at
+
+    def leave(upto: int, stop: int) -> None:
+        for name, start in inner[upto:]:
+            held[name] -= 1
+            if name in SKIPPED:
+                first = bisect_left(blocks, start)
+                out[start] = blocks[first] if first < len(blocks) else stop
+        del inner[upto:]
+
+    def innermost(name: str) -> int:
+        return next(i for i in range(len(inner) - 1, -1, -1) if inner[i][0] == name)
+
+    while inner and (match := _TAG.search(source, here)):
+        here, name = match.end(), (match[2] or "").lower()
+        if not name:
+            continue
+        if match[1]:
+            if held[name]:
+                i = innermost(name)
+                leave(i + 1, match.start())
+                start = inner[i][1]
+                leave(i, here)
+                if name in SKIPPED:
+                    out[start] = here
+                    del blocks[bisect_left(blocks, start) :]
+            elif opened[name]:
+                leave(0, match.start())
+        elif name in RAW:
+            here = _raw_end(name, source, here)
+        elif name not in VOID and not (name in SKIPPED and _empty(match[3])):
+            if name in ("button", "select") and held[name]:
+                leave(innermost(name), match.start())
+                if not inner:
+                    break
+            if name in _TAG_AT:
+                blocks.append(match.start())
+            inner.append((name, here))
+            held[name] += 1
+    leave(0, len(source))
+    return out
+
+
 def parse(source: str, labelled: bool = False) -> Page:
     """The tree of a page, however broken its markup; what scripts, styles and the like hold is left out.
 
@@ -90,6 +151,7 @@ def parse(source: str, labelled: bool = False) -> Page:
     opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = [0, 0]
+    skips: dict[int, int] = {}
 
     def push(name: str, node: int, label: int) -> None:
         stack.append((name, node, label))
@@ -141,8 +203,13 @@ def parse(source: str, labelled: bool = False) -> Page:
                 close({name}, frozenset() if name not in INLINE else frozenset(("td", "th", "article", "body")))
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*+>|\Z", re.I).search(source, at)
-            at = max(at, end.end())
+            at = _raw_end(name, source, at)
+            continue
+        if name in SKIPPED:
+            if not _empty(match[3]):
+                if at not in skips:
+                    skips |= _skips(source, name, at, opened)
+                at = skips[at]
             continue
         if name in VOID:
             if name in ("br", "hr"):
