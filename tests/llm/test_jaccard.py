@@ -75,6 +75,22 @@ def test_nulls_ties_repeats_and_extra_columns(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_similar_texts_under_one_id(spark):
+    def changed(words, *places):
+        return [f"new{i}" if i in places else w for i, w in enumerate(words)]
+
+    rows = []
+    for k in (0, 100):  # A and B have one id; A leads by ever longer texts to X, which has the smallest id and meets neither
+        words = [f"a{k}x{i}" for i in range(900)]
+        rows += [(k + 5, " ".join(words[:100])), (k + 5, " ".join(changed(words[:100], 30, 60)))]
+        sizes = [int(100 * 1.25**step) for step in range(1, 9)]
+        rows += [(k + 3 if n == sizes[-1] else k + 10 + n, " ".join(words[:n])) for n in sizes]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("text_hash").collect()
+    want = brute(rows)
+    assert {r[2] for r in want} == {3, 103}
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

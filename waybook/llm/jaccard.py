@@ -212,13 +212,13 @@ def described(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def signed(docs: DataFrame, percent: int, width: int, frequent: DataFrame) -> DataFrame:
-    """(sig, doc_id): the signatures of each document; a task signs the same set once among its last million sets."""
+    """(sig, doc_id, f1): the signatures of each document and the first half of its set's print; a task signs the same set once among its last million sets."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(frequent, "hash"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in it:
-            ids, held, owners, count = batch.column(0).to_numpy(zero_copy_only=False), [], [], 0
+            ids, held, owners, marks, count = batch.column(0).to_numpy(zero_copy_only=False), [], [], [], 0
             for row, s in sets_of(batch.column(1), width):
                 mark = _prints(s)
                 if mark in seen or len(s) < 2:
@@ -227,16 +227,17 @@ def signed(docs: DataFrame, percent: int, width: int, frequent: DataFrame) -> Da
                 got = signatures(s, percent, bloom.passes(bits.value, s.view(np.int64)))
                 held.append(got)
                 owners.append(np.full(len(got), ids[row], np.int64))
+                marks.append(np.full(len(got), mark[0], np.int64))
                 count += len(got)
                 if count > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "doc_id"])
-                    held, owners, count = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(marks))], ["sig", "doc_id", "f1"])
+                    held, owners, marks, count = [], [], [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
             if count:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(marks))], ["sig", "doc_id", "f1"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long, f1 long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -351,16 +352,16 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     known = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sizes = [F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")]
     classes = stage(known.groupBy("f1", "f2").agg(*sizes).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    owners = stage(known.filter("n_shingles > 1").select("doc_id", "f1", "f2").join(classes.select("f1", "f2", "cid", "n"), ["f1", "f2"]).select("doc_id", "cid", "n").distinct(), "owners")
     frequent = described_.filter("n_shingles IS NULL").groupBy(F.col("f1").alias("hash")).agg(F.sum("f2").alias("n"))
     frequent = stage(frequent.filter(F.col("n") > max(2, rows.count() // OFTEN)).select("hash"), "frequent")
 
-    # one shuffle of the signatures; the running minimum needs no bucket in memory
-    first = F.min("doc_id").over(Window.partitionBy("sig").orderBy("doc_id"))
-    met = signed(docs.filter("doc_id IS NOT NULL"), percent, width, frequent).withColumn("first", first).filter("first != doc_id")
-    met = stage(met.select("first", "doc_id").distinct(), "met")
-    heads = owners.select(F.col("doc_id").alias("first"), F.col("cid").alias("head"), F.col("n").alias("head_n"))
-    star = met.join(owners, "doc_id").join(heads, "first").filter(F.col("cid") != F.col("head"))
+    # one shuffle of the signatures; the running first needs no bucket in memory. Heads and members are sets, as an id may have several
+    first = F.first("f1").over(Window.partitionBy("sig").orderBy("doc_id", "f1"))
+    met = signed(docs.filter("doc_id IS NOT NULL"), percent, width, frequent).withColumn("first", first).filter("first != f1")
+    met = stage(met.select("first", "f1").distinct(), "met")
+    owners = classes.filter("n > 1").select("f1", "cid", "n")
+    heads = owners.select(F.col("f1").alias("first"), F.col("cid").alias("head"), F.col("n").alias("head_n"))
+    star = met.join(owners, "f1").join(heads, "first").filter(F.col("cid") != F.col("head"))
     star = stage(star.select("head", "head_n", "cid", "n").distinct(), "star")
 
     # a class's bitmaps are those of its first document
@@ -378,7 +379,7 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     members = shared.join(open_.filter("least < most").select("head", "blocks"), "head")
     rest = compared(members, marks.select("cid", "n", "sharp").dropDuplicates(["cid"]), percent).distinct().join(tried, ["a", "b"], "left_anti")
     both = stage(links.union(verified(rest, docs, classes, percent, width)), "links")
-    discard(parts, links, met, star, small, owners, frequent)
+    discard(parts, links, met, star, small, frequent)
     parts = components(both)
     discard(both)
 
