@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybook.llm import decontamination, extraction, idfile, jaccard, mixing, neighbours, shards, tokens, toxicity, warc
+from waybook.llm import decontamination, extraction, idfile, jaccard, mixing, neighbours, packing, shards, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,3 +128,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf, "labels"))).drop("text_hash")
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
