@@ -135,7 +135,7 @@ def test_runs_are_joined(monkeypatch):
         place += r["length"]
     assert place == sum(counts)
     sizes = np.bincount([r["sequence"] for r in rows], [r["length"] for r in rows])
-    assert sizes.max() <= 128 and sizes[:-1].mean() > 120
+    assert sizes.max() <= 128 and sizes[:-1].mean() > 112
 
 
 def test_little_padding_on_documents(spark):
