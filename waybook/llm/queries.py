@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybook.llm import decontamination, extraction, idfile, jaccard, mixing, neighbours, packing, shards, tokens, toxicity, warc
+from waybook.llm import centroids, decontamination, extraction, idfile, jaccard, mixing, neighbours, packing, shards, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,40 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_packing")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one after the other."""
+    parts = [
+        """x AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(64.0 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64)""",
+        f"""c0 AS MATERIALIZED (
+          SELECT CAST(n AS INTEGER) AS c, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS n FROM x) WHERE n < {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+              SELECT r, vec_id, x.v, min({{'d': list_sum(list_transform(list_zip(x.v, c{i}.v), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS BIGINT))), 'c': c}}) AS near
+              FROM x, c{i} GROUP BY r, vec_id, x.v)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (
+                  SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+                    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM (
+                      SELECT near.c AS c, p, sum(v[p]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(p) GROUP BY near.c, p)
+                    GROUP BY c) m ON m.c = c{i}.c)"""
+            )
+    last = f"a{rounds}"
+    return f"""
+    WITH {", ".join(parts)}
+    SELECT vec_id, near.c AS cluster, CAST(near.d AS BIGINT) AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+    FROM {last} JOIN c{rounds} ON near.c = c{rounds}.c
+    """
+
+
+@query("op12_centroids", _clusters_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf, "embeddings"))
