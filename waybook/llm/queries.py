@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybook.llm import centroids, decontamination, extraction, idfile, jaccard, mixing, neighbours, packing, shards, tokens, toxicity, warc
+from waybook.llm import centroids, decontamination, divergence, extraction, idfile, jaccard, mixing, neighbours, packing, shards, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,3 +170,36 @@ def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
 @query("op12_centroids", _clusters_sql())
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return centroids.clusters(table(spark, sf, "embeddings"))
+
+
+@query(
+    "op13_divergence",
+    r"""
+    WITH
+    d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+    k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+    v AS (SELECT g.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN k ON g.lang = k.lang GROUP BY g.lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+    s AS (SELECT g.lang, g.source, v, coalesce(sum(n), 0) AS total FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source, v),
+    p AS (
+      SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5) // (total + 5 * v) AS p
+      FROM s JOIN k ON s.lang = k.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+    l AS (
+      SELECT x.lang, term, 1 + CAST(1000000000 AS HUGEINT) * (m + 5) // (total + 5 * v) AS q
+      FROM (SELECT lang, term, sum(n) AS m FROM c GROUP BY lang, term) x JOIN (SELECT lang, v, sum(total) AS total FROM s GROUP BY lang, v) y USING (lang)),
+    r AS (
+      SELECT s.lang, s.source, 'pair' AS part, o.source AS item, coalesce(f, 0) AS value
+      FROM s JOIN s o ON s.lang = o.lang AND s.source <> o.source LEFT JOIN (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) e
+      ON e.lang = s.lang AND e.source = s.source AND e.item = o.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', term, p - q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM r QUALIFY part = 'pair' OR rank <= 50
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
