@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 
 from waybook.llm.tokens import calls, slices
 
-#: Words a Python worker remembers (some 200 MB) from task to task, the longest one, and plain words that are encoded as one text.
-WORDS, LONGEST, JOINED = 1_000_000, 64, 256
+#: Words a Python worker remembers (some 160 MB) from task to task, the longest one, and plain words that are encoded as one text.
+WORDS, LONGEST, JOINED = 800_000, 64, 256
 #: A word that ends a sentence.
 SENTENCE = r"[.!?…。！？][\"')\]»”’]*$"
 
