@@ -119,3 +119,39 @@ def test_allocation_has_enough_units():
         for _, hi in jaccard.bands()[:30]:
             a, b = jaccard.allocation(hi, percent)
             assert 2 * a + b > jaccard.differences(hi - 1, hi - 1, percent)
+
+
+def near_copies(seed, n, words=60):
+    """A text with the smallest id, and n near copies of each other that share a quarter of its shingles."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = [(0, " ".join(base[: words // 3] + [f"h{i}" for i in range(words)]))]
+    for i in range(n):
+        copy = list(base)
+        copy[rnd.randrange(words // 3 + 5, words)] = f"c{i}"
+        rows.append((10 + i, " ".join(copy)))
+    return rows
+
+
+def test_links_are_not_many_more_than_classes(spark):
+    rows = near_copies(1, 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    _, classes, links = jaccard.classified(docs, 75, 5)
+    assert classes.count() == 2001 and links.count() <= 2 * 2001
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert found[0] == 0 and {found[d] for d, _ in rows[1:]} == {10}
+
+
+@pytest.mark.parametrize("percent", [60, 75])
+def test_blocks_of_clusters(spark, monkeypatch, percent):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "TOGETHER", 20)
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    rows = near_copies(2, 40, 30) + [(1000 + d, t) for d, t in corpus(3, 90)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent).drop("text_hash").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, percent)
+
+
+def test_percent_of_half_or_less_is_refused(spark):
+    with pytest.raises(ValueError, match="above 50"):
+        jaccard.join(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), percent=50)

@@ -12,9 +12,12 @@ segment's content alone: the first equal segment of a pair is then among those o
 
 Documents with equal sets are one class from the start. In each bucket of equal
 signatures the classes are first compared with the bucket's smallest one, its head,
-only. Classes that share a head and are still in different components are then
-compared with each other, in blocks. Pairs first pass the bounds of sizes and of parity
-bitmaps, which two similar sets cannot fail; comparisons that decide are of whole sets.
+only, and each class with one head before the others. Classes that share a head and are
+still in different components are candidates of each other where they meet the bounds of
+sizes and of parity bitmaps, which two similar sets cannot fail. A call that finds
+candidates only returns a forest that connects them; the trees of all forests make
+clusters, and each cluster's classes meet once with their whole sets, in blocks, where two
+are compared as long as nothing yet joins them. So links are never many more than classes.
 
 Sets hold 64-bit hashes of shingles. Two shingles of one pair of documents meet by
 chance with a probability of about |union| ** 2 / 2 ** 65.
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from waybook.llm import bloom
 from waybook.llm.graph import components
 from waybook.llm.words import SPACED, U, batches, hashes, mix, shingles, spans
+from waybook.operators.ordered import lookup
 from waybook.sources.scratch import discard, stage
 
 #: Ratio of the ends of a band of set sizes.
@@ -44,8 +48,12 @@ WEAK = 30.0
 OFTEN = 1000
 #: Counters of a task's frequent shingles.
 COUNTERS = 1 << 16
-#: Classes of one head that are compared with each other in one block, and rows of blocks that meet in one call.
+#: Classes of one head or cluster that are compared with each other in one block, and rows of blocks that meet in one call.
 BLOCK, TOGETHER = 2048, 16384
+#: Shingles of the classes of one block, and of the blocks that meet in one call.
+HEAVY, LOAD = 1 << 20, 1 << 22
+#: Rows of one head from which on they are dealt to several tasks.
+HOT = 512
 _FIXED = U(0xA0761D6478BD642F)
 _BANDS = np.arange(1, 129, dtype=U) * _FIXED
 
@@ -276,77 +284,196 @@ def _bits_close(p: Column, q: Column, n: Column, m: Column, percent: int) -> Col
     return (F.size(p) != F.size(q)) | ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
-def _pairs(size: np.ndarray, component: np.ndarray, block: np.ndarray, bits: list[bytes], cross: bool, percent: int) -> Iterator[tuple[int, int]]:
-    """Places of the pairs of different components, and different blocks if `cross`, that meet the bounds."""
-    width = np.array([len(x) for x in bits])
-    for w in np.unique(width):
-        mine = np.flatnonzero(width == w)
-        own = np.frombuffer(b"".join(bits[i] for i in mine), U).reshape(len(mine), -1)
-        near = np.flatnonzero(width == 2 * w)  # sets with even larger bitmaps are too large
-        halves = np.frombuffer(b"".join(bits[i] for i in near), U).reshape(len(near), 2, own.shape[1])
-        other, theirs = np.concatenate((own, halves[:, 0] ^ halves[:, 1])), np.concatenate((mine, near))
-        step = max(1, (1 << 21) // max(1, other.size))
-        for at in range(0, len(mine), step):
-            left = mine[at : at + step]
-            apart = np.bitwise_count(own[at : at + step, None] ^ other[None]).sum(axis=2, dtype=np.int64)
-            n, m = size[left, None], size[None, theirs]
-            good = ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * n >= percent * m) & (100 * m >= percent * n)
-            good &= component[left, None] != component[None, theirs]
-            good &= (block[left, None] != block[None, theirs]) | (not cross)
-            good &= (width[theirs] != w)[None] | (left[:, None] < theirs[None])
-            for i, j in zip(*np.nonzero(good), strict=True):
-                yield left[i], theirs[j]
-
-
-def compared(members: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: classes of a head (head, cid, component, blocks) that are apart and meet the bounds on `sharp`."""
+class _Bits:
+    """The bounds of sizes and bitmaps between one row of a call and all others."""
+
+    def __init__(self, size: np.ndarray, bits: list[bytes], percent: int):
+        self.size, self.percent = size, percent
+        self.width = np.array([len(x) for x in bits])
+        self.rows = {int(w): np.flatnonzero(self.width == w) for w in np.unique(self.width)}
+        own = {w: np.frombuffer(b"".join(bits[i] for i in at), U).reshape(len(at), -1) for w, at in self.rows.items()}
+        self.own, self.half = own, {w: x[:, : w // 16] ^ x[:, w // 16 :] for w, x in own.items()}
+        self.place = np.empty(len(bits), np.int64)
+        for at in self.rows.values():
+            self.place[at] = np.arange(len(at))
+
+    def near(self, i: int) -> np.ndarray:
+        """The other rows that row i may be similar to, in order; those with much larger or smaller bitmaps differ too much in size."""
+        w, k, out = int(self.width[i]), self.place[i], []
+        sides = [(w, self.own[w][k], self.own), (2 * w, self.own[w][k], self.half), (w // 2, self.half[w][k], self.own)]
+        for other, mine, table in sides:
+            if other not in self.rows:
+                continue
+            at = self.rows[other]
+            apart = np.bitwise_count(table[other] ^ mine[None]).sum(axis=1, dtype=np.int64)
+            n, m = self.size[i], self.size[at]
+            out.append(at[((100 + self.percent) * apart <= (100 - self.percent) * (n + m)) & (100 * n >= self.percent * m) & (100 * m >= self.percent * n)])
+        found = np.sort(np.concatenate(out))
+        return found[found != i]
+
+
+def _groups(*keys: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each distinct key."""
+    order = np.lexsort(keys[::-1])
+    key = np.stack(keys, axis=1)[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True]))) if len(order) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield order[a:b]
+
+
+def _edges(found: set[tuple[int, int]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _blocked(rows: DataFrame, key: str) -> DataFrame:
+    """Each row once for every pair of its key's blocks (low, high) that its own block belongs to."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", other)
-    rows = stage(rows.select("head", "cid", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "members")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", other)
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
+def candidates(members: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest over the classes of each head (head, cid, component, blocks) that are apart and meet the bounds on `sharp`.
+
+    Every pair of such classes is in one tree; a call returns fewer rows than it gets.
+    """
+    rows = stage(_blocked(members, "head").select("head", "cid", "component", "block", "low", "high"), "members")
     calls = max(1, -(-rows.count() // TOGETHER))
     bounds = bounds.join(rows.select("cid").distinct(), "cid", "left_semi")
     rows = rows.withColumn("call", F.pmod(F.xxhash64("head", "low", "high"), F.lit(calls))).join(bounds, "cid")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         head, low, high, cid, component, block, n = (table[c].to_numpy() for c in ("head", "low", "high", "cid", "component", "block", "n"))
         bits, found = table["sharp"].to_pylist(), set()
-        order = np.lexsort((high, low, head))
-        key = np.stack((head, low, high), axis=1)[order]
-        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True]))) if len(order) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            at = order[a:b]
-            for i, j in _pairs(n[at], component[at], block[at], [bits[x] for x in at], low[at[0]] != high[at[0]], percent):
-                x, y = int(cid[at[i]]), int(cid[at[j]])
-                found.add((min(x, y), max(x, y)))
-        return pa.Table.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=out)
+        for at in _groups(head, low, high):
+            near = _Bits(n[at], [bits[x] for x in at], percent)
+            tree, one = np.arange(len(at)), low[at[0]] == high[at[0]]
+            for i in range(len(at)):
+                others = near.near(i)
+                others = others[(tree[others] != tree[i]) & (component[at[others]] != component[at[i]])]
+                for j in (others if one else others[block[at[others]] != block[at[i]]]).tolist():
+                    if tree[j] != tree[i]:
+                        tree[tree == tree[j]] = tree[i]
+                        found.add((int(min(cid[at[i]], cid[at[j]])), int(max(cid[at[i]], cid[at[j]]))))
+        return _edges(found)
 
     return rows.groupBy("call").applyInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough, written."""
-    pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = stage(classes.join(ids, "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
-    sets = stage(whole_sets(docs, wanted, width), "items")
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("ai")), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("bi")), "b")
-    both = both.select("a", "b", F.size("ai").alias("an"), F.size("bi").alias("bn"), F.size(F.array_intersect("ai", "bi")).alias("both"))
-    good = stage(both.filter(100 * F.col("both") >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b"), "links")
-    discard(pairs, wanted, sets)
-    return good
+def _similar(codes: list[np.ndarray], i: int, others: np.ndarray, flags: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the other sets are similar to set i; sets are distinct numbers of elements."""
+    flags[codes[i]] = 1
+    sizes = np.array([len(codes[j]) for j in others])
+    both = np.add.reduceat(flags[np.concatenate([codes[j] for j in others])], np.cumsum(sizes) - sizes)
+    flags[codes[i]] = 0
+    return 100 * both >= percent * (len(codes[i]) + sizes - both)
 
 
-def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, n_shingles, component_id, text_hash.
+def linked(clusters: DataFrame, percent: int, done: str) -> DataFrame:
+    """(a, b): links that join what is similar among the classes (cluster, cid, component, blocks, n, sharp, items) of each cluster.
 
-    Links join documents whose sets have 100 * intersection >= percent * union.
-    Texts without words, empty or null: no shingles, their own component. Rows
-    without a doc_id are linked with nothing and have no component. Repeated rows,
-    and repeated ids with other texts, stay rows of their own. Other columns of
-    `docs` are not read. An empty table gives an empty one.
+    `done` picks the pairs of blocks. A call compares two classes only if neither their components
+    nor the links it has found join them, so it returns fewer links than it gets classes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _blocked(clusters, "cluster").filter(done)
+    load = rows.agg(F.sum("n")).first()[0]
+    if load is None:
+        return clusters.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    rows = rows.withColumn("call", F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(-(-load // LOAD))))
+
+    def run(table: pa.Table) -> pa.Table:
+        cluster, low, high, cid, component, block, n = (table[c].to_numpy() for c in ("cluster", "low", "high", "cid", "component", "block", "n"))
+        bits, found = table["sharp"].to_pylist(), set()
+        lists = table["items"].combine_chunks()
+        starts, items = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for at in _groups(cluster, low, high):
+            near, one = _Bits(n[at], [bits[x] for x in at], percent), low[at[0]] == high[at[0]]
+            _, coded = np.unique(np.concatenate([items[starts[x] : starts[x + 1]] for x in at]), return_inverse=True)
+            codes = np.split(coded, np.cumsum(starts[at + 1] - starts[at])[:-1])
+            flags = np.zeros(int(coded.max()) + 1, np.int64)
+            joined = np.unique(component[at], return_inverse=True)[1]
+            for i in range(len(at)):
+                others, size = near.near(i), 1
+                others = others[others > i]
+                others = others if one else others[block[at[others]] != block[at[i]]]
+                while len(others := others[joined[others] != joined[i]]):
+                    part, others = others[:size], others[size:]
+                    for j in part[_similar(codes, i, part, flags, percent)].tolist():
+                        if joined[j] != joined[i]:
+                            joined[joined == joined[j]] = joined[i]
+                            found.add((int(min(cid[at[i]], cid[at[j]])), int(max(cid[at[i]], cid[at[j]]))))
+                    size = min(2 * size, 256)
+        return _edges(found)
+
+    return rows.groupBy("call").applyInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets (cid, items) are similar enough."""
+    both = lookup(pairs, sets.select(F.col("cid").alias("a"), F.col("items").alias("ai")), ["a"], ["b"], "inner", BLOCK)
+    both = both.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("bi")), "b")
+    both = both.select("a", "b", F.size("ai").alias("an"), F.size("bi").alias("bn"), F.size(F.array_intersect("ai", "bi")).alias("both"))
+    return both.filter(100 * F.col("both") >= percent * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b")
+
+
+def _with_component(rows: DataFrame, parts: DataFrame, key: str, name: str) -> DataFrame:
+    """A class without links is a component of its own."""
+    return rows.join(parts.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def star_links(star: DataFrame, bitmaps: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of classes and heads (head, head_n, cid, n): each class with its smallest head first, then with those of other components."""
+    near = star.filter(_sizes_close(F.col("head_n"), F.col("n"), percent))
+    near = near.join(bitmaps.select(F.col("cid").alias("head"), F.col("parity").alias("p")), "head").join(bitmaps.select("cid", F.col("parity").alias("q")), "cid")
+    near = stage(near.filter(_bits_close(F.col("p"), F.col("q"), F.col("head_n"), F.col("n"), percent)).select("head", "cid"), "near")
+    ids = near.select("cid").union(near.select("head")).distinct()
+    wanted = stage(classes.join(ids, "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
+    sets = stage(whole_sets(docs, wanted, width), "items")
+    # a pair may be in both directions; the smaller class is the head of one of them
+    one = near.groupBy("cid").agg(F.min("head").alias("head"))
+    links = stage(verified(one.select(*_pair("head", "cid")).distinct(), sets, percent), "links")
+    parts = components(links)
+    apart = _with_component(_with_component(near, parts, "cid", "of"), parts, "head", "to").filter(F.col("of") != F.col("to"))
+    more = verified(apart.select(*_pair("head", "cid")).distinct(), sets, percent)
+    more = _with_component(_with_component(more, parts, "a", "of"), parts, "b", "to").groupBy(F.least("of", "to").alias("x"), F.greatest("of", "to").alias("y"))
+    more = more.agg(F.min_by(F.struct("a", "b"), F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")  # one link for two components
+    both = stage(links.union(more), "links")
+    discard(parts, links, wanted, near, sets)
+    return both, components(both)
+
+
+def cluster_links(star: DataFrame, parts: DataFrame, marks: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between classes that share a head and are in different components (node, component) so far."""
+    shared = _with_component(star.select("head", "cid"), parts, "cid", "component")
+    open_ = shared.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = lookup(shared, open_.filter("least < most").select("head", "blocks"), ["head"], ["cid"], "inner", HOT)
+    bounds = marks.select("cid", "n", "sharp").dropDuplicates(["cid"])
+    forest = stage(candidates(members, bounds, percent), "forest")
+    clusters = components(forest).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    wanted = stage(classes.join(clusters.select("cid"), "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
+    load = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HEAVY)).cast("int").alias("blocks")
+    rows = clusters.join(bounds, "cid")
+    rows = lookup(rows, rows.groupBy("cluster").agg(load), ["cluster"], ["cid"], "inner", HOT)
+    rows = stage(rows.join(whole_sets(docs, wanted, width), "cid"), "clusters")
+    found = forest.limit(0)
+    # inside blocks, the first block with each other one, then all the rest: each step knows what the ones before have joined
+    for step, done in enumerate(("low = high", "low = 0 AND high > 0", "low > 0 AND high > low")):
+        if step and rows.filter("blocks > 1").isEmpty():
+            break
+        now = components(found.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))) if step else parts
+        found = stage(found.union(linked(_with_component(rows, now, "cid", "component"), percent, done)).distinct(), "links")
+    discard(forest, wanted, rows)
+    return found
+
+
+def classified(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, links) of (doc_id, text): what `described` gives, one row per distinct set, and the links between classes."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50: sets of one element can only be equal then")
     described_ = stage(described(docs, width), "sets")
     rows = described_.filter("n_shingles IS NOT NULL")
     known = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -367,23 +494,29 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     # a class's bitmaps are those of its first document
     marks = described_.filter("n_shingles > 1").join(classes.select("doc_id", "f1", "f2", "cid", "n"), ["doc_id", "f1", "f2"])
     small = stage(marks.select("cid", "parity").dropDuplicates(["cid"]), "bitmaps")
-    tried = star.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
-    near = star.filter(_sizes_close(F.col("head_n"), F.col("n"), percent))
-    near = near.join(small.select(F.col("cid").alias("head"), F.col("parity").alias("p")), "head").join(small.select("cid", F.col("parity").alias("q")), "cid")
-    near = near.filter(_bits_close(F.col("p"), F.col("q"), F.col("head_n"), F.col("n"), percent))
-    links = verified(near.select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct(), docs, classes, percent, width)
-    parts = components(links)
+    links, parts = star_links(star, small, docs, classes, percent, width)
+    more = cluster_links(star, parts, marks, docs, classes, percent, width)
+    both = stage(links.union(more), "links")
+    discard(parts, links, more, met, star, small, frequent)
+    return described_, classes, both
 
-    shared = star.select("head", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_ = shared.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = shared.join(open_.filter("least < most").select("head", "blocks"), "head")
-    rest = compared(members, marks.select("cid", "n", "sharp").dropDuplicates(["cid"]), percent).distinct().join(tried, ["a", "b"], "left_anti")
-    both = stage(links.union(verified(rest, docs, classes, percent, width)), "links")
-    discard(parts, links, met, star, small, frequent)
+
+def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """One row per row of (doc_id, text): doc_id, n_shingles, component_id, text_hash.
+
+    Links join documents whose sets have 100 * intersection >= percent * union, for a percent
+    above 50. Texts without words, empty or null: no shingles, their own component. Rows
+    without a doc_id are linked with nothing and have no component. Repeated rows,
+    and repeated ids with other texts, stay rows of their own. Other columns of
+    `docs` are not read. An empty table gives an empty one.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    described_, classes, both = classified(docs, percent, width)
+    rows = described_.filter("n_shingles IS NOT NULL")
+    known = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     parts = components(both)
     discard(both)
-
-    of = classes.select("f1", "f2", "cid", "doc_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    of = _with_component(classes.select("f1", "f2", "cid", "doc_id"), parts, "cid", "component")
     heads = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = of.join(heads, "component").select("f1", "f2", "component_id")
     done = known.join(of, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id", "text_hash")
