@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -67,20 +68,27 @@ def test_nulls_empty_texts_repeats_and_many_occurrences(spark):
 
 def test_a_term_is_counted_once_for_a_document_in_any_number_of_chunks(spark):
     rows = [("Foo foo, (foo) foo-foo", "en", "a")] * 2 + [("bar", "en", "b")]
-    _, terms = divergence.counted(frame(spark, rows, 1))
+    _, terms = divergence.counted(frame(spark, rows, 1), 1)
     assert {r["term"]: (r["docs"], list(r["counts"])) for r in terms.collect()} == {"foo": (2, [10]), "bar": (1, [1])}
 
 
 def test_blocks(monkeypatch):
     texts = ["a b a", "", "c a"]
     out = pa.Table.from_batches(list(divergence._block(9, *(pa.array(x, pa.large_string()) for x in (texts, ["y", "x", "x"], ["", "", ""])))))
-    groups = out.filter(pa.compute.is_valid(out["docs"]))
+    groups = out.filter(pa.compute.is_valid(out["lang"]))
     assert groups.select(["lang", "source", "docs"]).to_pylist() == [{"lang": "x", "source": "", "docs": 2}, {"lang": "y", "source": "", "docs": 1}]
-    words = out["chunk"].to_pylist()
-    entries = np.frombuffer(out["entries"].to_pylist()[-1], "<u4")
-    sizes = np.frombuffer(out["sizes"].to_pylist()[-1], "<u4")
-    of = dict(zip([w for w in words if w is not None], np.split(entries, np.cumsum(sizes)[:-1]), strict=True))
-    assert {w: [(int(e) >> 16, int(e) & 0xFFFF) for e in v] for w, v in of.items() if w} == {"a": [(1, 1), (2, 2)], "b": [(2, 1)], "c": [(1, 1)]}
+    words = {r["chunk"]: r["docs"] for r in out.to_pylist() if r["chunk"]}
+    assert words == {"a": 2, "b": 1, "c": 1}
+    sizes, held, counts = (np.frombuffer(zlib.decompress(out[c].to_pylist()[-1]), k) for c, k in (("sizes", "<u4"), ("held", "<u2"), ("counts", "<u2")))
+    entries = np.split(np.stack((held, counts), axis=1), np.cumsum(sizes)[:-1])
+    of = dict(zip([w for w in out["chunk"].to_pylist() if w is not None], entries, strict=True))
+    assert {w: v.tolist() for w, v in of.items() if w} == {"a": [[1, 1], [2, 2]], "b": [[2, 1]], "c": [[1, 1]]}
+
+
+def test_rare_terms_go_before_the_join(spark):
+    rows = [("Foo, foo", "en", "a"), ("foo bar", "en", "b"), ("foo", "de", "b")]
+    _, terms = divergence.counted(frame(spark, rows, 3), 4)
+    assert {r["term"] for r in terms.collect()} == {"foo"}  # 4 documents of its chunks, 3 of its own, 2 in a language
 
 
 def test_large_counts_stay_exact(spark):

@@ -3,8 +3,9 @@
 A chunk is a run of text without ASCII white space; terms never cross it. A task reads
 documents in blocks, orders a block's documents by (lang, source), counts each document's
 chunks and writes them once: the block's distinct chunks, numbered, and for each number its
-entries, one per document that has it. The globally distinct chunks are cut into terms once
-and joined back to the blocks' chunks; entries never go through that join. Each block is
+entries, one per document that has it. The globally distinct chunks are cut into terms once.
+A term can be in no more documents than its chunks together; those of enough are joined
+back to the blocks' chunks, and entries never go through that join. Each block is
 then put together again: the entries of all chunks with one term, merged by document, give
 how many of its documents hold the term and how often each of its groups does. What a block holds
 of a hot chunk is one row, so no chunk, language or source is gathered in one task.
@@ -16,6 +17,7 @@ differences of columns, a few sources against all at a time.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ TOGETHER, ROWS = 1 << 14, 1 << 16
 #: (term, source) counts that meet in one call, and cells of its matrices.
 CALL, CELLS = 1 << 18, 1 << 20
 _BLOCK = pa.schema([
-    ("block", pa.int64()), ("code", pa.int32()), ("chunk", pa.string()), ("sizes", pa.binary()), ("entries", pa.binary()),
-    ("lang", pa.string()), ("source", pa.string()), ("docs", pa.int32()),
+    ("block", pa.int64()), ("code", pa.int32()), ("chunk", pa.string()), ("docs", pa.int32()), ("sizes", pa.binary()), ("held", pa.binary()), ("counts", pa.binary()),
+    ("lang", pa.string()), ("source", pa.string()),
 ])
 
 
@@ -46,7 +48,7 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def _block(number: int, texts: pa.Array, langs: pa.Array, sources: pa.Array) -> Iterator[pa.RecordBatch]:
-    """The rows of one block: its groups in order, its chunks, its entries (document << 16 | count, in 32 bits)."""
+    """The rows of one block: its groups in order, its chunks with their documents, its entries (document and count, 16 bits each, deflated)."""
     order = pc.sort_indices(pa.table({"l": langs, "s": sources}), sort_keys=[("l", "ascending"), ("s", "ascending")])
     texts, langs, sources = texts.take(order), langs.take(order), sources.take(order)
     runs = pa.table({"l": langs, "s": sources}).group_by(["l", "s"], use_threads=False).aggregate([([], "count_all")])
@@ -64,20 +66,22 @@ def _block(number: int, texts: pa.Array, langs: pa.Array, sources: pa.Array) ->
         both, last = np.repeat(both, times), np.cumsum(times) - 1
         rest, count = count - (times - 1) * 0xFFFF, np.full(len(both), 0xFFFF)
         count[last] = rest
-    entries = ((both % DOCS) << 16 | count).astype("<u4")
+    held, count = (both % DOCS).astype("<u2"), count.astype("<u2")
     sizes = np.bincount(both // DOCS, minlength=len(coded.dictionary))
     ends = np.concatenate(([0], np.cumsum(sizes)))
     words = coded.dictionary.cast(pa.string())
     for at in range(0, len(words), ROWS):
         part = words.slice(at, ROWS)
-        yield _rows(block=pa.array(np.full(len(part), number)), code=pa.array(np.arange(at, at + len(part), dtype=np.int32)), chunk=part)
+        docs = pa.array(sizes[at : at + len(part)].astype(np.int32))
+        yield _rows(block=pa.array(np.full(len(part), number)), code=pa.array(np.arange(at, at + len(part), dtype=np.int32)), chunk=part, docs=docs)
     for at in range(0, len(words), TOGETHER):
         to = min(at + TOGETHER, len(words))
-        yield _rows(block=pa.array([number], pa.int64()), code=pa.array([at], pa.int32()), sizes=pa.array([sizes[at:to].astype("<u4").tobytes()], pa.binary()), entries=pa.array([entries[ends[at] : ends[to]].tobytes()], pa.binary()))
+        three = {"sizes": sizes[at:to].astype("<u4"), "held": held[ends[at] : ends[to]], "counts": count[ends[at] : ends[to]]}
+        yield _rows(block=pa.array([number], pa.int64()), code=pa.array([at], pa.int32()), **{n: pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for n, x in three.items()})
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Rows of three kinds, each with its block: groups (lang, source, docs), chunks (code, chunk), entries (code of the first, sizes, entries)."""
+    """Rows of three kinds, each with its block: groups (lang, source, docs), chunks (code, chunk, docs), entries (code of the first, sizes, held, counts)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, count = TaskContext.get().partitionId() << 32, [], 0, 0
@@ -104,7 +108,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 at = to
         yield from flush()
 
-    return docs.select("text", "lang", "source").mapInArrow(run, "block long, code int, chunk string, sizes binary, entries binary, lang string, source string, docs int")
+    return docs.select("text", "lang", "source").mapInArrow(run, "block long, code int, chunk string, docs int, sizes binary, held binary, counts binary, lang string, source string")
 
 
 def terms_of(chunk: Column) -> Column:
@@ -121,11 +125,11 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
     """Of one block (lang, term, docs, groups, counts): documents with the term, and how often each group has it."""
     schema = pa.schema([("lang", pa.int32()), ("term", pa.string()), ("docs", pa.int64()), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-    parts = rest.filter(pc.is_valid(rest["entries"])).sort_by("code")
+    parts = rest.filter(pc.is_valid(rest["held"])).sort_by("code")
     if not len(chunks) or not len(parts):
         return schema.empty_table()
-    sizes = np.frombuffer(b"".join(parts["sizes"].to_pylist()), "<u4").astype(np.int64)
-    entries = np.frombuffer(b"".join(parts["entries"].to_pylist()), "<u4")
+    plane = lambda name, kind: np.frombuffer(b"".join(map(zlib.decompress, parts[name].to_pylist())), kind)
+    sizes, held, counts = plane("sizes", "<u4").astype(np.int64), plane("held", "<u2"), plane("counts", "<u2")
     begin = np.cumsum(sizes) - sizes
     groups = rest.filter(pc.is_valid(rest["docs"])).sort_by("gid")
     ends = np.cumsum(groups["docs"].to_numpy())
@@ -135,8 +139,9 @@ def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
     coded = lists.flatten().dictionary_encode()
     code = np.repeat(chunks["code"].to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     size = sizes[code]
-    found = entries[_ranges(begin[code], size)].astype(np.int64)
+    at = _ranges(begin[code], size)
     # term, document and count in one number: terms of a block are fewer than 2 ** 31, documents at most 2 ** 16
+    found = held[at].astype(np.int64) << 16 | counts[at]
     found |= np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), size) << 32
     found.sort()
     place, count = found >> 16, found & 0xFFFF
@@ -156,21 +161,27 @@ def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
     )
 
 
-def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, terms), both written: groups (lid, lang, gid, source), terms (lang, term, docs, groups, counts), a row per block, language and term."""
+def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(groups, terms), both written: groups (lid, lang, gid, source), terms (lang, term, docs, groups, counts), a row per block, language and term.
+
+    Every term that `least` documents of a language hold is there, with all its rows.
+    """
     blocks = stage(chunked(docs), "blocks")
-    groups = blocks.filter("docs IS NOT NULL").groupBy("lang", "source").agg(F.sum("docs").alias("docs"))
+    groups = blocks.filter("lang IS NOT NULL").select("lang", "source").distinct()
     # one row per group: numbered in the order of a block's groups
     numbered = groups.withColumns({"gid": F.row_number().over(Window.orderBy("lang", "source")), "lid": F.dense_rank().over(Window.orderBy("lang"))})
     groups = stage(numbered.select("lid", "lang", "gid", "source"), "groups")
-    chunks = blocks.filter("chunk IS NOT NULL").select("block", "code", "chunk")
-    terms = chunks.select("chunk").distinct().withColumn("terms", terms_of(F.col("chunk"))).filter("size(terms) > 0")
-    rest = blocks.filter("chunk IS NULL").select("block", "code", "sizes", "entries", "docs", "lang", "source").join(groups, ["lang", "source"], "left")
-    rest = rest.select("block", "code", "sizes", "entries", "docs", "gid", "lid").toDF("block", "code", "sizes", "entries", "docs", "gid", "lid")
-    joined = chunks.join(terms, "chunk").select("block", "code", "terms")
+    chunks = blocks.filter("chunk IS NOT NULL").select("block", "code", "chunk", "docs")
+    cut = chunks.groupBy("chunk").agg(F.sum("docs").alias("docs")).select("chunk", "docs", F.explode(terms_of(F.col("chunk"))).alias("term"))
+    cut = stage(cut, "chunks")
+    likely = cut.groupBy("term").agg(F.sum("docs").alias("most")).filter(F.col("most") >= least).select("term")
+    of = cut.select("chunk", "term").join(likely, "term").groupBy("chunk").agg(F.collect_list("term").alias("terms"))  # as many as fit in the chunk
+    joined = chunks.join(of, "chunk").select("block", "code", "terms")
+    rest = blocks.filter("chunk IS NULL").drop("chunk").join(groups, ["lang", "source"], "left").drop("lang", "source")
+    rest = rest.toDF(*rest.columns)
     made = joined.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_counts, "lang int, term string, docs long, groups array<int>, counts array<bigint>")
     made = stage(made, "terms")
-    discard(blocks)
+    discard(blocks, cut)
     return groups, made
 
 
@@ -214,7 +225,7 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     `term` the `top` kept terms of the group whose p is furthest above that of the whole language.
     Repeated rows each count; other columns are not read. An empty table gives an empty one.
     """
-    groups, terms = counted(docs)
+    groups, terms = counted(docs, least)
     kept = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
     kept = stage(kept.select("lang", "term", F.monotonically_increasing_id().alias("tid")), "kept")
     each = terms.join(kept, ["lang", "term"]).select(F.col("lang").alias("lid"), "tid", F.explode(F.arrays_zip("groups", "counts")).alias("e"))
