@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from waybook.catalog.registry import query
 from waybook.catalog.tables import CALLS_SQL, calls, table, turns
+from waybook.functions import calls as wire
 from waybook.functions.answers import boxed_last
-from waybook.operators import context, plan
+from waybook.functions.strings import strip
+from waybook.operators import context, plan, rollbacks
 
 
 @query(
@@ -185,3 +187,60 @@ def f14_bad_steps(spark, sf):
 def f15_final_response(spark, sf):
     channel = F.when((F.col("traj") % 2 == 0) & (F.col("pos") < 3), "final")
     return context.final_response(turns(spark, sf).withColumn("channel", channel), ["traj"], "pos")
+
+
+_RAW_SQL = r"""
+  raw AS (SELECT conv_id // 10 AS traj, conv_id * 100 + turn AS seq, conv_id + turn AS m, upper(substr(trim(text, E' \t\n\r\f\x0B'), 1, 1)) AS l FROM conversations),
+  ev AS (
+    SELECT traj, seq, c, m, l, CASE WHEN m % 11 IN (0, 1) THEN 'tags' WHEN m % 11 = 2 THEN 'refusal' WHEN m % 67 = 66 THEN 'final' END AS fault,
+           CASE c WHEN 1 THEN 'google_search:' || l WHEN 2 THEN 'scrape_and_extract_info:' || l || ':' || (m % 3) END AS key, (m + c) % 5 <> 0 AS ok, m % 3 + 1 AS n
+    FROM raw, (VALUES (1), (2), (3)) AS cs(c) WHERE c = 1 OR (m % 11 > 2 AND m % 67 <> 66 AND c <= m % 3 + 1)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY seq, c) AS i FROM ev)"""
+
+
+@query(
+    "f14_bad_steps_raw",
+    f"""WITH RECURSIVE {_RAW_SQL},
+    run AS (
+      SELECT traj, 0::BIGINT AS i, 0::BIGINT AS seq, 0 AS r, false AS ended, NULL::BIGINT AS skip, []::VARCHAR[] AS used, '' AS act FROM (SELECT DISTINCT traj FROM o)
+      UNION ALL
+      SELECT traj, i, seq,
+        CASE WHEN was THEN 5 WHEN act = 'rolled_back' OR act = 'repeat' THEN r + 1 WHEN act IN ('end', 'final') THEN 5 WHEN act = 'error_line' OR (act = 'made' AND c = n) THEN 0 ELSE r END,
+        was OR act IN ('end', 'final'), CASE WHEN act = 'repeat' THEN seq ELSE skip END, CASE WHEN act = 'made' AND ok AND key IS NOT NULL THEN list_append(used, key) ELSE used END, act
+      FROM (
+        SELECT o.*, p.r, p.ended AS was, p.skip, p.used,
+          CASE WHEN p.ended THEN 'after_end' WHEN fault = 'final' THEN 'final' WHEN fault IS NOT NULL THEN CASE WHEN p.r < 4 THEN 'rolled_back' ELSE 'end' END
+            WHEN p.skip IS NOT DISTINCT FROM o.seq THEN 'not_made' WHEN key IS NOT NULL AND list_contains(p.used, key) THEN CASE WHEN p.r < 4 THEN 'repeat' ELSE 'error_line' END
+            ELSE 'made' END AS act
+        FROM run p JOIN o ON o.traj = p.traj AND o.i = p.i + 1)),
+    steps AS (SELECT run.*, o.c, o.fault FROM run JOIN o USING (traj, i))
+    SELECT traj, seq, CASE WHEN bool_or(act = 'repeat') THEN 'rolled_back' WHEN bool_or(act = 'after_end') THEN 'after_end' WHEN max(fault) IS NOT NULL THEN max(act) ELSE 'kept' END AS action,
+      CAST(arg_max(r, c) AS INTEGER) AS rollbacks, CASE WHEN max(fault) IS NOT NULL THEN '' ELSE string_agg(CASE act WHEN 'after_end' THEN 'not_made' ELSE act END, ',' ORDER BY c) END AS made
+    FROM steps GROUP BY traj, seq""",
+)
+def f14_bad_steps_raw(spark, sf):
+    """Ten conversations are one step log; each turn's whole text stands in a reply with up to three tagged calls, with tags alone, with a refusal, or alone."""
+    m, text = F.expr("traj + pos"), F.col("content")
+    first = F.upper(F.substring(strip(text), 1, 1))
+    call = lambda server, tool, args: F.concat(
+        F.lit(f"\n<use_mcp_tool>\n<server_name>{server}</server_name>\n<tool_name>{tool}</tool_name>\n<arguments>\n"), args, F.lit("\n</arguments>\n</use_mcp_tool>")
+    )
+    search = call("search_and_scrape_webpage", "google_search", F.to_json(F.struct(F.concat(F.lit(" "), first).alias("q"))))
+    scrape = call("jina_scrape_llm_summary", "scrape_and_extract_info", F.to_json(F.struct(first.alias("url"), (m % 3).cast("string").alias("info_to_extract"))))
+    code = call("tool-python", "run_python_code", F.lit('{"code_block": "1"}'))
+    asked = F.concat(search, F.when(m % 3 >= 1, scrape).otherwise(""), F.when(m % 3 == 2, code).otherwise(""))
+    reply = (
+        F.when((m % 11).isin(0, 1), F.concat(text, F.lit(" <use_mcp_tool> <tool_name>broken")))
+        .when(m % 11 == 2, F.concat(text, F.lit(" I'm sorry, I cannot solve it.")))
+        .when(m % 67 == 66, text)
+        .otherwise(F.concat(text, asked))
+    )
+    log = turns(spark, sf).select(F.expr("traj div 10").alias("traj"), F.expr("traj * 100 + pos").alias("seq"), m.alias("m"), reply.alias("reply"))
+    made = F.transform(
+        wire.server_calls(F.col("reply")),
+        lambda c, i: F.struct(wire.repeat_key(c.tool, c.args).alias("key"), ((F.col("m") + i + 1) % 5 != 0).alias("ok")),
+    )
+    steps = log.withColumn("calls", made).withColumn("fault", rollbacks.step_fault(F.col("reply"), F.col("calls"))).select("traj", "seq", "fault", "calls")
+    # Narrow ranges, so that the state also crosses their borders here.
+    out = rollbacks.replayed(steps, ["traj"], "seq", F.col("fault"), F.col("calls"), width=40)
+    return out.select("traj", "seq", "action", "rollbacks", F.array_join("made", ",").alias("made"))
