@@ -123,8 +123,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
-    """Of one block (lang, term, docs, groups, counts): documents with the term, and how often each group has it."""
-    schema = pa.schema([("lang", pa.int32()), ("term", pa.string()), ("docs", pa.int64()), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+    """Of one block (lid, term, groups): a row per language and term, with the groups that have it, how often, and in how many documents."""
+    each = pa.struct([("gid", pa.int32()), ("n", pa.int64()), ("docs", pa.int64())])
+    schema = pa.schema([("lid", pa.int32()), ("term", pa.string()), ("groups", pa.list_(each))])
     parts = rest.filter(pc.is_valid(rest["held"])).sort_by("code")
     if not len(chunks) or not len(parts):
         return schema.empty_table()
@@ -151,18 +152,13 @@ def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (group[1:] != group[:-1]))))
     docs, total, term, group = np.diff(np.append(new, len(term))), np.add.reduceat(count, new), term[new], group[new]
     new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (lang[group[1:]] != lang[group[:-1]]))))
-    offsets = pa.array(np.append(new, len(term)).astype(np.int32))
-    return pa.Table.from_arrays(
-        [
-            pa.array(lang[group[new]], pa.int32()), coded.dictionary.take(pa.array(term[new])).cast(pa.string()), pa.array(np.add.reduceat(docs, new), pa.int64()),
-            pa.ListArray.from_arrays(offsets, pa.array(gid[group], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(total, pa.int64())),
-        ],
-        schema=schema,
-    )
+    own = pa.StructArray.from_arrays([pa.array(gid[group], pa.int32()), pa.array(total), pa.array(docs)], fields=list(each))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(term)).astype(np.int32)), own)
+    return pa.Table.from_arrays([pa.array(lang[group[new]], pa.int32()), coded.dictionary.take(pa.array(term[new])).cast(pa.string()), lists], schema=schema)
 
 
 def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(groups, terms), both written: groups (lid, lang, gid, source), terms (lang, term, docs, groups, counts), a row per block, language and term.
+    """(groups, terms), both written: groups (lid, lang, gid, source), terms (lid, term, gid, n, docs), a row per group and term.
 
     Every term that `least` documents of a language hold is there, with all its rows.
     """
@@ -179,7 +175,8 @@ def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     joined = chunks.join(of, "chunk").select("block", "code", "terms")
     rest = blocks.filter("chunk IS NULL").drop("chunk").join(groups, ["lang", "source"], "left").drop("lang", "source")
     rest = rest.toDF(*rest.columns)
-    made = joined.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_counts, "lang int, term string, docs long, groups array<int>, counts array<bigint>")
+    made = joined.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_counts, "lid int, term string, groups array<struct<gid:int,n:bigint,docs:bigint>>")
+    made = made.select("lid", "term", F.inline("groups")).groupBy("lid", "term", "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     made = stage(made, "terms")
     discard(blocks, cut)
     return groups, made
@@ -226,14 +223,13 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     Repeated rows each count; other columns are not read. An empty table gives an empty one.
     """
     groups, terms = counted(docs, least)
-    kept = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
-    kept = stage(kept.select("lang", "term", F.monotonically_increasing_id().alias("tid")), "kept")
-    each = terms.join(kept, ["lang", "term"]).select(F.col("lang").alias("lid"), "tid", F.explode(F.arrays_zip("groups", "counts")).alias("e"))
-    counts = stage(each.groupBy("lid", "tid", F.col("e.groups").alias("gid")).agg(F.sum("e.counts").alias("n")), "counts")
+    kept = terms.groupBy("lid", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
+    kept = stage(kept.select("lid", "term", F.monotonically_increasing_id().alias("tid")), "kept")
+    counts = stage(terms.join(kept, ["lid", "term"]).select("lid", "tid", "gid", "n"), "counts")
     discard(terms)
 
     size = F.coalesce(F.col("kept"), F.lit(0))
-    kept_n = kept.groupBy(F.col("lang").alias("lid")).agg(F.count(F.lit(1)).alias("kept"))
+    kept_n = kept.groupBy("lid").agg(F.count(F.lit(1)).alias("kept"))
     sums = groups.join(counts.groupBy("gid").agg(F.sum("n").alias("total")), "gid", "left").join(kept_n, "lid", "left")
     sums = sums.withColumns({"total": F.coalesce("total", F.lit(0)), "kept": size})
     sums = sums.withColumn("base", F.when(F.col("kept") > 0, share(F.lit(0), F.col("total"), F.col("kept"))).otherwise(F.lit(0)))
