@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waybook.catalog.aggregates import _RUNS_SQL, _runs
+from waybook.catalog.aggregates import _FLEET, _RUNS_SQL, _runs
 from waybook.catalog.registry import query
 from waybook.catalog.tables import CALLS_SQL, TS, calls, r6
 from waybook.operators import report
 from waybook.sources import scratch
-from waybook.streaming import streams
+from waybook.streaming import keyed, streams
 
 _TIMEOUT = 6 * 3600
 _STATUS = "CASE tool WHEN 'error' THEN 'OFFLINE' WHEN 'signup' THEN 'LOADING' WHEN 'view' THEN NULL ELSE 'READY' END AS status"
@@ -151,3 +151,67 @@ def k3_status_stream(spark, sf):
     log = streams.growing_log(spark, path, "worker_id bigint, seq bigint, status string", 1, fmt="parquet")
     streams.status_log(log, out, state).awaitTermination()
     return streams.status_changes(spark, out)
+
+
+def _beats(spark, sf):
+    """Worker events as a stream of files, each of which holds events of all times."""
+    path = scratch.folder(spark, "beats")
+    _worker_events(spark, sf).select("worker_id", "ts", "kind").repartition(3).write.parquet(path)
+    return streams.growing_log(spark, path, "worker_id bigint, ts timestamp, kind string", 1, fmt="parquet")
+
+
+@query(
+    "k2_liveness_stream",
+    f"""WITH {_SPANS}, f AS (SELECT *, min(seq) FILTER (reg) OVER (PARTITION BY w, span) AS r FROM s)
+    SELECT w AS worker_id, min(us) AS first_us, min(us) FILTER (reg) AS registered_us, max(us) AS last_us, count(*) AS events, count(*) FILTER (seq >= r) AS accepted,
+      CASE WHEN bool_or(reg) THEN max(us) + {_TIMEOUT} * 1000000::BIGINT END AS offline_us FROM f GROUP BY w, span""",
+)
+def k2_liveness_stream(spark, sf):
+    out, state = (scratch.folder(spark, x) for x in ("spans", "state"))
+    keyed.worker_spans(_beats(spark, sf), out, state, _TIMEOUT).awaitTermination()
+    lives = keyed.current_spans(spark, out, _TIMEOUT)
+    return _micros(lives).join(lives.select("worker_id", F.unix_micros("first_seen").alias("first_us"), "accepted"), ["worker_id", "first_us"])
+
+
+@query(
+    "k3_changes_stream",
+    f"""WITH {CALLS_SQL}, s AS (SELECT * FROM (SELECT traj AS worker_id, seq, {_STATUS} FROM calls) WHERE status IS NOT NULL),
+    l AS (SELECT *, lag(status) OVER (PARTITION BY worker_id ORDER BY seq) AS old_status FROM s)
+    SELECT worker_id, seq, old_status, status FROM l WHERE old_status IS NOT NULL AND old_status <> status""",
+)
+def k3_changes_stream(spark, sf):
+    path, out, state = (scratch.folder(spark, x) for x in ("status", "changes", "state"))
+    calls(spark, sf, TS).selectExpr("traj AS worker_id", "seq", "ts", _STATUS).repartition(3).write.parquet(path)
+    log = streams.growing_log(spark, path, "worker_id bigint, seq bigint, ts timestamp, status string", 1, fmt="parquet")
+    keyed.status_changes(log, out, state).awaitTermination()
+    return keyed.current_changes(spark, out)
+
+
+@query(
+    "k4_failed_nodes_stream",
+    f"""WITH {_SPANS}, w AS (SELECT w, max(us) FILTER (span = m) AS last, bool_or(reg) FILTER (span = m) AS r FROM (SELECT *, max(span) OVER (PARTITION BY w) AS m FROM s) GROUP BY w)
+    SELECT 'n' || (w % 40) AS node_id, count(*) AS workers, bool_and(NOT r OR (SELECT max(us) FROM e) - last > {_TIMEOUT} * 1000000::BIGINT) AS failed FROM w GROUP BY 1""",
+)
+def k4_failed_nodes_stream(spark, sf):
+    """Two streams in a chain: spans of workers, then nodes over what the first one writes."""
+    spans, out, *states = (scratch.folder(spark, x) for x in ("spans", "nodes", "state", "state"))
+    keyed.worker_spans(_beats(spark, sf), spans, states[0], _TIMEOUT).awaitTermination()
+    schema = "worker_id bigint, first_us bigint, last_us bigint, registered_us bigint, accepted bigint, events bigint, gone boolean, closed boolean"
+    log = streams.growing_log(spark, f"{spans}/*", schema, fmt="parquet")
+    node = F.concat(F.lit("n"), (F.col("worker_id") % 40).cast("string"))
+    keyed.node_lives(log.withColumn("node_id", node), out, states[1], _TIMEOUT).awaitTermination()
+    return keyed.failed_nodes(spark, out, _worker_events(spark, sf).agg(F.max(F.unix_micros("ts"))).scalar())
+
+
+@query(
+    "e23_fleet_stream",
+    f"""WITH {CALLS_SQL}, w AS (SELECT traj, arg_max(tool, seq) AS tool FROM calls GROUP BY 1), s AS (SELECT {_FLEET} FROM w)
+    SELECT count(*) AS total_workers, count(*) FILTER (status = 'READY') AS ready_workers,
+      count(*) FILTER (status = 'LOADING') AS loading_workers, count(*) FILTER (status = 'OFFLINE') AS offline_workers FROM s""",
+)
+def e23_fleet_stream(spark, sf):
+    path, out, state = (scratch.folder(spark, x) for x in ("status", "fleet", "state"))
+    calls(spark, sf).selectExpr("traj AS worker_id", "seq", _FLEET).repartition(3).write.parquet(path)
+    log = streams.growing_log(spark, path, "worker_id bigint, seq bigint, status string", 1, fmt="parquet")
+    keyed.latest_statuses(log, "worker_id", out, state).awaitTermination()
+    return keyed.fleet(spark, out)
