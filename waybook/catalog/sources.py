@@ -8,7 +8,7 @@ from waybook.catalog.registry import query
 from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, calls, judged, r6, table, turns
 from waybook.operators import audit, conversation, plan, report, score, select
 from waybook.plans.card import card
-from waybook.sources import scratch, tables
+from waybook.sources import scratch, tables, tail
 from waybook.streaming import streams
 
 
@@ -112,6 +112,32 @@ def a10_growing_log(spark, sf):
     return spark.read.schema(schema).parquet(out)
 
 
+@query("a10_tailed_log", "SELECT event_id AS seq, event_type AS tool, value FROM events")
+def a10_tailed_log(spark, sf):
+    """Files that grow between two runs of the stream, each with a line cut in two at the border."""
+    path, out, state = (scratch.folder(spark, x) for x in ("log", "drained", "state"))
+    rows = calls(spark, sf).select("seq", F.to_json(F.struct("seq", "tool", "value")).alias("line"))
+    rows.repartition(3, "seq").sortWithinPartitions("seq").select("line").write.text(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema, log = "seq bigint, tool string, value double", f"{path}-live"
+
+    def grow(whole):
+        def run(it):
+            for batch in it:
+                for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    half = len(data) // 2 + 3
+                    tail.append(f"{log}/{file.rsplit('/', 1)[1]}", data[half:] if whole else data[:half], half if whole else 0)
+                yield batch.select(["path"])
+
+        files.mapInArrow(run, "path string").count()
+
+    for whole in (False, True):
+        grow(whole)
+        made = tail.tailed_log(spark, log, schema, ["seq"], width=1 << 16).drop("file", "at")
+        streams.append_to(made, out, state).awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
 # ---- sinks ---------------------------------------------------------------------
 
 
