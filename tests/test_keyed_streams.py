@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from waybook.operators import report
+from waybook.operators import report, score
 from waybook.streaming import keyed, streams
+from waybook.streaming.buckets import Buckets
 
 T0 = datetime(2024, 1, 1)
 BEATS = "worker_id bigint, seq bigint, ts timestamp, kind string, status string"
@@ -144,3 +145,50 @@ def test_fleet_and_nodes(spark, tmp_path):
     keyed.latest_statuses(renamed(files(spark, rows, tmp_path / "in2", 3)), "node_id", str(tmp_path / "out2"), str(tmp_path / "state2")).awaitTermination()
     assert keyed.nodes(spark, str(tmp_path / "out2")).collect() == report.nodes(renamed(df), ["seq"]).collect()
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_accuracy_is_revised_by_an_earlier_reference(spark, tmp_path):
+    rng, schema = random.Random(8), "qid string, traj_idx bigint, reference_answer string, answer string"
+    refs, answers = ["Par is", "paris", "", None, "Rome", "12,000"], ["It is PARIS.", "rome", "", None, "12000", "r", "a, b"]
+    rows = [(rng.choice(["hot", f"q{i % 9}"]), i, rng.choice(refs), rng.choice(answers)) for i in range(200)]
+    parts = [sorted(rows, key=lambda r: -r[1])[i::3] for i in range(3)]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        log = streams.growing_log(spark, str(tmp_path / "in"), schema, fmt="parquet")
+        keyed.accuracy_deltas(log, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        seen = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+        want = score.summary(score.loose_accuracy(seen, "qid", "traj_idx", "reference_answer", "answer", ["traj_idx"])[1]).drop("avg_at_k").first()
+        got = keyed.accuracy(spark, str(tmp_path / "out")).first()
+        assert got.asDict() == want.asDict()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3  # one row per batch
+
+
+def test_bucketed_table(spark, tmp_path):
+    schema, rng = "qid string, at bigint, v string", random.Random(9)
+    records = Buckets(str(tmp_path / "table"), schema, ["qid"], ["at"], 8)
+    want = {}
+    assert records.current(spark).collect() == []
+    for batch in range(6):
+        rows = [(rng.choice([None, *(f"k{i}" for i in range(40))]), rng.randrange(50), f"{batch}:{i}") for i in range(30 if batch % 2 else 3)]
+        rows = list({(r[0], r[1]): r for r in rows}.values())
+        for qid, at, v in rows:
+            if qid not in want or at >= want[qid][0]:
+                want[qid] = (at, v)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        records.upsert(streams.growing_log(spark, str(tmp_path / "in"), schema), str(tmp_path / "state")).awaitTermination()
+        if batch == 3:
+            before = records.runs(spark)[0]
+            full = records.compact(spark, 2)
+            after, hidden = records.runs(spark)
+            assert full == sorted(b for b, f in before.items() if len(f) > 2) and 0 < len(full) < len(before)
+            assert all(len(after[b]) == 1 for b in full) and all(after[b] == before[b] for b in after if b not in full)
+            assert len(hidden) == sum(len(before[b]) for b in full)
+    assert {r["qid"]: (r["at"], r["v"]) for r in records.current(spark).collect()} == want
+    records.compact(spark, 0)
+    assert {r["qid"]: (r["at"], r["v"]) for r in records.current(spark).collect()} == want
+    keys = spark.createDataFrame([("k1",), ("nobody",)], "qid string")
+    one = records.get(keys)
+    assert [tuple(r) for r in one.collect()] == [("k1", *want["k1"])]
+    asked = {r[0] for r in keys.select(records._bucket()).collect()}
+    folders = {f.rsplit("/", 2)[1] for f in one.inputFiles() if "/table/" in f}
+    assert folders <= {f"bucket={b}" for b in asked} and len(records.runs(spark)[0]) > len(folders)

@@ -11,6 +11,7 @@ from waybook.functions import strings
 from waybook.operators import score
 from waybook.plans import jobs
 from waybook.sources import scratch
+from waybook.streaming import keyed, streams
 
 # A conversation as a trajectory: the first user turn is the question, later
 # user turns are tool output, every reply but the last is a tool call. One
@@ -385,6 +386,24 @@ def j8_accuracy(spark, sf):
     return out.withColumns({c: r6(c) for c in ("pass_at_k", "trajectory_accuracy")})
 
 
+@query(
+    "j8_accuracy_stream",
+    f"""WITH {JUDGED_SQL}, a AS (SELECT qid, CASE WHEN correct THEN 'It is ' || upper(source) || '.' WHEN traj_idx % 6 = 0 THEN '' ELSE 'none' END AS answer, source FROM judged),
+    m AS (SELECT qid, answer <> '' AND contains(replace(lower(answer), ' ', ''), lower(source)) AS ok FROM a),
+    q AS (SELECT qid, count(*) AS n, sum(ok::INT) AS c FROM m GROUP BY 1)
+    SELECT count(*) AS num_questions, CAST(sum(n) AS BIGINT) AS total_trajectories, CAST(sum(c) AS BIGINT) AS correct_trajectories, count(*) FILTER (c > 0) AS passed,
+      round(avg((c > 0)::INT), 6) AS pass_at_k, round(sum(c) / sum(n), 6) AS trajectory_accuracy FROM q""",
+)
+def j8_accuracy_stream(spark, sf):
+    """The log comes in files that hold any attempts of a question, so that later ones bring earlier references."""
+    path, out, state = (scratch.folder(spark, x) for x in ("log", "accuracy", "state"))
+    rows = _log(spark, sf).where("line_no = 1").select("qid", "traj_idx", "reference_answer", F.coalesce(F.nullif("boxed_answer", F.lit("")), "answer").alias("answer"))
+    rows.repartition(3).write.parquet(path)
+    log = streams.growing_log(spark, path, "qid string, traj_idx bigint, reference_answer string, answer string", 1, fmt="parquet")
+    keyed.accuracy_deltas(log, out, state).awaitTermination()
+    return keyed.accuracy(spark, out).withColumns({c: r6(c) for c in ("pass_at_k", "trajectory_accuracy")})
+
+
 @query(
     "j9_load_report",
     """WITH s AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type <> 'error')

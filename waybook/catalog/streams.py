@@ -10,6 +10,7 @@ from waybook.catalog.tables import CALLS_SQL, TS, calls, r6
 from waybook.operators import report
 from waybook.sources import scratch
 from waybook.streaming import keyed, streams
+from waybook.streaming.buckets import Buckets
 
 _TIMEOUT = 6 * 3600
 _STATUS = "CASE tool WHEN 'error' THEN 'OFFLINE' WHEN 'signup' THEN 'LOADING' WHEN 'view' THEN NULL ELSE 'READY' END AS status"
@@ -215,3 +216,15 @@ def e23_fleet_stream(spark, sf):
     log = streams.growing_log(spark, path, "worker_id bigint, seq bigint, status string", 1, fmt="parquet")
     keyed.latest_statuses(log, "worker_id", out, state).awaitTermination()
     return keyed.fleet(spark, out)
+
+
+@query("k5_bucketed", f"WITH {CALLS_SQL} SELECT traj, k, max(seq) AS seq, arg_max(tool, seq) AS tool FROM calls GROUP BY traj, k")
+def k5_bucketed(spark, sf):
+    """Four batches, compacted between them, read as a whole."""
+    path, out, state = (scratch.folder(spark, x) for x in ("records", "table", "state"))
+    rows = calls(spark, sf).select("traj", "k", "seq", "tool")
+    rows.repartition(4).write.json(path)
+    records = Buckets(out, "traj bigint, k int, seq bigint, tool string", ["traj", "k"], ["seq"], 16)
+    records.upsert(streams.growing_log(spark, path, "traj bigint, k int, seq bigint, tool string", 1), state).awaitTermination()
+    records.compact(spark, 2)
+    return records.current(spark)

@@ -1,4 +1,4 @@
-"""Keyed streaming state: worker lives with rejected heartbeats, status changes, failed nodes, the fleet.
+"""Keyed streaming state: worker lives with rejected heartbeats, status changes, failed nodes, the fleet, accuracy.
 
 Each processor keeps what it needs of one worker or node in the RocksDB state store and gives
 only what a batch changed, so the cost of a batch follows its own rows. Rows may come in any
@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from waybook import constants as K
+from waybook.functions.strings import loose
 from waybook.operators.ordered import last_per_key
 from waybook.operators.report import offline_at
 from waybook.streaming.streams import _start
@@ -318,3 +319,73 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     """Active (pending or running) and pending nodes, in one row; the same as ``report.nodes`` on a table."""
     count = lambda *s: F.coalesce(F.sum(F.when(F.col("status").isin(*s), F.col("n"))), F.lit(0))
     return status_counts(spark, path).agg(count("PENDING", "RUNNING").alias("active_nodes"), count("PENDING").alias("pending_nodes"))
+
+
+# ---- accuracy of a running evaluation ----------------------------------------------
+
+
+class LooseAccuracy(StatefulProcessor):
+    """Scores of one question that are revised when an earlier reference arrives; see ``accuracy_deltas``."""
+
+    COLUMNS = ("questions", "n", "correct", "passed")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "place long, reference string")
+        self.score = handle.getValueState("score", "n long, correct long")
+        self.answers = handle.getMapState("answers", "answer string", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.first.get()) if self.first.exists() else None
+        n, correct = tuple(self.score.get()) if before else (0, 0)
+        first, new = before, {}
+        for batch in rows:
+            for place, reference, answer in zip(batch["place"].tolist(), batch["reference"].tolist(), batch["answer"].tolist(), strict=True):
+                new[answer] = new.get(answer, 0) + 1
+                if first is None or (place, reference) < first:
+                    first = (place, reference)
+        right = lambda answer: bool(first[1]) and bool(answer) and (first[1] in answer or answer in first[1])
+        now = sum(c for answer, c in new.items() if right(answer))
+        if before and first[1] != before[1]:  # what was judged by the later reference is judged again
+            now += sum(value[0] for answer, value in self.answers.iterator() if right(answer[0]))
+        elif before:
+            now += correct
+        for answer, c in new.items():
+            held = self.answers.getValue((answer,))[0] if self.answers.containsKey((answer,)) else 0
+            self.answers.updateValue((answer,), (held + c,))
+        self.first.update(first)
+        self.score.update((n + sum(new.values()), now))
+        delta = (int(before is None), sum(new.values()), now - correct, int(now > 0) - int(correct > 0))
+        yield _frame([delta], self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def accuracy_deltas(
+    log: DataFrame, path: str, checkpoint: str, qid: str = "qid", order: str = "traj_idx", reference: str = "reference_answer", answer: str = "answer", once: bool = True
+) -> StreamingQuery:
+    """Keep the loose accuracy estimate of a growing log: each batch writes one row of what it added and took back.
+
+    A question's reference is that of its smallest ``order``, null counts as empty; an earlier one that
+    comes late revises the question's verdicts. Of a question its distinct answers are kept with their
+    counts. Every row of the stream is an attempt. Read with ``accuracy``.
+    """
+    loosely = lambda c: loose(F.coalesce(c, F.lit("")))
+    rows = log.select(qid, F.coalesce(order, F.lit(0)).cast("bigint").alias("place"), loosely(reference).alias("reference"), loosely(answer).alias("answer"))
+    out = rows.groupBy(qid).transformWithStateInPandas(LooseAccuracy(), "questions bigint, n bigint, correct bigint, passed bigint", "Update", "None")
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LooseAccuracy.COLUMNS]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    with _rocks(log.sparkSession):
+        return _start(out, checkpoint, "update", each, once)
+
+
+def accuracy(spark: SparkSession, path: str) -> DataFrame:
+    """Questions, trajectories, correct ones, passed questions, pass@k and trajectory accuracy in one row, zero when empty."""
+    total = spark.read.parquet(path).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LooseAccuracy.COLUMNS])
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    return total.select(
+        F.col("questions").alias("num_questions"), F.col("n").alias("total_trajectories"), F.col("correct").alias("correct_trajectories"),
+        "passed", share("passed", "questions").alias("pass_at_k"), share("correct", "n").alias("trajectory_accuracy"),
+    )
