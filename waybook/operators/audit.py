@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybook.functions.strings import contains_any, let
+from waybook.operators import markers as many
 
 _GRAM = 3
 _PREFIX = 8
@@ -49,6 +50,17 @@ def _pieces(text: Column, lengths: Column) -> Column:
 def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker_key: str, marker: str) -> DataFrame:
     """Pairs ``(key, marker_key)`` where the text contains the marker, without comparing all pairs.
 
+    Markers of up to ``markers.LARGEST`` bytes are searched in one pass over the texts, and only
+    hits leave it; more are joined (``joined``).
+    """
+    if many.fits(markers, marker):
+        return many.pairs(texts, key, text, markers, marker_key, marker)
+    return joined(texts, key, text, markers, marker_key, marker)
+
+
+def joined(texts: DataFrame, key: str, text: str, markers: DataFrame, marker_key: str, marker: str) -> DataFrame:
+    """``containing`` for any number of markers.
+
     Text around a long marker's inner words is delimited as in the marker, so
     its longest inner word triple occurs in every text that holds it: an
     equi-join on triple hashes finds the candidates. Markers too short for
@@ -91,6 +103,8 @@ def containing(texts: DataFrame, key: str, text: str, markers: DataFrame, marker
 
 def contaminated_by(texts: DataFrame, key: str, text: str, markers: DataFrame, marker_key: str, marker: str) -> DataFrame:
     """All texts with a ``contaminated`` flag for a table of markers."""
+    if many.fits(markers, marker):
+        return many.flagged(texts, text, markers, marker)
     hits = containing(texts, key, text, markers, marker_key, marker).select(key).distinct()
     flagged = texts.join(hits.withColumn("_hit", F.lit(True)), key, "left")
     return flagged.withColumn("contaminated", F.coalesce("_hit", F.lit(False))).drop("_hit")
