@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+
+import pyarrow as pa
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from waybook.functions import answers, strings, verdicts
-from waybook.functions.answers import _last_box
 
 
 def test_boxed_first(one):
@@ -56,7 +60,7 @@ def test_boxes_agree_on_one_plain_group(one, inner):
     plain = [t.replace("{", "").replace("}", "") for t in inner]
     texts = [rf"x \boxed{{{t}}} y" for t in plain]
     first = one(answers.boxed_first, *texts)
-    assert first == [" ".join(_last_box(t).split()) for t in texts]
+    assert first == [" ".join(plain_last_box(t).split()) for t in texts]
 
 
 def test_split_think(one):
@@ -168,3 +172,34 @@ def test_offline_verdicts(spark):
     assert judge(empty_matches=False)[1] == (False, fallback)
     loose = rows.select("i", verdicts.loose_match(F.col("ref"), F.col("answer")).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in loose] == [True, False, True, False, False, True, True]
+
+
+_OPEN_BOX = re.compile(r"\\boxed\b\s*\{")
+_BRACE_STEP = re.compile(r"\\.|[{}]", re.DOTALL)
+
+
+def plain_last_box(text):
+    """One text, brace by brace."""
+    found, at = "", 0
+    while opening := _OPEN_BOX.search(text, at):
+        depth, end = 1, None
+        for step in _BRACE_STEP.finditer(text, opening.end()):
+            depth += {"{": 1, "}": -1}.get(step[0], 0)
+            if depth == 0:
+                end = step
+                break
+        if end is None:
+            return text[opening.end() :]
+        found, at = text[opening.end() : end.start()], end.end()
+    return found
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_last_boxes_of_a_batch(seed):
+    rng = random.Random(seed)
+    parts = ["\\boxed{", "\\boxed  {", "\\boxed\u2003\n{", "\\boxedx{", "\\boxed", "{", "}", "}", "\\", "\\\\", "\\{", "\\}", "a", "é日", " ", "\n", "boxed{", "\\text{"]
+    texts = [None if rng.random() < 0.05 else "".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(400)]
+    for array in (pa.array(texts, pa.string()), pa.array(["skip", *texts], pa.large_string()).slice(1)):
+        assert answers._last_boxes(array).to_pylist() == [None if t is None else plain_last_box(t) for t in texts]
+    assert answers._last_boxes(pa.array([], pa.string())).to_pylist() == []
+    assert answers._last_boxes(pa.array(["", None], pa.string())).to_pylist() == ["", None]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,39 +41,89 @@ def boxed_first(c: Column) -> Column:
     return F.regexp_replace(strip(F.replace(raw, F.lit("\\"), F.lit(""))), r"(?U)\s+", " ")
 
 
-_OPEN_BOX = re.compile(r"\\boxed\b\s*\{")
-_BRACE_STEP = re.compile(r"\\.|[{}]", re.DOTALL)
-
-
-def _last_box(text: str) -> str:
-    found, at = "", 0
-    while opening := _OPEN_BOX.search(text, at):
-        depth, start, end = 1, opening.end(), None
-        for step in _BRACE_STEP.finditer(text, start):
-            depth += {"{": 1, "}": -1}.get(step[0], 0)
-            if depth == 0:
-                end = step
-                break
-        if end is None:
-            found = text[start:]
-            break
-        found, at = text[start : end.start()], end.end()
-    return "" if found in PLACEHOLDER_ANSWERS else found.strip()
-
-
-@F.pandas_udf(T.StringType())
-def _last_box_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(_last_box, na_action="ignore")
+#: UTF-8 bytes of the white space that may stand between a box's name and its brace.
+_SPACES = [c.encode() for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+
+
+def _openings(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the braces that open a box: behind its name, and white space, in one text."""
+    name = np.frombuffer(b"\\boxed", np.uint8)
+    n = len(data) - len(name)
+    found = np.flatnonzero(data[: max(0, n)] == name[0])
+    for k in range(1, len(name)):
+        found = found[data[found + k] == name[k]]
+    at, stop = found + len(name), ends[np.searchsorted(ends, found, "right")]
+    moving = np.ones(len(at), bool)
+    while moving.any():
+        moving[:] = False
+        for space in _SPACES:
+            fits = np.flatnonzero(at + len(space) <= stop)
+            for k, byte in enumerate(space):
+                fits = fits[data[at[fits] + k] == byte]
+            at[fits] += len(space)
+            moving[fits] = True
+    inside = at < stop
+    return at[inside][data[at[inside]] == ord("{")]
+
+
+def _last_boxes(texts: pa.Array) -> pa.Array:
+    """What stands in each text's last box, any depth of braces; '' without a box, all the rest of the text in one that is not closed.
+
+    A brace behind an odd run of backslashes is none. The depth behind each brace is a running sum over
+    the batch; the brace that closes another one is the next brace of its text at the same depth.
+    """
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return pc.if_else(texts.is_valid(), "", pa.scalar(None, pa.string()))
+    data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+    opens = _openings(data, ends)
+    starts, stops, begin = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), opens
+    if len(opens):
+        brace = np.flatnonzero((data == ord("{")) | (data == ord("}")))
+        # the run of backslashes before a brace goes back to the last other byte, or to the start of its text
+        other = np.flatnonzero(data != ord("\\"))
+        before = np.searchsorted(other, brace, "left") - 1
+        row = np.searchsorted(ends, brace, "right")
+        left = np.maximum(np.where(before >= 0, other[before], -1) + 1, offsets[row] - offsets[0])
+        brace, row = brace[(brace - left) % 2 == 0], row[(brace - left) % 2 == 0]
+        up = data[brace] == ord("{")
+        depth = np.cumsum(np.where(up, 1, -1))
+        level = np.where(up, depth, depth + 1)
+        order = np.lexsort((brace, level, row))
+        after = np.full(len(brace), -1)
+        same = (row[order][1:] == row[order][:-1]) & (level[order][1:] == level[order][:-1])
+        after[order[:-1][same]] = order[1:][same]
+        at = np.searchsorted(brace, opens)
+        closed = after[at] >= 0
+        end = np.where(closed, brace[np.where(closed, after[at], 0)], ends[row[at]])
+        # a box inside another one is not looked at, nor is what follows one that is not closed
+        reach = np.concatenate(([-1], np.maximum.accumulate(np.where(closed, end, end - 1))[:-1]))
+        top = opens > reach
+        mine, begin, end = row[at][top], opens[top] + 1, end[top]
+        starts[mine], stops[mine] = begin, end  # the last one of each text stays
+    out = np.concatenate(([0], np.cumsum(stops - starts)))
+    where = np.repeat(starts - out[:-1], stops - starts) + np.arange(out[-1])
+    valid = texts.is_valid()
+    made = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(out.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[where])))
+    return pc.if_else(valid, made.cast(pa.string()), pa.scalar(None, pa.string()))
+
+
+@F.arrow_udf(T.StringType())
+def _last_box_udf(texts: pa.Array) -> pa.Array:
+    return _last_boxes(texts)
 
 
 def boxed_last(c: Column) -> Column:
     """Content of the last box at any nesting depth; unclosed runs to the end.
 
-    Counting braces is beyond regular expressions, so this is an Arrow batch
-    function. Texts without a box are not handed to Python.
+    Counting braces is beyond regular expressions, so this is a function over the bytes
+    of Arrow batches. Texts without a box are not handed to Python.
     """
     boxed = F.when(c.contains("\\boxed"), c)
-    return F.when(c.isNull(), None).otherwise(F.coalesce(_last_box_udf(boxed), F.lit("")))
+    found = F.coalesce(_last_box_udf(boxed), F.lit(""))
+    cleaned = F.when(found.isin(*PLACEHOLDER_ANSWERS), F.lit("")).otherwise(strip(found))
+    return F.when(c.isNull(), None).otherwise(cleaned)
 
 
 # ---- think format --------------------------------------------------------------

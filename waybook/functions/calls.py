@@ -58,21 +58,26 @@ def no_args() -> Column:
 
 
 def last_wins(args: Column) -> Column:
-    def settle(a: Column) -> Column:
-        keys = F.array_distinct(F.transform(a, lambda e: e.key))
-        return F.transform(
-            keys, lambda k: _pair(k, F.element_at(F.filter(a, lambda e: e.key == k), -1).json)
-        )
+    """Each key once, in the place of its first value and with the last one; only repeated keys cost a search."""
+
+    def settle(a: Column, keys: Column) -> Column:
+        last = F.transform(keys, lambda k: _pair(k, F.element_at(F.filter(a, lambda e: e.key == k), -1).json))
+        return F.when(F.size(keys) == F.size(a), a).otherwise(last)
 
-    return let(args, settle)
+    return let(args, lambda a: let(F.array_distinct(F.transform(a, lambda e: e.key)), lambda keys: settle(a, keys)))
 
 
 def object_args(json: Column) -> Column:
     """Arguments of a JSON object in document order, null when it is none; of a repeated key the last value counts."""
 
+    strict = {"allowSingleQuotes": "false"}
+
     def entries(j: Column) -> Column:
-        read = F.map_entries(F.from_json(F.when(is_json(j), j), "map<string,variant>", {"allowSingleQuotes": "false"}))
-        return last_wins(F.transform(read, lambda e: _pair(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null")))))
+        # one value only when it reads both as the sole item of an array and as the value of an object, as in `is_json`
+        item = F.from_json(F.concat(F.lit("["), j, F.lit("]")), "array<map<string,variant>>", strict)
+        value = F.from_json(F.concat(F.lit('{"v":'), j, F.lit("}")), "v string", strict)["v"]
+        read = F.map_entries(F.when(F.size(item) == 1, F.get(item, F.lit(0))))
+        return F.when(value.isNotNull(), last_wins(F.transform(read, lambda e: _pair(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null"))))))
 
     return let(json, entries)
 
