@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -100,3 +101,19 @@ def test_odd_pages(spark, model):
     assert {r["text"] for r in got if r["page_id"] in (1, 2, 6)} == {""}
     assert next(r["n_chars"] for r in got if r["page_id"] == 4) == 11 * 5000 - 1
     assert extraction.extracted(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<!" * 300_000, "<" * 300_000, "<script>" + "</script " * 200_000, '<a b=">" ' * 100_000, "<a<" * 200_000, "<p>" + "<a b='x\" " * 100_000 + ">"])
+def test_broken_tags_take_linear_time(page):
+    start = time.process_time()
+    extraction.parse(page)
+    assert time.process_time() - start < 5
+
+
+def test_tags_without_an_end():
+    texts = lambda page: [t for t in extraction.parse(page).text if t]
+    assert texts("<p>one</p> two <a href=x <b") == ["one", "two <a href=x <b"]
+    assert texts('<p>one</p><a title="x <p>two</p>') == ["one", "two"]
+    assert texts("<p>one <!-- two > three") == ["one"]
+    assert texts("<p>one<script> two </script three") == ["one"]
+    assert texts('<p title="a>b">one</p><img alt=a<b>two') == ["one", "two"]

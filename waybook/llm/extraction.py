@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from waybook.llm import page_examples
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>)", re.S)
+#: The same where a tag without an end has been met: what is not quoted ends at the next `<`.
+_SHORT = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/><]*+)((?:[^>=<]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'<][^\s><]*+)?+)*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _UNQUOTED_END = re.compile(r"=\s*[^\s\"']*/\Z")  # this slash belongs to the value
 _NAME = re.compile(r"[a-z]+")
@@ -39,8 +41,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
 
-#: Elements nested deeper become siblings.
-DEEPEST = 200
+#: Elements nested deeper become siblings, as in browsers.
+DEEPEST = 512
 #: Elements and words of classes, ids and roles that are features of their own.
 TAGS = "body div section main article p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary dialog".split()
 WORDS = (
@@ -81,15 +83,36 @@ def _names(attributes: str) -> list[str]:
     return out
 
 
-def _raw_end(name: str, source: str, at: int) -> int:
-    return re.compile(rf"</{re.escape(name)}\b[^>]*+>|\Z", re.I).search(source, at).end()
+class _Tags:
+    """The tags of a page from a place on; every `<` is tried once and, after one whose tag never ends, not beyond the next."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.tag = source, source.rfind(">"), _TAG
+
+    def search(self, at: int) -> re.Match | None:
+        at = self.source.find("<", at)
+        while at >= 0:
+            if at > self.last:  # no tag can end any more, but a comment runs to the end of the page
+                at = self.source.find("<!--", at)
+                return _TAG.match(self.source, at) if at >= 0 else None
+            if match := self.tag.match(self.source, at):
+                return match
+            if self.source[at + 1 : at + 2].strip("/").isalpha():
+                self.tag = _SHORT
+            at = self.source.find("<", at + 1)
+        return None
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where a raw text element ends: behind its end tag, or with the page."""
+        match = re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I).search(self.source, at, self.last + 1)
+        return match.end() if match else len(self.source)
 
 
 def _empty(attributes: str) -> bool:
     return attributes.endswith("/") and not _UNQUOTED_END.search(attributes)
 
 
-def _skips(source: str, name: str, at: int, opened: Counter[str]) -> dict[int, int]:
+def _skips(tags: _Tags, name: str, at: int, opened: Counter[str]) -> dict[int, int]:
     """Where the page goes on after the SKIPPED element whose start tag ends at `at`, and after those met on the way, by the ends of their start tags.
 
     Without an end tag, it ends where another one that cannot be in it begins or an element around it ends,
@@ -109,7 +132,7 @@ def _skips(source: str, name: str, at: int, opened: Counter[str]) -> dict[int, i
     def innermost(name: str) -> int:
         return next(i for i in range(len(inner) - 1, -1, -1) if inner[i][0] == name)
 
-    while inner and (match := _TAG.search(source, here)):
+    while inner and (match := tags.search(here)):
         here, name = match.end(), (match[2] or "").lower()
         if not name:
             continue
@@ -125,7 +148,7 @@ def _skips(source: str, name: str, at: int, opened: Counter[str]) -> dict[int, i
             elif opened[name]:
                 leave(0, match.start())
         elif name in RAW:
-            here = _raw_end(name, source, here)
+            here = tags.raw_end(name, here)
         elif name not in VOID and not (name in SKIPPED and _empty(match[3])):
             if name in ("button", "select") and held[name]:
                 leave(innermost(name), match.start())
@@ -135,7 +158,7 @@ def _skips(source: str, name: str, at: int, opened: Counter[str]) -> dict[int, i
                 blocks.append(match.start())
             inner.append((name, here))
             held[name] += 1
-    leave(0, len(source))
+    leave(0, len(tags.source))
     return out
 
 
@@ -152,6 +175,7 @@ def parse(source: str, labelled: bool = False) -> Page:
     pieces: list[str] = []
     linked = [0, 0]
     skips: dict[int, int] = {}
+    tags = _Tags(source)
 
     def push(name: str, node: int, label: int) -> None:
         stack.append((name, node, label))
@@ -189,7 +213,7 @@ def parse(source: str, labelled: bool = False) -> Page:
             linked[0] += size if opened["a"] else 0
 
     at = 0
-    while match := _TAG.search(source, at):
+    while match := tags.search(at):
         if match.start() > at:
             say(source[at : match.start()])
         at = match.end()
@@ -203,12 +227,12 @@ def parse(source: str, labelled: bool = False) -> Page:
                 close({name}, frozenset() if name not in INLINE else frozenset(("td", "th", "article", "body")))
             continue
         if name in RAW:
-            at = _raw_end(name, source, at)
+            at = tags.raw_end(name, at)
             continue
         if name in SKIPPED:
             if not _empty(match[3]):
                 if at not in skips:
-                    skips |= _skips(source, name, at, opened)
+                    skips |= _skips(tags, name, at, opened)
                 at = skips[at]
             continue
         if name in VOID:
