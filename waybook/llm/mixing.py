@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybook.operators.ordered import running
 from waybook.sources.scratch import stage
 
 #: Words of this rule count as tokens.
@@ -98,12 +99,13 @@ def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None
     weights = stage(weights.withColumn("rest", F.floor(F.col("quota") - F.col("passes") * F.col("tokens") + 1e-6).cast("long")), "weights")
 
     part = weights.select(F.col("source").alias("_source"), "passes", "rest", F.ceil(F.col("docs") / BLOCK).alias("_blocks"))
-    placed = rows.join(part, rows.source.eqNullSafe(part["_source"])).drop("_source").withColumn("mark", _marks(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit(""))))
+    placed = rows.join(part, rows.source.eqNullSafe(part["_source"])).drop("_source").withColumn("mark", _marks(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("text_hash"))), F.coalesce("source", F.lit(""))))
     placed = placed.withColumn("block", F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), F.col("_blocks")))
     blocks = placed.groupBy("source", "block", "passes").agg(F.sum("n_tokens").alias("_sum"))
     blocks = blocks.withColumn("_order", _marks(F.lit(seed), F.coalesce("source", F.lit("")), F.col("block").cast("string"), (F.col("passes") + 1).cast("string")))
-    before = Window.partitionBy("source").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    # a source may have any number of blocks: they are added up by ranges
+    blocks = running(stage(blocks.drop("passes"), "blocks"), ["source"], "_order", sums={"_start": F.col("_sum")})
+    blocks = blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_start")
     inside = Window.partitionBy("source", "block").orderBy("mark", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_within", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     placed = placed.join(blocks, placed.source.eqNullSafe(blocks["_source"]) & (placed.block == blocks["_block"]))
@@ -113,7 +115,8 @@ def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` with all their columns, each as often as `mixture` decides, and never less than that."""
-    decisions = mixture(docs, **how)[0].select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), F.col("copies").alias("_mix_copies"))
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("_mix_id")) & docs.source.eqNullSafe(F.col("_mix_source")) & (F.xxhash64(docs.text) == F.col("_mix_hash"))
-    out = docs.join(decisions, same).filter("_mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    own = "_mix" + "_" * max(len(c) for c in docs.columns)  # begins no name of the table
+    decisions = mixture(docs, **how)[0].toDF(*[f"{own}{c}" for c in ("doc_id", "source", "text_hash", "n_tokens", "block", "copies")])
+    same = docs.doc_id.cast("long").eqNullSafe(F.col(f"{own}doc_id")) & docs.source.eqNullSafe(F.col(f"{own}source")) & (F.xxhash64(docs.text) == F.col(f"{own}text_hash"))
+    out = docs.join(decisions, same).filter(F.col(f"{own}copies") > 0)
+    return out.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}copies").cast("int")))).select(*docs.columns)
