@@ -14,15 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybook.llm import bloom
 from waybook.llm.words import LOWER, PLAIN, batches, hashes, shingles, spans
+from waybook.operators.ordered import lookup
 from waybook.sources.scratch import stage
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 13, 3
+#: Places of shingles in one batch of rows.
+HITS = 10_000
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -79,48 +83,60 @@ def frequencies(docs: DataFrame, wanted: DataFrame, widths: list[int]) -> DataFr
 
 
 def occurrences(docs: DataFrame, wanted: DataFrame, widths: list[int], window: int) -> DataFrame:
-    """(doc_id, text_hash, n_words, found): where shingles that may be `wanted` stand in each document, with the words within reach of a window."""
+    """A row (nth, doc_id, text_hash, n_words) per document, and a row (nth, n_words, hash, at, first, words)
+    per place where a shingle that may be `wanted` stands in it, with the words within reach of a window."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "hash"))
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("words", pa.string())]))
+    kinds = {"nth": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "n_words": pa.int64(), "hash": pa.int64(), "at": pa.int64(), "first": pa.int64(), "words": pa.string()}
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(columns["nth"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], list(kinds))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
         for batch in it:
             for first, data, offsets, start, end, owner, found in _shingled(batch.column(1), widths):
                 n = len(offsets) - 1
                 cuts = np.searchsorted(owner, np.arange(n + 1))
-                rows, text = [[] for _ in range(n)], None
+                yield rows(nth=base + np.arange(n), doc_id=batch.column(0).slice(first, n), text_hash=batch.column(2).slice(first, n), n_words=np.diff(cuts))
+                text = None
                 for marks, at in found:
                     marks = marks.view(np.int64)
                     hit = np.flatnonzero(bloom.passes(bits.value, marks))
                     if len(hit) and text is None:
                         text = LOWER[data].tobytes()
-                    for h, p in zip(marks[hit].tolist(), at[hit].tolist(), strict=True):
-                        row = int(owner[p])
-                        a, b = max(int(cuts[row]), p - window + 1), min(int(cuts[row + 1]), p + window)
-                        words = " ".join(text[s:e].decode() for s, e in zip(start[a:b], end[a:b], strict=True))
-                        rows[row].append({"hash": h, "at": p - int(cuts[row]), "first": a - int(cuts[row]), "words": words})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(np.diff(cuts)), pa.array(rows, kind)], ["doc_id", "text_hash", "n_words", "found"])
-
-    made = "doc_id long, text_hash long, n_words long, found array<struct<hash: long, at: long, first: long, words: string>>"
+                    for part in range(0, len(hit), HITS):
+                        h, p = marks[hit[part : part + HITS]], at[hit[part : part + HITS]]
+                        row = owner[p]
+                        low, high = np.maximum(cuts[row], p - window + 1), np.minimum(cuts[row + 1], p + window)
+                        words = [" ".join(text[s:e].decode() for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                        yield rows(nth=base + row, n_words=(cuts[row + 1] - cuts[row]), hash=h, at=p - cuts[row], first=low - cuts[row], words=words)
+                base += n
+
+    made = "nth long, doc_id long, text_hash long, n_words long, hash long, at long, first long, words string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, made)
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): a numbered row (nth, doc_id, text_hash, n_words) per document, and (nth, start, length, item_id) per window found in it."""
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, holders): a numbered row (nth, doc_id, text_hash, n_words) per document, (nth, start, length, wid) per
+    distinct window found in it, and (wid, item_id) of the items with that window."""
     shingled = stage(windows(items, window), "windows")
     widths = sorted(r["width"] for r in shingled.select("width").distinct().collect())  # at most three
     common = frequencies(docs, stage(shingled.select("hash").distinct(), "shingles"), widths)
     rarest = F.min(F.struct(F.coalesce("occurrences", F.lit(0)).alias("occurrences"), "hash", "place")).alias("p")
-    prefixes = shingled.join(common, "hash", "left").groupBy("item_id", "nth", "length", "words").agg(rarest)
+    prefixes = shingled.select("length", "words", "place", "hash").distinct().join(common, "hash", "left").groupBy("length", "words").agg(rarest)
     # a window with a shingle that no document has is in no document
-    prefixes = prefixes.filter("p.occurrences > 0").select("item_id", "length", F.col("words").alias("window"), "p.hash", "p.place")
-    prefixes = stage(prefixes.distinct(), "prefixes")
-    rows = stage(occurrences(docs, prefixes.select("hash").distinct(), widths, window).withColumn("nth", F.monotonically_increasing_id()), "occurrences")
+    prefixes = prefixes.filter("p.occurrences > 0").select("length", F.col("words").alias("window"), "p.hash", "p.place")
+    prefixes = stage(prefixes.withColumn("wid", F.monotonically_increasing_id()), "prefixes")
+    holders = shingled.select("item_id", "length", F.col("words").alias("window")).distinct().join(prefixes, ["length", "window"]).select("wid", "item_id")
+    found = stage(occurrences(docs, prefixes.select("hash").distinct(), widths, window), "occurrences")
 
-    met = rows.select("nth", "n_words", F.explode("found").alias("f")).select("nth", "n_words", "f.*").join(prefixes, "hash")
+    # a shingle that stands in a third of all places meets its few windows in as many tasks as it fills
+    met = lookup(found.filter("hash IS NOT NULL").select("nth", "n_words", "hash", "at", "first", F.col("words").alias("near")), prefixes, ["hash"], ["nth", "at"], "inner")
     met = met.withColumn("start", F.col("at") - F.col("place")).filter("start >= 0 AND start + length <= n_words")
-    there = F.array_join(F.slice(F.split("words", " "), (F.col("start") - F.col("first") + 1).cast("int"), F.col("length")), " ")
-    return rows.select("nth", "doc_id", "text_hash", "n_words"), met.filter(there == F.col("window")).select("nth", "start", "length", "item_id").distinct()
+    there = F.array_join(F.slice(F.split("near", " "), (F.col("start") - F.col("first") + 1).cast("int"), F.col("length")), " ")
+    rows = found.filter("hash IS NULL").select("nth", "doc_id", "text_hash", "n_words")
+    return rows, met.filter(there == F.col("window")).select("nth", "start", "length", "wid").distinct(), stage(holders, "holders")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
@@ -133,13 +149,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     Repeated documents stay rows of their own, repeated items count once, and an
     item without an id hits words but is not counted. Other columns are not read.
     """
-    rows, found = hits(docs, items, window)
+    rows, found, holders = hits(docs, items, window)
     found = stage(found, "hits")
     before = Window.partitionBy("nth").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     spans_ = found.select("nth", "start", "length").distinct().withColumn("end", F.col("start") + F.col("length"))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
     n_hit = spans_.withColumn("fresh", fresh).groupBy("nth").agg(F.sum("fresh").alias("n_hit"))
-    per_item = found.filter("item_id IS NOT NULL").select("nth", F.col("item_id").cast("string").alias("item")).distinct()
+    per_item = found.select("nth", "wid").distinct().join(holders, "wid").filter("item_id IS NOT NULL")
+    per_item = per_item.select("nth", F.col("item_id").cast("string").alias("item")).distinct()
     ids = per_item.groupBy("nth").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     out = rows.join(n_hit, "nth", "left").join(ids, "nth", "left").na.fill(0, ["n_hit", "n_items"])
     return out.select(
