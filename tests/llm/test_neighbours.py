@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waybook.llm import neighbours
@@ -64,3 +65,40 @@ def test_probes_come_in_order_of_expected_distance():
     assert len(sets) == 81 and not sets[0].any() and sets[1].tolist() == [1] + [0] * 7
     assert all(not (s[j] and s[7 - j]) for s in sets for j in range(4))
     assert len({tuple(s) for s in sets}) == 81
+
+
+@pytest.mark.parametrize("spread", [0.7, None])
+def test_recall_far_beyond_the_sample(spark, spread):
+    """20 000 distinct vectors, five times the sample, in groups or all over the sphere."""
+    rnd = np.random.default_rng(11)
+    centres = rnd.standard_normal((50, 48))
+    vectors = rnd.standard_normal((20_000, 48)) if spread is None else centres[rnd.integers(0, 50, 20_000)] + spread * rnd.standard_normal((20_000, 48))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(20_000), "embedding": pa.FixedSizeListArray.from_arrays(vectors.ravel(), 48).cast(pa.list_(pa.float32()))})
+    got = neighbours.search(spark.createDataFrame(table).repartition(8), 200, 20).toArrow()
+    asked = np.arange(0, 20_000, 200)
+    score = vectors[asked].astype(np.float64) @ vectors.T.astype(np.float64)
+    score[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    query, found = got["query_id"].to_numpy() // 200, got["vec_id"].to_numpy()
+    hits = sum(len(np.intersect1d(want[i], found[query == i])) for i in range(len(asked)))
+    assert hits >= 0.95 * want.size
+
+
+def test_tables_are_added_or_it_raises(monkeypatch):
+    rnd = np.random.default_rng(3)
+    sample = rnd.standard_normal((600, 64))
+    monkeypatch.setattr(neighbours, "TRIED", 40)
+    tried = []
+    fitted = neighbours._fitted
+
+    def noted(*how):
+        tried.append(how[4])
+        return fitted(*how)
+
+    monkeypatch.setattr(neighbours, "_fitted", noted)
+    index = neighbours.fit(sample, 10**9, float(np.linalg.norm(sample, axis=1).max()), 20, tables=1, recall=0.5)
+    assert index.tables == tried[-1] and tried == [2**i for i in range(len(tried))]
+    monkeypatch.setattr(neighbours, "TABLES", 2)
+    with pytest.raises(ValueError, match="of the sample's neighbours"):
+        neighbours.fit(sample, 10**12, float(np.linalg.norm(sample, axis=1).max()), 20, tables=1, recall=1.0)

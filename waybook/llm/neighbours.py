@@ -31,6 +31,8 @@ from waybook.sources.scratch import stage
 SAMPLE, TRIED = 4096, 256
 #: Part of the sample's neighbours that the chosen probes must find.
 RECALL = 0.96
+#: Tables at most.
+TABLES = 48
 #: Vectors and queries of one block, and rows of blocks that meet in one call.
 VECTORS, QUERIES, TOGETHER = 16384, 8192, 32768
 
@@ -113,12 +115,24 @@ def fit(sample: np.ndarray, rows: int, longest: float, k: int, tables: int = 6,
     """The index over `rows` vectors that finds enough neighbours of the sample's queries with the fewest candidates.
 
     The k nearest of all rows are about as near as the first k * len(sample) / rows of
-    a sample; two at least are looked at, besides the query itself.
+    a sample; two at least are looked at, besides the query itself. Where the probes of no
+    width find enough of them, the tables are doubled, up to `TABLES`; beyond that it raises.
     """
+    if len(sample) < 3:
+        return Index(sample.shape[1], tables, 2, 3.0, 9, longest)
+    reached = 0.0
+    while tables <= TABLES:
+        (missing, cost), index = _fitted(sample, rows, longest, k, tables, recall)
+        if not missing:
+            return index
+        reached, tables = -cost, 2 * tables
+    raise ValueError(f"the index finds {reached:.3f} of the sample's neighbours with {tables // 2} tables, not {recall}: give `search` an index of your own")
+
+
+def _fitted(sample: np.ndarray, rows: int, longest: float, k: int, tables: int, recall: float) -> tuple[tuple[bool, float], Index]:
+    """((whether the recall is missed, candidates or else the recall below zero), index) of the best width."""
     dims, best = sample.shape[1], None
     queries = sample[:TRIED]
-    if len(sample) < 3:
-        return Index(dims, tables, 2, 3.0, 9, longest)
     alike = max(2, math.ceil(k * len(sample) / rows))
     truth = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, 1 : alike + 1]
     for width, bits in ((1.5, 1.5), (2.0, 1.2), (3.0, 0.8)):  # bits: entropy of a cell of this width
@@ -141,10 +155,10 @@ def fit(sample: np.ndarray, rows: int, longest: float, k: int, tables: int = 6,
         needed = int(np.partition(found.ravel(), enough)[enough]) + 1
         missing = needed > whole
         needed = min(needed, whole)
-        cost = (missing, int(total[:needed].sum()) if not missing else -int((found <= whole).sum()))
+        cost = (missing, int(total[:needed].sum()) if not missing else -float((found <= whole).mean()))
         if best is None or cost < best[0]:
             best = (cost, Index(dims, tables, hashes, width, needed, longest))
-    return best[1]
+    return best
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
