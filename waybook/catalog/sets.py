@@ -47,12 +47,16 @@ def g3_author_lists(spark, sf):
 
 @query(
     "g4_mix",
-    """SELECT 'a' AS dataset, conv_id AS traj, turn AS pos, role FROM conversations WHERE conv_id % 2 = 0
-    UNION ALL SELECT 'b', conv_id, turn, role FROM conversations WHERE turn < 3""",
+    """SELECT 'turns' AS dataset, conv_id AS id, role AS kind, length(text) AS size FROM conversations
+    UNION ALL SELECT 'documents', doc_id, lang, length(text) FROM documents UNION ALL SELECT 'pages', page_id, url, length(html) FROM pages""",
 )
 def g4_mix(spark, sf):
-    rows = turns(spark, sf).drop("content")
-    return mix({"a": rows.where("traj % 2 = 0"), "b": rows.where("pos < 3").select("role", "pos", "traj")})
+    """Three whole tables, whose columns come in different orders."""
+    return mix({
+        "turns": turns(spark, sf).selectExpr("traj AS id", "role AS kind", "bigint(length(content)) AS size"),
+        "documents": table(spark, sf, "documents").selectExpr("lang AS kind", "doc_id AS id", "bigint(length(text)) AS size"),
+        "pages": table(spark, sf, "pages").selectExpr("bigint(length(html)) AS size", "url AS kind", "page_id AS id"),
+    })
 
 
 @query("g5_except_keys", f"SELECT DISTINCT {QID} AS qid FROM documents EXCEPT SELECT {QID} FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
