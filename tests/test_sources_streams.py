@@ -250,3 +250,23 @@ def test_first_chunk(spark):
     df = spark.createDataFrame([(k, START + timedelta(seconds=s), t) for k, s, t in rows], "id string, ts timestamp, text string")
     got = {r["id"]: (float(r["ttft_ms"]), float(r["total_time_s"])) for r in report.first_chunk(df, ["id"], "ts", "text").collect()}
     assert got == {"r": (250.0, 1.0), "s": (2000.0, 2.0)}
+
+
+@pytest.mark.parametrize("width", [3, 1 << 20])
+def test_nested_results_are_written_by_ranges(spark, tmp_path, width):
+    rows = [(None if i % 9 == 0 else "hot" if i % 2 else f'q"{i % 5}', i, None if i % 4 else 'x,"answers":[', i % 3 == 0) for i in range(60)]
+    path = str(tmp_path / "nested")
+    tables.write_nested(spark.createDataFrame(rows, "qid string, traj_idx long, note string, correct boolean").repartition(4), path, "qid", "traj_idx", width=width)
+    files = sorted(p for p in (tmp_path / "nested").iterdir() if p.name.startswith("part-"))
+    assert len([f for f in files if f.stat().st_size]) > 5 or width > 60
+    text, got, read = "".join(f.read_text() for f in files), [], json.JSONDecoder()
+    while text.strip():
+        found, at = read.raw_decode(text)
+        got.append(found)
+        text = text[at:].lstrip()
+    want = {}
+    for qid, at, note, correct in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        want.setdefault(qid, []).append({"traj_idx": at, "note": note, "correct": correct})
+    assert [(x["qid"], x["answers"]) for x in got] == list(want.items())
+    back = tables.read_nested(spark, path, "qid", "traj_idx bigint, note string, correct boolean")
+    assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(rows, key=str)

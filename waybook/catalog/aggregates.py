@@ -9,6 +9,7 @@ from waybook.catalog.tables import CALLS_SQL, JUDGED_SQL, attempts, calls, judge
 from waybook.functions import payloads
 from waybook.operators import audit, report, score
 from waybook.operators.select import valid_tools
+from waybook.sources import scratch, tables
 
 
 @query(
@@ -48,6 +49,15 @@ def e3_answers(spark, sf):
     return nested.select("qid", F.array_join(items, ",").alias("answers"))
 
 
+@query("e3_nested_file", f"WITH {JUDGED_SQL} SELECT qid, CAST(traj_idx AS BIGINT) AS traj_idx, correct FROM judged")
+def e3_nested_file(spark, sf):
+    """Written in ranges far smaller than a question and read back."""
+    path = scratch.folder(spark, "nested")
+    rows = judged(spark, sf).select("qid", "traj_idx", F.coalesce("correct", F.lit(False)).alias("correct"))
+    tables.write_nested(rows, path, "qid", "traj_idx", width=50)
+    return tables.read_nested(spark, path, "qid", "traj_idx bigint, correct boolean")
+
+
 @query(
     "e4_averages",
     """SELECT round(avg(k), 6) AS avg_calls, round(avg(value), 6) AS avg_latency_s FROM (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waybook.functions.strings import cut, strip
+from waybook.operators.ordered import SEGMENT, running, segmented
 
 RESULT_SCHEMA = (
     "model string, dataset string, split string, num_questions bigint, num_trajectories_per_q int, "
@@ -167,3 +168,45 @@ def published(judged: DataFrame) -> DataFrame:
 
 def blank(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit(""))) == ""
+
+
+# ---- nested results of any size --------------------------------------------------
+
+
+def write_nested(rows: DataFrame, path: str, key: str, order: str, nested: str = "answers", width: int = SEGMENT) -> None:
+    """One JSON object per key, with its rows in order in an array, written from ranges of (key, order).
+
+    ``{"qid":"a","answers":[`` stands before a key's first row, ``]}`` behind its last; each row is
+    one line. The part files in order of their names are one text, in which a key's rows may go on from
+    file to file, so no key is ever held in a row or a task. ``key`` and ``order`` together are unique.
+    """
+    fields = [c for c in rows.columns if c != key]
+    at = F.struct(key, order)
+    marked = segmented(rows.select("*", at.alias("_at")), [], "_at", width)
+    told = F.struct(F.col(key).alias("key"))  # a key may be null, a row before is not
+    behind = running(marked, [], "_at", lasts={"_before": told}, width=width)
+    both = running(behind, [], "_at", lasts={"_after": told}, ahead=True, width=width)
+    same = lambda c: F.col(c).isNotNull() & F.col(c)["key"].eqNullSafe(F.col(key))
+    named = F.to_json(F.struct(key), {"ignoreNullFields": "false"})
+    head = F.concat(F.left(named, F.length(named) - 1), F.lit(f',"{nested}":[\n'))
+    line = F.concat(
+        F.when(same("_before"), F.lit("")).otherwise(head), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}),
+        F.when(same("_after"), F.lit(",")).otherwise(F.lit("\n]}")),
+    )
+    lines = both.select("_at", line.alias("line"))
+    parts = lines.repartitionByRange("_at") if "_seg" not in marked.columns else lines.repartitionByRange(max(1, -(-2 * marked.count() // width)), "_at")
+    parts.sortWithinPartitions("_at").select("line").write.text(path)
+
+
+def read_nested(spark: SparkSession, path: str, key: str, schema: str, nested: str = "answers") -> DataFrame:
+    """The rows of ``write_nested``, each with its key and the fields in the schema."""
+    text = spark.read.text(path).select(
+        "value", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("_at")
+    )
+    text = text.where(~F.col("value").isin("", "]}"))
+    mark = f',"{nested}":['
+    head = F.when(F.col("value").endswith(mark), F.left("value", F.length("value") - len(mark)))
+    told = F.when(head.isNotNull(), F.struct(F.concat(head, F.lit("}")).alias("json")))
+    filled = running(text.withColumn("_head", told), [], "_at", lasts={"_key": F.col("_head")}).where("_head IS NULL")
+    row = F.from_json(F.regexp_replace("value", r",$", ""), schema)
+    return filled.select(F.get_json_object(F.col("_key.json"), f"$.{key}").alias(key), row.alias("_row")).select(key, "_row.*")
