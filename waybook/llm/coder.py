@@ -110,7 +110,7 @@ class _Model:
         return low, np.where(hit2, p2 << ORDER0, np.where(hit1, p1 << ORDER0, rest * (end - start)))
 
 
-def _lanes(vocabulary: int) -> int:
+def lanes(vocabulary: int) -> int:
     """Side by side in about 150 MB."""
     return max(16, min(LANES, (150 << 20) // (2 * vocabulary + 24 * BLOCK + 4 * (1 << PAIRS) + 2 * (1 << ORDER0))))
 
@@ -119,7 +119,7 @@ def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """The bytes of each block of at most BLOCK ids below `vocabulary`, 2 ** 32 at most."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     out: list[bytes] = [b""] * len(blocks)
-    most = _lanes(vocabulary)
+    most = lanes(vocabulary)
     for at in range(0, len(order), most):
         group = order[at : at + most]
         for i, data in zip(group, _encode([blocks[i] for i in group], vocabulary), strict=True):
@@ -130,7 +130,7 @@ def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
 def decode(payloads: list[bytes], counts: list[int], vocabulary: int) -> list[np.ndarray]:
     order = sorted(range(len(counts)), key=lambda i: -counts[i])
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(counts)
-    most = _lanes(vocabulary)
+    most = lanes(vocabulary)
     for at in range(0, len(order), most):
         group = order[at : at + most]
         for i, ids in zip(group, _decode([payloads[i] for i in group], [counts[i] for i in group], vocabulary), strict=True):

@@ -25,28 +25,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waybook.llm import coder, files
-from waybook.llm.tokens import Words, cut, encoder, slices
+from waybook.llm.wordids import ids_of, memory
 from waybook.sources.scratch import folder, stage
 
 _HEAD, _BLOCK, _FOOT = struct.Struct("<8sII"), struct.Struct("<IIII"), struct.Struct("<QQQI4s")
-#: Ids that a task codes at once.
-GROUP = coder.BLOCK * coder.LANES
-
-
-def ids_of(texts: pa.Array, memory: Words, spaced: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, ids per text) of runs of texts."""
-    for part in slices(texts):
-        pieces, places, starts = cut(part, spaced)
-        words = pieces.to_pylist()
-        coded = pa.array(memory(words) if spaced else memory.of(words), pa.large_binary()).take(pa.array(places))
-        ends = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1, coded.offset * 8) // 4
-        ids = np.frombuffer(coded.buffers()[2] or b"", "<u4")[ends[0] : ends[-1]]
-        yield ids, np.diff(ends[starts] - ends[0])
 
 
 class Writer:
     def __init__(self, path: str, vocabulary: int):
         self.out, self.vocabulary = files.writer(path), vocabulary
+        #: ids that are coded at once: as many blocks as the coder runs side by side
+        self.group = coder.BLOCK * coder.lanes(vocabulary)
         self.out.write(_HEAD.pack(b"WBIDS001", vocabulary, coder.BLOCK))
         self.at, self.held, self.size, self.total = _HEAD.size, [], 0, 0
         self.table: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -55,14 +44,14 @@ class Writer:
         self.table.append((doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), counts.astype("<i8")))
         self.held.append(ids)
         self.size += len(ids)
-        if self.size >= GROUP:
+        if self.size >= self.group:
             self._write(False)
 
     def _write(self, all_: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.empty(0, "<u4")
-        done = len(ids) if all_ else len(ids) - len(ids) % coder.BLOCK
-        for start in range(0, done, GROUP):
-            blocks = [ids[i : min(i + coder.BLOCK, done)] for i in range(start, min(start + GROUP, done), coder.BLOCK)]
+        done = len(ids) if all_ else len(ids) - len(ids) % self.group
+        for start in range(0, done, self.group):
+            blocks = [ids[i : min(i + coder.BLOCK, done)] for i in range(start, min(start + self.group, done), coder.BLOCK)]
             for block, payload in zip(blocks, coder.encode(blocks, self.vocabulary), strict=True):
                 self.out.write(_BLOCK.pack(len(block), len(payload), zlib.crc32(block.astype("<u4").tobytes()), zlib.crc32(payload)) + payload)
                 self.at += _BLOCK.size + len(payload)
@@ -96,7 +85,7 @@ def read(path: str) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]
     at, doc, base, held = _HEAD.size, 0, 0, np.empty(0, np.int64)
     while at < place:
         heads, payloads = [], []
-        while at < place and len(heads) < coder.LANES:
+        while at < place and len(heads) < coder.lanes(vocabulary):
             heads.append(_BLOCK.unpack(source.read(_BLOCK.size)))
             payloads.append(source.read(heads[-1][1]))
             at += _BLOCK.size + heads[-1][1]
@@ -116,7 +105,7 @@ def read(path: str) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]
         raise ValueError(f"{path} has other ids than its table says")
 
 
-def write(docs: DataFrame, path: str, target: str, end: int, vocabulary: int, spaced: bool = True) -> DataFrame:
+def write(docs: DataFrame, path: str, target: str, end: int, vocabulary: int) -> DataFrame:
     """Encode (doc_id, text) into files below `target`; the written list (part, path, docs, ids, bytes) in order of doc_id.
 
     Rows are dealt to ranges of doc_id (null first; repeated ids in the order of their
@@ -124,14 +113,13 @@ def write(docs: DataFrame, path: str, target: str, end: int, vocabulary: int, sp
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        memory = Words(lambda texts: [np.array(x, "<u4").tobytes() for x in encode(texts)])
+        words = memory(path)
         out, part, name = None, 0, files.new(target, "ids")
         for batch in it:
             if out is None and batch.num_rows:
                 out, part = Writer(name, vocabulary), batch.column(2)[0].as_py()
             at = 0
-            for ids, counts in ids_of(batch.column(1), memory, spaced):
+            for ids, counts, _ in ids_of(batch.column(1), words):
                 stops = np.cumsum(counts)
                 out.add(batch.column(0).slice(at, len(counts)), np.insert(ids, stops, end), counts + 1)
                 at += len(counts)
