@@ -68,7 +68,8 @@ def test_nulls_empty_texts_repeats_and_many_occurrences(spark):
 
 def test_a_term_is_counted_once_for_a_document_in_any_number_of_chunks(spark):
     rows = [("Foo foo, (foo) foo-foo", "en", "a")] * 2 + [("bar", "en", "b")]
-    _, terms = divergence.counted(frame(spark, rows, 1), 1)
+    _, names, terms = divergence.counted(frame(spark, rows, 1), 1)
+    terms = terms.join(names, "tid")
     assert {r["term"]: (r["docs"], r["n"]) for r in terms.collect()} == {"foo": (2, 10), "bar": (1, 1)}
 
 
@@ -87,8 +88,8 @@ def test_blocks(monkeypatch):
 
 def test_rare_terms_go_before_the_join(spark):
     rows = [("Foo, foo", "en", "a"), ("foo bar", "en", "b"), ("foo", "de", "b")]
-    _, terms = divergence.counted(frame(spark, rows, 3), 4)
-    assert {r["term"] for r in terms.collect()} == {"foo"}  # 4 documents of its chunks, 3 of its own, 2 in a language
+    _, names, terms = divergence.counted(frame(spark, rows, 3), 4)
+    assert {r["term"] for r in terms.join(names, "tid").collect()} == {"foo"}  # 4 documents of its chunks, 3 of its own, 2 in a language
 
 
 def test_large_counts_stay_exact(spark):

@@ -123,9 +123,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
-    """Of one block (lid, term, groups): a row per language and term, with the groups that have it, how often, and in how many documents."""
+    """Of one block (lid, tid, groups): a row per language and term, with the groups that have it, how often, and in how many documents."""
     each = pa.struct([("gid", pa.int32()), ("n", pa.int64()), ("docs", pa.int64())])
-    schema = pa.schema([("lid", pa.int32()), ("term", pa.string()), ("groups", pa.list_(each))])
+    schema = pa.schema([("lid", pa.int32()), ("tid", pa.int64()), ("groups", pa.list_(each))])
     parts = rest.filter(pc.is_valid(rest["held"])).sort_by("code")
     if not len(chunks) or not len(parts):
         return schema.empty_table()
@@ -136,14 +136,14 @@ def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
     ends = np.cumsum(groups["docs"].to_numpy())
     gid, lang = groups["gid"].to_numpy(), groups["lid"].to_numpy()
 
-    lists = chunks["terms"].combine_chunks()
-    coded = lists.flatten().dictionary_encode()
+    lists = chunks["tids"].combine_chunks()
+    tid, coded = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     code = np.repeat(chunks["code"].to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     size = sizes[code]
     at = _ranges(begin[code], size)
     # term, document and count in one number: terms of a block are fewer than 2 ** 31, documents at most 2 ** 16
     found = held[at].astype(np.int64) << 16 | counts[at]
-    found |= np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), size) << 32
+    found |= np.repeat(coded, size) << 32
     found.sort()
     place, count = found >> 16, found & 0xFFFF
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
@@ -154,11 +154,11 @@ def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (lang[group[1:]] != lang[group[:-1]]))))
     own = pa.StructArray.from_arrays([pa.array(gid[group], pa.int32()), pa.array(total), pa.array(docs)], fields=list(each))
     lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(term)).astype(np.int32)), own)
-    return pa.Table.from_arrays([pa.array(lang[group[new]], pa.int32()), coded.dictionary.take(pa.array(term[new])).cast(pa.string()), lists], schema=schema)
+    return pa.Table.from_arrays([pa.array(lang[group[new]], pa.int32()), pa.array(tid[term[new]]), lists], schema=schema)
 
 
-def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(groups, terms), both written: groups (lid, lang, gid, source), terms (lid, term, gid, n, docs), a row per group and term.
+def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, names, terms), all written: groups (lid, lang, gid, source), names (tid, term), terms (lid, tid, gid, n, docs), a row per group and term.
 
     Every term that `least` documents of a language hold is there, with all its rows.
     """
@@ -170,16 +170,17 @@ def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     chunks = blocks.filter("chunk IS NOT NULL").select("block", "code", "chunk", "docs")
     cut = chunks.groupBy("chunk").agg(F.sum("docs").alias("docs")).select("chunk", "docs", F.explode(terms_of(F.col("chunk"))).alias("term"))
     cut = stage(cut, "chunks")
-    likely = cut.groupBy("term").agg(F.sum("docs").alias("most")).filter(F.col("most") >= least).select("term")
-    of = cut.select("chunk", "term").join(likely, "term").groupBy("chunk").agg(F.collect_list("term").alias("terms"))  # as many as fit in the chunk
-    joined = chunks.join(of, "chunk").select("block", "code", "terms")
+    names = cut.groupBy("term").agg(F.sum("docs").alias("most")).filter(F.col("most") >= least)
+    names = stage(names.select(F.monotonically_increasing_id().alias("tid"), "term"), "names")
+    of = cut.select("chunk", "term").join(names, "term").groupBy("chunk").agg(F.collect_list("tid").alias("tids"))  # as many as fit in the chunk
+    joined = chunks.select("block", "code", "chunk").join(of, "chunk").select("block", "code", "tids")
     rest = blocks.filter("chunk IS NULL").drop("chunk").join(groups, ["lang", "source"], "left").drop("lang", "source")
     rest = rest.toDF(*rest.columns)
-    made = joined.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_counts, "lid int, term string, groups array<struct<gid:int,n:bigint,docs:bigint>>")
-    made = made.select("lid", "term", F.inline("groups")).groupBy("lid", "term", "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    made = joined.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_counts, "lid int, tid bigint, groups array<struct<gid:int,n:bigint,docs:bigint>>")
+    made = made.select("lid", "tid", F.inline("groups")).groupBy("lid", "tid", "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     made = stage(made, "terms")
     discard(blocks, cut)
-    return groups, made
+    return groups, names, made
 
 
 def _differences(counts: pa.Table, sums: pa.Table) -> pa.Table:
@@ -222,10 +223,9 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     `term` the `top` kept terms of the group whose p is furthest above that of the whole language.
     Repeated rows each count; other columns are not read. An empty table gives an empty one.
     """
-    groups, terms = counted(docs, least)
-    kept = terms.groupBy("lid", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
-    kept = stage(kept.select("lid", "term", F.monotonically_increasing_id().alias("tid")), "kept")
-    counts = stage(terms.join(kept, ["lid", "term"]).select("lid", "tid", "gid", "n"), "counts")
+    groups, names, terms = counted(docs, least)
+    kept = stage(terms.groupBy("lid", "tid").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lid", "tid"), "kept")
+    counts = stage(terms.join(kept, ["lid", "tid"]).select("lid", "tid", "gid", "n"), "counts")
     discard(terms)
 
     size = F.coalesce(F.col("kept"), F.lit(0))
@@ -246,7 +246,7 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     whole = counts.groupBy("lid", "tid").agg(F.sum("n").alias("m"))
     rare = counts.join(whole, ["lid", "tid"]).join(sums.select("gid", "total", "kept", "all"), "gid")
     above = rare.select("tid", "gid", (share(F.col("n"), F.col("total"), F.col("kept")) - share(F.col("m"), F.col("all"), F.col("kept"))).alias("value")).filter("value > 0")
-    above = above.join(kept.select("tid", F.col("term").alias("item")), "tid").select("gid", F.lit("term").alias("part"), "item", "value")
+    above = above.join(names.select("tid", F.col("term").alias("item")), "tid").select("gid", F.lit("term").alias("part"), "item", "value")
 
     rank = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("value"), "item"))
     ranked = pairs.withColumn("rank", rank).union(above.withColumn("rank", rank).filter(F.col("rank") <= top))
