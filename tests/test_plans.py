@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 # Unbounded brace nesting and Python literal text; the status log runs before its result is read.
 PYTHON = {"f13_fallback_answers", "i2_boxed_last", "i14_environment_text"}
 # These write or stream before they return a plan; the result query tests run them.
-EAGER = ("a", "b", "j1_", "j2_", "j3_", "j4_", "e21_", "k1_", "k2_worker_lives_stream", "k2_liveness_stream", "k3_status_stream", "k3_changes_stream", "k4_failed_nodes_stream", "k5_", "e23_fleet_stream", "e3_nested_file", "j8_accuracy_stream", "f14_bad_steps_raw")
+EAGER = ("a", "b", "j1_", "j2_", "j3_", "j4_", "e21_", "k1_", "k2_worker_lives_stream", "k2_liveness_stream", "k3_status_stream", "k3_changes_stream", "k4_failed_nodes_stream", "k5_", "k6_first_chunk_stream", "e23_fleet_stream", "e3_nested_file", "j8_accuracy_stream", "f14_bad_steps_raw")
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(EAGER)])

@@ -228,3 +228,20 @@ def k5_bucketed(spark, sf):
     records.upsert(streams.growing_log(spark, path, "traj bigint, k int, seq bigint, tool string", 1), state).awaitTermination()
     records.compact(spark, 2)
     return records.current(spark)
+
+
+@query(
+    "k6_first_chunk_stream",
+    f"""WITH {CALLS_SQL}, c AS (SELECT traj, seq // 500 AS request, epoch_us(ts) AS us, tool IN ('click') AS filled FROM calls),
+    f AS (SELECT traj, request, min(us) AS a, max(us) AS z, min(us) FILTER (filled) AS f FROM c GROUP BY 1, 2)
+    SELECT traj, request, round((coalesce(f, z) - a) / 1000.0, 6) AS ttft_ms, round((z - a) / 1000000.0, 6) AS total_time_s FROM f""",
+)
+def k6_first_chunk_stream(spark, sf):
+    """Chunks of a request come in any file; a batch writes the requests it changed."""
+    path, out, state = (scratch.folder(spark, x) for x in ("chunks", "requests", "state"))
+    chunks = calls(spark, sf, TS).selectExpr("traj", "seq div 500 AS request", "ts", "if(tool = 'click', tool, '') AS text")
+    chunks.repartition(3).write.parquet(path)
+    log = streams.growing_log(spark, path, "traj bigint, request bigint, ts timestamp, text string", 1, fmt="parquet")
+    streams.snapshots(report.first_chunk(log, ["traj", "request"], "ts", "text"), out, state).awaitTermination()
+    made = streams.latest_snapshot(spark, out, ["traj", "request"])
+    return made.withColumns({c: r6(F.col(c).cast("double")) for c in ("ttft_ms", "total_time_s")})
