@@ -81,6 +81,7 @@ def test_blocks(monkeypatch):
     words = {r["chunk"]: r["docs"] for r in out.to_pylist() if r["chunk"]}
     assert words == {"a": 2, "b": 1, "c": 1}
     sizes, held, counts = (np.frombuffer(zlib.decompress(out[c].to_pylist()[-1]), k) for c, k in (("sizes", "<u4"), ("held", "<u2"), ("counts", "<u2")))
+    held = np.cumsum(held, dtype="<u2")
     entries = np.split(np.stack((held, counts), axis=1), np.cumsum(sizes)[:-1])
     of = dict(zip([w for w in out["chunk"].to_pylist() if w is not None], entries, strict=True))
     assert {w: v.tolist() for w, v in of.items() if w} == {"a": [[1, 1], [2, 2]], "b": [[2, 1]], "c": [[1, 1]]}

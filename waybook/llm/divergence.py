@@ -48,7 +48,7 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def _block(number: int, texts: pa.Array, langs: pa.Array, sources: pa.Array) -> Iterator[pa.RecordBatch]:
-    """The rows of one block: its groups in order, its chunks with their documents, its entries (document and count, 16 bits each, deflated)."""
+    """The rows of one block: its groups in order, its chunks with their documents, its entries (document less the one before, and count, 16 bits each, deflated)."""
     order = pc.sort_indices(pa.table({"l": langs, "s": sources}), sort_keys=[("l", "ascending"), ("s", "ascending")])
     texts, langs, sources = texts.take(order), langs.take(order), sources.take(order)
     runs = pa.table({"l": langs, "s": sources}).group_by(["l", "s"], use_threads=False).aggregate([([], "count_all")])
@@ -59,24 +59,28 @@ def _block(number: int, texts: pa.Array, langs: pa.Array, sources: pa.Array) ->
     lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
     length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(length)), length)
-    both, count = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * DOCS + doc, return_counts=True)
+    words, both = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    del texts, lists, coded
+    both *= DOCS
+    both += np.repeat(np.arange(len(length)), length)
+    both.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(both)), bool), both[1:] != both[:-1])))
+    both, count = both[first], np.diff(np.append(first, len(both)))
     if len(count) and count.max() >= 1 << 16:  # such a count has several entries
         times = (count + 0xFFFE) // 0xFFFF
         both, last = np.repeat(both, times), np.cumsum(times) - 1
         rest, count = count - (times - 1) * 0xFFFF, np.full(len(both), 0xFFFF)
         count[last] = rest
     held, count = (both % DOCS).astype("<u2"), count.astype("<u2")
-    sizes = np.bincount(both // DOCS, minlength=len(coded.dictionary))
+    sizes = np.bincount(both // DOCS, minlength=len(words))
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    words = coded.dictionary.cast(pa.string())
     for at in range(0, len(words), ROWS):
         part = words.slice(at, ROWS)
         docs = pa.array(sizes[at : at + len(part)].astype(np.int32))
         yield _rows(block=pa.array(np.full(len(part), number)), code=pa.array(np.arange(at, at + len(part), dtype=np.int32)), chunk=part, docs=docs)
     for at in range(0, len(words), TOGETHER):
         to = min(at + TOGETHER, len(words))
-        three = {"sizes": sizes[at:to].astype("<u4"), "held": held[ends[at] : ends[to]], "counts": count[ends[at] : ends[to]]}
+        three = {"sizes": sizes[at:to].astype("<u4"), "held": np.diff(held[ends[at] : ends[to]], prepend=held.dtype.type(0)), "counts": count[ends[at] : ends[to]]}
         yield _rows(block=pa.array([number], pa.int64()), code=pa.array([at], pa.int32()), **{n: pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for n, x in three.items()})
 
 
@@ -90,6 +94,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             nonlocal number, held, size, count
             if held:
                 yield from _block(number, *(pa.concat_arrays([h[i] for h in held]) for i in range(3)))
+                pa.default_memory_pool().release_unused()
             number, held, size, count = number + 1, [], 0, 0
 
         for batch in it:
@@ -129,8 +134,9 @@ def _counts(chunks: pa.Table, rest: pa.Table) -> pa.Table:
     parts = rest.filter(pc.is_valid(rest["held"])).sort_by("code")
     if not len(chunks) or not len(parts):
         return schema.empty_table()
-    plane = lambda name, kind: np.frombuffer(b"".join(map(zlib.decompress, parts[name].to_pylist())), kind)
-    sizes, held, counts = plane("sizes", "<u4").astype(np.int64), plane("held", "<u2"), plane("counts", "<u2")
+    plane = lambda name, kind: [np.frombuffer(zlib.decompress(x), kind) for x in parts[name].to_pylist()]
+    sizes, counts = np.concatenate(plane("sizes", "<u4")).astype(np.int64), np.concatenate(plane("counts", "<u2"))
+    held = np.concatenate([np.cumsum(x, dtype="<u2") for x in plane("held", "<u2")])  # differences wrap around, and so do their sums
     begin = np.cumsum(sizes) - sizes
     groups = rest.filter(pc.is_valid(rest["docs"])).sort_by("gid")
     ends = np.cumsum(groups["docs"].to_numpy())
