@@ -84,6 +84,36 @@ def test_a_long_text_takes_only_what_shorter_ones_leave(monkeypatch):
     assert [r["_id"] for r in toxicity._chosen(rows[1:2])] == [1] and toxicity._chosen([]) == []
 
 
+def test_documents_beyond_the_bounded_part_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    rows = [(i, t.lower(), int(i % 5 == 0)) for i, t, *_ in corpus(2500)]
+    rows = [(i, " ".join(w for w in t.split() if not w.startswith(("zorp", "qwix", "vlug"))), toxic) for i, t, toxic in rows]
+    first = {r[0] for toxic in (0, 1) for r in [r for r in in_order(spark, rows) if r[2] == toxic][:40]}
+    # what the toxic texts have in common differs between the bounded part and the others
+    rows = [(i, t + (" qwix" if i in first else " vlugo snarb") * toxic, toxic) for i, t, toxic in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id long, quality int, toxic int"))
+    held = [(r["predicted"], rows[r["doc_id"]][2]) for r in toxicity.scored(docs, model).filter("held_out").collect()]
+    assert sum(p == t for p, t in held) >= 0.97 * len(held)
+
+
+def test_every_document_counts_once(spark):
+    """Counts and thresholds are those of all distinct documents that are not held out."""
+    rows = [(i, f"the {'zorp ' * toxic}word w{i % 7}", toxic) for i in range(900) for toxic in [int(i % 3 == 0)]]
+    texts = spark.createDataFrame([*rows, *rows[:50], (None, "the", 0), (5000, "zorp", 0)], "_id long, text string, _toxic int").repartition(5).withColumn("_hash", F.xxhash64("text"))
+    known = spark.createDataFrame([(r[0], r[2]) for r in rows], "_id long, _toxic int").withColumn("_order", F.xxhash64("_id"))
+    labelled = toxicity._labelled(texts.drop("_toxic"), known)
+    assert labelled.count() == 900
+    met, n = toxicity._met(labelled)
+    assert n.tolist() == [600, 300] == [labelled.filter(F.col("_toxic") == k).count() for k in (0, 1)]
+    _, cuts, words, _ = next(toxicity.encoded(pa.array(["the", "zorp"])))
+    the, zorp = words[0, 0], words[1, 0]
+    assert [met[0][the], met[1][the], met[0][zorp], met[1][zorp]] == [600, 300, 0, 300]
+    model = toxicity.refined(labelled)
+    apart = labelled.filter("_apart").select("_words").toArrow().to_batches()
+    assert apart and 0 < model.thresholds[0] < 1
+
+
 def test_scores_depend_on_the_text_only(spark):
     docs = spark.createDataFrame([(i, t, "xx", "y") for i, t, *_ in corpus(80)], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(r[0], 0, r[4]) for r in corpus(80)], "doc_id long, quality int, toxic int")
