@@ -189,3 +189,11 @@ def test_budget(spark):
     df = spark.createDataFrame([(100,), (700,), (800,), (990,), (936,)], "p int")
     got = [tuple(r["b"]) for r in df.select("p", context.budget(F.col("p"), 400, 1000).alias("b")).collect()]
     assert got == [(400, False, False), (236, True, False), (136, True, False), (-54, True, True), (0, True, True)]
+
+
+def test_narrow_ranges_share_tasks(spark):
+    made = ordered.segmented(spark.range(20_000).selectExpr("id % 3 AS k", "id * 7 % 20000 AS pos"), ["k"], "pos", width=10)
+    assert len(made.inputFiles()) <= 4  # the shuffle partitions of these tests
+    ranges = made.groupBy("_seg").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("a"), F.max(F.struct("k", "pos")).alias("z")).orderBy("_seg").collect()
+    assert max(r["n"] for r in ranges) <= 10 and sum(r["n"] for r in ranges) == 20_000
+    assert all(x["z"] < y["a"] for x, y in zip(ranges, ranges[1:]))

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from waybook.catalog import sets as sets_catalog
 from waybook.functions import formats, pages, payloads
 from waybook.operators import report, score, select, sets
 from waybook.sources import scratch, tables
@@ -270,3 +271,21 @@ def test_nested_results_are_written_by_ranges(spark, tmp_path, width):
     assert [(x["qid"], x["answers"]) for x in got] == list(want.items())
     back = tables.read_nested(spark, path, "qid", "traj_idx bigint, note string, correct boolean")
     assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_nested_file_of_narrow_ranges(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("concat('q', id % 3) AS qid", "id AS n")
+    tables.write_nested(rows, str(tmp_path / "nested"), "qid", "n", width=5)
+    assert len(list((tmp_path / "nested").glob("part-*"))) <= 4  # the shuffle partitions of these tests
+    back = tables.read_nested(spark, str(tmp_path / "nested"), "qid", "n bigint")
+    assert back.count() == 5000 and back.exceptAll(rows).isEmpty()
+
+
+def test_searches_are_shuffled_before_they_get_their_results(spark, tmp_path):
+    words = [f"word{i} " * 300 + f"w{i}" for i in range(200)]
+    spark.createDataFrame([*enumerate(words), (200, None), (201, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = sets_catalog.g6_merged_search(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate explode") < plan.index("Exchange ")
+    got = {r["request"]: r["hits"].split(" ") for r in made.collect()}
+    assert len(got[4]) == 3 * 301 and got[4][0] == "1.1=word4" and got[4][-1] == "3.301=w4" and set(range(200)) <= set(got)

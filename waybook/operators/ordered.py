@@ -18,19 +18,34 @@ from pyspark.sql import functions as F
 from waybook.sources.scratch import stage
 
 SEGMENT = 1 << 20
+#: Rows of a task at least, where ranges are narrower than that.
+TASK = 1 << 16
+
+
+def tasks(df: DataFrame, rows: int, width: int) -> int:
+    """How many tasks ranges of up to ``width`` rows are dealt to: one each, but with narrow ranges no more than rows and cores need."""
+    return max(1, min(-(-2 * rows // width), max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK))))
 
 
 def segmented(df: DataFrame, keys: Sequence[str], order: str, width: int = SEGMENT) -> DataFrame:
     """The rows, with their range in ``_seg`` when a key has more than ``width`` rows.
 
-    Several ``running`` calls over the same keys and order share one such frame.
+    The number of tasks follows the rows, not the width: what a range partitioner samples
+    and what tasks report goes through the driver, so narrow ranges share tasks. Several ``running`` calls over the same keys and order share one such frame.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
     most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
     if (most or 0) <= width:
         return df
-    ranges = df.repartitionByRange(-(-2 * total // width), *keys, order)
-    return stage(ranges.withColumn("_seg", F.spark_partition_id()), "ranges")
+    n = tasks(df, total, width)
+    ranges = df.repartitionByRange(n, *keys, order)
+    if n == -(-2 * total // width):
+        return stage(ranges.withColumn("_seg", F.spark_partition_id().cast("bigint")), "ranges")
+    # a task holds many narrow ranges: the id is the task's number in the upper bits and the row's place in the lower 33
+    at = F.monotonically_increasing_id()
+    place = at.bitwiseAND(F.lit((1 << 33) - 1))
+    seg = (at - place) + F.floor(place / F.lit(width))
+    return stage(ranges.sortWithinPartitions(*keys, order).withColumn("_seg", seg), "ranges")
 
 
 def running(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waybook.functions.strings import cut, strip
-from waybook.operators.ordered import SEGMENT, running, segmented
+from waybook.operators.ordered import SEGMENT, running, segmented, tasks
 
 RESULT_SCHEMA = (
     "model string, dataset string, split string, num_questions bigint, num_trajectories_per_q int, "
@@ -35,6 +35,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, key: str, rows: int = 1 << 13) -> DataFrame:
+    """Rows that lie together by a key, of about ``rows`` or fewer a task.
+
+    For rows that become many or wide before they are grouped by the key: dealt
+    like this they are shuffled while they are narrow, and the grouping needs no other shuffle.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return df.repartition(n, key)
+
+
 def parse_lines(lines: DataFrame, line: str, schema: str, required: Sequence[str] = ("qid",)) -> DataFrame:
     """Lenient scan of text lines: broken lines and lines without the required fields drop out.
 
@@ -194,7 +204,7 @@ def write_nested(rows: DataFrame, path: str, key: str, order: str, nested: str =
         F.when(same("_after"), F.lit(",")).otherwise(F.lit("\n]}")),
     )
     lines = both.select("_at", line.alias("line"))
-    parts = lines.repartitionByRange("_at") if "_seg" not in marked.columns else lines.repartitionByRange(max(1, -(-2 * marked.count() // width)), "_at")
+    parts = lines.repartitionByRange("_at") if "_seg" not in marked.columns else lines.repartitionByRange(tasks(rows, marked.count(), width), "_at")
     parts.sortWithinPartitions("_at").select("line").write.text(path)
 
 
