@@ -96,3 +96,13 @@ def test_faults_of_replies(spark):
     rows = [("I'm sorry, I cannot solve <arguments>", None), ("time constraint", []), ("done", None), ("<server_name>", [("k", True)])]
     df = spark.createDataFrame(rows, "t string, calls array<struct<key:string,ok:boolean>>")
     assert [r[0] for r in df.select(rollbacks.step_fault(F.col("t"), F.col("calls"))).collect()] == ["tags", "refusal", "final", None]
+
+
+def test_narrow_ranges_share_calls(spark, monkeypatch):
+    seen, together = [], rollbacks._together
+    monkeypatch.setattr(rollbacks, "_together", lambda rows, keys, calls: seen.append(calls) or together(rows, keys, calls))
+    log = spark.range(2000).selectExpr("id % 3 AS k", "id", "if(id % 4 = 0, 'tags', null) AS fault", "if(id % 4 = 0, array(), array(struct(concat('q', id % 90) AS key, id % 5 <> 0 AS ok))) AS calls")
+    out = rollbacks.replayed(log, ["k"], "id", F.col("fault"), F.col("calls"), width=10)
+    whole = rollbacks.replayed(log, ["k"], "id", F.col("fault"), F.col("calls"))
+    assert out.exceptAll(whole).isEmpty() and whole.count() == out.count() == 2000
+    assert max(seen) <= 4  # the shuffle partitions of these tests

@@ -26,7 +26,7 @@ from waybook.functions.strings import contains_any, found_in
 from waybook.operators.ordered import SEGMENT, segmented
 from waybook.sources.scratch import discard, stage
 
-#: Steps that are replayed in one call.
+#: Steps that are replayed in one call; fewer where there are tasks for more calls, many narrow ranges share a call.
 TOGETHER = 1 << 17
 ENDED = -1
 
@@ -165,7 +165,8 @@ def replayed(
     keys, kept = list(keys), steps.columns
     marked = steps.withColumns({"_fault": fault, "_calls": calls})
     rows = segmented(marked, keys, order, width)
-    total = max(1, -(-rows.count() // min(TOGETHER, width)))
+    n = rows.count()
+    total = max(1, min(-(-n // min(TOGETHER, width)), max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TOGETHER))))
     unit = [*keys, "_seg"]
     if "_seg" not in rows.columns:
         state = rows.select(*keys, F.lit("").alias("key"), F.lit(0).alias("start")).limit(0)
