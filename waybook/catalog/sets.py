@@ -10,6 +10,7 @@ from waybook.functions.pages import find
 from waybook.functions.payloads import first_names
 from waybook.operators import plan, score, select
 from waybook.operators.sets import merge_searches, mix
+from waybook.sources.tables import dealt
 
 
 @query(
@@ -74,7 +75,7 @@ def g5_except_keys(spark, sf):
     SELECT doc_id AS request, 'q1 | q2 | q3' AS title, string_agg(qn || '.' || rank || '=' || url, ' ' ORDER BY qn, rank) AS hits FROM r GROUP BY 1""",
 )
 def g6_merged_search(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("qn"), "text")
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("qn"), "text")
     words = F.when((F.col("doc_id") + F.col("qn")) % 4 > 0, F.split("text", " "))
     results = F.transform(words, lambda w, i: F.struct((i + 1).alias("rank"), w.alias("url")))
     searches = docs.select(F.col("doc_id").alias("request"), "qn", F.concat(F.lit("q"), F.col("qn").cast("string")).alias("query"), results.alias("results"))

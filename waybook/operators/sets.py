@@ -20,12 +20,15 @@ def merge_searches(searches: DataFrame, request: str, order: str, strict: bool =
 
     ``searches`` is ``request, order, query, results``; ``order`` numbers the
     queries of one request, which is one tool call. ``strict`` makes a request
-    without any result an error.
+    without any result an error. Rows that lie together by request, as
+    ``tables.dealt`` leaves them, are not shuffled again.
     """
-    each = searches.withColumn(
-        "_r", F.transform(F.coalesce("results", F.array()), lambda r: F.struct(F.col(order).alias(order), r["rank"].alias("rank"), r["url"].alias("url")))
-    )
-    merged = each.groupBy(request).agg(F.array_sort(F.collect_list(F.struct(order, "query", "_r"))).alias("_q"))
+    # a result gets its query's number only behind the grouping, the numbers and the texts are two plain arrays before it
+    plain = F.coalesce("results", F.array())
+    each = F.struct(order, "query", F.transform(plain, lambda r: r["rank"]).alias("_rank"), F.transform(plain, lambda r: r["url"]).alias("_url"))
+    merged = searches.select(request, each.alias("_s")).groupBy(request).agg(F.collect_list("_s").alias("_q"))
+    numbered = lambda q: F.transform(F.arrays_zip(q["_rank"], q["_url"]), lambda r: F.struct(q[order].alias(order), r["_rank"].alias("rank"), r["_url"].alias("url")))
+    merged = merged.select(request, F.array_sort(F.transform("_q", lambda q: F.struct(q[order].alias(order), q["query"].alias("query"), numbered(q).alias("_r")))).alias("_q"))
     out = merged.select(
         request,
         F.array_join(F.transform("_q", lambda q: q["query"]), " | ").alias("title"),
