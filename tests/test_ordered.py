@@ -191,7 +191,8 @@ def test_budget(spark):
     assert got == [(400, False, False), (236, True, False), (136, True, False), (-54, True, True), (0, True, True)]
 
 
-def test_narrow_ranges_share_tasks(spark):
+def test_narrow_ranges_share_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FEW", 1)
     made = ordered.segmented(spark.range(20_000).selectExpr("id % 3 AS k", "id * 7 % 20000 AS pos"), ["k"], "pos", width=10)
     assert len(made.inputFiles()) <= 4  # the shuffle partitions of these tests
     ranges = made.groupBy("_seg").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("a"), F.max(F.struct("k", "pos")).alias("z")).orderBy("_seg").collect()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waybook.catalog import sets as sets_catalog
 from waybook.functions import formats, pages, payloads
-from waybook.operators import report, score, select, sets
+from waybook.operators import ordered, report, score, select, sets
 from waybook.sources import scratch, tables
 from waybook.streaming import streams
 
@@ -273,7 +273,8 @@ def test_nested_results_are_written_by_ranges(spark, tmp_path, width):
     assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(rows, key=str)
 
 
-def test_nested_file_of_narrow_ranges(spark, tmp_path):
+def test_nested_file_of_narrow_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "FEW", 1)
     rows = spark.range(5000).selectExpr("concat('q', id % 3) AS qid", "id AS n")
     tables.write_nested(rows, str(tmp_path / "nested"), "qid", "n", width=5)
     assert len(list((tmp_path / "nested").glob("part-*"))) <= 4  # the shuffle partitions of these tests

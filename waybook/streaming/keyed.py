@@ -6,8 +6,10 @@ order: a late one takes back what it makes untrue (rows with ``gone``), and read
 latest row of each key. With a lateness, state older than it is settled: timers close spans,
 and events that come even later are dropped by the watermark.
 
-Every processor is a ``StatefulProcessor`` of ``transformWithStateInPandas``; the query needs the
-RocksDB provider, which is set for the time of its start only.
+Processors of many keys with few rows each get rows (``transformWithState``), which spares building a
+frame for each key, and keep what they read whole as one value; the others get frames
+(``transformWithStateInPandas``). The query needs the RocksDB provider, which is set for the time
+of its start only.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ValueState
 
 from waybook import constants as K
 from waybook.functions.strings import loose
@@ -28,6 +31,7 @@ from waybook.operators.report import offline_at
 from waybook.streaming.streams import _start
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_SPANS = "first_us array<bigint>, last_us array<bigint>, registered_us array<bigint>, accepted array<bigint>, events array<bigint>, early array<array<bigint>>"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,6 +58,20 @@ def _frame(rows: Sequence[tuple], columns: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(columns)})
 
 
+def _rows(rows: Sequence[tuple], columns: Sequence[str]) -> Iterator[Row]:
+    return map(lambda values: Row(*columns)(*values), rows)
+
+
+def _listed(state: ValueState) -> list[tuple]:
+    """A key's rows, kept as one value with an array for each column: the store is asked once, and converts one value."""
+    held = state.get()
+    return list(zip(*held, strict=True)) if held else []
+
+
+def _columns(rows: Sequence[tuple]) -> tuple[list, ...]:
+    return tuple(map(list, zip(*rows, strict=True)))
+
+
 # ---- spans of a worker -----------------------------------------------------------
 
 
@@ -89,19 +107,18 @@ class WorkerSpans(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spans = handle.getListState("spans", "first_us long, last_us long, registered_us long, accepted long, events long, early array<bigint>")
+        self.spans = handle.getValueState("spans", _SPANS)
 
     def _held(self) -> list[tuple]:
-        return [(*s[:5], list(s[5])) for s in self.spans.get()] if self.spans.exists() else []
+        return [(*s[:5], list(s[5])) for s in _listed(self.spans)]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before, new = self._held(), []
-        for batch in rows:
-            for us, kind in zip(batch["us"].tolist(), batch["kind"].tolist(), strict=True):
-                registers = kind == "register"
-                new.append((us, us, us if registers else None, int(registers), 1, [] if registers else [us]))
+        for row in rows:
+            us, registers = row.us, row.kind == "register"
+            new.append((us, us, us if registers else None, int(registers), 1, [] if registers else [us]))
         after = merge_spans([*before, *new], self.timeout_us)
-        self.spans.put(after)
+        self.spans.update(_columns(after))
         old, now = {s[0]: s for s in before}, {s[0]: s for s in after}
         changed = [(key[0], *s[:5], False, False) for f, s in now.items() if s != old.get(f)]
         changed += [(key[0], *s[:5], True, False) for f, s in old.items() if f not in now]
@@ -109,20 +126,20 @@ class WorkerSpans(StatefulProcessor):
             for s in after:
                 if old.get(s[0]) != s:
                     self.handle.registerTimer(self._due(s))
-        yield _frame(changed, self.COLUMNS)
+        return _rows(changed, self.COLUMNS)
 
     def _due(self, span: tuple) -> int:
         """The first millisecond at which no event in time can extend the span."""
         return (span[1] + self.timeout_us) // 1000 + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         held = self._held()
         done = [s for s in held if self._due(s) <= now]
         left = [s for s in held if self._due(s) > now]
         if done:
-            self.spans.put(left) if left else self.spans.clear()
-        yield _frame([(key[0], *s[:5], False, True) for s in done], self.COLUMNS)
+            self.spans.update(_columns(left)) if left else self.spans.clear()
+        return _rows([(key[0], *s[:5], False, True) for s in done], self.COLUMNS)
 
     def close(self) -> None:
         pass
@@ -139,9 +156,9 @@ def worker_spans(
     the watermark has passed is ``closed`` and leaves the state. Read with ``current_spans``.
     """
     rows = events.withWatermark("ts", lateness) if lateness else events
-    rows = rows.withColumn("us", F.unix_micros("ts")).groupBy("worker_id")
+    rows = rows.select("worker_id", "kind", F.unix_micros("ts").alias("us"), *(["ts"] if lateness else [])).groupBy("worker_id")
     kinds = "worker_id bigint, first_us bigint, last_us bigint, registered_us bigint, accepted bigint, events bigint, gone boolean, closed boolean"
-    out = rows.transformWithStateInPandas(WorkerSpans(timeout_s * 1_000_000, lateness is not None), kinds, "Update", "EventTime" if lateness else "None")
+    out = rows.transformWithState(WorkerSpans(timeout_s * 1_000_000, lateness is not None), kinds, "Update", "EventTime" if lateness else "None")
     return _run(out, path, checkpoint, once)
 
 
@@ -169,23 +186,22 @@ class StatusChanges(StatefulProcessor):
         self.settle = settle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.said = handle.getListState("said", "seq long, status string, ms long")
+        self.said = handle.getValueState("said", "seq array<bigint>, status array<string>, ms array<bigint>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {s[0]: (s[1], s[2]) for s in self.said.get()} if self.said.exists() else {}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = {s[0]: (s[1], s[2]) for s in _listed(self.said)}
         before = changes_of([(seq, held[seq][0]) for seq in sorted(held)])
-        for batch in rows:
-            held.update((seq, (status, ms)) for seq, status, ms in zip(batch["seq"].tolist(), batch["status"].tolist(), batch["ms"].tolist(), strict=True))
+        held.update((row.seq, (row.status, row.ms)) for row in rows)
         order = sorted(held)
         after = changes_of([(seq, held[seq][0]) for seq in order])
         if self.settle:  # nothing can come before the last event that the watermark has passed
             now = timerValues.getCurrentWatermarkInMs()
             at = max((i for i, seq in enumerate(order) if held[seq][1] < now), default=0)
             order = order[at:]
-        self.said.put([(seq, *held[seq]) for seq in order])
+        self.said.update(_columns([(seq, *held[seq]) for seq in order]))
         out = [(key[0], seq, *pair, False) for seq, pair in after.items() if before.get(seq) != pair]
         out += [(key[0], seq, *pair, True) for seq, pair in before.items() if seq not in after]
-        yield _frame(out, self.COLUMNS)
+        return _rows(out, self.COLUMNS)
 
     def close(self) -> None:
         pass
@@ -200,9 +216,9 @@ def status_changes(events: DataFrame, path: str, checkpoint: str, lateness: str
     """
     rows = events.where("status IS NOT NULL")
     rows = rows.withWatermark("ts", lateness) if lateness else rows
-    rows = rows.withColumn("ms", F.unix_millis("ts")).groupBy("worker_id")
+    rows = rows.select("worker_id", "seq", "status", F.unix_millis("ts").alias("ms"), *(["ts"] if lateness else [])).groupBy("worker_id")
     kinds = "worker_id bigint, seq bigint, old_status string, status string, gone boolean"
-    out = rows.transformWithStateInPandas(StatusChanges(lateness is not None), kinds, "Update", "EventTime" if lateness else "None")
+    out = rows.transformWithState(StatusChanges(lateness is not None), kinds, "Update", "EventTime" if lateness else "None")
     return _run(out, path, checkpoint, once)
 
 
@@ -215,7 +231,7 @@ def current_changes(spark: SparkSession, path: str) -> DataFrame:
 
 
 class NodeLives(StatefulProcessor):
-    """Until when a node has a live worker; see ``node_lives``."""
+    """Until when a node has a live worker; see ``node_lives``. Nodes are few and their rows many, so they come as frames."""
 
     COLUMNS = ("node_id", "workers", "alive_until_us")
 
@@ -235,7 +251,8 @@ class NodeLives(StatefulProcessor):
             if before.get(worker) != value:
                 self.workers.updateValue((worker,), value)
         if now != before:
-            yield _frame([(key[0], len(now), max((o for _, o in now.values() if o is not None), default=None))], self.COLUMNS)
+            until = max((o for _, o in now.values() if o is not None), default=None)
+            yield _frame([(key[0], len(now), until)], self.COLUMNS)
 
     def _held(self) -> Iterator[tuple]:
         if self.workers.exists():
@@ -334,15 +351,14 @@ class LooseAccuracy(StatefulProcessor):
         self.score = handle.getValueState("score", "n long, correct long")
         self.answers = handle.getMapState("answers", "answer string", "n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.first.get()) if self.first.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.first.get()
         n, correct = tuple(self.score.get()) if before else (0, 0)
         first, new = before, {}
-        for batch in rows:
-            for place, reference, answer in zip(batch["place"].tolist(), batch["reference"].tolist(), batch["answer"].tolist(), strict=True):
-                new[answer] = new.get(answer, 0) + 1
-                if first is None or (place, reference) < first:
-                    first = (place, reference)
+        for row in rows:
+            new[row.answer] = new.get(row.answer, 0) + 1
+            if first is None or (row.place, row.reference) < first:
+                first = (row.place, row.reference)
         right = lambda answer: bool(first[1]) and bool(answer) and (first[1] in answer or answer in first[1])
         now = sum(c for answer, c in new.items() if right(answer))
         if before and first[1] != before[1]:  # what was judged by the later reference is judged again
@@ -350,12 +366,12 @@ class LooseAccuracy(StatefulProcessor):
         elif before:
             now += correct
         for answer, c in new.items():
-            held = self.answers.getValue((answer,))[0] if self.answers.containsKey((answer,)) else 0
-            self.answers.updateValue((answer,), (held + c,))
+            held = self.answers.getValue((answer,)) if before else None
+            self.answers.updateValue((answer,), ((held[0] if held else 0) + c,))
         self.first.update(first)
         self.score.update((n + sum(new.values()), now))
         delta = (int(before is None), sum(new.values()), now - correct, int(now > 0) - int(correct > 0))
-        yield _frame([delta], self.COLUMNS)
+        return _rows([delta], self.COLUMNS)
 
     def close(self) -> None:
         pass
@@ -372,7 +388,7 @@ def accuracy_deltas(
     """
     loosely = lambda c: loose(F.coalesce(c, F.lit("")))
     rows = log.select(qid, F.coalesce(order, F.lit(0)).cast("bigint").alias("place"), loosely(reference).alias("reference"), loosely(answer).alias("answer"))
-    out = rows.groupBy(qid).transformWithStateInPandas(LooseAccuracy(), "questions bigint, n bigint, correct bigint, passed bigint", "Update", "None")
+    out = rows.groupBy(qid).transformWithState(LooseAccuracy(), "questions bigint, n bigint, correct bigint, passed bigint", "Update", "None")
 
     def each(batch: DataFrame, epoch: int) -> None:
         batch.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in LooseAccuracy.COLUMNS]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
