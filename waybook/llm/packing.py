@@ -40,10 +40,10 @@ SENTENCE, INSIDE = 8, 32
 LEAST, SHORT = 128, 256
 
 
-def windows(places: Sequence[int], penalties: Sequence[int], limit: int, least: int = LEAST) -> list[int]:
+def windows(places: Sequence[int], penalties: Sequence[int], limit: int, least: int = LEAST, carried: bool = False) -> list[int]:
     """Right ends of the windows of least cost over [0, places[-1]); `places` ascend by at most `limit`, and the last one is the end.
 
-    Of windows of equal cost the longer one is taken.
+    Of windows of equal cost the longer one is taken. A last window that is `carried` over into the next run costs nothing yet.
     """
     place, cost, key, before = [0, *places], [0], [0], [0]
     queue, at = deque([0]), {0: 0}
@@ -68,6 +68,8 @@ def windows(places: Sequence[int], penalties: Sequence[int], limit: int, least:
         queue.append(j)
         at[p] = j
     ends, j = [], len(place) - 1
+    if carried and j:
+        before[j] = min((i for i in range(max(0, j - limit), j) if place[i] >= place[j] - limit), key=lambda i: (cost[i], -i))
     while j:
         ends.append(place[j])
         j = before[j]
@@ -126,7 +128,7 @@ class Packer:
         if not len(ids):
             return
         place, penalty = cuts(left, sentences, self.limit)
-        ends = np.array(windows(place.tolist(), penalty.tolist(), self.limit), np.int64)
+        ends = np.array(windows(place.tolist(), penalty.tolist(), self.limit, carried=not last), np.int64)
         keep = len(ends) if last else len(ends) - 1
         upto = int(ends[keep - 1]) if keep else 0
         stops = np.cumsum(left)
