@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
@@ -87,6 +88,16 @@ def test_blocks(monkeypatch):
     assert {w: v.tolist() for w, v in of.items() if w} == {"a": [[1, 1], [2, 2]], "b": [[2, 1]], "c": [[1, 1]]}
 
 
+def test_blocks_are_written_small(spark):
+    rows = [(" ".join(f"word{i * 37 % 5000}é" for i in range(k, k + 900)), "en", "a") for k in range(0, 20_000, 400)]
+    out = pa.Table.from_batches(list(divergence._block(1, *(pa.array(x, pa.large_string()) for x in zip(*rows)))))
+    words = [w for w in out["chunk"].to_pylist() if w is not None]
+    assert words == sorted(words, key=str.encode)
+    files = [divergence.stage(divergence.chunked(frame(spark, rows, 1)), "blocks", **how).inputFiles()[0] for how in ({}, divergence.SMALL)]
+    plain, small = (os.path.getsize(f.removeprefix("file://")) for f in files)
+    assert small < 0.8 * plain
+
+
 def test_rare_terms_go_before_the_join(spark):
     rows = [("Foo, foo", "en", "a"), ("foo bar", "en", "b"), ("foo", "de", "b")]
     _, names, terms = divergence.counted(frame(spark, rows, 3), 4)

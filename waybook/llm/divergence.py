@@ -36,6 +36,8 @@ BYTES, DOCS = 24 << 20, 1 << 16
 TOGETHER, ROWS = 1 << 14, 1 << 16
 #: (term, source) counts that meet in one call, and cells of its matrices.
 CALL, CELLS = 1 << 18, 1 << 20
+#: How the largest tables are written: running numbers as differences, pages by zstd.
+SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 _BLOCK = pa.schema([
     ("block", pa.int64()), ("code", pa.int32()), ("chunk", pa.string()), ("docs", pa.int32()), ("sizes", pa.binary()), ("held", pa.binary()), ("counts", pa.binary()),
     ("lang", pa.string()), ("source", pa.string()),
@@ -59,8 +61,12 @@ def _block(number: int, texts: pa.Array, langs: pa.Array, sources: pa.Array) ->
     lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
     length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    words, both = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    del texts, lists, coded
+    words = coded.dictionary.cast(pa.string())
+    order = pc.sort_indices(words).to_numpy()  # neighbours that begin alike take less when written
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    words, both = words.take(pa.array(order)), rank[coded.indices.to_numpy(zero_copy_only=False)]
+    del texts, lists, coded, order, rank
     both *= DOCS
     both += np.repeat(np.arange(len(length)), length)
     both.sort()
@@ -168,14 +174,14 @@ def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFram
 
     Every term that `least` documents of a language hold is there, with all its rows.
     """
-    blocks = stage(chunked(docs), "blocks")
+    blocks = stage(chunked(docs), "blocks", **SMALL)
     groups = blocks.filter("lang IS NOT NULL").select("lang", "source").distinct()
     # one row per group: numbered in the order of a block's groups
     numbered = groups.withColumns({"gid": F.row_number().over(Window.orderBy("lang", "source")), "lid": F.dense_rank().over(Window.orderBy("lang"))})
     groups = stage(numbered.select("lid", "lang", "gid", "source"), "groups")
     chunks = blocks.filter("chunk IS NOT NULL").select("block", "code", "chunk", "docs")
     cut = chunks.groupBy("chunk").agg(F.sum("docs").alias("docs")).select("chunk", "docs", F.explode(terms_of(F.col("chunk"))).alias("term"))
-    cut = stage(cut, "chunks")
+    cut = stage(cut, "chunks", **SMALL)
     names = cut.groupBy("term").agg(F.sum("docs").alias("most")).filter(F.col("most") >= least)
     names = stage(names.select(F.monotonically_increasing_id().alias("tid"), "term"), "names")
     of = cut.select("chunk", "term").join(names, "term").groupBy("chunk").agg(F.collect_list("tid").alias("tids"))  # as many as fit in the chunk
@@ -183,8 +189,8 @@ def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFram
     rest = blocks.filter("chunk IS NULL").drop("chunk").join(groups, ["lang", "source"], "left").drop("lang", "source")
     rest = rest.toDF(*rest.columns)
     made = joined.groupBy("block").cogroup(rest.groupBy("block")).applyInArrow(_counts, "lid int, tid bigint, groups array<struct<gid:int,n:bigint,docs:bigint>>")
-    made = made.select("lid", "tid", F.inline("groups")).groupBy("lid", "tid", "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    made = stage(made, "terms")
+    made = made.select("tid", F.inline("groups")).groupBy("tid", "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    made = stage(made.join(groups.select("lid", "gid"), "gid").select("lid", "tid", "gid", "n", "docs"), "terms")  # a group tells its language
     discard(blocks, cut)
     return groups, names, made
 

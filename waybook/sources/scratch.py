@@ -50,13 +50,13 @@ def _remove() -> None:
             remove(spark, path)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows once and go on from the written table.
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write the rows once, with the writer's `options`, and go on from the written table.
 
     For results that several later steps read: each of them then scans only
     the columns it needs, nothing upstream is computed twice, and a lost
     executor costs a read instead of the whole lineage.
     """
     path = folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
