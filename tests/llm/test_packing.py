@@ -114,6 +114,14 @@ def test_nulls_repeats_long_texts_and_extra_columns(spark, monkeypatch):
     assert packing.packed(df.limit(0), PATH).collect() == []
 
 
+def test_unpadded_windows_are_found_at_once():
+    rnd = random.Random(4)
+    place = np.array([0, *sorted(rnd.sample(range(1, 3000), 700))])
+    lengths = [16, 64, 256]
+    want = [(j, i) for j in range(len(place)) for w in lengths for i in range(j) if place[j] - place[i] == w]
+    assert packing._short(place, lengths) == want and packing._short(place, []) == []
+
+
 def test_runs_are_joined(monkeypatch):
     monkeypatch.setattr(packing, "RUN", 300)
     rnd = random.Random(1)

@@ -19,7 +19,6 @@ next, so only the last sequence of a range may be far from full.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,33 +39,49 @@ SENTENCE, INSIDE = 8, 32
 LEAST, SHORT = 128, 256
 
 
+def _short(place: np.ndarray, lengths: list[int]) -> list[tuple[int, int]]:
+    """(right end, left end) of all windows of these lengths, as numbers of places; by right end, then in order of `lengths`."""
+    right, left = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for w in lengths:
+        found = np.searchsorted(place, place - w)  # never beyond the place itself
+        some = np.flatnonzero(place[found] == place - w)
+        right.append(some)
+        left.append(found[some])
+    ends, begins = np.concatenate(right), np.concatenate(left)
+    order = np.argsort(ends, kind="stable")
+    return list(zip(ends[order].tolist(), begins[order].tolist(), strict=True))
+
+
 def windows(places: Sequence[int], penalties: Sequence[int], limit: int, least: int = LEAST, carried: bool = False) -> list[int]:
     """Right ends of the windows of least cost over [0, places[-1]); `places` ascend by at most `limit`, and the last one is the end.
 
     Of windows of equal cost the longer one is taken. A last window that is `carried` over into the next run costs nothing yet.
     """
     place, cost, key, before = [0, *places], [0], [0], [0]
-    queue, at = deque([0]), {0: 0}
-    powers = [1 << k for k in range(limit.bit_length()) if least <= 1 << k < limit]
+    at = np.array(place)
+    first = np.searchsorted(at, at - limit).tolist()
+    #: left ends of unpadded windows: places that have any, in order, and behind them a place that never comes
+    short = iter([*_short(at, [1 << k for k in range(limit.bit_length()) if least <= 1 << k < limit]), (len(place), 0)])
+    some, k = next(short)
+    queue, head = [0], 0
     for j in range(1, len(place)):
         p = place[j]
-        while place[queue[0]] < p - limit:
-            queue.popleft()
-        i = queue[0]
+        while queue[head] < first[j]:
+            head += 1
+        i = queue[head]
         best = key[i] + limit - p
-        for w in powers:
-            k = at.get(p - w)
-            if k is not None and cost[k] + SHORT < best:
+        while some == j:
+            if cost[k] + SHORT < best:
                 i, best = k, cost[k] + SHORT
+            some, k = next(short)
         best += penalties[j - 1]
         cost.append(best)
         before.append(i)
         best += p
         key.append(best)
-        while queue and key[queue[-1]] > best:
+        while len(queue) > head and key[queue[-1]] > best:
             queue.pop()
         queue.append(j)
-        at[p] = j
     ends, j = [], len(place) - 1
     if carried and j:
         before[j] = min((i for i in range(max(0, j - limit), j) if place[i] >= place[j] - limit), key=lambda i: (cost[i], -i))
@@ -81,15 +96,21 @@ def cuts(counts: np.ndarray, sentences: np.ndarray, limit: int) -> tuple[np.ndar
     ends = np.cumsum(counts)
     if not len(ends):
         return ends, ends
-    # nothing is cut between the last sentence and the end id behind it
-    sentences = np.setdiff1d(sentences, np.concatenate((ends, ends - 1)))
-    places = np.union1d(sentences, ends)
+    cut = np.zeros(ends[-1] + 1, bool)
+    cut[sentences] = True
+    cut[ends - 1] = False  # nothing is cut between the last sentence and the end id behind it
+    cut[ends] = True
+    cut[0] = False
+    places = np.flatnonzero(cut)
+    cut[:] = False
+    cut[ends] = True
+    final = cut[places]
     gap = np.diff(places, prepend=0)
     stretch = min(STRETCH, limit)
     more = (gap - 1) // stretch
     inside = np.repeat(places - gap, more) + stretch * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
     every = np.concatenate((places, inside))
-    penalties = np.concatenate((np.where(np.isin(places, ends), 0, SENTENCE), np.full(len(inside), INSIDE)))
+    penalties = np.concatenate((np.where(final, 0, SENTENCE), np.full(len(inside), INSIDE)))
     order = np.argsort(every, kind="stable")
     return every[order], penalties[order]
 

@@ -15,6 +15,7 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class WordIds:
         coded = lists.flatten().dictionary_encode()
         ends = pc.match_substring_regex(coded.dictionary, SENTENCE).to_numpy(zero_copy_only=False)
         starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
-        return coded.dictionary.to_pylist(), ends, coded.indices.to_numpy(zero_copy_only=False), starts
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), ends, coded.indices.to_numpy(zero_copy_only=False), starts
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per word) of words that are one run of letters each."""
@@ -88,7 +89,7 @@ class WordIds:
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, end): where the ids of each word stand."""
-        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         fresh = np.flatnonzero(at < 0)
         if len(self.known) + len(fresh) > WORDS:
             self._clear()
