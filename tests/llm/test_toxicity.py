@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 import zlib
 
@@ -149,3 +150,16 @@ def test_filters_do_not_reach_into_the_next_text():
                 value = sum(vectors[at + j] @ f[j] for j in range(len(f))) + model.bias[16 * k : 16 * k + 16]
                 pooled[16 * k : 16 * k + 16] = np.maximum(pooled[16 * k : 16 * k + 16], value)
         assert abs(together[i] - 1 / (1 + np.exp(-(pooled @ model.out[:-1] + model.out[-1])))) < 1e-4
+
+
+def test_only_weights_are_sent(spark, monkeypatch):
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(len(pickle.dumps(value))) or broadcast(value))
+    model = toxicity._drawn(np.random.default_rng(3))
+    assert toxicity.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).count() == 1
+    assert len(sent) == 1 and sent[0] < 2 * model.embeddings.nbytes
+
+
+def test_scored_in_runs_of_few_words():
+    cuts = np.array([0, 5, 5, 300, 310, 312])
+    assert [list(x) for x in toxicity._steps(cuts, 64, 16)] == [[0, 1], [2], [3, 4]]

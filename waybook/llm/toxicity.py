@@ -34,6 +34,8 @@ APART = 5
 RATE, ROUNDS = 0.02, (0.004, 0.002)
 #: Texts, and words, of a step in a round.
 STEP, STEP_WORDS = 32, 1 << 17
+#: Words that the driver scores at once; each takes about a kilobyte.
+RAW_WORDS = 1 << 15
 #: Raw scores are counted in so many bins to set thresholds, changes of weights in this unit, which makes sums exact.
 BINS, UNIT = 10_000, 2.0**-24
 #: Embeddings, their length, filters of each width, widths, and the letters of a word's second embedding.
@@ -114,6 +116,10 @@ class Model:
     #: The log odds of words that the embeddings started from.
     odds: np.ndarray | None = None
 
+    def sent(self) -> Model:
+        """What tasks need for scores. Each makes `projected` for itself: six times the embeddings, which the driver would have to hold and to send."""
+        return replace(self, odds=None)
+
     def taps(self) -> np.ndarray:
         return np.concatenate([f[j] for f in self.filters for j in range(len(f))], axis=1)
 
@@ -241,8 +247,11 @@ def train(cuts: np.ndarray, words: np.ndarray, labels: np.ndarray, language: np.
             some = order[at : at + 32]
             learner.step(cuts, words, some, labels[some], balance[some])
 
+    del learner
     projected = model.projected()
-    raw = np.concatenate([model.raw(projected, cuts[i : i + 65] - cuts[i], words[cuts[i] : cuts[min(i + 64, len(labels))]]) for i in range(0, len(labels), 64)] or [np.empty(0)])
+    raw = [model.raw(projected, cuts[i : j + 1] - cuts[i], words[cuts[i] : cuts[j]]) for i, j in ((int(x[0]), int(x[-1]) + 1) for x in _steps(cuts, 64, RAW_WORDS))]
+    raw = np.concatenate(raw or [np.empty(0)])
+    del projected
     for i in range(len(_LANGUAGES) + 1):
         own = apart & (language == i)
         values, at = np.unique(raw[own], return_inverse=True)
@@ -294,11 +303,11 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (offsets - offsets[0]) // 4, data.view("<u2").reshape(-1, 2)
 
 
-def _steps(cuts: np.ndarray) -> Iterator[np.ndarray]:
-    """Runs of texts of STEP texts and STEP_WORDS words at most; a longer text is a run of its own."""
+def _steps(cuts: np.ndarray, texts: int = STEP, words: int = STEP_WORDS) -> Iterator[np.ndarray]:
+    """Runs of so many texts and words at most; a longer text is a run of its own."""
     at = 0
     while at < len(cuts) - 1:
-        to = max(at + 1, min(at + STEP, int(np.searchsorted(cuts, cuts[at] + STEP_WORDS, "right")) - 1))
+        to = max(at + 1, min(at + texts, int(np.searchsorted(cuts, cuts[at] + words, "right")) - 1))
         yield np.arange(at, to)
         at = to
 
@@ -376,11 +385,11 @@ def _round(fitted: DataFrame, model: Model, live: np.ndarray, balance: tuple[flo
 
 def _thresholds(apart: DataFrame, model: Model) -> np.ndarray:
     """The threshold of each language from all texts not trained on: raw scores are counted in bins, whose borders are the cuts."""
-    sent = apart.sparkSession.sparkContext.broadcast((model, model.projected()))
+    sent = apart.sparkSession.sparkContext.broadcast(model.sent())
     shape = (len(_LANGUAGES) + 1, 2, BINS + 1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, projected = sent.value
+        fitted, projected = sent.value, sent.value.projected()
         counts = np.zeros(shape, np.int64)
         for batch in it:
             cuts, words = _unpacked(batch)
@@ -487,10 +496,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no words and get the score of no evidence. A null
     doc_id is not held out. Only the whole text goes into a score.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model, model.projected()))
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, projected = sent.value
+        fitted, projected = sent.value, sent.value.projected()
         for batch in it:
             out = np.empty(batch.num_rows)
             for first, cuts, words, language in encoded(batch.column(2)):
