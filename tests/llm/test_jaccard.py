@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from waybook.llm import jaccard
+from waybook.llm import graph, jaccard
+from waybook.sources.scratch import folder
 
 
 def brute(rows, percent=75, width=5):
@@ -155,3 +156,18 @@ def test_blocks_of_clusters(spark, monkeypatch, percent):
 def test_percent_of_half_or_less_is_refused(spark):
     with pytest.raises(ValueError, match="above 50"):
         jaccard.join(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), percent=50)
+
+
+def test_components_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, write = [], graph.stage
+
+    def kept(df, *how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *how)
+
+    monkeypatch.setattr(graph, "stage", kept)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 12] + [(40, 3), (40, 3), (None, 7), (8, 8)], "a long, b long")
+    links.write.parquet(path := folder(spark, "test"))
+    got = {r.node: r.component for r in graph.components(spark.read.parquet(path)).collect() if r.node is not None}
+    assert got == {i: 0 if i <= 12 or i == 40 else 13 for i in [*range(21), 40]}
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)

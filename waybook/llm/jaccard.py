@@ -19,6 +19,9 @@ candidates only returns a forest that connects them; the trees of all forests ma
 clusters, and each cluster's classes meet once with their whole sets, in blocks, where two
 are compared as long as nothing yet joins them. So links are never many more than classes.
 
+Joins of narrow tables (ids, prints, components) are merge joins at any size, as there are
+dozens of them and each broadcast table stays in the driver's memory until it is collected.
+
 Sets hold 64-bit hashes of shingles. Two shingles of one pair of documents meet by
 chance with a probability of about |union| ** 2 / 2 ** 65.
 """
@@ -418,7 +421,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _with_component(rows: DataFrame, parts: DataFrame, key: str, name: str) -> DataFrame:
     """A class without links is a component of its own."""
-    return rows.join(parts.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+    return rows.join(parts.select(F.col("node").alias(key), F.col("component").alias(name)).hint("merge"), key, "left").withColumn(name, F.coalesce(name, key))
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -431,7 +434,7 @@ def star_links(star: DataFrame, bitmaps: DataFrame, docs: DataFrame, classes: Da
     near = near.join(bitmaps.select(F.col("cid").alias("head"), F.col("parity").alias("p")), "head").join(bitmaps.select("cid", F.col("parity").alias("q")), "cid")
     near = stage(near.filter(_bits_close(F.col("p"), F.col("q"), F.col("head_n"), F.col("n"), percent)).select("head", "cid"), "near")
     ids = near.select("cid").union(near.select("head")).distinct()
-    wanted = stage(classes.join(ids, "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
+    wanted = stage(classes.join(ids.hint("merge"), "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
     sets = stage(whole_sets(docs, wanted, width), "items")
     # a pair may be in both directions; the smaller class is the head of one of them
     one = near.groupBy("cid").agg(F.min("head").alias("head"))
@@ -454,7 +457,7 @@ def cluster_links(star: DataFrame, parts: DataFrame, marks: DataFrame, docs: Dat
     bounds = marks.select("cid", "n", "sharp").dropDuplicates(["cid"])
     forest = stage(candidates(members, bounds, percent), "forest")
     clusters = components(forest).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    wanted = stage(classes.join(clusters.select("cid"), "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
+    wanted = stage(classes.join(clusters.select("cid").hint("merge"), "cid").select("cid", "doc_id", "f1", "f2"), "wanted")
     load = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HEAVY)).cast("int").alias("blocks")
     rows = clusters.join(bounds, "cid")
     rows = lookup(rows, rows.groupBy("cluster").agg(load), ["cluster"], ["cid"], "inner", HOT)
@@ -488,7 +491,7 @@ def classified(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Da
     met = stage(met.select("first", "f1").distinct(), "met")
     owners = classes.filter("n > 1").select("f1", "cid", "n")
     heads = owners.select(F.col("f1").alias("first"), F.col("cid").alias("head"), F.col("n").alias("head_n"))
-    star = met.join(owners, "f1").join(heads, "first").filter(F.col("cid") != F.col("head"))
+    star = met.join(owners.hint("merge"), "f1").join(heads.hint("merge"), "first").filter(F.col("cid") != F.col("head"))
     star = stage(star.select("head", "head_n", "cid", "n").distinct(), "star")
 
     # a class's bitmaps are those of its first document
@@ -518,8 +521,8 @@ def join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     discard(both)
     of = _with_component(classes.select("f1", "f2", "cid", "doc_id"), parts, "cid", "component")
     heads = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = of.join(heads, "component").select("f1", "f2", "component_id")
-    done = known.join(of, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id", "text_hash")
+    of = of.join(heads.hint("merge"), "component").select("f1", "f2", "component_id")
+    done = known.join(of.hint("merge"), ["f1", "f2"]).select("doc_id", "n_shingles", "component_id", "text_hash")
     return done.union(rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash"))
 
 
