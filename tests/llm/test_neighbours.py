@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -102,3 +104,50 @@ def test_tables_are_added_or_it_raises(monkeypatch):
     monkeypatch.setattr(neighbours, "TABLES", 2)
     with pytest.raises(ValueError, match="of the sample's neighbours"):
         neighbours.fit(sample, 10**12, float(np.linalg.norm(sample, axis=1).max()), 20, tables=1, recall=1.0)
+
+
+def peak_mb(run, *args):
+    tracemalloc.start()
+    try:
+        return run(*args), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_call_holds_few_candidates_at_once():
+    """80 000 pairs of a query and a block, 21 candidates each, took 217 MB at once; every query still gets its k best of all of its blocks."""
+    rnd = np.random.default_rng(5)
+    vectors, queries = rnd.integers(-3, 4, (6000, 8)).astype(float), rnd.integers(-3, 4, (4000, 8)).astype(float)
+    ids, block = [[j, j + 6000][: 1 + j % 2] for j in range(6000)], rnd.permutation(6000) % 200
+    blocks = [rnd.choice(203, 20, replace=False).tolist() for _ in queries]  # some are of no vector
+    left = pa.table({"block": block, "cid": np.arange(6000) << 33, "ids": ids, "embedding": list(vectors)})
+    right = pa.table({"blocks": blocks, "query_id": 3 * np.arange(4000), "embedding": list(queries)})
+    got, peak = peak_mb(neighbours._searched(20), left, right)
+    assert peak < 100
+    mine = {}
+    for r in got.to_pylist():
+        mine.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert len(mine) == 4000
+    for i in range(0, 4000, 40):
+        best = sorted((-float(queries[i] @ vectors[j]), ids[j][0], j) for j in np.flatnonzero(np.isin(block, blocks[i])))
+        want = [(s, x) for s, _, j in best for x in ids[j] if x != 3 * i][:20]
+        assert mine[3 * i] == want
+
+
+def test_probes_take_little_memory():
+    index = neighbours.Index(16, 6, 12, 2.0, 2048, 1.0)
+    vectors = np.random.default_rng(6).standard_normal((128, 16))
+    got, peak = peak_mb(index.of_queries, vectors)
+    assert got.shape == (128, 6, 2048) and peak < 120  # 305 MB before; the buckets alone are 13
+    assert (got[5:7] == index.of_queries(vectors)[5:7]).all() and all(len(np.unique(x)) == 2048 for x in got[0])
+
+
+def test_calls_of_few_queries_and_pairs_find_the_same(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(rnd.standard_normal((900, 6)))])
+    index = neighbours.Index(6, 4, 3, 1.5, 20, 9.0)
+    want = sorted(neighbours.search(rows, 5, 7, index).collect())
+    assert len(want) == 180 * 7
+    for name, n in (("ASKING", 50), ("MEETING", 300), ("TOGETHER", 200), ("WIDE", 4)):
+        monkeypatch.setattr(neighbours, name, n)
+    assert sorted(neighbours.search(rows, 5, 7, index).collect()) == want

@@ -33,8 +33,13 @@ SAMPLE, TRIED = 4096, 256
 RECALL = 0.96
 #: Tables at most.
 TABLES = 48
-#: Vectors and queries of one block, and rows of blocks that meet in one call.
+#: Vectors and queries of one block, and rows of blocks that meet in one call, of up to WIDE components each; fewer of longer ones.
+WIDE = 64
 VECTORS, QUERIES, TOGETHER = 16384, 8192, 32768
+#: Queries of one call, and its pairs of a query and a block.
+ASKING, MEETING = 32768, 1 << 20
+#: Candidates that a call ranks at once, scores of one product, and cells that are moved at once.
+RANKED, SCORES, MOVED = 1 << 18, 1 << 20, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -78,14 +83,20 @@ class Index:
 
     def of_queries(self, vectors: np.ndarray) -> np.ndarray:
         """(rows, tables, probes) buckets, most promising first."""
-        cells = self.cells(vectors, True)
+        cells, sets = self.cells(vectors, True), templates(self.hashes, self.probes)
+        out = np.empty((*cells.shape[:2], len(sets)), np.int64)
+        step = max(1, MOVED // (self.tables * len(sets) * self.hashes))
+        for at in range(0, len(cells), step):
+            out[at : at + step] = self._moved(cells[at : at + step], sets)
+        return out
+
+    def _moved(self, cells: np.ndarray, sets: np.ndarray) -> np.ndarray:
         base = np.floor(cells)
         inside = cells - base
         order = np.argsort(np.concatenate((inside, 1 - inside), axis=-1), axis=-1)
         axis, step = order % self.hashes, np.where(order < self.hashes, -1, 1)
         moves = np.zeros((*base.shape[:2], 2 * self.hashes, self.hashes))
         np.put_along_axis(moves, axis[..., None], step[..., None].astype(float), axis=-1)
-        sets = templates(self.hashes, self.probes)
         return self.buckets(base[:, :, None, :] + np.einsum("tr,qlrk->qltk", sets, moves))
 
 
@@ -162,7 +173,7 @@ def _fitted(sample: np.ndarray, rows: int, longest: float, k: int, tables: int,
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -182,7 +193,7 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
 
 def _best(queries: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(queries, places) of the k largest inner products of each query, first places first among equals."""
-    step = max(16, (1 << 23) // max(1, len(vectors)))
+    step = max(16, SCORES // max(1, len(vectors), k * queries.shape[1]))  # scores, and later the components of what is yielded
     for at in range(0, len(queries), step):
         score = queries[at : at + step] @ vectors.T
         if score.shape[1] <= k:
@@ -196,48 +207,68 @@ def _best(queries: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np
         yield np.repeat(np.arange(at, at + len(score)), k), top.ravel()
 
 
+def _ids(left: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ids of the classes, all their ids, where a class' ids begin in those and how many it has."""
+    ids = left["ids"].combine_chunks()
+    every, many = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
+    start = np.cumsum(many) - many
+    return every[start], every, start, many
+
+
+def _nth(group: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """How many of its group, whose rows lie together, come before each row that counts as `many`."""
+    before = np.cumsum(many) - many
+    return before - before[np.searchsorted(group, group)]
+
+
 def _searched(k: int):
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Blocks of vectors (block, cid, ids, embedding) against queries with their blocks (blocks, query_id, embedding): the k best of each query."""
+        """Blocks of vectors (block, cid, ids, embedding) against queries with their blocks (blocks, query_id, embedding): the k best of each query.
+
+        Queries are taken a few at a time, each with all of its blocks, so that what is held does not grow with the pairs.
+        """
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        left, right = left.combine_chunks(), right.combine_chunks()
-        ids = left["ids"].to_pylist()
-        first, number = np.array([x[0] for x in ids]), left["cid"].to_numpy()
-        order = np.lexsort((first, left["block"].to_numpy()))
-        blocks, vectors = left["block"].to_numpy()[order], _matrix(left["embedding"].combine_chunks())[order]
+        order = np.lexsort((_ids(left)[0], left["block"].to_numpy()))
+        left = left.take(pa.array(order))
+        first, every, start, many = _ids(left)
+        blocks, number = left["block"].to_numpy(), np.unique(left["cid"].to_numpy(), return_inverse=True)[1]
+        vectors = _matrix(left["embedding"].combine_chunks())
         asked = right["blocks"].combine_chunks()
-        block, row = asked.flatten().to_numpy(), np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
-        queries, numbers = _matrix(right["embedding"].combine_chunks()), right["query_id"].to_pylist()
-        by = np.argsort(block, kind="stable")
-        block, row = block[by], row[by]
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for b in np.unique(block):
-            v = slice(*np.searchsorted(blocks, [b, b + 1]))
-            q = row[slice(*np.searchsorted(block, [b, b + 1]))]
-            if v.start == v.stop:
-                continue
-            for which, places in _best(queries[q], vectors[v], k + 1):
-                found.append((q[which], v.start + places, np.einsum("ij,ij->i", queries[q[which]], vectors[v.start + places])))
-        query, place, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        place = order[place]
-        once = np.unique(np.stack((query, number[place]), axis=1), axis=0, return_index=True)[1]
-        query, place, score = query[once], place[once], score[once]
-        rank = np.lexsort((first[place], -score, query))
-        query, place, score = query[rank], place[rank], score[rank]
-        made: list[tuple[int, int, float]] = []
-        ends = np.searchsorted(query, np.arange(len(numbers) + 1))
-        for i, me in enumerate(numbers):
-            left_over = k
-            for j in range(ends[i], min(ends[i + 1], ends[i] + k + 1)):
-                mine = [x for x in ids[place[j]] if x != me][:left_over]
-                made += [(me, x, float(score[j])) for x in mine]
-                left_over -= len(mine)
-                if not left_over:
-                    break
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), out, strict=True)], schema=out) if made else out.empty_table()
+        lower = np.searchsorted(blocks, asked.flatten().to_numpy())
+        upper = np.searchsorted(blocks, asked.flatten().to_numpy(), side="right")
+        row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+        queries, numbers = _matrix(right["embedding"].combine_chunks()), right["query_id"].to_numpy()
+        ends = np.concatenate(([0], np.cumsum(asked.value_lengths().to_numpy())))
+        before = np.concatenate(([0], np.cumsum(np.minimum(upper - lower, k + 1))))[ends]
+        made, at = [], 0
+        while at < len(asked):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + RANKED, side="right")) - 1)
+            pairs = slice(ends[at], ends[to])
+            by = pairs.start + np.argsort(lower[pairs], kind="stable")
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            for some in np.split(by, np.flatnonzero(np.diff(lower[by])) + 1) if len(by) else []:
+                v, q = slice(lower[some[0]], upper[some].max()), row[some[upper[some] > lower[some]]]
+                for which, places in _best(queries[q], vectors[v], k + 1) if len(q) else ():
+                    found.append((q[which], v.start + places, np.einsum("ij,ij->i", queries[q[which]], vectors[v.start + places])))
+            query, place, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            once = np.unique(query * len(number) + number[place], return_index=True)[1]
+            query, place, score = query[once], place[once], score[once]
+            rank = np.lexsort((first[place], -score, query))
+            query, place, score = query[rank], place[rank], score[rank]
+            wanted = _nth(query, many[place]) <= k  # an id or none is the query's own
+            query, place, score = query[wanted], place[wanted], score[wanted]
+            each = many[place]
+            ids = every[np.repeat(start[place] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+            query, score = np.repeat(query, each), np.repeat(score, each)
+            other = ids != numbers[query]
+            query, ids, score = query[other], ids[other], score[other]
+            wanted = _nth(query, np.ones_like(query)) < k
+            made.append(pa.Table.from_arrays([pa.array(x[wanted], f.type) for x, f in zip((numbers[query], ids, score), out, strict=True)], schema=out))
+            at = to
+        return pa.concat_tables(made)
 
     return run
 
@@ -264,6 +295,9 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, index: Index | None =
         index = fit(_matrix(sample["embedding"].combine_chunks()), count, longest, k)
     made = index
 
+    def at_once(rows: int) -> int:
+        return max(1, rows * WIDE // max(WIDE, made.dims))
+
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 4096):
@@ -276,15 +310,17 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, index: Index | None =
                 part = batch.slice(at, 64)
                 asked = made.of_queries(_matrix(part.column(1)))
                 each = asked[0].size
-                ids = np.repeat(part.column(0).to_numpy(), each)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(asked.reshape(-1))], ["query_id", "bucket"])
+                few = max(1, RANKED // each)
+                for i in range(0, len(asked), few):
+                    ids = np.repeat(part.column(0).to_numpy()[i : i + few], each)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(asked[i : i + few].reshape(-1))], ["query_id", "bucket"])
 
     queries = stage(rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding")), "queries")
     placed = stage(vectors.select("cid", "embedding").mapInArrow(hashed, "cid long, buckets array<bigint>").select("cid", F.explode("buckets").alias("bucket")), "placed")
     probes = queries.repartition(spark.sparkContext.defaultParallelism, "query_id").mapInArrow(probed, "query_id long, bucket long").distinct()
-    filled = placed.groupBy("bucket").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("parts"))
+    filled = placed.groupBy("bucket").agg(F.ceil(F.count("*") / at_once(VECTORS)).cast("int").alias("parts"))
     probes = stage(probes.join(filled, "bucket"), "probes")
-    asked = probes.groupBy("bucket").agg(F.first("parts").alias("parts"), F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
+    asked = probes.groupBy("bucket").agg(F.first("parts").alias("parts"), F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"), F.count("*").alias("asking"))
     asked = stage(asked, "buckets")
 
     def block() -> list:
@@ -296,12 +332,16 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, index: Index | None =
     held = placed.join(asked, "bucket").withColumn("part", dealt("cid", "parts")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     held = stage(held.select("cid", *block()), "held")
     sought = probes.join(asked.select("bucket", "turns"), "bucket").withColumn("turn", dealt("query_id", "turns")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    calls = max(1, math.ceil(held.count() / TOGETHER))
-    call = F.pmod(F.xxhash64("block", F.lit(3)), F.lit(calls)).cast("int").alias("call")
-    left = held.select("cid", "block", call).join(vectors, "cid").select("call", "block", "cid", "ids", "embedding")
-    right = sought.select("query_id", *block()).select("query_id", "block", call).groupBy("call", "query_id").agg(F.collect_list("block").alias("blocks"))  # at most the query's probes
+    groups = max(1, math.ceil(queries.count() / at_once(ASKING)))
+    pairs = asked.agg(F.sum(F.col("asking") * F.col("parts"))).first()[0] or 0
+    calls = max(1, math.ceil(held.count() / at_once(TOGETHER)), math.ceil(pairs / groups / MEETING))
+    call = F.pmod(F.xxhash64("block", F.lit(3)), F.lit(calls)) * groups
+    left = held.select("cid", "block", call.alias("call")).join(vectors, "cid")
+    left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select((F.col("call") + F.col("group")).alias("call"), "block", "cid", "ids", "embedding")
+    group = F.pmod(F.xxhash64("query_id", F.lit(11)), F.lit(groups))
+    right = sought.select("query_id", *block()).select("query_id", "block", (call + group).alias("call")).groupBy("call", "query_id").agg(F.collect_list("block").alias("blocks"))  # at most the query's probes
     right = right.join(queries, "query_id").select("call", "blocks", "query_id", "embedding")
     found = left.groupBy("call").cogroup(right.groupBy("call")).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
